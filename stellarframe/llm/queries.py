@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, pii, quality_rules, shard, token_files
+from . import chat, common, decontaminate, minhash, pii, quality_rules, shard, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -45,6 +45,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_digests(token_files.read_token_files(spark, path))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     found = decontaminate.find_contamination(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark")).drop("text")
@@ -52,7 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_chat, op6_quality_rules, op7_shards, op8_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_chat, op6_quality_rules, op7_shards, op8_token_files, op9_near_duplicates, op10_decontaminate)}
 
 #: Windows of ten item words among all windows of the documents; SQL has no automaton, but equal results.
 OP10_SQL = r"""
@@ -60,12 +65,24 @@ WITH w AS (SELECT item_id AS id, regexp_extract_all(regexp_replace(translate(tex
 windows AS (SELECT DISTINCT id, least(len(words), 10) AS size, array_to_string(words[i:i + least(len(words), 10) - 1], ' ') AS window_text FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
 d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g'), '[^ ]+') END AS words FROM documents),
 sizes AS (SELECT DISTINCT size FROM windows),
-at AS (SELECT r, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM d, sizes WHERE len(words) >= size),
-hits AS (SELECT r, i, at.size, id FROM at JOIN windows ON windows.size = at.size AND windows.window_text = array_to_string(at.words[i:i + at.size - 1], ' ')),
+places AS (SELECT r, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM d, sizes WHERE len(words) >= size),
+hits AS (SELECT r, i, places.size, id FROM places JOIN windows ON windows.size = places.size AND windows.window_text = array_to_string(places.words[i:i + places.size - 1], ' ')),
 hit_words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT r, i, size FROM hits)) GROUP BY r),
 hit_items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(id AS VARCHAR) AS id FROM hits) GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
-ORACLE_SQL = {"op10_decontaminate": OP10_SQL}
+#: Every pair of documents that share a shingle, then the links' transitive closure.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS words FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(words[i:i + least(len(words), 5) - 1], ' ') AS shingle, least(len(words), 5) AS size FROM (SELECT *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM d WHERE len(words) > 0)),
+n AS (SELECT r, doc_id, count(*) AS n FROM s GROUP BY r, doc_id),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.size = y.size AND x.r <> y.r GROUP BY x.r, y.r),
+links AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+c AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""
+
+ORACLE_SQL = {"op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL}

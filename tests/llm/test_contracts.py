@@ -146,3 +146,46 @@ def test_op10(spark, awkward):
                         items |= windows[tuple(w[k : k + size])]
             want.append((r[0], len(w), len(hit), len(items), SHA(",".join(sorted(map(str, items)))), bool(hit)))
         same(got, want)
+
+
+def component_ids(sets):
+    """Brute force over all pairs: (id, set size, smallest id of the component)."""
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, x) in enumerate(sets):
+        for j, (_, y) in enumerate(sets[:i]):
+            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, x) in enumerate(sets):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, len(x), least.get(find(i)), d == least.get(find(i))) for i, (d, x) in enumerate(sets)]
+
+
+def test_op9(spark, awkward, tables):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    near = []
+    for i in range(60):  # copies of one text that are closer to it than to each other, and a chain
+        words = list(base)
+        for _ in range(4):
+            words[rng.randrange(400)] = f"x{rng.randrange(5000)}"
+        near.append(doc(100 + i, " ".join(words)))
+    chain = list(base[::-1])
+    for i in range(30):
+        chain = chain[4:] + [f"y{i}{k}" for k in range(4)]
+        near.append(doc(300 + i, " ".join(chain).upper() if i % 2 else " ".join(chain)))
+    near += [doc(50, " ".join(base)), doc(51, "  ".join(base)), doc(400, "a b c"), doc(401, "A b\nc"), doc(402, "a b c d"), doc(403, " "), doc(404, "the same " * 40), doc(405, "the same " * 90)]
+    for path in (awkward, tables(documents=near), tables(documents=[])):
+        rows = spark.read.parquet(f"{path}/documents.parquet").collect()
+        sets = []
+        for r in rows:
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+            sets.append((r["doc_id"], {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
+        same([tuple(g) for g in queries.op9_near_duplicates(spark, path).collect() if g[0] is not None], [w for w in component_ids(sets) if w[0] is not None])

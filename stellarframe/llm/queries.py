@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, minhash, pii, quality_rules, shard, token_files
+from . import chat, classifier, common, decontaminate, minhash, pii, quality_rules, shard, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -14,6 +14,12 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classifier.score(docs, classifier.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     n = lambda kind: F.size(F.filter("pii_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -57,7 +63,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_chat, op6_quality_rules, op7_shards, op8_token_files, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_chat, op6_quality_rules, op7_shards, op8_token_files, op9_near_duplicates, op10_decontaminate)}
 
 #: Windows of ten item words among all windows of the documents; SQL has no automaton, but equal results.
 OP10_SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, common, decontaminate, minhash, pii, quality_rules, shard, token_files
+from . import chat, classifier, common, decontaminate, licenses, minhash, pieces, pii, quality_rules, shard, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -34,6 +34,18 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.conversation_log(rows.unionByName(added))))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    found = licenses.find_licenses(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    text = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), text.alias("spans"), F.array_max("licenses.score").alias("best_score"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return pieces.round_trip(common.table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     judged = quality_rules.apply_rules(common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -63,7 +75,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_chat, op6_quality_rules, op7_shards, op8_token_files, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_chat, op4_licenses, op5_pieces, op6_quality_rules, op7_shards, op8_token_files, op9_near_duplicates, op10_decontaminate)}
 
 #: Windows of ten item words among all windows of the documents; SQL has no automaton, but equal results.
 OP10_SQL = r"""

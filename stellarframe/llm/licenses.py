@@ -67,7 +67,7 @@ class Templates:
         for i, s in enumerate(self.sets):
             for b in s:
                 self.of.setdefault(b, []).append(i)
-        self.ratio = (2 - threshold) / threshold
+        self.ratio = (2 - threshold) / threshold + 1e-9
         self.least = min(map(len, self.sets)) / self.ratio
         self.most = max(map(len, self.sets)) * self.ratio
 

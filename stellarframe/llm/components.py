@@ -25,7 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     sign = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _min_hop(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = _min_hop(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         hop = _min_hop(large, "u", "v")
         small = hop.select(F.col("v").alias("x"), F.col("m").alias("y")).union(hop.select(F.col("u").alias("x"), F.col("m").alias("y")))
         edges = materialise(spark, small.where("x != y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())

@@ -7,10 +7,10 @@ and estimates concentrate as if the shingles had been sampled without replacemen
 two sets of similarity 0.85 miss each other in all bands with a chance of about 1e-5.
 
 Documents of equal sets are one node, so that copies never meet in pairs. In each bucket of a band the member that shares
-most buckets is the centre; it alone is compared with the others. Links found join components; further rounds compare
-other centres with the members of other components, and a last one compares what is left across components, so no link
-between two components goes unseen and no pairs within one are listed. Every link is confirmed on full sets, by texts
-joined to the pairs; hot centres are ordinary skewed joins, which Spark splits.
+most buckets is the centre; it alone is compared with the others, by texts joined to the pairs (hot centres are ordinary
+skewed joins, which Spark splits). The links found join components. Buckets whose other members are then of several
+components are compared across these by an inverted index of their full sets, in blocks of bounded size, which gives out
+only links that join two components. So no pair between two components goes unseen, and no pairs of a group are listed.
 
 Defined cases: texts that are null or have no words link with nothing and are their own component; a null doc_id gets its
 component's smallest id, or null; equal ids with different texts are different nodes under one id; repeated rows get equal
@@ -37,7 +37,8 @@ COORDS = 144
 BAND_ROWS = 6
 #: A link needs 100 * intersection >= LINK_PERCENT * union.
 LINK_PERCENT = 85
-STAR_ROUNDS = 3
+#: Shingles of the members of a bucket that meet in one group at most, on average, twice over.
+BLOCK_SHINGLES = 1_000_000
 WORD_CACHE = 300_000
 _U = np.uint64
 
@@ -159,7 +160,45 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each group of consecutive rows (bucket, p, q): links that join its components, found on full sets."""
+    key, rows = None, []
+    for b in batches:
+        columns = [b.column(c).to_pylist() for c in ("bucket", "p", "q", "node", "root", "text")]
+        for bucket, p, q, node, root, text in zip(*columns, strict=True):
+            if (bucket, p, q) != key:
+                yield from _joins(rows, percent)
+                key, rows = (bucket, p, q), []
+            rows.append((node, root, shingle_hashes(text)))
+    yield from _joins(rows, percent)
+
+
+def _joins(rows: list[tuple[bytes, bytes, np.ndarray]], percent: int) -> Iterator[pa.RecordBatch]:
+    roots = np.unique(np.array([r for _, r, _ in rows], "S16"), return_inverse=True)[1] if rows else np.zeros(0, np.int64)
+    if len(rows) < 2 or not roots.any():
+        return
+    sizes = np.array([len(h) for _, _, h in rows], np.int64)
+    ids = np.unique(np.concatenate([h for _, _, h in rows]), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    holders = np.repeat(np.arange(len(rows)), sizes)[np.argsort(ids, kind="stable")]  # of each shingle, one after the other
+    at = np.concatenate([[0], np.cumsum(np.bincount(ids))])
+    links = []
+    base = np.argmax(np.bincount(roots))
+    for i in np.flatnonzero(roots != base):  # the largest component's members meet all others from the other side
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        size = at[own + 1] - at[own]
+        stop = np.cumsum(size)
+        shared = np.bincount(holders[np.repeat(at[own] - (stop - size), size) + np.arange(stop[-1])], minlength=len(rows))
+        near = (100 * shared >= percent * (sizes + sizes[i] - shared)) & (roots != roots[i])
+        for j in np.flatnonzero(near):
+            if roots[j] != roots[i]:
+                links.append((rows[i][0], rows[j][0]))
+                roots[roots == roots[j]] = roots[i]
+    if links:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `docs`."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -167,10 +206,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, id_col: str
     nodes = materialise(spark, meta.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     every = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = materialise(spark, every.join(shared, "bucket"))
-    rank = members.groupBy("node").agg(F.sum("members").alias("rank"))
-    members = materialise(spark, members.select("bucket", "node", "n").join(rank, "node"))
-    fits = f"100 * least(n, center.n) >= {percent} * greatest(n, center.n)"
+    met = materialise(spark, every.join(shared, "bucket"))
+    rank = met.groupBy("node").agg(F.sum("members").alias("rank"))
+    members = met.join(rank, "node")
 
     # texts of the nodes that share a bucket, one each
     wanted = nodes.join(rank, "node", "left_semi").select("node", F.col("row.doc_id").alias("i"), F.col("row.text_hash").alias("h"))
@@ -178,41 +216,32 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, id_col: str
     texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["i"]) & (keyed["text_hash"] == wanted["h"])).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
     texts = materialise(spark, texts)
 
-    none = spark.createDataFrame([], "a binary, b binary")
-    tested, links, roots = none, none, None
-    for k in range(STAR_ROUNDS + 1):
-        if roots is not None:
-            held = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_buckets = held.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-            members = materialise(spark, held.join(open_buckets, "bucket", "left_semi").drop("root"))
-            held = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            held = members.withColumn("root", F.col("node"))
-        if k < STAR_ROUNDS:
-            # the best member that has not been a centre; the last column makes the choice total
-            used = tested.select(F.col("a").alias("node")).distinct()
-            center = held.join(used, "node", "left_anti").groupBy("bucket").agg(F.max(F.struct("rank", "node", "n", "root")).alias("center"))
-            pairs = held.join(center, "bucket").where((F.col("root") != F.col("center.root")) & F.expr(fits)).select(F.col("center.node").alias("a"), F.col("node").alias("b"))
-        else:
-            other = held.select("bucket", F.struct("node", "n", "root").alias("center"))
-            pairs = held.join(other, "bucket").where((F.col("node") > F.col("center.node")) & (F.col("root") != F.col("center.root")) & F.expr(fits)).select(F.col("center.node").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.where("a != b").distinct().join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = materialise(spark, pairs)
-        if pairs.isEmpty():
-            if k < STAR_ROUNDS and not members.isEmpty():
-                continue
-            break
-        found = materialise(spark, _confirmed(pairs, texts, percent))
-        tested, links = tested.union(pairs), links.union(found)
-        if not found.isEmpty() or roots is None:
-            roots = components(links)
-    grouped = nodes.select("node", "least_id")
-    if roots is not None:
-        grouped = grouped.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        grouped = grouped.withColumn("root", F.col("node"))
+    # the centre of each bucket against its other members
+    center = members.groupBy("bucket").agg(F.max(F.struct("rank", "node", "n")).alias("center"))
+    held = materialise(spark, members.join(center, "bucket").where("node != center.node").select("bucket", "node", "n", F.col("members").alias("size"), F.col("center.node").alias("a"), F.col("center.n").alias("m")))
+    pairs = held.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("a", F.col("node").alias("b")).distinct()
+    roots = materialise(spark, components(materialise(spark, _confirmed(pairs, texts, percent))))
+
+    # what is left: buckets whose other members are of several components; one bucket of those with equal members
+    rest = held.where("size > 2").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    mark = F.xxhash64("node").cast("decimal(38,0)")
+    open_buckets = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k"), F.sum(mark).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor"), F.sum("n").alias("shingles")).where("x != y")
+    open_buckets = open_buckets.groupBy("k", "sum", "xor").agg(F.min(F.struct("bucket", "shingles")).alias("b")).select("b.bucket", F.ceil(F.col("b.shingles") / F.lit(block_shingles)).cast("int").alias("blocks"))
+    # a large bucket is split into blocks, and every two blocks meet in a group of bounded size
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    split = rest.join(open_buckets, "bucket").select("bucket", "node", "root", "blocks", own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    split = split.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "root").join(texts, "node")
+    groups = split.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
+    across = materialise(spark, groups.select("bucket", "p", "q", "node", "root", "text").mapInArrow(lambda batches: _across(batches, percent), "a binary, b binary"))
+    if not across.isEmpty():
+        name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        merged = across.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        again = materialise(spark, components(merged).withColumnRenamed("node", "old").withColumnRenamed("root", "new"))
+        first = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("old"))
+        roots = first.join(again, "old", "left").select("node", F.coalesce("new", "old").alias("root"))
+    grouped = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component"))
     named = grouped.join(least, "root").select("node", "component")
-    out = meta.drop("bands", "text_hash").join(named, "node", "left")
+    out = meta.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

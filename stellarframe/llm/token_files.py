@@ -1,8 +1,9 @@
 """Token-id output: whole texts become Parquet list columns, dictionary or delta encoded, in document order.
 
-Texts are encoded by the tokenizers library. Since the vocabulary drops white space and no match crosses it, the
-library is asked once for each distinct run of other characters (a bounded cache for each Python worker) and a text's
-ids are the concatenation; runs are cut at ASCII white space only, all else is left to the library.
+Texts are encoded by the tokenizers library. Since the vocabulary drops white space and no match crosses it, a batch is
+cut into runs of other characters, runs of letters and plain punctuation also between the two, and the library is asked
+once for each distinct piece (with a bounded cache in each Python worker); a text's ids are the concatenation. Runs with
+any other character are left to the library whole.
 
 The file: part (its range of documents), doc_id, first (ids before the document in its part), n_tokens, ids. Ids are
 dictionary encoded, the counters delta encoded; row groups and pages are small enough for the page indexes to let a
@@ -15,6 +16,7 @@ as they come; an empty table gives files without rows; extra columns are left ou
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,38 +31,132 @@ CACHE_ENTRIES = 300_000
 CACHED_BYTES = 64
 _LOADED: dict[str, tuple] = {}
 
+#: Classes of bytes: white space, letter, punctuation that the vocabulary's rules cut from letters, the lead byte of
+#: Latin-1 letters, and all others, whose whole run is left to the library (apostrophes, `<` of special tokens, digits).
+_WS, _LETTER, _PUNCT, _LEAD, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _WS
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[]_{|}~"]] = _PUNCT
+_CLASS[0xC3] = _LEAD
+#: One word of the vocabulary's rules, all letters or all punctuation.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!\"#$%&()*+,\-./:;=?@\[\]_{|}~]+").fullmatch
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
-def _encoder(path: str) -> tuple:
-    if path not in _LOADED:
+
+class _Encoder:
+    """A tokenizer with the ids of the pieces that it has met; on overflow the first half, mostly common ones, stays."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path), {}
+        self.tokenizer, self.ids, self.first = Tokenizer.from_file(path), {}, None
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+
+    def _asked(self, pieces: list[bytes]) -> list[bytes]:
+        """What the library says; plain pieces go in lines of 64, which the ids that end a word cut again."""
+        out: list = [None] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if _PLAIN(p)]
+        lines = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+        got = self.tokenizer.encode_batch_fast([b" ".join([pieces[i] for i in line]).decode() for line in lines], add_special_tokens=False)
+        for line, e in zip(lines, got, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(line) and len(ids) == ends[-1]:
+                buf, a = ids.tobytes(), 0
+                for i, z in zip(line, (ends * 4).tolist(), strict=True):
+                    out[i] = buf[a:z]
+                    a = z
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "surrogatepass") for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, as little-endian unsigned 32-bit integers."""
+        if len(self.ids) > CACHE_ENTRIES:
+            self.first = self.first or dict(list(self.ids.items())[: CACHE_ENTRIES // 2])
+            self.ids = dict(self.first)
+        out = list(map(self.ids.get, pieces))
+        new = [i for i, x in enumerate(out) if x is None]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for i, x in zip(part, self._asked([pieces[i] for i in part]), strict=True):
+                out[i] = x
+                if len(pieces[i]) <= CACHED_BYTES:
+                    self.ids[pieces[i]] = x
+        return out
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _LOADED:
+        _LOADED[path] = _Encoder(path)
     return _LOADED[path]
 
 
-def encode_texts(path: str, texts: list[str | None], end_id: int | None = END_ID) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers."""
-    tokenizer, cache = _encoder(path)
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
-    split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    new = list({w for words in split for w in words if w not in cache})
-    seen = cache if len(new) + len(cache) <= 2 * CACHE_ENTRIES else dict(cache)
-    long = {}
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-            (seen if len(w) <= CACHED_BYTES else long)[w] = np.array(e.ids, "<u4").tobytes()
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    if long:
-        return [b"".join([seen[w] if w in seen else long[w] for w in words]) + end for words in split]
-    return [b"".join([seen[w] for w in words]) + end for words in split]
-
-
-def _int32_lists(rows: list[bytes]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes without white space, where their pieces start in them, and those starts in `data`.
+
+    A run of other characters is one piece, but one of letters and punctuation alone is lower-cased and cut between
+    the two. That is where the vocabulary's own rules cut it.
+    """
+    kind = _CLASS[data]
+    solid = kind != _WS
+    runs = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1]]))  # where runs start
+    # Latin-1 letters are two bytes; a multiplication or division sign or a lone lead byte is another thing
+    lead = np.flatnonzero(kind == _LEAD)
+    low = data.copy()
+    if len(lead):
+        ok = lead[(lead + 1 < len(data))]
+        second = data[ok + 1]
+        ok = ok[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+        kind[lead] = _OTHER
+        kind[ok] = _LETTER
+        kind[ok + 1] = _LETTER
+        capital = ok[data[ok + 1] < 0x9F]
+        low[capital + 1] += 0x20
+    number = np.zeros(len(data), np.int32)
+    number[runs] = 1
+    number = np.cumsum(number, dtype=np.int32) - 1
+    odd = np.zeros(len(runs), bool)
+    odd[number[np.flatnonzero(kind == _OTHER)]] = True
+    plain = solid.copy()
+    plain[solid] = ~odd[number[solid]]
+    low = np.where(plain, _LOWER[low], data)
+    begins = np.zeros(len(data), bool)
+    begins[runs] = True
+    begins[1:] |= plain[1:] & plain[:-1] & (kind[1:] != kind[:-1])
+    starts = np.flatnonzero(begins)
+    place = np.cumsum(solid, dtype=np.int32) - 1
+    return low[solid], place[starts], starts
+
+
+def encode_batch(path: str, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """(how many ids each text has, all ids in order)."""
+    rows = texts.to_pylist()
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows]
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)  # white space between texts
+    low, place, starts = cut(data)
+    ends = np.append(place[1:], len(low)) if len(place) else place
+    offsets = np.append(place, ends[-1:] if len(ends) else [0]).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+    ids = _encoder(path).encoded(pieces.dictionary.to_pylist())
+    flat = np.frombuffer(b"".join(ids), "<i4")
+    size = np.array([len(x) >> 2 for x in ids], np.int64)
+    first = np.cumsum(size) - size
+    which = np.asarray(pieces.indices)
+    count = size[which] if len(which) else np.zeros(0, np.int64)
+    # pieces of each text; its end id comes after the last
+    limits = np.cumsum([len(r) + 1 for r in raw])
+    upto = np.searchsorted(starts, limits)
+    total = np.concatenate([[0], np.cumsum(count)])[upto]
+    n = np.diff(total, prepend=0)
+    gather = np.repeat(first[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum())) if len(which) else np.zeros(0, np.int64)
+    out = flat[gather] if len(gather) else np.zeros(0, np.int32)
+    return (n, out) if end_id is None else (n + 1, np.insert(out, total, end_id).astype(np.int32))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, keep: tuple[str, ...] = (), row_group_bytes: int = 8 << 20, page_bytes: int = 64 << 10) -> None:
@@ -74,11 +170,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = 0
         for b in batches:
-            rows = encode_texts(tokenizer_path, b.column("text").to_pylist(), end_id)
-            sizes = np.array([len(r) // 4 for r in rows], np.int64)
+            sizes, ids = encode_batch(tokenizer_path, b.column("text"), end_id)
             starts = first + np.cumsum(sizes) - sizes
             first += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), *[b.column(c) for c in keep], pa.array(starts), pa.array(sizes), _int32_lists(rows)], names=["part", "doc_id", *keep, "first", "n_tokens", "ids"])
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), *[b.column(c) for c in keep], pa.array(starts), pa.array(sizes), lists], names=["part", "doc_id", *keep, "first", "n_tokens", "ids"])
 
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "compression": "zstd"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "first", "n_tokens")}
     ranged.mapInArrow(run, schema).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
@@ -89,7 +186,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return files.join(before, "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
+    # as many rows as files, which is at most the number of partitions that were set for the writer
+    return files.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
 
 
 def id_digests(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,10 @@ from ..functions import expr as X
 
 METRIC = "name string, labels map<string,string>, value double"
 R = X.round_half_up
-N = F.count(F.lit(1))
+
+
+def count() -> Column:
+    return F.count(F.lit(1))
 
 
 def _labels(**labels: str | Column) -> Column:
@@ -36,7 +39,7 @@ def metrics(t: dict[str, DataFrame]) -> DataFrame:
         parts.append(_gauges(h, objects_tracked="o", orbital_snapshots="s"))
     for name, table in (("magnetic_history_rows", "noaa_magnetic_history"), ("plasma_history_rows", "noaa_plasma_history")):
         if table in t:
-            parts.append(_gauges(t[table].agg(N.alias("n")), **{name: "n"}))
+            parts.append(_gauges(t[table].agg(count().alias("n")), **{name: "n"}))
     if "propagation_disagreement" in t:
         ok = F.col("measurement_quality") == "ok"
         km, span = F.when(ok, F.col("total_km")), F.when(ok, F.col("propagation_span_hours"))
@@ -58,14 +61,14 @@ def metrics(t: dict[str, DataFrame]) -> DataFrame:
     if "sw_index_daily" in t:
         d = t["sw_index_daily"]
         last = lambda c, n: z(R(F.max_by(c, "observation_date"), n))
-        row = d.agg(N.alias("n"), z(R(F.max("kp_sum"), 2)).alias("k"), z(R(F.max("ap_avg"), 1)).alias("a"), z(R(F.max("f10_7_observed"), 1)).alias("f"), last("kp_sum", 2).alias("lk"), last("ap_avg", 1).alias("la"), last("f10_7_observed", 1).alias("lf"))
+        row = d.agg(count().alias("n"), z(R(F.max("kp_sum"), 2)).alias("k"), z(R(F.max("ap_avg"), 1)).alias("a"), z(R(F.max("f10_7_observed"), 1)).alias("f"), last("kp_sum", 2).alias("lk"), last("ap_avg", 1).alias("la"), last("f10_7_observed", 1).alias("lf"))
         parts.append(_gauges(row, sw_index_days="n", sw_max_kp_sum_5y="k", sw_max_ap_5y="a", sw_max_f10_7_5y="f", sw_latest_kp_sum="lk", sw_latest_ap_avg="la", sw_latest_f10_7="lf"))
     if "debris_population" in t:
-        row = t["debris_population"].agg(N.alias("n"), z(R(F.median("mean_altitude_km"), 1)).alias("a"), z(R(F.median("bstar_drag_term"), 8)).alias("b"), z(X.percent(X.count_if(F.col("element_age_hours") > X.STALE_HOURS), N)).alias("s"))
+        row = t["debris_population"].agg(count().alias("n"), z(R(F.median("mean_altitude_km"), 1)).alias("a"), z(R(F.median("bstar_drag_term"), 8)).alias("b"), z(X.percent(X.count_if(F.col("element_age_hours") > X.STALE_HOURS), count())).alias("s"))
         parts.append(_gauges(row, debris_objects="n", debris_median_altitude_km="a", debris_median_bstar="b", debris_stale_percent="s"))
     if "satnogs_activity" in t:
         total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-        row = t["satnogs_activity"].agg(N.alias("days"), *map(total, ("observation_count", "good_count", "completed_count", "scheduled_count")))
+        row = t["satnogs_activity"].agg(count().alias("days"), *map(total, ("observation_count", "good_count", "completed_count", "scheduled_count")))
         parts.append(_gauges(row, satnogs_days="days", satnogs_observations="observation_count", satnogs_good_observations="good_count", satnogs_completed_observations="completed_count", satnogs_scheduled_observations="scheduled_count"))
         rate = row.where("completed_count > 0").select(R(F.lit(100.0) * F.col("good_count") / F.col("completed_count"), 1).alias("p"))
         parts.append(_gauges(rate, satnogs_good_percent_of_completed="p"))
@@ -74,7 +77,7 @@ def metrics(t: dict[str, DataFrame]) -> DataFrame:
         parts.append(_gauges(row, satnogs_distinct_satellites="o", satnogs_distinct_stations="s"))
     if "quality" in t:
         s = F.col("status")
-        parts.append(_gauges(t["quality"].agg(N.alias("n"), X.count_if(s == "fail").alias("f"), X.count_if(s == "warn").alias("w")), quality_checks_total="n", quality_failures="f", quality_warnings="w"))
+        parts.append(_gauges(t["quality"].agg(count().alias("n"), X.count_if(s == "fail").alias("f"), X.count_if(s == "warn").alias("w")), quality_checks_total="n", quality_failures="f", quality_warnings="w"))
     if not parts:
         raise ValueError("no table to serve")
     out = _gauges(parts[0].sparkSession.range(1).select(F.lit(1.0).alias("one")), database_reachable="one")
@@ -99,13 +102,13 @@ def health(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, rows); absent tables are not in `tables` and count 0 for the caller."""
     out = None
     for name, df in tables.items():
-        row = df.agg(F.lit(name).alias("table"), N.alias("rows")).select("table", "rows")
+        row = df.agg(F.lit(name).alias("table"), count().alias("rows")).select("table", "rows")
         out = row if out is None else out.unionByName(row)
     return out
 
 
 def space_weather(hourly: DataFrame) -> DataFrame:
-    return hourly.groupBy("disturbance_level").agg(N.alias("hours"), F.min("minimum_bz_gsm").alias("minimum_bz_gsm"), F.max("average_proton_speed").alias("maximum_proton_speed"), F.max("hour_utc").alias("last_hour_utc"))
+    return hourly.groupBy("disturbance_level").agg(count().alias("hours"), F.min("minimum_bz_gsm").alias("minimum_bz_gsm"), F.max("average_proton_speed").alias("maximum_proton_speed"), F.max("hour_utc").alias("last_hour_utc"))
 
 
 def population(freshness_by_group: DataFrame, orbital: DataFrame) -> DataFrame:
@@ -135,36 +138,36 @@ def disagreement(measured: DataFrame) -> DataFrame:
 
 
 def index_summary(daily: DataFrame) -> DataFrame:
-    return daily.agg(N.alias("days"), F.min("observation_date").alias("first_day"), F.max("observation_date").alias("last_day"), R(F.min("kp_sum"), 2).alias("minimum_kp_sum"), R(F.max("kp_sum"), 2).alias("maximum_kp_sum"), R(F.max("ap_avg"), 1).alias("maximum_ap"), R(F.max("f10_7_observed"), 1).alias("maximum_f10_7"))
+    return daily.agg(count().alias("days"), F.min("observation_date").alias("first_day"), F.max("observation_date").alias("last_day"), R(F.min("kp_sum"), 2).alias("minimum_kp_sum"), R(F.max("kp_sum"), 2).alias("maximum_kp_sum"), R(F.max("ap_avg"), 1).alias("maximum_ap"), R(F.max("f10_7_observed"), 1).alias("maximum_f10_7"))
 
 
 def activity_summary(activity: DataFrame, observations: DataFrame) -> DataFrame:
     """Sums over days, and beside the sums of daily distinct counts the true ones."""
-    days = activity.agg(N.alias("days"), F.sum("observation_count").alias("observations"), F.sum("good_count").alias("good"), F.sum("completed_count").alias("completed"), F.sum("scheduled_count").alias("scheduled"), F.sum("distinct_satellites").alias("satellite_days"), F.sum("distinct_stations").alias("station_days"))
+    days = activity.agg(count().alias("days"), F.sum("observation_count").alias("observations"), F.sum("good_count").alias("good"), F.sum("completed_count").alias("completed"), F.sum("scheduled_count").alias("scheduled"), F.sum("distinct_satellites").alias("satellite_days"), F.sum("distinct_stations").alias("station_days"))
     true = observations.agg(F.countDistinct("norad_catalog_id").alias("distinct_satellites"), F.countDistinct("station_id").alias("distinct_stations"))
     return days.crossJoin(F.broadcast(true)).withColumn("good_percent_of_completed", X.percent(F.col("good"), F.col("completed")))  # one row each
 
 
 def debris_summary(debris: DataFrame) -> DataFrame:
-    return debris.agg(N.alias("objects"), R(F.median("mean_altitude_km"), 1).alias("median_altitude_km"), R(F.median("element_age_hours"), 1).alias("median_age_hours"), R(F.median("bstar_drag_term"), 8).alias("median_bstar"))
+    return debris.agg(count().alias("objects"), R(F.median("mean_altitude_km"), 1).alias("median_altitude_km"), R(F.median("element_age_hours"), 1).alias("median_age_hours"), R(F.median("bstar_drag_term"), 8).alias("median_bstar"))
 
 
 def change_refresh(change: DataFrame) -> DataFrame:
     same = F.col("same_element_set")
-    return change.agg(N.alias("compared"), X.count_if(same).alias("same_set"), X.count_if(~same).alias("refreshed"), X.percent(X.count_if(~same), N).alias("refreshed_percent"))
+    return change.agg(count().alias("compared"), X.count_if(same).alias("same_set"), X.count_if(~same).alias("refreshed"), X.percent(X.count_if(~same), count()).alias("refreshed_percent"))
 
 
 def latest_by_group(orbital: DataFrame) -> DataFrame:
     """Objects in each group's newest snapshot, by the group's own maximum."""
     w = Window.partitionBy("source_group")
     newest = orbital.select("source_group", "norad_catalog_id", "snapshot_at_utc", F.max("snapshot_at_utc").over(w).alias("last"))
-    return newest.where("snapshot_at_utc = last").groupBy("source_group").agg(N.alias("object_count"), F.countDistinct("norad_catalog_id").alias("unique_objects"))
+    return newest.where("snapshot_at_utc = last").groupBy("source_group").agg(count().alias("object_count"), F.countDistinct("norad_catalog_id").alias("unique_objects"))
 
 
 def lakehouse(silver: DataFrame) -> DataFrame:
     """Counts, distinct objects and median altitude by group, from current files in an object store."""
     typed = silver.select("source_group", X.number("norad_catalog_id", "long").alias("id"), X.altitude(X.number("mean_motion_revolutions_per_day")).alias("km"))
-    return typed.groupBy("source_group").agg(N.alias("rows"), F.countDistinct("id").alias("objects"), R(F.median("km"), 1).alias("median_altitude_km"))
+    return typed.groupBy("source_group").agg(count().alias("rows"), F.countDistinct("id").alias("objects"), R(F.median("km"), 1).alias("median_altitude_km"))
 
 
 def chart_extracts(t: dict[str, DataFrame]) -> dict[str, DataFrame]:

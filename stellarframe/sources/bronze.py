@@ -97,7 +97,7 @@ def read_raw(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
     names = [f"`{c}`" for c in schema.fieldNames()]
     if kind in ("celestrak", "spaceweather"):
         # columns go by name: files of equal headers are read together, however many there are
-        first = F.split(F.decode("content", F.lit("UTF-8")), "\r?\n")[0]
+        first = F.split(F.decode("content", "UTF-8"), "\r?\n")[0]
         headers = spark.read.format("binaryFile").load(paths).groupBy(first.alias("h")).agg(F.collect_list("path").alias("paths"))
         rows = None
         for h in headers.collect():  # one row for each way to order the columns; paths only

@@ -6,20 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """`df` with the 1-based rank of `column` among all rows, ties sharing their mean; null has no rank.
+def average_ranks(df: DataFrame, column: str, name: str, by: str | None = None) -> DataFrame:
+    """`df` with the 1-based rank of `column` among all rows (of equal `by`), ties sharing their mean; null has no rank.
 
     Values are counted, dealt by range and summed up within and before their ranges, so that a global order needs no
     single partition; the one row for each range is all that a window without partitions sees.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id())
-    totals = ranged.groupBy("_p").agg(F.sum("_n").alias("_t"), F.min("_v").alias("_first"))
+    group = F.lit(0) if by is None else F.col(by)
+    counts = df.where(F.col(column).isNotNull()).groupBy(group.alias("_g"), F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = counts.repartitionByRange(parts, "_g", "_v").withColumn("_p", F.spark_partition_id())
+    totals = ranged.groupBy("_p").agg(F.sum("_n").alias("_t"), F.min(F.struct("_g", "_v")).alias("_first"))
     before = totals.select("_p", (F.sum("_t").over(Window.orderBy("_first")) - F.col("_t")).alias("_before"))
-    upto = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
-    ranks = ranged.join(F.broadcast(before), "_p").select("_v", (F.col("_before") + upto - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
-    return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
+    upto = F.sum("_n").over(Window.partitionBy("_p").orderBy("_g", "_v"))
+    # as many rows as ranges, which is at most the number of partitions that is set
+    summed = ranged.withColumn("_upto", upto).join(F.broadcast(before), "_p").select("_g", "_v", "_n", (F.col("_before") + F.col("_upto")).alias("_upto"))
+    if by is not None:
+        start = summed.groupBy("_g").agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"))
+        summed = summed.join(start, "_g").withColumn("_upto", F.col("_upto") - F.col("_start"))
+    ranks = summed.select("_g", "_v", (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
+    same = (df[column] == ranks["_v"]) if by is None else (df[by] == ranks["_g"]) & (df[column] == ranks["_v"])
+    return df.join(ranks, same, "left").drop("_g", "_v")
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:
@@ -39,6 +46,14 @@ def spearman(df: DataFrame, x: str, y: str, name: str = "rho") -> DataFrame:
     return ranked.agg(pearson("_rx", "_ry").alias(name))
 
 
+def spearman_many(df: DataFrame, series: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """(metric, rho) of several series (x, y, condition), all ranked in one pass; a series without rows has none."""
+    each = F.array(*[F.when(F.expr(f"({where}) AND {x} IS NOT NULL AND {y} IS NOT NULL"), F.struct(F.lit(m).alias("metric"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))) for m, (x, y, where) in series.items()])
+    rows = df.select(F.explode(each).alias("s")).where("s IS NOT NULL").select("s.*")
+    ranked = average_ranks(average_ranks(rows, "_x", "_rx", "metric"), "_y", "_ry", "metric")
+    return ranked.groupBy("metric").agg(pearson("_rx", "_ry").alias("rho"))
+
+
 def nearest_p90(column: str) -> Column:
     """The value at index min(n - 1, floor(0.9 n)) of the sorted values; an aggregate for groups of bounded size."""
     ordered = F.array_sort(F.collect_list(column))

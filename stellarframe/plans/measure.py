@@ -81,24 +81,15 @@ def validation_bins(pairs: DataFrame) -> DataFrame:
 
 
 def validation_stats(pairs: DataFrame, disagreement: DataFrame) -> DataFrame:
-    """(metric, value): counts and rank correlations, those of drag-like pairs only if there are three."""
-    def one(metric: str, row: DataFrame) -> DataFrame:
-        return row.toDF("value").select(F.lit(metric).alias("metric"), F.col("value").cast("double").alias("value"))
-
-    def rho(metric: str, rows: DataFrame, x: str, y: str = "total_km") -> DataFrame:
-        return one(metric, stats.spearman(rows, x, y).select(X.round_half_up("rho", 4)))
-
-    count = F.count(F.lit(1))
-    drag = pairs.where("is_along_track_dominant")
-    general = [
-        one("pairs", pairs.agg(count)), one("excluded_pairs_outside_envelope", disagreement.where("measurement_quality <> 'ok'").agg(count)),
-        rho("spearman_score_vs_total_km", pairs, "base_score"), rho("spearman_score_vs_km_per_hour", pairs, "base_score", "km_per_hour"), rho("spearman_age_vs_total_km", pairs, "element_age_hours_at_prediction"),
-    ]
-    special = [one("drag_like_pairs", drag.agg(count)), rho("spearman_score_vs_total_km_drag_like", drag, "base_score"), rho("spearman_altitude_vs_total_km_drag_like", drag, "mean_altitude_km_at_prediction")]
-    out, more = general[0], special[0]
-    for df in general[1:]:
-        out = out.unionByName(df)
-    for df in special[1:]:
-        more = more.unionByName(df)
-    enough = drag.agg((count >= 3).alias("_enough"))  # one row
-    return out.unionByName(more.crossJoin(F.broadcast(enough)).where("_enough").drop("_enough"))
+    """(metric, value): counts and rank correlations, 0 without rows; those of drag-like pairs only if there are three."""
+    km, drag = "total_km", "is_along_track_dominant"
+    series = {
+        "spearman_score_vs_total_km": ("base_score", km, "true"), "spearman_score_vs_km_per_hour": ("base_score", "km_per_hour", "true"), "spearman_age_vs_total_km": ("element_age_hours_at_prediction", km, "true"),
+        "spearman_score_vs_total_km_drag_like": ("base_score", km, drag), "spearman_altitude_vs_total_km_drag_like": ("mean_altitude_km_at_prediction", km, drag),
+    }
+    counts = pairs.agg(F.count(F.lit(1)).alias("pairs"), X.count_if(F.col(drag)).alias("drag_like_pairs")).crossJoin(F.broadcast(disagreement.agg(X.count_if(F.col("measurement_quality") != "ok").alias("excluded"))))  # one row each
+    names = [("pairs", "pairs"), ("excluded_pairs_outside_envelope", "excluded"), ("drag_like_pairs", "drag_like_pairs"), *[(m, None) for m in series]]
+    listed = counts.select("drag_like_pairs", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(c) if c else F.lit(None)).cast("double").alias("n")) for m, c in names])))
+    wanted = listed.where("drag_like_pairs >= 3 OR NOT contains(metric, 'drag_like')")
+    rho = stats.spearman_many(pairs, series).select("metric", X.round_half_up("rho", 4).alias("rho"))
+    return wanted.join(rho, "metric", "left").select("metric", F.coalesce("n", "rho", F.lit(0.0)).alias("value"))

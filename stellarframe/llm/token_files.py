@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 END_ID = 1
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 CACHED_BYTES = 64
 _LOADED: dict[str, tuple] = {}
 
@@ -104,34 +104,38 @@ def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     the two. That is where the vocabulary's own rules cut it.
     """
     kind = _CLASS[data]
-    solid = kind != _WS
-    runs = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1]]))  # where runs start
+    low = _LOWER[data]
     # Latin-1 letters are two bytes; a multiplication or division sign or a lone lead byte is another thing
     lead = np.flatnonzero(kind == _LEAD)
-    low = data.copy()
     if len(lead):
-        ok = lead[(lead + 1 < len(data))]
-        second = data[ok + 1]
-        ok = ok[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
         kind[lead] = _OTHER
-        kind[ok] = _LETTER
-        kind[ok + 1] = _LETTER
-        capital = ok[data[ok + 1] < 0x9F]
-        low[capital + 1] += 0x20
-    number = np.zeros(len(data), np.int32)
-    number[runs] = 1
-    number = np.cumsum(number, dtype=np.int32) - 1
-    odd = np.zeros(len(runs), bool)
-    odd[number[np.flatnonzero(kind == _OTHER)]] = True
-    plain = solid.copy()
-    plain[solid] = ~odd[number[solid]]
-    low = np.where(plain, _LOWER[low], data)
-    begins = np.zeros(len(data), bool)
-    begins[runs] = True
-    begins[1:] |= plain[1:] & plain[:-1] & (kind[1:] != kind[:-1])
+        lead = lead[lead + 1 < len(data)]
+        second = data[lead + 1]
+        good = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+        lead, second = lead[good], second[good]
+        kind[lead] = kind[lead + 1] = _LETTER
+        low[lead[second < 0x9F] + 1] += 0x20
+    solid = kind != _WS
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    cuts = kind[1:] != kind[:-1]
+    cuts &= solid[1:]
+    cuts &= solid[:-1]
+    other = np.flatnonzero(kind == _OTHER)
+    if len(other):  # runs with any other character stay whole, and as they are
+        runs = np.flatnonzero(begins)
+        ends = np.append(np.flatnonzero(solid[:-1] & ~solid[1:]) + 1, len(data))
+        odd = np.unique(np.searchsorted(runs, other, "right") - 1)
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[runs[odd]] = 1
+        edge[ends[odd]] = -1
+        within = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+        np.copyto(low, data, where=within)
+        cuts &= ~within[1:]
+    begins[1:] |= cuts
     starts = np.flatnonzero(begins)
-    place = np.cumsum(solid, dtype=np.int32) - 1
-    return low[solid], place[starts], starts
+    place = np.cumsum(solid, dtype=np.int32)[starts] - 1
+    return low[solid], place, starts
 
 
 def encode_batch(path: str, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -145,18 +149,30 @@ def encode_batch(path: str, texts: pa.Array, end_id: int | None = END_ID) -> tup
     pieces = pa.Array.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
     ids = _encoder(path).encoded(pieces.dictionary.to_pylist())
     flat = np.frombuffer(b"".join(ids), "<i4")
-    size = np.array([len(x) >> 2 for x in ids], np.int64)
-    first = np.cumsum(size) - size
+    size = np.array([len(x) >> 2 for x in ids], np.int32)
+    first = np.cumsum(size, dtype=np.int32) - size
     which = np.asarray(pieces.indices)
-    count = size[which] if len(which) else np.zeros(0, np.int64)
+    count = size[which] if len(which) else np.zeros(0, np.int32)
     # pieces of each text; its end id comes after the last
     limits = np.cumsum([len(r) + 1 for r in raw])
     upto = np.searchsorted(starts, limits)
     total = np.concatenate([[0], np.cumsum(count)])[upto]
     n = np.diff(total, prepend=0)
-    gather = np.repeat(first[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum())) if len(which) else np.zeros(0, np.int64)
-    out = flat[gather] if len(gather) else np.zeros(0, np.int32)
-    return (n, out) if end_id is None else (n + 1, np.insert(out, total, end_id).astype(np.int32))
+    out = np.zeros(0, np.int32)
+    if len(which):
+        upto32 = np.cumsum(count, dtype=np.int32)
+        gather = np.repeat(first[which] - (upto32 - count), count)
+        gather += np.arange(len(gather), dtype=np.int32)
+        out = flat[gather]
+    if end_id is None:
+        return n, out
+    ended = np.empty(len(out) + len(n), np.int32)
+    ends = total + np.arange(len(n))
+    keep = np.ones(len(ended), bool)
+    keep[ends] = False
+    ended[keep] = out
+    ended[ends] = end_id
+    return n + 1, ended
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, keep: tuple[str, ...] = (), row_group_bytes: int = 8 << 20, page_bytes: int = 64 << 10) -> None:

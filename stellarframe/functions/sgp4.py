@@ -1,8 +1,7 @@
-"""SGP4 near-Earth propagation and orbit-frame differences, vectorised with numpy.
+"""SGP4 propagation and orbit-frame differences, vectorised with numpy.
 
 Written from the published model (Spacetrack Report No. 3; Vallado, Crawford, Hujsak, Kelso 2006) with the WGS-72
-constants. Orbits of 225 minutes and more need the deep-space terms, which are not here; they get the error code
-`DEEP_SPACE` and no state, so that nobody reads a wrong number.
+constants. Orbits of 225 minutes and more get the deep-space terms, which depend on the epoch itself.
 """
 
 from __future__ import annotations
@@ -12,26 +11,29 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import deep_space
+
 #: WGS-72 and zonal harmonics, fixed values of the model.
 MU, RADIUS = 398600.8, 6378.135
 J2, J3, J4 = 0.001082616, -0.00000253881, -0.00000165597
 KE = 60.0 / np.sqrt(RADIUS**3 / MU)
-OK, BAD_ELEMENT, BAD_ECCENTRICITY, BAD_MEAN_MOTION, BAD_SEMI_LATUS, DECAYED, DEEP_SPACE = 0, -1, 1, 2, 4, 6, 7
+OK, BAD_ELEMENT, BAD_ECCENTRICITY, BAD_MEAN_MOTION, BAD_PERTURBED, BAD_SEMI_LATUS, DECAYED = 0, -1, 1, 2, 3, 4, 6
 FIELDS = ("epoch", "inclination", "eccentricity", "mean_motion", "bstar", "raan", "arg_perigee", "mean_anomaly")
 
 
-def propagate(inclination, eccentricity, mean_motion, bstar, raan, arg_perigee, mean_anomaly, minutes):
+def propagate(inclination, eccentricity, mean_motion, bstar, raan, arg_perigee, mean_anomaly, minutes, epoch_days):
     """Position (km), velocity (km/s) and error code after `minutes` from the epoch.
 
-    Angles in degrees, mean motion in revolutions a day; all arguments are arrays of one length. Rows in error have nan.
+    Angles in degrees, mean motion in revolutions a day, the epoch in days since 1949-12-31; all arguments are arrays of
+    one length. Rows in error have nan.
     """
-    arrays = [np.asarray(x, float) for x in (inclination, eccentricity, mean_motion, raan, arg_perigee, mean_anomaly, minutes)]
-    incl, e0, revs, node0, arg0, m0, t = arrays
+    arrays = [np.asarray(x, float) for x in (inclination, eccentricity, mean_motion, raan, arg_perigee, mean_anomaly, minutes, epoch_days)]
+    incl, e0, revs, node0, arg0, m0, t, days = arrays
     bstar = np.nan_to_num(np.asarray(bstar, float))
     error = np.zeros(len(t), int)
     bad = ~np.isfinite(np.sum(arrays, axis=0)) | ~(revs > 0) | ~((e0 >= 0) & (e0 < 1)) | ~((incl >= 0) & (incl <= 180))
     error[bad] = BAD_ELEMENT
-    incl, e0, revs, node0, arg0, m0, t = (np.where(bad, safe, x) for x, safe in ((incl, 50.0), (e0, 0.001), (revs, 15.0), (node0, 0.0), (arg0, 0.0), (m0, 0.0), (t, 0.0)))
+    incl, e0, revs, node0, arg0, m0, t, days = (np.where(bad, safe, x) for x, safe in ((incl, 50.0), (e0, 0.001), (revs, 15.0), (node0, 0.0), (arg0, 0.0), (m0, 0.0), (t, 0.0), (days, 0.0)))
     i0, node0, arg0, m0 = (np.radians(x) for x in (incl, node0, arg0, m0))
     with np.errstate(all="ignore"):
         # mean motion and semi-major axis without the secular effect of J2
@@ -46,7 +48,7 @@ def propagate(inclination, eccentricity, mean_motion, bstar, raan, arg_perigee,
         a0 = a1 * (1 - d1 / 3 - d1**2 - 134 / 81 * d1**3)
         n0 = n_kozai / (1 + d / a0**2)
         a = (KE / n0) ** (2 / 3)
-        error[(error == OK) & (2 * np.pi / n0 >= 225)] = DEEP_SPACE
+        deep = 2 * np.pi / n0 >= 225
         perigee = (a * (1 - e0) - 1) * RADIUS
         # atmosphere parameters
         s = np.where(perigee < 98, 20.0, np.where(perigee < 156, perigee - 78, 78.0))
@@ -73,7 +75,7 @@ def propagate(inclination, eccentricity, mean_motion, bstar, raan, arg_perigee,
         node_j2 = -k1 * cos_i
         node_dot = node_j2 + (0.5 * k2 * (4 - 19 * theta2) + 2 * k3 * (3 - 7 * theta2)) * cos_i
         node_drag = 3.5 * beta2 * node_j2 * c1
-        simple = perigee < 220
+        simple = (perigee < 220) | deep
         arg_drag = bstar * c3 * np.cos(arg0)
         m_drag = np.where(e0 > 1e-4, -2 / 3 * coef * bstar / np.where(e_eta == 0, 1, e_eta), 0.0)
         delta_m0 = (1 + eta * np.cos(m0)) ** 3
@@ -92,15 +94,34 @@ def propagate(inclination, eccentricity, mean_motion, bstar, raan, arg_perigee,
         drop_e = bstar * c4 * t + full * bstar * c5 * (np.sin(m) - np.sin(m0))
         length = 1.5 * c1 * t2 + full * ((d2 + 2 * c1**2) * t3 + 0.25 * (3 * d3 + c1 * (12 * d2 + 10 * c1**2)) * t4 + 0.2 * (3 * d4 + 12 * c1 * d3 + 6 * d2**2 + 15 * c1**2 * (2 * d2 + c1**2)) * t4 * t)
         error[(error == OK) & ~(n0 > 0)] = BAD_MEAN_MOTION
-        am = (KE / n0) ** (2 / 3) * shrink**2
+        # deep space: secular lunar and solar rates, and resonance
+        n, e, ik = n0.copy(), e0.copy(), i0.copy()
+        d = np.flatnonzero(deep)
+        if len(d):
+            o = deep_space.Row(e=e0[d], n=n0[d], i=i0[d], sin_i=sin_i[d], cos_i=cos_i[d], sin_w=np.sin(arg0[d]), cos_w=np.cos(arg0[d]), sin_h=np.sin(node0[d]), cos_h=np.cos(node0[d]))
+            sun, moon = deep_space.bodies(o, days[d])
+            rate = deep_space.secular(sun, moon, o)
+            e[d], ik[d], m[d], arg[d], node[d] = (x[d] + r * t[d] for x, r in ((e, rate.e), (ik, rate.i), (m, rate.m), (arg, rate.arg), (node, rate.node)))
+            res = deep_space.resonant(o, rate, m_dot[d], arg_dot[d], node_dot[d], arg0[d], node0[d], m0[d], deep_space.sidereal(days[d]), t[d], KE)
+            n[d] = np.where(res.kind > 0, res.n, n[d])
+            m[d] = np.where(res.kind == 1, res.length - node[d] - arg[d] + res.theta, np.where(res.kind == 2, res.length - 2 * node[d] + 2 * res.theta, m[d]))
+        am = (KE / n) ** (2 / 3) * shrink**2
         n = KE / am**1.5
-        e = e0 - drop_e
+        e = e - drop_e
         error[(error == OK) & ((e >= 1) | (e < -0.001) | (am < 0.95))] = BAD_ECCENTRICITY
         e = np.maximum(e, 1e-6)
         m = m + n0 * length
         u = m + arg + node
         node, arg, u = np.fmod(node, 2 * np.pi), np.fmod(arg, 2 * np.pi), np.fmod(u, 2 * np.pi)
         m = np.fmod(u - arg - node, 2 * np.pi)
+        if len(d):
+            e[d], ik[d], node[d], arg[d], m[d] = deep_space.periodic(sun, moon, o.e, t[d], e[d], ik[d], node[d], arg[d], m[d])
+            under = ik < 0
+            ik, node, arg = np.where(under, -ik, ik), np.where(under, node + np.pi, node), np.where(under, arg - np.pi, arg)
+            error[(error == OK) & deep & ((e < 0) | (e > 1))] = BAD_PERTURBED
+            sin_i, cos_i = np.sin(ik), np.cos(ik)
+            theta2 = cos_i**2
+            x1mth2, x3thm1, x7thm1 = 1 - theta2, 3 * theta2 - 1, 7 * theta2 - 1
         # long-period terms
         ax = e * np.cos(arg)
         inv = 1 / (am * (1 - e**2))
@@ -130,7 +151,7 @@ def propagate(inclination, eccentricity, mean_motion, bstar, raan, arg_perigee,
         rk = r * (1 - 1.5 * j_p * beta_l * x3thm1) + 0.5 * j * x1mth2 * cos2u
         su = su - 0.25 * j_p * x7thm1 * sin2u
         node = node + 1.5 * j_p * cos_i * sin2u
-        ik = i0 + 1.5 * j_p * cos_i * sin_i * cos2u
+        ik = ik + 1.5 * j_p * cos_i * sin_i * cos2u
         r_dot = r_dot - n * j * x1mth2 * sin2u / KE
         rv_dot = rv_dot + n * j * (x1mth2 * cos2u + 1.5 * x3thm1) / KE
         sin_su, cos_su, sin_n, cos_n, sin_k, cos_k = np.sin(su), np.cos(su), np.sin(node), np.cos(node), np.sin(ik), np.cos(ik)
@@ -159,7 +180,8 @@ SCHEMA = T.StructType([*[T.StructField(c, T.DoubleType()) for c in ("span_hours"
 
 def _disagreement(earlier: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
     minutes = (pd.to_datetime(later["epoch"]) - pd.to_datetime(earlier["epoch"])).dt.total_seconds().to_numpy() / 60.0
-    args = lambda d, t: propagate(*(d[f].to_numpy(float, na_value=np.nan) for f in FIELDS[1:]), t)
+    days = lambda d: (pd.to_datetime(d["epoch"]) - pd.Timestamp("1949-12-31", tz=pd.to_datetime(d["epoch"]).dt.tz)).dt.total_seconds().to_numpy() / 86400.0
+    args = lambda d, t: propagate(*(d[f].to_numpy(float, na_value=np.nan) for f in FIELDS[1:]), t, days(d))
     predicted, _, error_a = args(earlier, minutes)
     reference, velocity, error_b = args(later, np.zeros(len(later)))
     with np.errstate(all="ignore"):

@@ -1,5 +1,7 @@
 """Propagation, pairs, labels, statistics and the backtest."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +14,14 @@ from .helpers import at, orbit, rows, seen
 ISS = dict(inclination=51.64, eccentricity=0.0004, mean_motion=15.5, bstar=1e-4, raan=120.0, arg_perigee=90.0, mean_anomaly=45.0)
 
 
-def state(minutes=0.0, **more):
+def days(year, day):
+    """Days since 1949-12-31 of a day of a year, counted from 1."""
+    return (datetime(year, 1, 1) - datetime(1949, 12, 31)).days + day - 1
+
+
+def state(minutes=0.0, epoch=27_000.0, **more):
     args = ISS | more
-    return sgp4.propagate(*[np.array([args[k]], float) for k in ("inclination", "eccentricity", "mean_motion", "bstar", "raan", "arg_perigee", "mean_anomaly")], np.array([minutes]))
+    return sgp4.propagate(*[np.array([args[k]], float) for k in ("inclination", "eccentricity", "mean_motion", "bstar", "raan", "arg_perigee", "mean_anomaly")], np.array([minutes]), np.array([epoch]))
 
 
 def test_low_orbit_has_its_radius_speed_and_period():
@@ -41,9 +48,29 @@ def test_bad_elements_are_refused(bad):
     assert e[0] == sgp4.BAD_ELEMENT and np.isnan(p).all()
 
 
-def test_null_drag_counts_as_none_and_deep_space_is_refused():
+def test_null_drag_counts_as_none():
     assert state(bstar=np.nan)[2][0] == 0
-    assert state(mean_motion=2.0)[2][0] == sgp4.DEEP_SPACE
+
+
+def test_published_deep_space_vector():
+    """Satellite 11801 of the same set, a long ellipse, at its epoch and after 360 minutes."""
+    given = dict(inclination=46.7916, eccentricity=0.7318036, mean_motion=2.28537848, bstar=0.14311e-1, raan=230.4354, arg_perigee=47.4722, mean_anomaly=10.4117, epoch=days(1980, 230.29629788))
+    p, v, e = state(0.0, **given)
+    assert e[0] == 0 and np.allclose(p[0], [7473.37102491, 428.94748312, 5828.74846783], atol=1e-2) and np.allclose(v[0], [5.107155391, 6.444680305, -0.186133297], atol=1e-5)
+    p, _, _ = state(360.0, **given)
+    assert np.allclose(p[0], [-3305.22, 32410.86, -24697.18], atol=0.1)
+
+
+@pytest.mark.parametrize("orbit", [dict(mean_motion=1.00272, eccentricity=0.0003, inclination=0.05), dict(mean_motion=1.00272, eccentricity=0.0003, inclination=6.0), dict(mean_motion=2.00613, eccentricity=0.69, inclination=63.4)])
+def test_resonant_orbits_move_smoothly_and_keep_their_energy(orbit):
+    times = np.arange(-3000.0, 3001.0, 60.0)
+    got = [state(t, bstar=0.0, **orbit) for t in times]
+    assert all(e[0] == 0 for _, _, e in got)
+    axis = np.array([1 / (2 / np.linalg.norm(p) - np.sum(v**2) / sgp4.MU) for p, v, _ in got])
+    assert np.ptp(axis) / axis.mean() < 2e-3
+    for t in (-1500.0, 719.9, 1440.0, 2999.0):  # velocity is the slope of position, also where an integration step ends
+        (a, _, _), (b, v, _), (c, _, _) = (state(t + d, bstar=0.0, **orbit) for d in (-0.01, 0.0, 0.01))
+        assert np.allclose((c - a) / 1.2, v, atol=2e-3)
 
 
 def test_frame_axes():
@@ -75,8 +102,9 @@ def test_pairs(spark):
 
 def test_disagreement_grows_with_a_wrong_motion(spark):
     p0, _, _ = state()
-    h = history(spark, orbit(element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1)), orbit(element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=15.5001), orbit(norad_catalog_id=2, element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1), mean_motion_revolutions_per_day=1.0), orbit(norad_catalog_id=2, element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=1.0))
-    (r,) = measure.propagation_disagreement(h).collect()
+    h = history(spark, orbit(element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1)), orbit(element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=15.5001), orbit(norad_catalog_id=2, element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1), mean_motion_revolutions_per_day=-1.0), orbit(norad_catalog_id=2, element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=1.0), orbit(norad_catalog_id=3, element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1), mean_motion_revolutions_per_day=1.0), orbit(norad_catalog_id=3, element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=1.0001))
+    r, far = measure.propagation_disagreement(h).orderBy("norad_catalog_id").collect()
+    assert far.norad_catalog_id == 3 and far.total_km > 0
     assert r.propagation_span_hours == 12.0 and abs(r.total_km**2 - r.radial_km**2 - r.along_track_km**2 - r.cross_track_km**2) < 1
     assert {x.kind: x.pairs for x in measure.measurement_counts(h).collect()}["skipped"] == 1
 

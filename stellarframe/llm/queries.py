@@ -49,7 +49,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     judged = quality_rules.apply_rules(common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.drop("text", "lang")
+    return judged.drop("text", "lang").withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +114,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op3_chat": OP3_SQL, "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL}
+
+
+def _op6_sql() -> str:
+    """Counts by regular expressions, distances by their definition; the references are those of the operator."""
+    q = quality_rules
+    refs = ", ".join(f"('{g}', {i + 1}, {x / sum(shares)!r}::DOUBLE)" for g, shares in q.CLASS_REFERENCE.items() for i, x in enumerate(shares))
+    common = ", ".join(f"('{g}', '{w}', {x!r}::DOUBLE)" for g, words in q.COMMON_WORDS.items() for w, x in zip([*words, ""], q.word_reference(g).tolist(), strict=True))
+    blank, mark = r"[\x20\x09-\x0D]", "[.,;:!?''\"()-]"
+    count = lambda p: f"length(regexp_replace(text, '[^{p}]', '', 'g'))"
+    classes = [count("aeiou"), count("b-df-hj-np-tv-z"), r"length(regexp_replace(regexp_replace(text, '[A-Za-z]', '', 'g'), '[^\p{L}]', '', 'g'))", count("A-Z"), count("0-9"), count(blank[1:-1]), count(mark[1:-1])]
+    half = "sum(CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END)"
+    distance = f"sqrt(greatest(0.0::DOUBLE, ({half.format('p', 'q')} + {half.format('q', 'p')}) / 2))"
+    return f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS text, lang FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+win AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS k FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 4, 0) + 1)) AS i FROM w)),
+twice AS (SELECT r, k FROM win GROUP BY r, k HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (r, k)) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+c7 AS (SELECT r, length(text) AS n, [{', '.join(classes)}] AS h FROM d),
+c AS (SELECT r, n, list_append(h, n - list_sum(h)) AS h FROM c7 WHERE n > 0),
+refs(g, i, q) AS (VALUES {refs}),
+common(g, word, q) AS (VALUES {common}),
+langs AS (SELECT r, g FROM d, (SELECT DISTINCT g FROM refs) WHERE lang = g OR lang IS NULL OR lang NOT IN (SELECT g FROM refs)),
+cd AS (SELECT r, g, {distance} AS dist FROM (SELECT r, g, CAST(h[i] AS DOUBLE) / n AS p, q FROM c JOIN langs USING (r) JOIN refs USING (g)) GROUP BY r, g),
+plain AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?"()]', '', 'g'), '[^\\x20\\x09-\\x0D]+')) AS word FROM d) GROUP BY r, word),
+sizes AS (SELECT r, sum(n) AS n FROM plain GROUP BY r),
+hits AS (SELECT r, g, word, q, coalesce(plain.n, 0) AS k FROM langs JOIN common USING (g) LEFT JOIN plain USING (r, word) WHERE word <> ''),
+every AS (SELECT r, g, q, CAST(k AS DOUBLE) / sizes.n AS p FROM hits JOIN sizes USING (r) UNION ALL SELECT r, g, any_value(common.q), 1 - CAST(sum(k) AS DOUBLE) / any_value(sizes.n) FROM hits JOIN sizes USING (r) JOIN common USING (g) WHERE common.word = '' GROUP BY r, g),
+wd AS (SELECT r, g, {distance} AS dist FROM every GROUP BY r, g),
+m AS (SELECT d.r, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST({count("#*$%&|<>")} AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    (SELECT min(dist) FROM cd WHERE cd.r = d.r) AS cdist, coalesce((SELECT min(dist) FROM wd WHERE wd.r = d.r), CASE WHEN len(words) > 0 THEN 1.0::DOUBLE END) AS wdist FROM d JOIN w USING (r) LEFT JOIN lines USING (r) LEFT JOIN rep USING (r)),
+f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(CASE WHEN n_words > 0 THEN cdist END, 6) AS class_distance, round(wdist, 6) AS word_distance,
+    NOT base_failed AND NOT (n_words >= {q.MIN_JUDGED_WORDS} AND word_chars >= {q.MIN_JUDGED_CHARS} AND (cdist > {q.MAX_CLASS_DISTANCE} OR wdist > {q.MAX_WORD_DISTANCE})) AS kept FROM f
+"""
+
+
+ORACLE_SQL = {"op3_chat": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL}

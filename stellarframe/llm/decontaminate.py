@@ -143,5 +143,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a hit, with their own columns."""
-    found = find_contamination(docs, benchmark, **options)
-    return found.where("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # columns named like a result step aside meanwhile
+    aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in {*_ADDED, "hit_words"}}
+    found = find_contamination(docs.withColumnsRenamed(aside), benchmark, **options)
+    return found.where("n_hit = 0").select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])

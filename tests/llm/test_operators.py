@@ -125,6 +125,40 @@ def test_redaction(spark):
     assert pii.find_pii(clash).columns == ["doc_id", "text", "pii_base", "pii_spans"]
 
 
+def test_many_spans_in_a_long_text(spark):
+    import time
+
+    unit = "1.2.3.4 é a@b.co, "
+    text = unit * 20_000
+    frame = spark.createDataFrame([doc(1, text)], DOCS)
+    began = time.time()
+    (r,) = pii.find_pii(frame).select(F.size("pii_base").alias("n"), F.element_at("pii_base", -1)["start"].alias("last")).collect()
+    assert r.n == 40_000 and r.last == len(text) - len("a@b.co, ")
+    assert pii.redact(frame).first()["text"] == "[IP] é [EMAIL], " * 20_000
+    assert time.time() - began < 60
+
+
+NAMES = "own cut n text2 chunks pii_spans pii_base kept n_words items hit_words hit_spans licenses ids part first node bands key cell shard h y x score held_out word_distance".split()
+
+
+def test_clashing_columns(spark):
+    plain = spark.createDataFrame([doc(1, "write a@b.co " + "some words here " * 5), doc(2, None)], DOCS)
+    docs, bench = plain.select("*", *[F.lit("mine").alias(n) for n in NAMES]), spark.createDataFrame(BENCH, "item_id long, text string")
+    from stellarframe.llm import quality_rules, shard
+
+    for made in (pii.redact(docs), decontaminate.remove_contaminated(docs, bench)):
+        assert made.columns == docs.columns and made.select(*NAMES).distinct().collect() == [tuple(["mine"] * len(NAMES))]
+    assert pii.redact(docs).where("doc_id = 1").first()["text"].startswith("write [EMAIL]")
+    for made in (pii.find_pii(docs), decontaminate.find_contamination(docs, bench), quality_rules.apply_rules(docs), licenses.find_licenses(docs), shard.assign_shards(docs, 3), minhash.near_duplicates(docs), pieces.encode(docs, MODEL), classifier.score(docs, classifier.Model([], np.zeros((0, 64), np.float32), None, 1, 0, 0.5))):
+        assert len(made.columns) == len(set(made.columns)) and made.count() == 2
+
+
+def test_empty_tables(spark, tables):
+    path = tables()
+    for name, query in queries.QUERIES.items():
+        assert query(spark, path).count() == (1 if name == "op3_chat" else 0), name
+
+
 def test_benchmark_blocks_give_equal_results(spark):
     docs, bench = spark.createDataFrame(AWKWARD, DOCS), spark.createDataFrame(BENCH, "item_id long, text string")
     one = decontaminate.find_contamination(docs, bench)

@@ -101,7 +101,7 @@ def load(spark: SparkSession, bronze_root: str, root: str) -> dict[str, int]:
         if not own:
             continue
         about = spark.createDataFrame(own, files.schema).select("file_path", "snapshot_at_utc", "priority", F.col("sha256").alias("source_sha256"))
-        raw = bronze.read_raw(spark, kind, [f["file_path"] for f in own]).join(F.broadcast(about), "file_path").withColumnRenamed("file_path", "source_file")
+        raw = bronze.read_raw(spark, kind, [f["file_path"] for f in own]).join(about, "file_path").withColumnRenamed("file_path", "source_file")
         path = f"{root}/{table}/load={load_id}"
         new_rows(kind, typed(kind, raw), read_history(spark, root, table)).write.mode("overwrite").parquet(path)
         counts = {r["source_file"]: r["n"] for r in spark.read.schema(schemas.struct(schemas.HISTORY[table])).parquet(path).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 
-METRIC = "name string, labels map<string,string>, value double"
+DISCLAIMER = "A trust signal for public orbit data, not a collision warning."
+#: What is served, and the function here that gives it.
+ROUTES = {"/health": "health", "/quality": "verdict of operators.quality", "/space-weather": "space_weather", "/population": "population", "/reliability": "bottom, and the class and group summaries", "/reliability/{id}": "reliability_of", "/disagreement": "disagreement and top", "/validation": "validation_stats and validation_bins of plans.measure", "/metrics": "metrics and exposition"}
 R = X.round_half_up
 
 
@@ -98,6 +100,11 @@ def exposition(gauges: DataFrame, prefix: str = "orbit_") -> str:
     return "\n".join(out) + "\n"
 
 
+def routes() -> dict[str, object]:
+    """The index of what is served."""
+    return {"routes": ROUTES, "disclaimer": DISCLAIMER}
+
+
 def health(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, rows); absent tables are not in `tables` and count 0 for the caller."""
     out = None
@@ -187,7 +194,7 @@ def chart_extracts(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def report(rows: dict[str, list[dict]]) -> str:
     """A Markdown report of small results that were collected by name."""
-    out = ["# Orbit and space-weather report", "", "A trust signal for public orbit data, not a collision warning.", ""]
+    out = ["# Orbit and space-weather report", "", DISCLAIMER, ""]
     for name, data in rows.items():
         out += [f"## {name.replace('_', ' ').capitalize()}", ""]
         if data:

@@ -27,6 +27,8 @@ MIN_JUDGED_WORDS = 40
 MIN_JUDGED_CHARS = 200
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.50
+#: Beyond so many words, windows are kept as numbers rather than as tuples.
+LONG_WORDS = 50_000
 SYMBOLS = "[#*$%&|<>]"
 
 #: Reference shares of character classes, fixed values: vowel, consonant, accented or other letter, capital, digit, blank, punctuation, symbol.
@@ -94,10 +96,26 @@ def word_histogram(counts: Counter, lang: str) -> np.ndarray:
     return out
 
 
+def _repeated_in_long(words: list, size: int) -> int:
+    """The same by arrays: windows are numbered exactly, one word longer each time."""
+    codes: dict = {}
+    ids = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words))
+    window = ids
+    for k in range(1, size):
+        window = np.unique(window[: len(ids) - k] * len(codes) + ids[k:], return_inverse=True)[1]
+    hit = np.bincount(window)[window] > 1
+    depth = np.zeros(len(words) + 1, np.int64)
+    depth[: len(hit)] += hit
+    depth[size : size + len(hit)] -= hit
+    return int((np.cumsum(depth)[:-1] > 0).sum())
+
+
 def repeated_words(words: list, size: int = 5) -> int:
     """Words that lie in windows of `size` words found twice or more, the first occurrence included."""
     if len(words) <= size:
         return 0
+    if len(words) > LONG_WORDS:
+        return _repeated_in_long(words, size)
     windows = list(zip(*(words[i:] for i in range(size)), strict=False))
     if len(set(windows)) == len(windows):
         return 0

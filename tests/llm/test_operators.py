@@ -39,6 +39,17 @@ def test_op1_awkward(spark, tables):
     assert queries.op1_quality_classifier(spark, tables()).count() == 0
 
 
+def test_long_texts_count_repeats_alike():
+    import random
+
+    from stellarframe.llm import quality_rules
+
+    rng = random.Random(4)
+    for vocabulary in (3, 30, 3000):
+        words = [str(rng.randrange(vocabulary)).encode() for _ in range(4000)]
+        assert quality_rules.repeated_words(words) == quality_rules._repeated_in_long(words, 5)
+
+
 def test_temperature():
     draw = np.random.default_rng(1)
     truth = draw.normal(0, 2, 20_000)

@@ -5,7 +5,9 @@ Base kinds are email, ip, card (Luhn) and phone; they stay whatever their score.
 credential after a word such as token or password). Spans are code points, the end is exclusive.
 
 The expressions are written so that Java's matcher needs neither deep recursion nor repeated scans: quantified groups are
-possessive, and a match may begin only where a run of its characters begins. That changes no match.
+possessive, and a match may begin only where a run of its characters begins. That changes no match. Positions are summed
+up within blocks of matches and over blocks, and pieces of a text are cut from chunks of it, so that the time grows with
+the text's length and its spans, not with their product (an accumulator of `aggregate` is copied at every step).
 
 Defined cases: a null text is empty and has no span; repeated rows get equal results; extra columns pass through and one
 named like a result is replaced. All of it is DataFrame and SQL functions.
@@ -20,6 +22,9 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "national_id", "secret")
 MIN_SCORE = 0.5
 CONTEXT_CHARS = 48
+#: Code points of a chunk of a text, matches in a block.
+CHUNK = 4096
+BLOCK = 128
 #: What proposes a span of each kind.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -40,17 +45,51 @@ CONTEXT = {
 }
 
 
+def _kept(sql: str) -> Column:
+    """The expression, so that the optimiser neither inlines it nor pushes a filter through it: filters on results would
+    else be rewritten into expressions that grow with every step."""
+    return F.expr(f"if(monotonically_increasing_id() >= 0, {sql}, NULL)")
+
+
 def _java(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def _proposed(kind: str) -> str:
-    """SQL: array of (start, end, m), by the gaps between matches."""
+def _gaps(kind: str) -> str:
+    """SQL: array of (gap, m), what lies before each match and the match; the last gap has none."""
     p = _java(PATTERNS[kind])
-    empty = "cast(array() AS array<struct<start:int,end:int,m:string>>)"
-    step = "struct(a.pos + x.gap + length(x.m) AS pos, concat(a.out, array(struct(a.pos + x.gap AS start, a.pos + x.gap + length(x.m) AS end, x.m AS m))) AS out)"
     zipped = f"zip_with(transform(split(text, {p}, -1), g -> length(g)), regexp_extract_all(text, {p}, 0), (g, m) -> struct(g AS gap, m AS m))"
-    return f"CASE WHEN {NEEDS[kind]} THEN aggregate({zipped}, struct(0 AS pos, {empty} AS out), (a, x) -> if(x.m IS NULL, a, {step}), a -> a.out) ELSE {empty} END"
+    return f"CASE WHEN {NEEDS[kind]} THEN {zipped} ELSE cast(array() AS array<struct<gap:int,m:string>>) END"
+
+
+def _blocks(array: str, block: str) -> str:
+    """SQL: `block` for each block `b` of an array, where `c` is its number."""
+    return f"transform(sequence(0, size({array}) div {BLOCK}), c -> {block.format(b=f'slice({array}, c * {BLOCK} + 1, {BLOCK})')})"
+
+
+def _before(array: str, seed: str, value: str, joined: str) -> str:
+    """SQL: what comes before each block: `value` of its elements x, put together by `joined` of {0} and {1}."""
+    own = _blocks(array, f"aggregate({{b}}, {seed}, (s, x) -> {joined.format('s', value)})")
+    return f"aggregate({own}, array({seed}), (a, t) -> concat(a, array({joined.format('element_at(a, -1)', 't')})))"
+
+
+def _proposed(kind: str) -> str:
+    """SQL: array of (start, end, m), from the columns gaps_ and before_ of the kind."""
+    spans = "array<struct<start:int,end:int,m:string>>"
+    entry = "struct(a.pos + x.gap AS start, a.pos + x.gap + length(x.m) AS end, x.m AS m)"
+    step = f"if(x.m IS NULL, a, struct(a.pos + x.gap + length(x.m) AS pos, concat(a.cur, array({entry})) AS cur))"
+    block = f"aggregate({{b}}, struct(before_{kind}[c] AS pos, cast(array() AS {spans}) AS cur), (a, x) -> {step}, a -> a.cur)"
+    return f"CASE WHEN size(gaps_{kind}) > 1 THEN flatten({_blocks(f'gaps_{kind}', block)}) ELSE cast(array() AS {spans}) END"
+
+
+#: SQL: the text's chunks.
+_CHUNKS = f"transform(sequence(0, length({{0}}) div {CHUNK}), i -> substring({{0}}, i * {CHUNK} + 1, {CHUNK}))"
+
+
+def _piece(start: str, end: str) -> str:
+    """SQL: the code points start to end - 1 of the text, from `chunks`."""
+    own = f"greatest({start} - k * {CHUNK}, 0)"
+    return f"if(({end}) <= ({start}), '', array_join(transform(sequence(cast(({start}) div {CHUNK} AS int), cast((({end}) - 1) div {CHUNK} AS int)), k -> substring(chunks[k], {own} + 1, least({end} - k * {CHUNK}, {CHUNK}) - {own})), ''))"
 
 
 def _luhn(digits: str) -> str:
@@ -80,7 +119,9 @@ def _confirmed(kind: str) -> str:
 def _scored(kind: str) -> str:
     """SQL: array of (start, rank, end, kind, score) of the confirmed spans."""
     at, more = SCORES[kind]
-    near = f"lower(concat(substring(text, greatest(1, x.start + 1 - {CONTEXT_CHARS}), least(x.start, {CONTEXT_CHARS})), ' ', substring(text, x.end + 1, {CONTEXT_CHARS})))"
+    before = _piece(f"greatest(x.start - {CONTEXT_CHARS}, 0)", "x.start")
+    after = _piece("x.end", f"least(x.end + {CONTEXT_CHARS}, n_points)")
+    near = f"lower(concat({before}, ' ', {after}))"
     score = f"{at}D + if({near} RLIKE '(?<![a-z])({CONTEXT[kind]})', {more}D, 0D)"
     made = f"transform(filter(found_{kind}, x -> {_confirmed(kind)}), x -> struct(x.start AS start, {KINDS.index(kind)} AS rank, x.end AS end, '{kind}' AS kind, {score} AS score))"
     return made if kind in BASE else f"filter({made}, x -> x.score >= {MIN_SCORE})"
@@ -91,10 +132,15 @@ def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("pii_base", "pii_spans")]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = F.struct(*kept).alias("own")
-    found = docs.select(own, text.alias("text")).select("own", "text", *[F.expr(_proposed(k)).alias(f"found_{k}") for k in KINDS])
-    scored = found.select("own", *[F.expr(_scored(k)).alias(k) for k in KINDS])
-    base = F.array_sort(F.concat(*BASE)).alias("pii_base")
-    more = F.array_sort(F.concat(*KINDS)).alias("pii_spans")
+    found = docs.select(own, text.alias("text")).select("own", "text", *[_kept(_gaps(k)).alias(f"gaps_{k}") for k in KINDS])
+    lengths = "x.gap + coalesce(length(x.m), 0)"
+    found = found.select("*", *[_kept(f"CASE WHEN size(gaps_{k}) > 1 THEN {_before(f'gaps_{k}', '0', lengths, '{0} + {1}')} END").alias(f"before_{k}") for k in KINDS])
+    found = found.select("own", "text", *[_kept(_proposed(k)).alias(f"found_{k}") for k in KINDS])
+    any_found = " OR ".join(f"size(found_{k}) > 0" for k in KINDS)
+    found = found.select("own", *[f"found_{k}" for k in KINDS], F.length("text").alias("n_points"), _kept(f"CASE WHEN {any_found} THEN {_CHUNKS.format('text')} ELSE cast(array() AS array<string>) END").alias("chunks"))
+    scored = found.select("own", *[_kept(_scored(k)).alias(k) for k in KINDS])
+    base = _kept(f"array_sort(concat({', '.join(BASE)}))").alias("pii_base")
+    more = _kept(f"array_sort(concat({', '.join(KINDS)}))").alias("pii_spans")
     return scored.select("own.*", base, more)
 
 
@@ -105,15 +151,20 @@ def span_string(spans: str | Column) -> Column:
 
 def redact(docs: DataFrame, *, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """`docs` with every span replaced by its kind in brackets; overlapping spans become one. A null text stays null."""
-    found = find_pii(docs, text_col=text_col)
-    # spans are sorted by start: one that begins before the furthest end so far adds its rest to it
-    merged = """aggregate(pii_spans, cast(array() AS array<struct<start:int,end:int,kind:string>>), (a, x) -> CASE
-        WHEN size(a) > 0 AND x.start < element_at(a, -1).end THEN concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start AS start, greatest(element_at(a, -1).end, x.end) AS end, element_at(a, -1).kind AS kind)))
-        ELSE concat(a, array(struct(x.start AS start, x.end AS end, x.kind AS kind))) END)"""
-    text = f"`{text_col}`"
-    pieces = f"""concat(array_join(transform(cut, (x, i) -> concat(substring({text}, if(i = 0, 0, cut[i - 1].end) + 1, x.start - if(i = 0, 0, cut[i - 1].end)), '[', upper(x.kind), ']')), ''),
-        substring({text}, element_at(cut, -1).end + 1))"""
-    new = found.withColumn("cut", F.expr(merged)).withColumn(text_col, F.expr(f"CASE WHEN size(cut) = 0 THEN {text} ELSE {pieces} END"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{text_col}`").alias("text"))
+    found = find_pii(own, text_col="text")
+    # spans are sorted by start; one that begins before the furthest end so far belongs to what came before it
+    some = found.select("own", "text", "pii_spans", _kept(f"CASE WHEN size(pii_spans) > 0 THEN {_before('pii_spans', '0', 'x.end', 'greatest({0}, {1})')} END").alias("before"))
+    entry = "struct(x.start AS start, a.far AS far, x.kind AS kind)"
+    block = f"aggregate({{b}}, struct(before[c] AS far, cast(array() AS array<struct<start:int,far:int,kind:string>>) AS cur), (a, x) -> struct(greatest(a.far, x.end) AS far, concat(a.cur, array({entry})) AS cur), a -> a.cur)"
+    heads = some.select("own", "text", F.expr("element_at(before, -1)").alias("last"), _kept(f"CASE WHEN before IS NULL THEN cast(array() AS array<struct<start:int,far:int,kind:string>>) ELSE filter(flatten({_blocks('pii_spans', block)}), x -> x.start >= x.far) END").alias("heads"))
+    cut = heads.select("own", "text", _kept("transform(heads, (x, i) -> struct(x.start AS start, coalesce(get(heads, i + 1).far, last) AS end, x.kind AS kind))").alias("cut"))
+    cut = cut.select("own", "text", "cut", F.length("text").alias("n_points"), _kept(f"CASE WHEN size(cut) > 0 THEN {_CHUNKS.format('text')} END").alias("chunks"))
+    kept = _piece("if(i = 0, 0, cut[i - 1].end)", "x.start")
+    pieces = f"concat(array_join(transform(cut, (x, i) -> concat({kept}, '[', upper(x.kind), ']')), ''), {_piece('element_at(cut, -1).end', 'n_points')})"
+    made = cut.select("own", F.size("cut").alias("n"), _kept(f"CASE WHEN size(cut) = 0 THEN text ELSE {pieces} END").alias("text"))
+    out = {c: F.col(f"own.`{c}`") for c in docs.columns}
+    out[text_col] = F.col("text")
     if count_col and count_col in docs.columns:
-        new = new.withColumn(count_col, F.when(F.size("cut") > 0, F.length(text_col)).otherwise(F.col(count_col)).cast(docs.schema[count_col].dataType))
-    return new.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out[count_col] = F.when(F.col("n") > 0, F.length("text").cast(docs.schema[count_col].dataType)).otherwise(out[count_col])
+    return made.select(*[v.alias(c) for c, v in out.items()])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions import sgp4, stats
 
+#: Bounds of the analysis envelope and the order of classes, fixed values.
 MAX_SPAN_HOURS = 72.0
 MAX_TOTAL_KM = 500.0
 CLASSES = ("high", "moderate", "reduced", "low")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 
 DISCLAIMER = "A trust signal for public orbit data, not a collision warning."
-#: What is served, and the function here that gives it.
+#: What is served, fixed paths, and the function here that gives it.
 ROUTES = {"/health": "health", "/quality": "verdict of operators.quality", "/space-weather": "space_weather", "/population": "population", "/reliability": "bottom, and the class and group summaries", "/reliability/{id}": "reliability_of", "/disagreement": "disagreement and top", "/validation": "validation_stats and validation_bins of plans.measure", "/metrics": "metrics and exposition"}
 R = X.round_half_up
 
@@ -206,7 +206,7 @@ def report(rows: dict[str, list[dict]]) -> str:
     return "\n".join(out)
 
 
-#: Dashboard panels: title, kind and the gauges that they read, each with a factor.
+#: Dashboard panels, fixed values: title, kind and the gauges that they read, each with a factor.
 PANELS = [
     ("Database", "stat", {"database_reachable": 1}), ("Quality Failures", "stat", {"quality_failures": 1}), ("Environment Factor", "stat", {"environment_factor": 1}), ("Objects Tracked", "stat", {"objects_tracked": 1}),
     ("Measured Pairs", "stat", {"disagreement_pairs": 1}), ("Median Disagreement", "stat", {"disagreement_median_km": 1}), ("ORI Validation (Spearman)", "stat", {"validation_metric": 1}),

@@ -19,7 +19,7 @@ HISTORY = {
 }
 REGISTRY = "file_path string, source string, snapshot_at_utc timestamp, sha256 string, loaded_at_utc timestamp, row_count int"
 
-#: Fields of the raw payloads; those in REQUIRED must be there.
+#: Fields of the raw payloads, fixed values of their formats; those in REQUIRED must be there.
 RAW = {
     "celestrak": "OBJECT_NAME,NORAD_CAT_ID,EPOCH,INCLINATION,ECCENTRICITY,MEAN_MOTION,BSTAR,RA_OF_ASC_NODE,ARG_OF_PERICENTER,MEAN_ANOMALY,MEAN_MOTION_DOT,MEAN_MOTION_DDOT".split(","),
     "magnetic_field": "time_tag,source,active,bt,bx_gsm,by_gsm,bz_gsm,overall_quality".split(","),

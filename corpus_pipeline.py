@@ -56,7 +56,7 @@ STAGES = [
     ("SentencePiece encoding", encode_stage),
 ]
 
-#: SQL can express neither the ring of sketches nor the merges of pieces; tests hold the rows against brute force.
+#: SQL can express neither the spans of PII nor the merges of pieces; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

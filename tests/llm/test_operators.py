@@ -170,6 +170,35 @@ def test_empty_tables(spark, tables):
         assert query(spark, path).count() == (1 if name == "op3_chat" else 0), name
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    from stellarframe.llm import shard
+
+    docs = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(3000)] + [(5, "y"), (None, None)], "doc_id long, text string")
+    rows = shard.assign_shards(docs, 5, bounded=False).collect()
+    assert len(rows) == 3002 and all(r["grown_shard"] in (r["shard"], 5) for r in rows)
+    moved = sum(r["grown_shard"] == 5 for r in rows)
+    assert 0.05 * len(rows) < moved < 0.35 * len(rows)
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert set(slots) == set(range(5)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    by_id = {}
+    for r in rows:
+        assert by_id.setdefault(r["doc_id"], r["shard"]) == r["shard"]
+
+
+def test_bounded_loads_move_little(spark):
+    from stellarframe.llm import shard
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'' AS text")
+    home = {r["doc_id"]: r["shard"] for r in shard.assign_shards(docs, 8, bounded=False).collect()}
+    rows = shard.assign_shards(docs, 8).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + 1
+    assert set(sizes.values()) == {500} and sum(home[r["doc_id"]] != r["shard"] for r in rows) < 0.5 * len(rows)
+
+
 def test_benchmark_blocks_give_equal_results(spark):
     docs, bench = spark.createDataFrame(AWKWARD, DOCS), spark.createDataFrame(BENCH, "item_id long, text string")
     one = decontaminate.find_contamination(docs, bench)

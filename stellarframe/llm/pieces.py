@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 BLANK = "▁"
 LONG_WORD = 256
-CACHE_WORDS = 250_000
+CACHE_WORDS = 350_000
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 _LOADED: dict = {}
@@ -127,7 +127,7 @@ def merge_fold(words: list[str], t: PieceTable) -> list[bytes]:
         best = np.minimum.reduceat(key, heads)
         going = np.repeat(best < none, np.diff(np.append(heads, len(w))))
         done.append((start[~going], stop[~going], w[~going]))
-        merged = np.flatnonzero(np.isin(key, best[best < none]) & (key < none)) if (best < none).any() else np.zeros(0, np.int64)
+        merged = np.searchsorted(start, best[best < none] & 0xFFFFFFFF)  # starts ascend
         stop[merged] = stop[merged + 1]
         going[merged + 1] = False
         start, stop = start[going], stop[going]

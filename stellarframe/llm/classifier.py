@@ -10,7 +10,7 @@ Fitting is bounded: at most `fit_rows` labelled rows of each class, those with t
 to the driver, only counts, sums of vectors and pooled rows. Scoring reads every whole text.
 
 Defined cases: null and empty texts pool to zeros and get a score; a null label, or one that is neither 0 nor 1, is not
-learned from; repeated labels count once each; with no label, or one class alone, the score is that class's share (0.5
+learned from; labels repeated alike count once, and so do repeated ids; with no label, or one class alone, the score is that class's share (0.5
 without labels); repeated rows get equal scores; extra columns are ignored.
 """
 
@@ -165,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, vocabul
         return Model([], np.zeros((0, DIM), np.float32), None, 1, 0, prior)
     chosen = [known.where(F.col("y") == y).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(fit_rows) for y in (0, 1)]
     ids = chosen[0].union(chosen[1])  # at most 2 * fit_rows rows of two numbers
-    sample = materialise(spark, docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")).repartition(4)
+    # one text of each id, the smallest; repeated rows are combined before the shuffle
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "h", "y").agg(F.min("text").alias("text"))
+    sample = materialise(spark, sample).repartition(4)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, vocabul
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(rows, pa.binary())], names=["h", "y", "x"])
 
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    rows = sorted((h, y, bytes(x)) for h, y, x in sample.select("h", "y", "text").mapInArrow(features, schema).collect())  # at most 2 * fit_rows rows, but for repeated ids
+    rows = sorted((h, y, bytes(x)) for h, y, x in sample.select("h", "y", "text").mapInArrow(features, schema).collect())  # at most 2 * fit_rows rows
     if len({y for _, y, _ in rows}) < 2:
         return Model(tokens, vectors, None, 1, 0, prior)
     x = np.stack([np.frombuffer(r, np.float32) for _, _, r in rows])

@@ -26,7 +26,9 @@ MAX_REPEAT_PERCENT = 20
 MIN_JUDGED_WORDS = 40
 MIN_JUDGED_CHARS = 200
 MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.50
+#: A text without common words is at 0.486 from every reference. Of 40 words drawn from a reference, or with 30 % common
+#: words in its proportions, 99.9 % of the samples are below 0.46; longer prose is nearer.
+MAX_WORD_DISTANCE = 0.46
 #: Beyond so many words, windows are kept as numbers rather than as tuples.
 LONG_WORDS = 50_000
 SYMBOLS = "[#*$%&|<>]"

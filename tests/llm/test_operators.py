@@ -50,6 +50,22 @@ def test_long_texts_count_repeats_alike():
         assert quality_rules.repeated_words(words) == quality_rules._repeated_in_long(words, 5)
 
 
+def test_texts_without_common_words_are_rejected():
+    from stellarframe.llm.quality_rules import COMMON_WORDS, measure, word_reference
+
+    rng = np.random.default_rng(5)
+    content = ["".join(rng.choice(list("bdlmnrst")) + rng.choice(list("aeiou")) for _ in range(n)) + rng.choice(list("nrst")) for n in (2, 3) * 400]
+    for lang, common in COMMON_WORDS.items():
+        for n in (40, 45, 80, 400):
+            bare = [str(w) for w in rng.choice(content, n)]
+            draws = rng.choice(len(common) + 1, n, p=word_reference(lang))
+            prose = [common[d] if d < len(common) else w for d, w in zip(draws, bare, strict=True)]
+            sentences = lambda words: " ".join(" ".join(words[i : i + 10]).capitalize() + "." for i in range(0, n, 10))
+            for given in (lang, None):
+                assert not measure(sentences(bare), given)[-1]
+                assert measure(sentences(prose), given)[-1] or len(sentences(prose).replace(" ", "")) < 200
+
+
 def test_temperature():
     draw = np.random.default_rng(1)
     truth = draw.normal(0, 2, 20_000)

@@ -7,7 +7,6 @@ documents. Rows that a stage rejects go; redaction changes text and n_chars; the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stellarframe.llm import common, decontaminate, minhash, pieces, pii, quality_rules
 
@@ -21,12 +20,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
+    """One document of each group of near-duplicates: that of the smallest id. Nodes are texts, so rows of one id or none
+    are told apart by their texts."""
     common.small_batches(spark)
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    # rows of one id: the first by its columns, so that repeated rows leave one
-    best = docs.groupBy("doc_id").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("row"))
-    return best.join(kept, best["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select("doc_id", "row.*").select(*COLUMNS)
+    return minhash.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

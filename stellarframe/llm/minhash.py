@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,12 +198,11 @@ def _joins(rows: list[tuple[bytes, bytes, np.ndarray]], percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of `docs`."""
+def _grouped(docs: DataFrame, percent: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (node, least_id, first_row, root) of all nodes; nodes of one root are a component."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     meta = materialise(spark, _sketched(docs))
-    nodes = materialise(spark, meta.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    nodes = materialise(spark, meta.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("least_id"), F.min(_row()).alias("first_row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     every = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = materialise(spark, every.join(shared, "bucket"))
@@ -239,9 +238,37 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shing
         again = materialise(spark, components(merged).withColumnRenamed("node", "old").withColumnRenamed("root", "new"))
         first = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("old"))
         roots = first.join(again, "old", "left").select("node", F.coalesce("new", "old").alias("root"))
-    grouped = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    grouped = nodes.select("node", "least_id", "first_row").join(roots, "node", "left").select("node", "least_id", "first_row", F.coalesce("root", "node").alias("root"))
+    return meta, grouped
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of `docs`."""
+    meta, grouped = _grouped(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), percent, block_shingles)
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component"))
     named = grouped.join(least, "root").select("node", "component")
     out = meta.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _row() -> Column:
+    """What tells rows of different ids or texts apart; ordered by id, null last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of `docs` for each component: of its smallest id, or of none if all are null, and there of one text.
+
+    A row without words is its own component, so that of each id and text one is left. Ids say nothing of a text: rows that
+    share an id, or have none, go or stay by their texts.
+    """
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    meta, grouped = _grouped(own, percent, block_shingles)
+    first = grouped.groupBy("root").agg(F.min("first_row").alias("row")).select("row").union(meta.where("node IS NULL").select(_row().alias("row")).distinct())
+    key = lambda i, h: [F.col(i).isNull().alias("no_id"), F.coalesce(F.col(i).cast("string"), F.lit("")).alias("id"), h.alias("hash")]
+    rows = docs.select(*key(f"`{id_col}`", F.xxhash64(f"`{text_col}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # of rows of one id and text the first by its columns, so that repeated rows leave one
+    best = rows.groupBy("no_id", "id", "hash").agg(F.min("row").alias("row"))
+    kept = first.select(*key("row.doc_id", F.col("row.text_hash")))
+    return best.join(kept, ["no_id", "id", "hash"], "left_semi").select("row.*")

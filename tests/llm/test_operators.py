@@ -257,6 +257,21 @@ def test_blocks_of_a_bucket_lose_no_component(spark):
         assert sorted(map(tuple, minhash.near_duplicates(frame, block_shingles=size).collect())) == want
 
 
+def test_dedup_stage_tells_texts_apart(spark):
+    words = [f"w{i}" for i in range(300)]
+    text = lambda at, *more: " ".join([*words[at : at + 60], *more])
+    a, b, c, d, e = (text(k) for k in (0, 60, 120, 180, 240))
+    rows = [
+        doc(3, a), doc(7, text(0, "x")), doc(7, b),  # 7 has a copy of 3 and a text of its own
+        doc(None, c), doc(None, d), doc(None, d), doc(None, text(180, "x")), doc(None, text(60, "y")),  # two texts without an id, their copies, a copy of 7
+        doc(9, e), doc(9, text(240, "z")), doc(9, e), doc(10, " "), doc(10, ""), doc(10, ""), doc(None, None),
+    ]
+    got = corpus_pipeline.dedup_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    kept = sorted((r["doc_id"] or -1, "null" if r["text"] is None else r["text"].split(" ")[0]) for r in got)
+    assert kept == [(-1, "null"), (-1, "w120"), (-1, "w180"), (3, "w0"), (7, "w60"), (9, "w240"), (10, ""), (10, "")]
+    assert set(map(tuple, got)) <= set(rows)
+
+
 def test_pipeline_against_brute_force(spark, tables, library):
     from stellarframe.llm.quality_rules import measure
 

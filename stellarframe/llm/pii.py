@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words move their score.
 
 Base kinds are email, ip, card (Luhn) and phone; they stay whatever their score. Added kinds need a score of at least
-`MIN_SCORE`: iban (mod 97), national_id (a number that only context words make personal) and secret (a quoted or bare
+`MIN_SCORE`: iban (its country's length, mod 97), national_id (a number that only context words make personal) and secret (a quoted or bare
 credential after a word such as token or password). Spans are code points, the end is exclusive.
 
 The expressions are written so that Java's matcher needs neither deep recursion nor repeated scans: quantified groups are
@@ -25,15 +25,22 @@ CONTEXT_CHARS = 48
 #: Code points of a chunk of a text, matches in a block.
 CHUNK = 4096
 BLOCK = 128
-#: What proposes a span of each kind.
+#: Characters of an IBAN by country, fixed values of the registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_LENGTH = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_KNOWN_IBAN = f"(?:{_BY_LENGTH})(?![A-Za-z0-9])"
+#: What proposes a span of each kind. An IBAN has its country's length; where none fits, all that may follow is proposed.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_KNOWN_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_KNOWN_IBAN}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9_+/-]{16,128}\x22?",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9_+/-]{16,}+\x22?",
 }
 #: A character or string without which a kind cannot occur, and is not looked for.
 NEEDS = {"email": "text LIKE '%@%'", "ip": "text RLIKE '[0-9]'", "card": "text RLIKE '[0-9]'", "phone": "text LIKE '%+%'", "iban": "text RLIKE '[A-Z]{2}[0-9]{2}'", "national_id": "text RLIKE '[0-9]-[0-9]{2}-[0-9]'", "secret": "text RLIKE '[=:]'"}
@@ -97,6 +104,17 @@ def _luhn(digits: str) -> str:
     return f"aggregate(sequence(1, length({digits})), 0, (s, i) -> s + if(i % 2 = 1, {digit}, 2 * {digit} - if({digit} > 4, 9, 0))) % 10 = 0"
 
 
+def _candidates(kind: str) -> str:
+    """SQL: the proposed spans; those of an IBAN of no known country end with the longest of their words that confirms it."""
+    if kind != "iban":
+        return f"found_{kind}"
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    ends = "filter(sequence(length(y.m), 15, -1), n -> substring(y.m, n + 1, 1) IN ('', ' ') AND substring(y.m, n, 1) <> ' ')"
+    cut = "struct(y.start AS start, y.start + n AS end, substring(y.m, 1, n) AS m)"
+    shorter = f"slice(filter(transform({ends}, n -> {cut}), x -> {_confirmed(kind)}), 1, 1)"
+    return f"flatten(transform(found_{kind}, y -> if(y.m RLIKE '^({known})', array(y), {shorter})))"
+
+
 def _confirmed(kind: str) -> str:
     """SQL: whether the match x.m holds."""
     digits = "regexp_replace(x.m, '[^0-9]', '')"
@@ -123,7 +141,7 @@ def _scored(kind: str) -> str:
     after = _piece("x.end", f"least(x.end + {CONTEXT_CHARS}, n_points)")
     near = f"lower(concat({before}, ' ', {after}))"
     score = f"{at}D + if({near} RLIKE '(?<![a-z])({CONTEXT[kind]})', {more}D, 0D)"
-    made = f"transform(filter(found_{kind}, x -> {_confirmed(kind)}), x -> struct(x.start AS start, {KINDS.index(kind)} AS rank, x.end AS end, '{kind}' AS kind, {score} AS score))"
+    made = f"transform(filter({_candidates(kind)}, x -> {_confirmed(kind)}), x -> struct(x.start AS start, {KINDS.index(kind)} AS rank, x.end AS end, '{kind}' AS kind, {score} AS score))"
     return made if kind in BASE else f"filter({made}, x -> x.score >= {MIN_SCORE})"
 
 

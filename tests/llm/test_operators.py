@@ -152,6 +152,19 @@ def test_redaction(spark):
     assert pii.find_pii(clash).columns == ["doc_id", "text", "pii_base", "pii_spans"]
 
 
+def test_ibans_before_capitals_and_long_secrets(spark):
+    long = "Ab1_" * 1500
+    texts = {
+        "IBAN GB82WEST12345698765432 BIC WESTGB2L": "IBAN [IBAN] BIC WESTGB2L", "DE89 3704 0044 0532 0130 00 EUR 500": "[IBAN] EUR 500", "GB82WEST12345698765432 2024 invoice": "[IBAN] 2024 invoice",
+        "GB82WEST12345698765432 DE89 3704 0044 0532 0130 00 X": "[IBAN] [IBAN] X", "order AB12 DE89 3704 0044 0532 0130 00 PAID": "order AB12 [IBAN] PAID", "GB83WEST12345698765432 BIC": "GB83WEST12345698765432 BIC",
+        "ZZ19 0000 1234 5678 90 EUR 7": None, "MT84MALT011000012345MTLCAST001S BIC MALTMTMT": "[IBAN] BIC MALTMTMT", f'token="{long}" end': "[SECRET] end",
+    }
+    check = lambda c: f"{98 - int(''.join(str(int(x, 36)) for x in f'00001234567890{c}00')) % 97:02d}"
+    texts = {t.replace("ZZ19", "ZZ" + check("ZZ")): w or "[IBAN] EUR 7" for t, w in texts.items()}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_many_spans_in_a_long_text(spark):
     import time
 

@@ -1,18 +1,22 @@
-"""Licence scan: normalised blocks of a text against licence templates by the Dice coefficient over word bigrams.
+"""Licence scan: windows of a text's words against licence templates by the Dice coefficient over word bigrams.
 
-A text's blocks are its lines, its runs of lines between blank ones, the whole of it, and, for each template of several
-lines' length, the runs of following lines that come nearest to its size. Words are lower-cased runs of letters and
-digits; a block's set holds its word bigrams. With sizes a and b the coefficient 2 * shared / (a + b) can reach t only
-if t / (2 - t) <= a / b <= (2 - t) / t, which leaves few templates for a block, and most blocks none.
+Words are lower-cased runs of letters and digits, wherever lines end; a window's set holds its word bigrams. With sizes a
+and b the coefficient 2 * shared / (a + b) can reach t only if t / (2 - t) <= a / b <= (2 - t) / t, and a window that
+reaches it shares t / (2 - t) of the template's set, which most texts don't hold. A window begins and ends with a bigram of
+its template, since others lower the score; it has at most (2 - t) / t times the template's words. Of windows that overlap
+the one with most shared bigrams, times the score, goes first, so that a text is found before its part in another licence.
+A window that has all words of its first or last line includes that line's edge.
 
-Defined cases: a null or empty text has no match; blocks of one word have no bigram and no match; equal scores go to the
-template that comes first; repeated rows get equal results; extra columns pass through, and one named like a result is
+Defined cases: a null or empty text has no match; one word has no bigram and no match; equals go to the template that
+comes first; repeated rows get equal results; extra columns pass through, and one named like a result is
 replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +50,13 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Proprietary", "All rights reserved."),
 ]
+_MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_UNLICENSE_REST = "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+#: Texts whose publishers give them as a grant and what follows it; as one they are templates too.
+_REST = {("MIT", "Permission"): _MIT_WARRANTY, ("BSD-3-Clause", "Redistribution"): _BSD_WARRANTY, ("BSD-2-Clause", "Redistribution"): _BSD_WARRANTY, ("ISC", "Permission"): _ISC_WARRANTY, ("Unlicense", "This"): _UNLICENSE_REST}
+TEMPLATES += [(n, f"{x} {_REST[n, x.split(' ')[0]]}") for n, x in TEMPLATES if (n, x.split(" ")[0]) in _REST]
 _WORD = re.compile(r"[^\W_]+")
 _ADDED = {"licenses": T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))}
 
@@ -68,6 +79,8 @@ class Templates:
             for b in s:
                 self.of.setdefault(b, []).append(i)
         self.ratio = (2 - threshold) / threshold + 1e-9
+        #: Bigrams that a window must share with each template, whatever its size.
+        self.need = [math.ceil(len(x) / self.ratio - 1e-6) for x in self.sets]
         self.least = min(map(len, self.sets)) / self.ratio
         self.most = max(map(len, self.sets)) * self.ratio
 
@@ -85,54 +98,66 @@ class Templates:
         return (top[0], -top[1]) if top[0] >= self.threshold else None
 
 
+def _windows(pairs: list, t: Templates, i: int) -> list[tuple[int, float, int, int]]:
+    """(shared, score, first pair, last pair) of the best window from each place that begins one for template i."""
+    own, size = t.sets[i], len(t.sets[i])
+    places = [k for k, b in enumerate(pairs) if b in own]
+    most, longest = size * t.ratio, int(t.words[i] * t.ratio) + 1
+    out = []
+    for k, begin in enumerate(places):
+        last = k + t.need[i] - 1
+        if last >= len(places):
+            break
+        if places[last] - begin >= longest:
+            continue
+        seen, shared, best = set(), 0, None
+        for at in range(begin, min(begin + longest, len(pairs))):
+            b = pairs[at]
+            if b in seen:
+                continue
+            seen.add(b)
+            if len(seen) > most or best and best[1] >= 2 * size / (len(seen) + size):
+                break
+            if b in own:
+                shared += 1
+                score = 2 * shared / (len(seen) + size)
+                if score >= t.threshold and (not best or score > best[1]):
+                    best = (shared, score, begin, at)
+        if best:
+            out.append(best)
+    return out
+
+
 def scan(text: str | None, t: Templates) -> list[tuple[str, float, int, int]]:
-    """(license, score, start, end) of the text's matches, the best of those that overlap, in order."""
+    """(license, score, start, end) of the text's matches, those that explain most of the text before others, in order."""
     if not text:
         return []
-    lines, at = [], 0
-    for line in text.split("\n"):
-        lines.append((at, at + len(line)))
-        at += len(line) + 1
-    # only lines with a bigram of some template can be part of a match that reaches the threshold, but for short fillers
-    words, own, hit = [], [], []
-    for a, b in lines:
-        w = _WORD.findall(text[a:b].lower())
-        s = bigrams(w)
-        words.append(len(w))
-        own.append(s)
-        hit.append(not t.of.keys().isdisjoint(s))
-    if not any(hit):
+    low = text.replace("\u0130", "i").lower()  # the one letter that grows when lower-cased
+    words = _WORD.findall(low)
+    pairs = list(zip(words, words[1:], strict=False))
+    shared: dict[int, int] = {}
+    for b in t.of.keys() & set(pairs):
+        for i in t.of[b]:
+            shared[i] = shared.get(i, 0) + 1
+    found = [(-n * score, i, a, b, score) for i, m in shared.items() if m >= t.need[i] for n, score, a, b in _windows(pairs, t, i)]
+    if not found:
         return []
-    blocks = {(i, i + 1) for i, h in enumerate(hit) if h} | {(0, len(lines))}
-    begin = 0
-    for i in range(len(lines) + 1):
-        if i == len(lines) or not words[i]:
-            if begin < i and any(hit[begin:i]):
-                blocks.add((begin, i))
-            begin = i + 1
-    most = int(max(t.words) * t.ratio) + 1
-    longest = max(t.words)
-    for i, h in enumerate(hit):  # runs of lines, till they are longer than any template allows
-        if h:
-            n = 0
-            for j in range(i, len(lines)):
-                n += words[j]
-                if n > most or n > 1.25 * longest and j > i:
-                    break
-                if hit[j] and j > i:
-                    blocks.add((i, j + 1))
-    found = []
-    for i, j in blocks:
-        if sum(words[i:j]) > most:
-            continue
-        s = own[i] if j == i + 1 else bigrams(_WORD.findall(text[lines[i][0] : lines[j - 1][1]].lower()))
-        if top := t.best(s):
-            found.append((-top[0], top[1], lines[i][0], lines[j - 1][1]))
-    out: list[tuple[str, float, int, int]] = []
-    for score, i, a, b in sorted(found):
-        if all(b <= x or y <= a for _, _, x, y in out):
-            out.append((t.names[i], -score, a, b))
-    return sorted(out, key=lambda m: m[2])
+    ends, out = [], []
+    for _, i, a, b, score in sorted(found):
+        k = bisect(ends, (a, b))  # in word pairs; b + 1 is the last word
+        if (k == 0 or ends[k - 1][1] + 1 < a) and (k == len(ends) or b + 1 < ends[k][0]):
+            ends.insert(k, (a, b))
+            out.append((a, b, i, score))
+    spans = [m.span() for m in _WORD.finditer(low)]
+
+    def edges(a: int, b: int) -> tuple[int, int]:
+        """Where the window begins and ends: with its line, if it has all words that the line has on that side."""
+        start, end = spans[a][0], spans[b + 1][1]
+        line, stop = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+        stop = len(text) if stop < 0 else stop
+        return (line if a == 0 or spans[a - 1][1] <= line else start, stop if b + 2 == len(spans) or spans[b + 2][0] >= stop else end)
+
+    return [(t.names[i], score, *edges(a, b)) for a, b, i, score in sorted(out)]
 
 
 def find_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

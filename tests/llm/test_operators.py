@@ -97,6 +97,31 @@ def test_op4(spark, tables):
     assert queries.op4_licenses(spark, tables(documents=AWKWARD)).count() == len(AWKWARD)
 
 
+def test_licenses_within_lines():
+    t = licenses.Templates(licenses.TEMPLATES, 0.8)
+    full = {n: x for n, x in licenses.TEMPLATES}  # the last of each name is its longest
+    names = lambda text: [m[0] for m in licenses.scan(text, t)]
+    line = "This project is released under the MIT License. See LICENSE for details."
+    ((name, score, start, end),) = licenses.scan(line, t)
+    assert (name, score, line[start:end]) == ("MIT", 1.0, "released under the MIT License")
+    prose = "Many words come before it and more words follow. " * 30
+    assert names(prose + "It is licensed under the Apache\nLicense, Version 2.0. " + prose) == ["Apache-2.0"] and names(prose) == []
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"):
+        for text in (full[name], f"Copyright 2020 Someone {full[name]} {prose}", full[name].replace("copyright holder", "company of ours"), full[name].replace(". ", ".\n\n")):
+            assert names(text) == [name]
+            (m,) = licenses.scan(text, t)
+            assert m[2] < 25 and text[m[3] - 30 : m[3]].strip(". \n")[-5:] in full[name][-80:]
+    # every match is as good as the best of all windows of its text
+    text = f"one two {licenses.TEMPLATES[0][1]} three four"
+    w = text.lower().replace(".", "").split()
+    assert licenses.scan(text, t)[0][1] == max(dice(" ".join(w[a:b]), x) for a in range(len(w)) for b in range(a + 2, len(w) + 1) for _, x in licenses.TEMPLATES)
+    import time
+
+    began = time.time()
+    assert len(licenses.scan("All rights reserved.\n" * 20_000, t)) == 20_000 and len(licenses.scan("\u0130 " + f"{full['MIT']} " * 100, t)) == 100
+    assert time.time() - began < 60
+
+
 def test_op5_equals_library(spark, tables, library):
     data = spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()
     for rows in (AWKWARD, [tuple(r) for r in data], []):

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stellarframe.llm import common, decontaminate, minhash, pieces, pii, quality_rules
 
+#: Near copies are those of 80 % and more; 29 bands of 5 miss a pair of 80 % with a chance of about 1e-5.
+DEDUP_PERCENT, DEDUP_BANDS, DEDUP_BAND_ROWS = 80, 29, 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -23,7 +25,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id. Nodes are texts, so rows of one id or none
     are told apart by their texts."""
     common.small_batches(spark)
-    return minhash.drop_near_duplicates(docs.select(*COLUMNS))
+    return minhash.drop_near_duplicates(docs.select(*COLUMNS), percent=DEDUP_PERCENT, n_bands=DEDUP_BANDS, band_rows=DEDUP_BAND_ROWS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near-duplicates by fast similarity sketching, banding and exact verification on full shingle sets.
 
 Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; a document's set holds its distinct shingles of five words, or
-the whole sequence if it has fewer. A sketch has `COORDS` coordinates: in round i below COORDS each shingle is hashed to
-one bin, in round COORDS + j all compete for bin j, the smallest (round, hash) wins its bin, so every coordinate fills
+the whole sequence if it has fewer. A sketch has a number of coordinates n: in round i below n each shingle is hashed to
+one bin, in round n + j all compete for bin j, the smallest (round, hash) wins its bin, so every coordinate fills
 and estimates concentrate as if the shingles had been sampled without replacement. `BAND_ROWS` coordinates make a band;
 two sets of similarity 0.85 miss each other in all bands with a chance of about 1e-5.
 
@@ -33,8 +33,10 @@ from .common import materialise
 from .components import components
 
 SHINGLE = 5
-COORDS = 144
+BANDS = 24
 BAND_ROWS = 6
+#: Seeds are made for so many coordinates.
+MOST_COORDS = 256
 #: A link needs 100 * intersection >= LINK_PERCENT * union.
 LINK_PERCENT = 85
 #: Shingles of the members of a bucket that meet in one group at most, on average, twice over.
@@ -82,33 +84,33 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-_SEEDS = _mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_SEEDS = _mix(np.arange(1, 2 * MOST_COORDS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 #: Rounds are taken in blocks of about so many hashes, some of them beyond the round that fills the last bin; those lose.
 _BLOCK = 1536
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
+def sketch(hashes: np.ndarray, coords: int = BANDS * BAND_ROWS) -> np.ndarray:
     """The coordinates of a set that isn't empty."""
-    out = np.full(COORDS, _EMPTY)
+    out = np.full(coords, _EMPTY)
     at = 0
-    while at < 2 * COORDS and (out == _EMPTY).any():
-        free = at < COORDS
-        rounds = np.arange(at, min(at + max(1, _BLOCK // len(hashes)), COORDS if free else 2 * COORDS))
+    while at < 2 * coords and (out == _EMPTY).any():
+        free = at < coords
+        rounds = np.arange(at, min(at + max(1, _BLOCK // len(hashes)), coords if free else 2 * coords))
         g = _mix(hashes[None, :] ^ _SEEDS[rounds][:, None])
         value = (rounds.astype(np.uint64) << _U(55))[:, None] | (g >> _U(9))
         if free:
-            bins = ((g & _U(0xFFFFFFFF)) * _U(COORDS)) >> _U(32)
+            bins = ((g & _U(0xFFFFFFFF)) * _U(coords)) >> _U(32)
             np.minimum.at(out, bins.ravel().astype(np.int64), value.ravel())
         else:
-            np.minimum.at(out, rounds - COORDS, value.min(axis=1))
+            np.minimum.at(out, rounds - coords, value.min(axis=1))
         at = int(rounds[-1]) + 1
     return out
 
 
-def band_hashes(coords: np.ndarray) -> np.ndarray:
-    rows = coords.reshape(-1, BAND_ROWS)
+def band_hashes(coords: np.ndarray, band_rows: int = BAND_ROWS) -> np.ndarray:
+    rows = coords.reshape(-1, band_rows)
     h = _SEEDS[: len(rows)].copy()
-    for i in range(BAND_ROWS):
+    for i in range(band_rows):
         h = _mix(h ^ rows[:, i])
     return h.view(np.int64)
 
@@ -123,7 +125,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = LINK_PERCENT) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
+def _sketched(docs: DataFrame, n_bands: int, band_rows: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, node, bands) of every document; node and bands are null without words."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -134,7 +136,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 h = shingle_hashes(text)
                 sizes.append(len(h))
                 nodes.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                bands.append(band_hashes(sketch(h)) if len(h) else None)
+                bands.append(band_hashes(sketch(h, n_bands * band_rows), band_rows) if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).select("doc_id", "text_hash", "text").mapInArrow(run, schema)
@@ -198,10 +200,10 @@ def _joins(rows: list[tuple[bytes, bytes, np.ndarray]], percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], names=["a", "b"])
 
 
-def _grouped(docs: DataFrame, percent: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, percent: int, block_shingles: int, n_bands: int, band_rows: int) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and (node, least_id, first_row, root) of all nodes; nodes of one root are a component."""
     spark = docs.sparkSession
-    meta = materialise(spark, _sketched(docs))
+    meta = materialise(spark, _sketched(docs, n_bands, band_rows))
     nodes = materialise(spark, meta.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("least_id"), F.min(_row()).alias("first_row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     every = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -242,9 +244,9 @@ def _grouped(docs: DataFrame, percent: int, block_shingles: int) -> tuple[DataFr
     return meta, grouped
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, n_bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `docs`."""
-    meta, grouped = _grouped(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), percent, block_shingles)
+    meta, grouped = _grouped(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), percent, block_shingles, n_bands, band_rows)
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component"))
     named = grouped.join(least, "root").select("node", "component")
     out = meta.select("doc_id", "n_shingles", "node").join(named, "node", "left")
@@ -257,14 +259,14 @@ def _row() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
 
 
-def drop_near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, n_bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `docs` for each component: of its smallest id, or of none if all are null, and there of one text.
 
     A row without words is its own component, so that of each id and text one is left. Ids say nothing of a text: rows that
     share an id, or have none, go or stay by their texts.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    meta, grouped = _grouped(own, percent, block_shingles)
+    meta, grouped = _grouped(own, percent, block_shingles, n_bands, band_rows)
     first = grouped.groupBy("root").agg(F.min("first_row").alias("row")).select("row").union(meta.where("node IS NULL").select(_row().alias("row")).distinct())
     key = lambda i, h: [F.col(i).isNull().alias("no_id"), F.coalesce(F.col(i).cast("string"), F.lit("")).alias("id"), h.alias("hash")]
     rows = docs.select(*key(f"`{id_col}`", F.xxhash64(f"`{text_col}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

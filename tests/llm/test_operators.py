@@ -310,6 +310,19 @@ def test_dedup_stage_tells_texts_apart(spark):
     assert set(map(tuple, got)) <= set(rows)
 
 
+def test_dedup_stage_links_from_80_percent(spark):
+    rows = []
+    for i in range(200):  # pairs of 96 shingles that share 5 * k fewer
+        words = [f"w{i}.{k}" for k in range(100)]
+        near = list(words)
+        for k in (20, 60) if i % 2 else (20, 50, 80):
+            near[k] = "x"
+        rows += [doc(2 * i, " ".join(words)), doc(2 * i + 1, " ".join(near))]
+    got = sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, spark.createDataFrame(rows, DOCS), "").collect())
+    # 86 of 106 shingles are 81 %, 81 of 111 are 73 %
+    assert got == sorted(d for i in range(200) for d in ([2 * i] if i % 2 else [2 * i, 2 * i + 1]))
+
+
 def test_pipeline_against_brute_force(spark, tables, library):
     from stellarframe.llm.quality_rules import measure
 

@@ -365,9 +365,7 @@ _CHECKS = [
 _SIGN = {"greater_than": ">", "less_than_or_equal": "<="}
 
 
-@query("gate_report", " UNION ALL ".join(f"SELECT '{n}' AS check_name, CASE WHEN v {_SIGN[o]} {t} THEN 'pass' ELSE '{'fail' if s == 'error' else 'warn'}' END AS status, '{s}' AS severity, ROUND(v, 6) AS observed_value, '{o}' AS operator, {t}::DOUBLE AS threshold, '' AS description FROM (SELECT CAST(({q}) AS DOUBLE) AS v)" for n, s, q, o, t in _CHECKS))
-def _q(spark, d):
-    t = Tables(spark, d)
+def _gate(t: Tables) -> DataFrame:
     joined = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
     measures = [
         quality.count(t.events), quality.duplicate_keys(t.events, "event_id"), quality.duplicate_keys(t.lineitem, "l_orderkey", "l_linenumber"), quality.count(t.lineitem.where("l_discount IS NULL OR l_discount < 0 OR l_discount > 1")),
@@ -376,6 +374,11 @@ def _q(spark, d):
     return quality.run_checks([quality.Check(n, s, m, o, th) for (n, s, _, o, th), m in zip(_CHECKS, measures, strict=True)])
 
 
+@query("gate_report", " UNION ALL ".join(f"SELECT '{n}' AS check_name, CASE WHEN v {_SIGN[o]} {t} THEN 'pass' ELSE '{'fail' if s == 'error' else 'warn'}' END AS status, '{s}' AS severity, ROUND(v, 6) AS observed_value, '{o}' AS operator, {t}::DOUBLE AS threshold, '' AS description FROM (SELECT CAST(({q}) AS DOUBLE) AS v)" for n, s, q, o, t in _CHECKS))
+def _q(spark, d):
+    return _gate(Tables(spark, d))
+
+
 @query("top25_abs", "SELECT c_custkey, c_acctbal FROM customer ORDER BY ABS(c_acctbal) DESC NULLS LAST, c_custkey LIMIT 25")
 def _q(spark, d):
     return serve.top(Tables(spark, d).customer.select("c_custkey", "c_acctbal"), F.abs("c_acctbal"), "c_custkey", 25)
@@ -530,7 +533,8 @@ def _q(spark, d):
     return serve.health({n: getattr(t, n) for n in ("events", "orders", "lineitem", "labels", "pages")})
 
 
-def _served(t: Tables) -> dict[str, DataFrame]:
+def _served_to_sql(t: Tables) -> dict[str, DataFrame]:
+    """The tables that the SQL of `metrics` covers."""
     hourly, index = _hourly(t), _index(t)
     return {"orbital_snapshot_history": t.orbital(), "noaa_magnetic_history": t.magnetic(), "noaa_plasma_history": t.plasma(), "orbit_reliability_index": index, "reliability_class_summary": gold.reliability_class_summary(index), "freshness_by_group": gold.freshness_by_group(gold.element_freshness(t.daily())), "space_weather_hourly": hourly, "satnogs_observation_history": t.observations(), "satnogs_activity": gold.satnogs_activity(t.observations())}
 
@@ -545,6 +549,18 @@ _G = lambda n, q, label="''": f"SELECT '{n}' AS name, {label} AS label, CAST(v A
     _G("satnogs_days", "SELECT COUNT(*) AS v FROM act"), _G("satnogs_observations", "SELECT SUM(observation_count) AS v FROM act"), _G("satnogs_good_observations", "SELECT SUM(good_count) AS v FROM act"), _G("satnogs_completed_observations", "SELECT SUM(completed_count) AS v FROM act"), _G("satnogs_scheduled_observations", "SELECT SUM(scheduled_count) AS v FROM act"), _G("satnogs_good_percent_of_completed", "SELECT ROUND(100.0::DOUBLE * SUM(good_count) / SUM(completed_count), 1) AS v FROM act"),
     _G("satnogs_distinct_satellites", "SELECT COUNT(DISTINCT norad_catalog_id) AS v FROM ob"), _G("satnogs_distinct_stations", "SELECT COUNT(DISTINCT station_id) AS v FROM ob"),
 ]))
+def _q(spark, d):
+    return serve.metrics(_served_to_sql(Tables(spark, d))).select("name", F.concat_ws(",", F.map_values("labels")).alias("label"), "value")
+
+
+def _served(t: Tables) -> dict[str, DataFrame]:
+    """All tables that gauges are made of."""
+    measured = measure.propagation_disagreement(t.orbital())
+    stats = measure.validation_stats(measure.validation_pairs(measured, t.orbital()), measured)
+    return _served_to_sql(t) | {"propagation_disagreement": measured, "validation_stats": stats, "sw_index_daily": gold.sw_index_daily(t.indices()), "debris_population": gold.debris_population(_features(t)), "quality": _gate(t)}
+
+
+@query("all_metrics")
 def _q(spark, d):
     return serve.metrics(_served(Tables(spark, d))).select("name", F.concat_ws(",", F.map_values("labels")).alias("label"), "value")
 

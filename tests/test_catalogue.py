@@ -44,6 +44,14 @@ def test_other_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_every_panel_has_a_value(spark):
+    from stellarframe.plans import serve
+
+    rows = catalogue.QUERIES["dashboard_panels"](spark, SF).collect()
+    assert {r["panel"] for r in rows} == {p for p, _, _ in serve.PANELS} and not [r["panel"] for r in rows if r["value"] is None]
+    assert len({r["name"] for r in catalogue.QUERIES["all_metrics"](spark, SF).collect()}) == 42
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -585,4 +585,4 @@ def _q(spark, d):
     from . import model
 
     t = Tables(spark, d)
-    return model.scores(model.cross_validated(measure.validation_pairs(_proxy(t), t.orbital()), maxIter=5))
+    return model.scores(model.cross_validated(measure.validation_pairs(_proxy(t), t.orbital())))

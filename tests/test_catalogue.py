@@ -52,6 +52,16 @@ def test_every_panel_has_a_value(spark):
     assert len({r["name"] for r in catalogue.QUERIES["all_metrics"](spark, SF).collect()}) == 42
 
 
+def test_regression_is_registered_with_its_settings(spark, monkeypatch):
+    from stellarframe.plans import model
+
+    given = []
+    monkeypatch.setattr(model, "cross_validated", lambda pairs, **settings: given.append(settings))
+    monkeypatch.setattr(model, "scores", lambda predicted: predicted)
+    catalogue.QUERIES["grouped_cv_regression"](spark, SF)
+    assert [model.SETTINGS | g for g in given] == [model.SETTINGS]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -1,11 +1,16 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table, by alternating large and small stars.
+
+Defined cases: links with a null end are ignored, and so are those from a node to itself; repeated links and links in both
+directions count once; an empty table gives no rows; other columns are not read. Nodes may be of any type that has an
+order; whole numbers are aggregated by hash, others by sorting.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Stages, remove
 
 
 def _min_hop(edges: DataFrame, key: str, value: str) -> DataFrame:
@@ -14,21 +19,24 @@ def _min_hop(edges: DataFrame, key: str, value: str) -> DataFrame:
     return edges.join(least, key)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", *, stages: Stages | None = None, files: int | None = None) -> DataFrame:
     """(node, root) for every node that has a link; the root is the component's smallest node.
 
-    Each round is two joins and two aggregates, written to the shared folder; the rounds grow with the logarithm of a
-    component's diameter. No component or node's links are gathered in one task.
+    With `stages` its tables are deleted with theirs; each is written into `files` files at most.
+
+    Each round is two joins and two aggregates, written to the shared folder, where the round before is deleted; the rounds
+    grow with the logarithm of a component's diameter. No component or node's links are gathered in one task.
     """
-    spark = links.sparkSession
-    edges = materialise(spark, links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    stages = stages or Stages(links.sparkSession)
+    edges = stages.write(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), files=files)
     sign = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _min_hop(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         hop = _min_hop(large, "u", "v")
         small = hop.select(F.col("v").alias("x"), F.col("m").alias("y")).union(hop.select(F.col("u").alias("x"), F.col("m").alias("y")))
-        edges = materialise(spark, small.where("x != y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
+        edges = stages.write(small.where("x != y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), files=files)
+        remove(stages.spark, stages.paths.pop(-2))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
             break

@@ -1,23 +1,23 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated probabilities.
 
-Every token has a sparse random index vector, a function of its hash; a token's word vector is the sum of the index
-vectors of its neighbours. A document pools its vectors once over tokens and once over distinct tokens, beside its
-length and its shares of distinct tokens and pairs. A network of one hidden layer, trained with numpy, gives a logit;
-a temperature fitted on held-back training rows and the prior of all training labels turn it into a probability.
+Every token belongs to one of `buckets` by its hash, and every bucket has a sparse random index vector. A token's word vector
+is the sum of the index vectors of its neighbours, over all documents of the table: tasks add up their own documents, and
+these sums of fixed size are added up by a second step. A document pools its vectors once over tokens and once over distinct
+tokens, beside its length and its shares of distinct tokens and pairs. A network of one hidden layer, trained with numpy,
+gives a logit; a temperature fitted on held-back training rows and the prior of all training labels turn it into a probability.
 
-Fitting is bounded: at most `fit_rows` labelled rows of each class, those with the smallest hash, and at most
-`vocabulary` tokens, those in most of these rows; rarer tokens share a vector with all of their shape. Texts never come
-to the driver, only counts, sums of vectors and pooled rows. Scoring reads every whole text.
+Only the network's training is bounded: `fit_rows` labelled ids of each class at most, those with the smallest hash. Texts
+never come to the driver, only the bucket vectors (4 MB) and the pooled rows of the sample. Scoring reads every whole text.
 
 Defined cases: null and empty texts pool to zeros and get a score; a null label, or one that is neither 0 nor 1, is not
-learned from; labels repeated alike count once, and so do repeated ids; with no label, or one class alone, the score is that class's share (0.5
-without labels); repeated rows get equal scores; extra columns are ignored.
+learned from, nor is an id with both labels; labels repeated alike count once, and so do repeated ids (their smallest text);
+with no label, or one class alone, the score is that class's share (0.5 without labels); repeated rows get equal scores;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
-
 DIM = 64
 NONZERO = 8
 NEIGHBOURS = 2
-VOCABULARY = 20_000
+BUCKETS = 1 << 14
+#: Buckets whose sums travel as one row; tokens whose contexts are added up at a time.
+CHUNK = 512
+STEP = 32_768
 FIT_ROWS = 2500
 HIDDEN = 32
 EPOCHS = 60
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_CACHE_TOKENS = 200_000
+_CACHE_TOKENS = 60_000
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -45,40 +46,78 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def shape(token: str) -> str:
-    """What rare tokens of one kind share; no token of a text begins with a blank."""
-    kind = "0" if token[0].isdigit() else "_" if not token[0].isalpha() else "U" if token.isupper() and len(token) > 1 else "T" if token[0].isupper() else "l"
-    return f" {kind}{min(len(token) // 3, 5)}"
+class Buckets(dict):
+    """Token to its bucket, kept for those seen of late."""
+
+    def __init__(self, n: int):
+        super().__init__()
+        self.n = n
 
+    def __missing__(self, token: str) -> int:
+        i = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) % self.n
+        if len(token) <= 48:
+            self[token] = i
+        return i
 
-_SHAPES = [f" {k}{n}" for k in "0_UTl" for n in range(6)]
+    def ids(self, text: str | None) -> np.ndarray:
+        """The buckets of a text's tokens, in order."""
+        if len(self) > _CACHE_TOKENS:
+            self.clear()
+        return np.array(list(map(self.__getitem__, _TOKEN.findall(text or ""))), np.int64)
 
 
-def index_vectors(tokens: list[str]) -> np.ndarray:
-    """Sparse random vectors: NONZERO entries of 1 or -1, by the token's hash."""
-    out = np.zeros((len(tokens), DIM), np.float32)
-    for i, t in enumerate(tokens):
-        draw = np.random.Generator(np.random.PCG64(xxhash.xxh3_64_intdigest(t)))
-        out[i, draw.choice(DIM, NONZERO, replace=False)] = draw.choice([-1.0, 1.0], NONZERO)
+def index_vectors(n: int) -> np.ndarray:
+    """Sparse random vectors, the same everywhere: NONZERO entries of 1 or -1; one more of zeros stands for no token."""
+    draw = np.random.Generator(np.random.PCG64(11))
+    out = np.zeros((n + 1, DIM), np.int8)
+    places = np.argsort(draw.random((n, DIM), np.float32), axis=1)[:, :NONZERO]
+    np.put_along_axis(out[:n], places, draw.integers(0, 2, (n, NONZERO), np.int8) * 2 - 1, axis=1)
     return out
 
 
-class _Ids(dict):
-    """Token to its row; tokens without one have that of their shape."""
+def add_contexts(rows: list[np.ndarray], index: np.ndarray, into: np.ndarray) -> None:
+    """Add to each bucket's row of `into` the index vectors of its tokens' neighbours within their documents."""
+    gap = np.full(NEIGHBOURS, len(index) - 1, np.int64)
+    ids = np.concatenate([gap, *[x for r in rows for x in (r, gap)]])
+    for at in range(NEIGHBOURS, len(ids) - NEIGHBOURS, STEP):
+        own = ids[at : min(at + STEP, len(ids) - NEIGHBOURS)]
+        near = index[ids[at - NEIGHBOURS : at + len(own) + NEIGHBOURS]]
+        sums = np.zeros((len(own), DIM), np.int8)
+        for k in range(2 * NEIGHBOURS + 1):
+            if k != NEIGHBOURS:
+                sums += near[k : k + len(own)]
+        order = np.argsort(own, kind="stable")
+        kinds, starts = np.unique(own[order], return_index=True)
+        total = np.add.reduceat(sums[order], starts, axis=0, dtype=np.int32)
+        known = kinds < len(index) - 1
+        into[kinds[known]] += total[known]
 
-    def __init__(self, tokens: list[str]):
-        super().__init__((t, i) for i, t in enumerate(tokens))
-        self.room = len(self) + _CACHE_TOKENS
 
-    def __missing__(self, token: str) -> int:
-        i = dict.get(self, shape(token), 0)
-        if len(self) < self.room:
-            self[token] = i
-        return i
+def word_vectors(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """The vector of each bucket, of length 1 or 0, from all texts of `docs` (text)."""
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, index, into = Buckets(buckets), index_vectors(buckets), np.zeros((buckets, DIM), np.int32)
+        for b in batches:
+            add_contexts([known.ids(t.as_py()) for t in b.column("text")], index, into)
+        parts = range(0, buckets, CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([into[i : i + CHUNK].tobytes() for i in parts], pa.binary())], names=["at", "sums"])
 
-def token_ids(text: str | None, ids: _Ids) -> np.ndarray:
-    return np.array(list(map(ids.__getitem__, _TOKEN.findall(text or ""))), np.int64)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, own in zip(b.column("at").to_pylist(), b.column("sums"), strict=True):
+                own = np.frombuffer(own.as_py(), np.int32).reshape(-1, DIM)
+                sums[at] = sums[at] + own if at in sums else own.astype(np.int64)
+        for at, v in sums.items():
+            unit = (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-6)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([unit.tobytes()], pa.binary())], names=["at", "sums"])
+
+    out = np.zeros((buckets, DIM), np.float32)
+    parts = docs.select("text").mapInArrow(summed, "at int, sums binary").repartition(-(-buckets // CHUNK), "at")
+    for at, unit in parts.mapInArrow(merged, "at int, sums binary").collect():  # as many bytes as `out`
+        out[at : at + CHUNK] = np.frombuffer(bytes(unit), np.float32).reshape(-1, DIM)
+    return out
 
 
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -95,16 +134,6 @@ def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def _contexts(ids: np.ndarray, index: np.ndarray, into: np.ndarray) -> None:
-    """Add to each token's row of `into` the index vectors of its neighbours."""
-    for k in range(1, NEIGHBOURS + 1):
-        if len(ids) > k:
-            pairs, n = np.unique(ids[k:] * len(index) + ids[:-k], return_counts=True)
-            a, b = pairs // len(index), pairs % len(index)
-            np.add.at(into, a, index[b] * n[:, None].astype(np.float32))
-            np.add.at(into, b, index[a] * n[:, None].astype(np.float32))
-
-
 class Network:
     """Two layers: tanh units and a logit; trained by Adam on the logistic loss."""
 
@@ -145,66 +174,46 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 class Model:
     """What scoring needs; a few MB whatever the size of the tables."""
 
-    def __init__(self, tokens: list[str], vectors: np.ndarray, network: Network | None, t: float, shift: float, prior: float):
-        self.tokens, self.vectors, self.network, self.t, self.shift, self.prior = tokens, vectors, network, t, shift, prior
+    def __init__(self, vectors: np.ndarray, network: Network | None, t: float, shift: float, prior: float):
+        self.vectors, self.network, self.t, self.shift, self.prior = vectors, network, t, shift, prior
 
-    def scores(self, texts: list[str | None], ids: _Ids) -> np.ndarray:
+    def scores(self, texts: pa.Array, known: Buckets) -> np.ndarray:
         if self.network is None:
             return np.full(len(texts), self.prior)
-        x = np.stack([pooled(token_ids(t, ids), self.vectors) for t in texts])
+        x = np.stack([pooled(known.ids(t.as_py()), self.vectors) for t in texts])
         return 1 / (1 + np.exp(-np.clip(self.network.logits(x) / self.t + self.shift, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, vocabulary: int = VOCABULARY) -> Model:
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y): each id that may be learned from and has one label, once."""
+    good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+    return good.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("most")).where("y = most").select("doc_id", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Model:
     """A model of `labels` (doc_id, quality) by the texts of `docs` (doc_id, text); held-out rows are left out."""
     spark = docs.sparkSession
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("y"))
+    known = training_labels(labels)
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     prior = n.get(1, 0) / sum(n.values()) if n else 0.5
     if len(n) < 2:
-        return Model([], np.zeros((0, DIM), np.float32), None, 1, 0, prior)
+        return Model(np.zeros((0, DIM), np.float32), None, 1, 0, prior)
+    vectors = word_vectors(docs, buckets)
+    sent = spark.sparkContext.broadcast(vectors)  # of fixed size
     chosen = [known.where(F.col("y") == y).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(fit_rows) for y in (0, 1)]
     ids = chosen[0].union(chosen[1])  # at most 2 * fit_rows rows of two numbers
     # one text of each id, the smallest; repeated rows are combined before the shuffle
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "h", "y").agg(F.min("text").alias("text"))
-    sample = materialise(spark, sample).repartition(4)
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: Counter = Counter()
-            for text in b.column("text").to_pylist():
-                found.update(set(_TOKEN.findall(text or "")))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["token", "n"])
-
-    counted = sample.select("text").mapInArrow(distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    tokens = _SHAPES + [r["token"] for r in counted.where("n > 1").orderBy(F.desc("n"), "token").limit(vocabulary).collect()]
-    index = spark.sparkContext.broadcast((tokens, index_vectors(tokens)))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vectors = index.value
-        ids, into = _Ids(own), np.zeros((len(own), DIM), np.float32)
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                _contexts(token_ids(text, ids), vectors, into)
-        yield pa.RecordBatch.from_arrays([pa.array([into.tobytes()], pa.binary())], names=["sums"])
-
-    vectors = np.zeros((len(tokens), DIM), np.float32)
-    for (sums,) in sample.select("text").mapInArrow(summed, "sums binary").toLocalIterator():
-        vectors += np.frombuffer(bytes(sums), np.float32).reshape(vectors.shape)
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-6
-    sent = spark.sparkContext.broadcast((tokens, vectors))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known_vectors = sent.value
-        ids = _Ids(own)
+        known = Buckets(buckets)
         for b in batches:
-            rows = [pooled(token_ids(t, ids), known_vectors).tobytes() for t in b.column("text").to_pylist()]
+            rows = [pooled(known.ids(t.as_py()), sent.value).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(rows, pa.binary())], names=["h", "y", "x"])
 
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    rows = sorted((h, y, bytes(x)) for h, y, x in sample.select("h", "y", "text").mapInArrow(features, schema).collect())  # at most 2 * fit_rows rows
+    rows = sorted((h, y, bytes(x)) for h, y, x in sample.select("h", "y", "text").mapInArrow(features, "h long, y int, x binary").collect())  # at most 2 * fit_rows rows
     if len({y for _, y, _ in rows}) < 2:
-        return Model(tokens, vectors, None, 1, 0, prior)
+        return Model(vectors, None, 1, 0, prior)
     x = np.stack([np.frombuffer(r, np.float32) for _, _, r in rows])
     y = np.array([r[1] for r in rows], float)
     held = np.arange(len(y)) % 5 == 0
@@ -214,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, vocabul
     t = temperature(network.logits(x[held]), y[held]) if held.any() else 1.0
     # the sample is balanced; all training labels are not
     shift = np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
-    return Model(tokens, vectors, network, t, float(shift), prior)
+    return Model(vectors, network, t, float(shift), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -224,11 +233,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        ids = _Ids(own.tokens)
+        known = Buckets(max(1, len(own.vectors)))
         for b in batches:
             if not b.num_rows:
                 continue
-            s = own.scores(b.column("text").to_pylist(), ids)
+            s = own.scores(b.column("text"), known)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
 
     return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, schema)

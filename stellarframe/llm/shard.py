@@ -2,10 +2,14 @@
 
 The ring has 65,536 cells. Each shard owns the cells up to each of its virtual nodes; a key goes to the cell of its
 hash, and when the owner is full it continues clockwise to the next shard with room. Capacities are n / shards, one
-more for the first n mod shards of them, so counts are at most one apart (law `rows`). Rows are placed in ring order:
-only counts of cells decide, so the plan is one row made by SQL functions over at most 65,536 counts, and a row needs
-its rank in its cell alone. With `bounded=False` the owner keeps all (law `key`): id and shard count decide, and one
-more shard takes rows only into itself.
+more for the first n mod shards of them, so counts are at most one apart (law `rows`). With `slack` all capacities are
+(1 + slack) * n / shards, rounded up (law `bounded`): fewer keys overflow, and fewer move when a shard is added. Rows are
+placed in ring order: only counts of cells decide, so the plan is one row made by SQL functions over at most 65,536 counts,
+and a row needs its place in its cell alone. With `bounded=False` the owner keeps all (law `key`): id and shard count
+decide, and one more shard takes rows only into itself.
+
+Equal rows are counted first and placed as one, and a cell is dealt into parts by what its rows say; so neither a frequent
+id, nor many copies of a row, nor rows without an id meet in one task. Placed copies are dealt out before they are listed.
 
 Defined cases: a null text has size 1 and checksum 0; a null id has a hash of its own; repeated ids get slots of their
 own; an empty table gives no rows; other columns are not read. All of it is DataFrame and SQL functions.
@@ -18,6 +22,9 @@ from pyspark.sql import functions as F
 
 CELLS = 65_536
 VNODES = 64
+#: Parts of a cell, and copies of a row that one step lists.
+PARTS = 256
+COPIES = 65_536
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int = VNODES) -> DataFrame:
@@ -31,13 +38,14 @@ def ring(spark: SparkSession, shards: int, vnodes: int = VNODES) -> DataFrame:
     return cells.select("p.cell", "arc", "owner", "p.turn")
 
 
-def _plan(counts: DataFrame, shards: int) -> DataFrame:
+def _plan(counts: DataFrame, shards: int, slack: float) -> DataFrame:
     """(arc, shard, lo, hi, base): rows lo..hi-1 of an arc, in ring order, are slots base.. of a shard."""
     arcs = counts.groupBy("arc").agg(F.first("owner").alias("owner"), F.sum("n").alias("n"))
     one = arcs.agg(F.array_sort(F.collect_list(F.struct("arc", "owner", "n"))).alias("arcs"))  # at most shards * vnodes entries
     one = one.withColumn("owners", F.expr("transform(arcs, x -> x.owner)")).withColumn("total", F.expr("aggregate(arcs, 0L, (a, x) -> a + x.n)"))
     one = one.withColumn("way", F.expr("transform(arcs, (x, i) -> struct(x.arc AS arc, x.n AS n, array_distinct(concat(slice(owners, i + 1, size(owners)), slice(owners, 1, i))) AS stops))"))
-    one = one.withColumn("room", F.expr(f"transform(sequence(0, {shards - 1}), s -> total div {shards} + if(s < total % {shards}, 1L, 0L))"))
+    room = f"cast(ceil(total * {1 + slack}D / {shards}) AS bigint)" if slack else f"total div {shards} + if(s < total % {shards}, 1L, 0L)"
+    one = one.withColumn("room", F.expr(f"transform(sequence(0, {shards - 1}), s -> {room})"))
     took = "least(b.rest, b.room[s])"
     inner = f"""aggregate(x.stops, struct(a.room AS room, a.out AS out, x.n AS rest), (b, s) -> if({took} <= 0, b, struct(
         transform(b.room, (v, i) -> if(i = s, v - {took}, v)) AS room,
@@ -47,26 +55,36 @@ def _plan(counts: DataFrame, shards: int) -> DataFrame:
     return one.select(F.inline(F.expr(f"aggregate(way, struct(room AS room, {empty} AS out), (a, x) -> {inner}, a -> a.out)")))
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, *, vnodes: int = VNODES, bounded: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 16, *, vnodes: int = VNODES, bounded: bool = True, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of `docs`."""
     spark = docs.sparkSession
-    key = F.xxhash64(F.lit("key"), F.col(id_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("bytes"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), key.alias("key"))
-    rows = rows.select("doc_id", (F.col("bytes") + 1).alias("size"), "text_crc32", "key", F.pmod("key", F.lit(CELLS)).cast("int").alias("cell"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(1)).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
+    equal = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    equal = equal.withColumn("key", F.xxhash64(F.lit("key"), "doc_id")).withColumn("cell", F.pmod("key", F.lit(CELLS)).cast("int")).withColumn("part", F.pmod(F.xxhash64("text_crc32", "doc_id", "size"), F.lit(PARTS)).cast("int"))
+    upto = F.sum("n").over(Window.partitionBy("cell", "part").orderBy("key", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = equal.withColumn("within", upto - F.col("n"))
+    parts = equal.groupBy("cell", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select("cell", "part", "n", (F.sum("n").over(Window.partitionBy("cell").orderBy("part")) - F.col("n")).alias("ahead"))
+
     cells = ring(spark, shards, vnodes)
-    found = docs.groupBy(F.pmod(key, F.lit(CELLS)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     # every cell, so that the ring is the same whatever the rows; both sides have at most CELLS rows
-    counts = cells.join(F.broadcast(found), "cell", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("key", "doc_id", "text_crc32", "size")).cast("long") - 1
-    rows = rows.withColumn("rank", rank)
+    counts = cells.join(F.broadcast(parts.groupBy("cell").agg(F.sum("n").alias("n"))), "cell", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    ranked = equal.join(parts.select("cell", "part", "ahead"), ["cell", "part"]).withColumn("rank", F.col("ahead") + F.col("within"))
     if not bounded:
-        owner = rows.join(F.broadcast(cells.select("cell", F.col("owner").alias("shard"))), "cell")
+        owner = ranked.join(F.broadcast(cells.select("cell", F.col("owner").alias("shard"))), "cell")
         owner = owner.join(F.broadcast(ring(spark, shards + 1, vnodes).select("cell", F.col("owner").alias("grown_shard"))), "cell")
         before = counts.select("cell", (F.sum("n").over(Window.partitionBy("owner").orderBy("arc", "turn")) - F.col("n")).alias("before"))
-        return owner.join(F.broadcast(before), "cell").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("rank")).alias("slot"), "grown_shard")
-    # at most CELLS rows: where each cell starts in its arc
-    starts = counts.select("cell", "arc", (F.sum("n").over(Window.partitionBy("arc").orderBy("turn")) - F.col("n")).alias("before"))
-    placed = rows.join(F.broadcast(starts), "cell").withColumn("at", F.col("before") + F.col("rank"))
-    plan = _plan(counts, shards)
-    out = placed.join(F.broadcast(plan), (placed["arc"] == plan["arc"]) & (placed["at"] >= plan["lo"]) & (placed["at"] < plan["hi"]))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("at") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        placed = owner.join(F.broadcast(before), "cell").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("rank")).alias("from"), "n", "grown_shard")
+    else:
+        # at most CELLS rows: where each cell starts in its arc
+        starts = counts.select("cell", "arc", (F.sum("n").over(Window.partitionBy("arc").orderBy("turn")) - F.col("n")).alias("before"))
+        at = ranked.join(F.broadcast(starts), "cell").withColumn("at", F.col("before") + F.col("rank")).withColumn("end", F.col("at") + F.col("n"))
+        plan = _plan(counts, shards, slack)
+        met = at.join(F.broadcast(plan), (at["arc"] == plan["arc"]) & (at["at"] < plan["hi"]) & (at["end"] > plan["lo"]))
+        begin, end = F.greatest("at", "lo"), F.least("end", "hi")
+        placed = met.select("doc_id", "size", "text_crc32", F.lit("bounded" if slack else "rows").alias("law"), "shard", (F.col("base") + begin - F.col("lo")).alias("from"), (end - begin).alias("n"), F.lit(None).cast("int").alias("grown_shard"))
+    # copies of a row are listed step by step, in tasks that share them
+    steps = placed.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")).alias("step")).withColumn("from", F.col("from") + F.col("step") * COPIES).withColumn("n", F.least(F.col("n") - F.col("step") * COPIES, F.lit(COPIES)))
+    slots = steps.repartition("shard", "from").select("doc_id", "size", "text_crc32", "law", "shard", F.explode(F.expr("sequence(`from`, `from` + n - 1)")).alias("slot"), "grown_shard")
+    return slots

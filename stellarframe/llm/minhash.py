@@ -6,11 +6,13 @@ one bin, in round n + j all compete for bin j, the smallest (round, hash) wins i
 and estimates concentrate as if the shingles had been sampled without replacement. `BAND_ROWS` coordinates make a band;
 two sets of similarity 0.85 miss each other in all bands with a chance of about 1e-5.
 
-Documents of equal sets are one node, so that copies never meet in pairs. In each bucket of a band the member that shares
-most buckets is the centre; it alone is compared with the others, by texts joined to the pairs (hot centres are ordinary
-skewed joins, which Spark splits). The links found join components. Buckets whose other members are then of several
-components are compared across these by an inverted index of their full sets, in blocks of bounded size, which gives out
-only links that join two components. So no pair between two components goes unseen, and no pairs of a group are listed.
+Documents of equal sets are one node, so that copies never meet in pairs; a node is numbered when it is written, and only
+numbers travel. In each bucket of a band the member that shares most buckets is the centre; it is compared with the others
+by texts joined to the pairs (hot centres are ordinary skewed joins, which Spark splits). The links found join components.
+Members of a bucket that are not of its centre's component are then compared with all its other members: a large bucket is
+cut into blocks of bounded size, and only those few members are sent to every block, so that a text of a hot bucket is
+sent about once. The comparison is by an inverted index of full sets and gives out only links that join two components. So
+no pair between two components goes unseen, and no pairs of a group are listed.
 
 Defined cases: texts that are null or have no words link with nothing and are their own component; a null doc_id gets its
 component's smallest id, or null; equal ids with different texts are different nodes under one id; repeated rows get equal
@@ -25,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import Stages, estimated_bytes
 from .components import components
 
 SHINGLE = 5
@@ -39,13 +41,17 @@ BAND_ROWS = 6
 MOST_COORDS = 256
 #: A link needs 100 * intersection >= LINK_PERCENT * union.
 LINK_PERCENT = 85
-#: Shingles of the members of a bucket that meet in one group at most, on average, twice over.
-BLOCK_SHINGLES = 1_000_000
-WORD_CACHE = 300_000
+#: Shingles of a bucket's members that one group compares, on average; its members of other components are so many times more.
+BLOCK_SHINGLES = 50_000
+OTHERS = 4
+#: Bytes of documents whose sketches go into one file.
+FILE_BYTES = 64 << 20
+#: Words of at most 64 bytes that a task remembers hashes of, about 200 bytes each.
+WORD_CACHE = 60_000
 _U = np.uint64
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
     """64-bit hashes of words, kept for those seen of late."""
 
     def __missing__(self, word: bytes) -> int:
@@ -55,7 +61,6 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
 _POWERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(SHINGLE + 1)]
 
 
@@ -66,14 +71,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
+def shingle_hashes(text: str | None, known: WordHashes | None = None) -> np.ndarray:
     """The sorted distinct shingles of a text, as 64-bit hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > WORD_CACHE:
-        _HASHES.clear()
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = WordHashes() if known is None else known
+    if len(known) > WORD_CACHE:
+        known.clear()
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(w) < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(w))], np.uint64)
     n = len(w) - SHINGLE + 1
@@ -130,10 +136,11 @@ def _sketched(docs: DataFrame, n_bands: int, band_rows: int) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for b in batches:
             sizes, nodes, bands = [], [], []
-            for text in b.column("text").to_pylist():
-                h = shingle_hashes(text)
+            for text in b.column("text"):
+                h = shingle_hashes(text.as_py(), known)
                 sizes.append(len(h))
                 nodes.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 bands.append(band_hashes(sketch(h, n_bands * band_rows), band_rows) if len(h) else None)
@@ -144,109 +151,134 @@ def _sketched(docs: DataFrame, n_bands: int, band_rows: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    # the narrow side is the one that is hashed, so that texts of members are not sorted; those of centres come in order
+    met = texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")).join(pairs.hint("shuffle_hash"), "b").join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        last, own, known = None, None, WordHashes()
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
+            a, keep = batch.column("a").to_pylist(), []
             for i, (x, tx, ty) in enumerate(zip(a, batch.column("text_a"), batch.column("text_b"), strict=True)):
                 if x != last:
-                    last, own = x, shingle_hashes(tx.as_py())
-                if similar(own, shingle_hashes(ty.as_py()), percent):
+                    last, own = x, shingle_hashes(tx.as_py(), known)
+                if similar(own, shingle_hashes(ty.as_py(), known), percent):
                     keep.append(i)
             if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.binary()), pa.array([b[i] for i in keep], pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each group of consecutive rows (bucket, p, q): links that join its components, found on full sets."""
-    key, rows = None, []
+    key, rows, known = None, [], WordHashes()
     for b in batches:
-        columns = [b.column(c).to_pylist() for c in ("bucket", "p", "q", "node", "root", "text")]
-        for bucket, p, q, node, root, text in zip(*columns, strict=True):
-            if (bucket, p, q) != key:
+        columns = [b.column(c).to_pylist() for c in ("bucket", "p", "q", "root", "asks", "answers")]
+        for *group, root, asks, answers, text in zip(*columns, b.column("text"), strict=True):
+            if group != key:
                 yield from _joins(rows, percent)
-                key, rows = (bucket, p, q), []
-            rows.append((node, root, shingle_hashes(text)))
+                key, rows = group, []
+            rows.append((root, asks, answers, shingle_hashes(text.as_py(), known)))
     yield from _joins(rows, percent)
 
 
-def _joins(rows: list[tuple[bytes, bytes, np.ndarray]], percent: int) -> Iterator[pa.RecordBatch]:
-    roots = np.unique(np.array([r for _, r, _ in rows], "S16"), return_inverse=True)[1] if rows else np.zeros(0, np.int64)
-    if len(rows) < 2 or not roots.any():
+def _joins(rows: list[tuple[int, bool, bool, np.ndarray]], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of components that a member which asks and one that answers have in common, each pair at most once."""
+    roots = np.array([r[0] for r in rows], np.int64)
+    asking, answering = (np.flatnonzero(np.array([r[i] for r in rows], bool)) for i in (1, 2))
+    if not len(asking) or not len(answering):
         return
-    sizes = np.array([len(h) for _, _, h in rows], np.int64)
-    ids = np.unique(np.concatenate([h for _, _, h in rows]), return_inverse=True)[1]
-    ends = np.cumsum(sizes)
-    holders = np.repeat(np.arange(len(rows)), sizes)[np.argsort(ids, kind="stable")]  # of each shingle, one after the other
+    first = roots.copy()
+    sizes = np.array([len(r[3]) for r in rows], np.int64)
+    # which members hold each shingle, one shingle's after the other's
+    known, ids = np.unique(np.concatenate([rows[j][3] for j in answering]), return_inverse=True)
+    holders = np.repeat(answering, sizes[answering])[np.argsort(ids, kind="stable")]
     at = np.concatenate([[0], np.cumsum(np.bincount(ids))])
     links = []
-    base = np.argmax(np.bincount(roots))
-    for i in np.flatnonzero(roots != base):  # the largest component's members meet all others from the other side
-        own = ids[ends[i] - sizes[i] : ends[i]]
-        size = at[own + 1] - at[own]
+    for i in asking:
+        place = np.searchsorted(known, rows[i][3])
+        place = place[known[np.minimum(place, len(known) - 1)] == rows[i][3]]
+        if not len(place):
+            continue
+        size = at[place + 1] - at[place]
         stop = np.cumsum(size)
-        shared = np.bincount(holders[np.repeat(at[own] - (stop - size), size) + np.arange(stop[-1])], minlength=len(rows))
+        shared = np.bincount(holders[np.repeat(at[place] - (stop - size), size) + np.arange(stop[-1])], minlength=len(rows))
         near = (100 * shared >= percent * (sizes + sizes[i] - shared)) & (roots != roots[i])
         for j in np.flatnonzero(near):
             if roots[j] != roots[i]:
-                links.append((rows[i][0], rows[j][0]))
+                links.append((first[i], first[j]))
                 roots[roots == roots[j]] = roots[i]
     if links:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
 
-def _grouped(docs: DataFrame, percent: int, block_shingles: int, n_bands: int, band_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows, and (node, least_id, first_row, root) of all nodes; nodes of one root are a component."""
-    spark = docs.sparkSession
-    meta = materialise(spark, _sketched(docs, n_bands, band_rows))
-    nodes = materialise(spark, meta.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("least_id"), F.min(_row()).alias("first_row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    every = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
+def _only(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The first row of each key; tasks leave one of each before they send any."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or [F.col(k) for k in keys])))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def _roots(nodes: DataFrame, docs: DataFrame, percent: int, block_shingles: int, stages: Stages, files: int) -> DataFrame:
+    """(node, root) of all nodes that a link was found for."""
+    every = nodes.select(F.explode("bands").alias("bucket"), "k", "n")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = materialise(spark, every.join(shared, "bucket"))
-    rank = met.groupBy("node").agg(F.sum("members").alias("rank"))
-    members = met.join(rank, "node")
+    met = stages.write(every.join(shared, "bucket"), files=files)
+    rank = met.groupBy("k").agg(F.sum("members").alias("rank"))
 
     # texts of the nodes that share a bucket, one each
-    wanted = nodes.join(rank, "node", "left_semi").select("node", F.col("row.doc_id").alias("i"), F.col("row.text_hash").alias("h"))
+    wanted = nodes.join(rank, "k", "left_semi").select("k", F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["i"]) & (keyed["text_hash"] == wanted["h"])).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(spark, texts)
-
-    # the centre of each bucket against its other members
-    center = members.groupBy("bucket").agg(F.max(F.struct("rank", "node", "n")).alias("center"))
-    held = materialise(spark, members.join(center, "bucket").where("node != center.node").select("bucket", "node", "n", F.col("members").alias("size"), F.col("center.node").alias("a"), F.col("center.n").alias("m")))
-    pairs = held.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("a", F.col("node").alias("b")).distinct()
-    roots = materialise(spark, components(materialise(spark, _confirmed(pairs, texts, percent))))
+    same = keyed.join(wanted.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(wanted["i"]) & (keyed["text_hash"] == wanted["h"])).select("k", "text")
+    texts = stages.write(_only(same, ["k"]))
+
+    # the centre of each bucket against its other members: the highest rank, then number, as one number
+    span = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    both = (F.col("rank").cast("decimal(18,0)") * span + F.col("k").cast("decimal(20,0)")).cast("decimal(38,0)")
+    members = met.join(rank, "k")
+    center = members.groupBy("bucket").agg(F.max(both).alias("both")).select("bucket", F.pmod("both", span).cast("long").alias("a"))
+    held = stages.write(members.join(center, "bucket").where("k <> a").select("bucket", "k", "n", "members", "a"), files=files)
+    pairs = held.select("a", F.col("k").alias("b"), "n").distinct().join(nodes.select(F.col("k").alias("a"), F.col("n").alias("m")), "a")
+    pairs = pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b")
+    roots = stages.write(components(_confirmed(pairs, texts, percent), stages=stages, files=files), files=files)
 
     # what is left: buckets whose other members are of several components; one bucket of those with equal members
-    rest = held.where("size > 2").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    mark = F.xxhash64("node").cast("decimal(38,0)")
-    open_buckets = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k"), F.sum(mark).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor"), F.sum("n").alias("shingles")).where("x != y")
-    open_buckets = open_buckets.groupBy("k", "sum", "xor").agg(F.min(F.struct("bucket", "shingles")).alias("b")).select("b.bucket", F.ceil(F.col("b.shingles") / F.lit(block_shingles)).cast("int").alias("blocks"))
-    # a large bucket is split into blocks, and every two blocks meet in a group of bounded size
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    split = rest.join(open_buckets, "bucket").select("bucket", "node", "root", "blocks", own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    split = split.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "root").join(texts, "node")
-    groups = split.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
-    across = materialise(spark, groups.select("bucket", "p", "q", "node", "root", "text").mapInArrow(lambda batches: _across(batches, percent), "a binary, b binary"))
-    if not across.isEmpty():
-        name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        merged = across.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        again = materialise(spark, components(merged).withColumnRenamed("node", "old").withColumnRenamed("root", "new"))
-        first = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("old"))
-        roots = first.join(again, "old", "left").select("node", F.coalesce("new", "old").alias("root"))
-    grouped = nodes.select("node", "least_id", "first_row").join(roots, "node", "left").select("node", "least_id", "first_row", F.coalesce("root", "node").alias("root"))
-    return meta, grouped
+    root = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
+    rest = held.where("members > 2").join(root("k", "own"), "k", "left").join(root("a", "center"), "a", "left")
+    rest = rest.select("bucket", "k", "a", "n", F.coalesce("own", "k").alias("root"), (F.coalesce("own", "k") != F.coalesce("center", "a")).alias("apart"))
+    mark = F.xxhash64("k")
+    opened = rest.groupBy("bucket", "a").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"), F.sum("n").alias("shingles"), F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0)).alias("apart_shingles")).where("x <> y")
+    opened = opened.groupBy("a", "size", "sum", "xor").agg(F.min("bucket").alias("bucket"), F.max("shingles").alias("shingles"), F.max("apart_shingles").alias("apart_shingles"))
+    parts = lambda c, size, name: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(size))).cast("int").alias(name)
+    opened = opened.select("bucket", parts("shingles", block_shingles, "ps"), parts("apart_shingles", OTHERS * block_shingles, "qs"))
+    own = rest.join(opened, "bucket").select("bucket", "k", "root", "apart", "ps", "qs", F.pmod(F.xxhash64("k"), F.col("ps")).cast("int").alias("own_p"), F.pmod(F.xxhash64("k", F.lit(1)), F.col("qs")).cast("int").alias("own_q"))
+    # a member answers in its own block to each share of those apart; one that is apart asks in every block
+    answers = own.select("*", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q")).select("bucket", F.col("own_p").alias("p"), "q", "k", "root", (F.col("apart") & (F.col("q") == F.col("own_q"))).alias("asks"), F.lit(True).alias("answers"))
+    asks = own.where("apart").select("*", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p")).where("p <> own_p").select("bucket", "p", F.col("own_q").alias("q"), "k", "root", F.lit(True).alias("asks"), F.lit(False).alias("answers"))
+    groups = answers.union(asks).join(texts, "k").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "k")
+    across = groups.select("bucket", "p", "q", "root", "asks", "answers", "text").mapInArrow(lambda batches: _across(batches, percent), "a long, b long")
+    again = stages.write(components(across, stages=stages, files=files).withColumnsRenamed({"node": "old", "root": "new"}), files=files)
+    first = nodes.select("k").join(root("k", "own"), "k", "left").select("k", F.coalesce("own", "k").alias("old"))
+    return first.join(again, "old", "left").select(F.col("k").alias("node"), F.coalesce("new", "old").alias("root"))
+
+
+def _grouped(docs: DataFrame, percent: int, block_shingles: int, n_bands: int, band_rows: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (node, least_id, root) of all nodes; nodes of one root are a component."""
+    # what is written for each document is narrow; small tables get few files
+    files = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(docs) // FILE_BYTES)))
+    dealt = _sketched(docs, n_bands, band_rows).repartition(F.xxhash64("doc_id", "text_hash"))
+    meta = stages.write(dealt.withColumn("r", F.monotonically_increasing_id()), keep=True, files=files)
+    # a node has the number of its first row; what was written keeps its numbers
+    heads = meta.where("node IS NOT NULL").groupBy("node").agg(F.min("r").alias("k"), F.min("doc_id").alias("least_id"))
+    nodes = stages.write(meta.select(F.col("r").alias("k"), "doc_id", "text_hash", "node", F.col("n_shingles").alias("n"), "bands").join(heads.select("k", "least_id"), "k"), files=files)
+    roots = _roots(nodes, docs, percent, block_shingles, stages, files).withColumnRenamed("node", "k")
+    grouped = nodes.select("k", "node", "least_id").join(roots, "k", "left").select("node", "least_id", F.coalesce("root", "k").alias("root"))
+    return meta, stages.write(grouped, keep=True, files=files)
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, n_bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `docs`."""
-    meta, grouped = _grouped(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), percent, block_shingles, n_bands, band_rows)
+    with Stages(docs.sparkSession) as stages:
+        meta, grouped = _grouped(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), percent, block_shingles, n_bands, band_rows, stages)
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component"))
     named = grouped.join(least, "root").select("node", "component")
     out = meta.select("doc_id", "n_shingles", "node").join(named, "node", "left")
@@ -254,23 +286,27 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shing
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _row() -> Column:
-    """What tells rows of different ids or texts apart; ordered by id, null last."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-
-
 def drop_near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, n_bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `docs` for each component: of its smallest id, or of none if all are null, and there of one text.
 
     A row without words is its own component, so that of each id and text one is left. Ids say nothing of a text: rows that
-    share an id, or have none, go or stay by their texts.
+    share an id, or have none, go or stay by their texts. Which rows stay is decided on ids and hashes of texts; the texts
+    themselves are sent once.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    meta, grouped = _grouped(own, percent, block_shingles, n_bands, band_rows)
-    first = grouped.groupBy("root").agg(F.min("first_row").alias("row")).select("row").union(meta.where("node IS NULL").select(_row().alias("row")).distinct())
-    key = lambda i, h: [F.col(i).isNull().alias("no_id"), F.coalesce(F.col(i).cast("string"), F.lit("")).alias("id"), h.alias("hash")]
-    rows = docs.select(*key(f"`{id_col}`", F.xxhash64(f"`{text_col}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    # of rows of one id and text the first by its columns, so that repeated rows leave one
-    best = rows.groupBy("no_id", "id", "hash").agg(F.min("row").alias("row"))
-    kept = first.select(*key("row.doc_id", F.col("row.text_hash")))
-    return best.join(kept, ["no_id", "id", "hash"], "left_semi").select("row.*")
+    with Stages(docs.sparkSession) as stages:
+        meta, grouped = _grouped(own, percent, block_shingles, n_bands, band_rows, stages)
+        least = grouped.groupBy("root").agg(F.min("least_id").alias("component"))
+        rows = meta.select("doc_id", "text_hash", "node").join(grouped.join(least, "root").select("node", "root", "component"), "node")
+        first = rows.where(F.col("doc_id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("component").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+        chosen = first.select("doc_id", "text_hash").union(meta.where("node IS NULL").select("doc_id", "text_hash").distinct())
+        key = lambda i, h: [F.col(i).isNull().alias("no_id"), F.coalesce(F.col(i).cast("string"), F.lit("")).alias("id"), h.alias("hash")]
+        copies = meta.groupBy(*key("doc_id", F.col("text_hash"))).agg(F.count(F.lit(1)).alias("copies"))
+        chosen = stages.write(chosen.select(*key("doc_id", F.col("text_hash"))).join(copies, ["no_id", "id", "hash"]), keep=True)
+    keyed = docs.select(*key(f"`{id_col}`", F.xxhash64(f"`{text_col}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # keys are hashed, so that texts are not sorted
+    single = keyed.join(chosen.where("copies = 1").select("no_id", "id", "hash").hint("shuffle_hash"), ["no_id", "id", "hash"], "left_semi")
+    # of rows of one id and text the first by its other columns, so that repeated rows leave one
+    order = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if f.name != text_col and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    several = _only(keyed.join(chosen.where("copies > 1").select("no_id", "id", "hash"), ["no_id", "id", "hash"], "left_semi"), ["no_id", "id", "hash"], *order)
+    return single.union(several).select("row.*")

@@ -31,7 +31,8 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    return chat.digests(chat.format_conversations(chat.conversation_log(rows.unionByName(added))))
+    log = chat.conversation_log(rows.unionByName(added), deltas=3)
+    return chat.digests(chat.format_conversations(log, dealt=True))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

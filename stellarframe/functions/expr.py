@@ -34,6 +34,11 @@ def trunc(unit: str, x: Column | str) -> Column:
     return F.date_trunc(unit, col(x)).cast("timestamp_ntz")
 
 
+def epoch_seconds(x: Column | str) -> Column:
+    """Seconds since 1970 of a UTC time, as charts and scrapers take them; with fractions."""
+    return F.unix_micros(col(x).cast("timestamp")) / F.lit(1e6)
+
+
 def boundaries(unit: str, start: Column | str, end: Column | str) -> Column:
     """How many unit boundaries lie between two times: 00:59 to 01:00 is one hour."""
     return F.timestamp_diff(unit.upper(), trunc(unit, start), trunc(unit, end))

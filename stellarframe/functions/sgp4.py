@@ -188,7 +188,7 @@ def _disagreement(earlier: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
         difference = predicted - reference
         radial, along, cross = radial_along_cross(reference, velocity, difference)
         total = np.linalg.norm(difference, axis=1)
-    places = lambda x, n: [None if not np.isfinite(y) else round(float(y), n) for y in x]
+    places = lambda x, n: np.where(np.isfinite(x), np.round(x, n), np.nan)
     return pd.DataFrame({"span_hours": places(minutes / 60.0, 3), "radial_km": places(radial, 4), "along_track_km": places(along, 4), "cross_track_km": places(cross, 4), "total_km": places(total, 4), "error": np.where(error_a != OK, error_a, error_b).astype("int32")})
 
 

@@ -1,30 +1,56 @@
-"""Rank statistics as DataFrame plans; none puts all rows into one task."""
+"""Ranks and quantiles as DataFrame plans; none puts all rows, or all distinct values of a group, into one task.
+
+Values are counted, dealt into ranges and summed up within and before their ranges. The range of a value is a function of the
+value and of its group's least and largest one, so that it is the same wherever a plan computes it, and ascends with the value:
+first by the logarithm of its distance from zero, then by its place between the two. A group has at most 4 * RANGES + 3 ranges.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGES = 1024
+#: Decades below the largest value that the logarithm tells apart.
+DECADES = 9
 
-def average_ranks(df: DataFrame, column: str, name: str, by: str | None = None) -> DataFrame:
-    """`df` with the 1-based rank of `column` among all rows (of equal `by`), ties sharing their mean; null has no rank.
 
-    Values are counted, dealt by range and summed up within and before their ranges, so that a global order needs no
-    single partition; the one row for each range is all that a window without partitions sees.
+def _range(v: str, low: str, high: str) -> Column:
+    """The number of the range of `v`; infinities and NaN, which is above all, have their own."""
+    x, a, b = (F.col(c) / F.lit(2.0) for c in (v, low, high))
+    top = F.greatest(F.abs(a), F.abs(b))
+    scale = RANGES / math.log1p(10.0**DECADES)
+    by_log = F.when(top > 0, F.signum(x) * F.floor(F.log1p(F.abs(x) / top * F.lit(10.0**DECADES)) * F.lit(scale))).otherwise(F.lit(0.0))
+    by_place = F.when(b > a, F.floor((x - a) / (b - a) * F.lit(float(RANGES)))).otherwise(F.lit(0))
+    number = by_log.cast("long") * F.lit(2 * RANGES) + by_place.cast("long")
+    edge, inf = 1 << 40, float("inf")
+    return F.when(F.isnan(v), F.lit(edge + 1)).when(F.col(v) == inf, F.lit(edge)).when(F.col(v) == -inf, F.lit(-edge)).otherwise(number)
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    """(_g, _v, _n, _upto, _all) from counts (_g, _v, _n): rows of the group up to and with the value, and all of them.
+
+    `_g` is a struct, null fields of which are values like others.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    group = F.lit(0) if by is None else F.col(by)
+    finite = ~F.isnan("_x") & (F.abs("_x") != float("inf"))
+    counts = counts.withColumn("_x", F.col("_v").cast("double"))
+    limits = counts.where(finite).groupBy("_g").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    ranged = counts.join(limits, "_g", "left").withColumn("_b", _range("_x", "_low", "_high")).drop("_low", "_high", "_x")
+    # one row for each range: what a group's window sees is bounded
+    totals = ranged.groupBy("_g", "_b").agg(F.sum("_n").alias("_t"))
+    w = Window.partitionBy("_g")
+    before = totals.select("_g", "_b", (F.sum("_t").over(w.orderBy("_b")) - F.col("_t")).alias("_before"), F.sum("_t").over(w).alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy("_g", "_b").orderBy("_v"))
+    return ranged.withColumn("_in", upto).join(before, ["_g", "_b"]).select("_g", "_v", "_n", (F.col("_before") + F.col("_in")).alias("_upto"), "_all")
+
+
+def average_ranks(df: DataFrame, column: str, name: str, by: str | None = None) -> DataFrame:
+    """`df` with the 1-based rank of `column` (a number) among all rows (of equal `by`), ties sharing their mean; null has no rank."""
+    group = F.struct((F.lit(0) if by is None else F.col(by)).alias("g"))
     counts = df.where(F.col(column).isNotNull()).groupBy(group.alias("_g"), F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange(parts, "_g", "_v").withColumn("_p", F.spark_partition_id())
-    totals = ranged.groupBy("_p").agg(F.sum("_n").alias("_t"), F.min(F.struct("_g", "_v")).alias("_first"))
-    before = totals.select("_p", (F.sum("_t").over(Window.orderBy("_first")) - F.col("_t")).alias("_before"))
-    upto = F.sum("_n").over(Window.partitionBy("_p").orderBy("_g", "_v"))
-    # as many rows as ranges, which is at most the number of partitions that is set
-    summed = ranged.withColumn("_upto", upto).join(F.broadcast(before), "_p").select("_g", "_v", "_n", (F.col("_before") + F.col("_upto")).alias("_upto"))
-    if by is not None:
-        start = summed.groupBy("_g").agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"))
-        summed = summed.join(start, "_g").withColumn("_upto", F.col("_upto") - F.col("_start"))
-    ranks = summed.select("_g", "_v", (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
+    ranks = _summed(counts).select(F.col("_g.g").alias("_g"), "_v", (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
     same = (df[column] == ranks["_v"]) if by is None else (df[by] == ranks["_g"]) & (df[column] == ranks["_v"])
     return df.join(ranks, same, "left").drop("_g", "_v")
 
@@ -54,17 +80,51 @@ def spearman_many(df: DataFrame, series: dict[str, tuple[str, str, str]]) -> Dat
     return ranked.groupBy("metric").agg(pearson("_rx", "_ry").alias("rho"))
 
 
-def nearest_p90(column: str) -> Column:
-    """The value at index min(n - 1, floor(0.9 n)) of the sorted values; an aggregate for groups of bounded size."""
-    ordered = F.array_sort(F.collect_list(column))
-    return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.size(ordered) * F.lit(0.9)).cast("int")))
+#: How a quantile falls between two values: on the line between them, or at index min(n - 1, floor(p * n)).
+LINEAR, NEAREST = "linear", "nearest"
+
+
+def quantiles(df: DataFrame, groups: list[str], wanted: dict[str, tuple]) -> DataFrame:
+    """The quantiles of each group: `wanted` maps a result to (column, share) or (column, share, NEAREST).
+
+    A group without a value has a null; with no groups there is one row, whatever the rows.
+    """
+    columns = list(dict.fromkeys(c for c, *_ in wanted.values()))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    rows = df.select(*groups, each.alias("_s"))
+    # values that are null are counted too, so that their group has a row
+    counts = rows.groupBy(F.struct(*groups, F.col("_s.i").alias("_i")).alias("_g"), F.col("_s.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    found = _summed(counts.where("_v IS NOT NULL"))
+    last = (F.col("_all") - 1).cast("double")
+    holds = lambda at: (F.col("_upto") - F.col("_n") <= at) & (at < F.col("_upto"))
+    parts = []
+    for name, (column, share, *kind) in wanted.items():
+        mine = F.col("_g._i") == columns.index(column)
+        if kind == [NEAREST]:
+            part = F.when(mine & holds(F.least(last, F.floor(F.lit(float(share)) * F.col("_all")))), F.col("_v"))
+        else:
+            at = last * F.lit(float(share))
+            low, high = F.floor(at), F.ceil(at)
+            weight = F.when(holds(low), F.when(low == high, F.lit(1.0)).otherwise(high - at)).otherwise(F.lit(0.0)) + F.when((low != high) & holds(high), at - low).otherwise(F.lit(0.0))
+            part = F.when(mine & (holds(low) | holds(high)), F.col("_v") * weight)
+        parts.append((name, part))
+    picked = found.select("_g", *[p.alias(n) for n, p in parts]).where(" OR ".join(f"`{n}` IS NOT NULL" for n in wanted))
+    all_groups = counts.select("_g", *[F.lit(None).cast("double").alias(n) for n in wanted]) if groups else picked.limit(0)
+    return picked.unionByName(all_groups.distinct()).groupBy(*[F.col(f"_g.{g}").alias(g) for g in groups]).agg(*[F.sum(n).alias(n) for n in wanted])
+
+
+def with_quantiles(summary: DataFrame, df: DataFrame, groups: list[str], wanted: dict[str, tuple]) -> DataFrame:
+    """`summary`, which has a row for each group of `df`, with the quantiles of `df`."""
+    q = quantiles(df, groups, wanted)
+    if not groups:
+        return summary.crossJoin(F.broadcast(q))  # one row each
+    q = q.withColumnsRenamed({g: f"_{g}" for g in groups})
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return summary.join(q, same, "left").drop(*[f"_{g}" for g in groups])
 
 
 def nearest_p90_by(df: DataFrame, groups: list[str], column: str, name: str) -> DataFrame:
-    """The same for groups of any size: rows are numbered within their group by an external sort."""
-    w = Window.partitionBy(*groups)
-    rows = df.where(F.col(column).isNotNull()).select(*groups, column)
-    at = F.row_number().over(w.orderBy(column)) - 1
-    n = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = rows.withColumn("_at", at).join(n, groups)
-    return numbered.where(F.col("_at") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(0.9)))).select(*groups, F.col(column).alias(name))
+    """The value at index min(n - 1, floor(0.9 n)) of each group's sorted values; groups without any are left out."""
+    return quantiles(df.where(F.col(column).isNotNull()), groups, {name: (column, 0.9, NEAREST)})

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import datetime, timezone
+from multiprocessing.pool import ThreadPool
+from pathlib import Path
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -9,10 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import stats
+from ..sources import sinks
 
 FEATURES = ("element_age_hours_at_prediction", "mean_altitude_km_at_prediction", "inclination_degrees_at_prediction", "eccentricity_at_prediction", "bstar_at_prediction", "propagation_span_hours")
 FOLDS = 5
 MIN_ROWS = 30
+PARTITION_ROWS = 50_000
 SETTINGS = {"maxIter": 150, "maxDepth": 3, "minInstancesPerNode": 8, "stepSize": 0.05, "subsamplingRate": 0.9, "seed": 42}
 
 
@@ -20,31 +30,46 @@ class TooFewRows(ValueError):
     """Not enough pairs to train on; callers skip the step."""
 
 
-def features(pairs: DataFrame) -> DataFrame:
-    """Vectors, the log of the rate and a fold by object; a null feature is 0."""
-    rows = pairs.where("km_per_hour IS NOT NULL").withColumn("target", F.log1p("km_per_hour")).withColumn("fold", F.pmod(F.xxhash64("norad_catalog_id"), F.lit(FOLDS)).cast("int")).fillna(0.0, list(FEATURES)).fillna("", ["source_group"])
-    index = StringIndexer(inputCol="source_group", outputCol="group_index", handleInvalid="keep").fit(rows)
-    rows = index.transform(rows)
-    rows = OneHotEncoder(inputCol="group_index", outputCol="group_vector", handleInvalid="keep").fit(rows).transform(rows)
-    return VectorAssembler(inputCols=[*FEATURES, "group_vector"], outputCol="features").transform(rows)
+def targets(pairs: DataFrame) -> DataFrame:
+    """The log of the rate and a fold by object; a null feature is 0, a null group is empty."""
+    rows = pairs.where("km_per_hour IS NOT NULL").withColumn("target", F.log1p("km_per_hour"))
+    return rows.withColumn("fold", F.pmod(F.xxhash64("norad_catalog_id"), F.lit(FOLDS)).cast("int")).fillna(0.0, list(FEATURES)).fillna("", ["source_group"])
+
+
+def encoder(train: DataFrame) -> PipelineModel:
+    """Vectors of the features and of the groups that `train` has; another group has none of them."""
+    index = StringIndexer(inputCol="source_group", outputCol="group_index", handleInvalid="keep")
+    group = OneHotEncoder(inputCol="group_index", outputCol="group_vector", handleInvalid="keep")
+    return Pipeline(stages=[index, group, VectorAssembler(inputCols=[*FEATURES, "group_vector"], outputCol="features")]).fit(train)
 
 
 def cross_validated(pairs: DataFrame, **settings) -> DataFrame:
-    """Each pair with the prediction of a model, and the median, of the other objects' pairs."""
-    rows = features(pairs).cache()
+    """Each pair with the prediction of a model, and the median, of the other objects' pairs; folds are trained side by side."""
+    rows = targets(pairs)
     n = rows.count()
     if n < MIN_ROWS:
-        rows.unpersist()
         raise TooFewRows(f"{n} pairs; {MIN_ROWS} are needed")
-    out = None
-    for fold in range(FOLDS):
-        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+    # a round of boosting is a few short jobs: small data are kept in few partitions
+    rows = rows.coalesce(-(-n // PARTITION_ROWS)).persist()
+
+    def trained(fold: int) -> DataFrame | None:
+        train, test = rows.where(F.col("fold") != fold), targets(pairs).where(F.col("fold") == fold)
         if train.isEmpty() or test.isEmpty():
-            continue
-        model = GBTRegressor(labelCol="target", **(SETTINGS | settings)).fit(train)
-        median = train.agg(F.median("target").alias("baseline"))  # one row
-        part = model.transform(test).crossJoin(F.broadcast(median)).select("norad_catalog_id", "fold", "base_score", "km_per_hour", "target", "prediction", "baseline")
-        out = part if out is None else out.unionByName(part)
+            return None
+        encode = encoder(train)
+        model = GBTRegressor(labelCol="target", **(SETTINGS | settings)).fit(encode.transform(train))
+        median = stats.quantiles(train, [], {"baseline": ("target", 0.5)}).first()["baseline"]
+        made = model.transform(encode.transform(test)).withColumn("baseline", F.lit(median))
+        return made.select("norad_catalog_id", "fold", "base_score", "km_per_hour", "target", "prediction", "baseline")
+
+    try:
+        with ThreadPool(FOLDS) as pool:
+            parts = [p for p in pool.map(inheritable_thread_target(pairs.sparkSession)(trained), range(FOLDS)) if p is not None]
+    finally:
+        rows.unpersist()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
@@ -65,9 +90,20 @@ def scores(predicted: DataFrame) -> DataFrame:
 
 def train(pairs: DataFrame, path: str | None = None, **settings):
     """A model of all pairs, saved below `path`, and the importance of each feature."""
-    rows = features(pairs)
-    model = GBTRegressor(labelCol="target", **(SETTINGS | settings)).fit(rows)
+    rows = targets(pairs)
+    encode = encoder(rows)
+    model = GBTRegressor(labelCol="target", **(SETTINGS | settings)).fit(encode.transform(rows))
     if path:
         model.write().overwrite().save(path)
     names = [*FEATURES, *[f"group_{i}" for i in range(len(model.featureImportances) - len(FEATURES))]]
     return model, sorted(zip(names, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+
+
+def write_summary(score: DataFrame, importance: list[tuple[str, float]], path: str, run_log: str | None = None, **settings) -> dict:
+    """The training's figures as JSON, and a line in a log of training runs."""
+    (row,) = score.collect()  # one row
+    summary = {"trained_at_utc": datetime.now(timezone.utc).isoformat(timespec="seconds"), "settings": SETTINGS | settings, "folds": FOLDS, "features": list(FEATURES), "scores": row.asDict(), "importance": [{"feature": n, "importance": round(v, 6)} for n, v in importance]}
+    Path(path).write_text(json.dumps(summary, indent=1, sort_keys=True), encoding="utf-8")
+    if run_log:
+        sinks.append_json_line(run_log, {"run_id": uuid.uuid4().hex, "summary": path, **summary})
+    return summary

@@ -11,7 +11,7 @@ from stellarframe.plans import measure, model
 
 from .helpers import at, orbit, rows, seen
 
-ISS = dict(inclination=51.64, eccentricity=0.0004, mean_motion=15.5, bstar=1e-4, raan=120.0, arg_perigee=90.0, mean_anomaly=45.0)
+LOW = dict(inclination=97.4, eccentricity=0.0021, mean_motion=15.1, bstar=4e-5, raan=17.0, arg_perigee=250.0, mean_anomaly=131.0)
 
 
 def days(year, day):
@@ -20,14 +20,14 @@ def days(year, day):
 
 
 def state(minutes=0.0, epoch=27_000.0, **more):
-    args = ISS | more
+    args = LOW | more
     return sgp4.propagate(*[np.array([args[k]], float) for k in ("inclination", "eccentricity", "mean_motion", "bstar", "raan", "arg_perigee", "mean_anomaly")], np.array([minutes]), np.array([epoch]))
 
 
 def test_low_orbit_has_its_radius_speed_and_period():
     p, v, e = state()
     assert e[0] == 0 and 6500 < np.linalg.norm(p) < 7200 and 7 < np.linalg.norm(v) < 8
-    later, _, _ = state(1440 / 15.5, bstar=0.0)
+    later, _, _ = state(1440 / 15.1, bstar=0.0)
     assert np.linalg.norm(later - p) < 120  # the node and perigee move, little else
     ahead, _, _ = state(0.001)
     assert np.allclose((ahead - p) / 0.06, v, atol=0.01)
@@ -42,9 +42,13 @@ def test_published_vector():
     assert np.allclose(p[0], [-7154.03120202, -3783.17682504, -3536.19412294], atol=1e-4)
 
 
-@pytest.mark.parametrize("bad", [{"mean_motion": 0.0}, {"mean_motion": -1.0}, {"eccentricity": 1.0}, {"eccentricity": -0.1}, {"inclination": -5.0}, {"inclination": 181.0}, {"mean_motion": np.nan}])
-def test_bad_elements_are_refused(bad):
-    p, _, e = state(**bad)
+#: Each field just beyond its bounds, far beyond them, and absent.
+BEYOND = [("eccentricity", x) for x in (-1e-9, 1.0, 7.5, np.nan)] + [("mean_motion", x) for x in (0.0, -15.1, np.nan)] + [("inclination", x) for x in (-0.5, 180.5, 360.0)]
+
+
+@pytest.mark.parametrize(("field", "value"), BEYOND)
+def test_bad_elements_are_refused(field, value):
+    p, _, e = state(**{field: value})
     assert e[0] == sgp4.BAD_ELEMENT and np.isnan(p).all()
 
 
@@ -102,7 +106,7 @@ def test_pairs(spark):
 
 def test_disagreement_grows_with_a_wrong_motion(spark):
     p0, _, _ = state()
-    h = history(spark, orbit(element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1)), orbit(element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=15.5001), orbit(norad_catalog_id=2, element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1), mean_motion_revolutions_per_day=-1.0), orbit(norad_catalog_id=2, element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=1.0), orbit(norad_catalog_id=3, element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1), mean_motion_revolutions_per_day=1.0), orbit(norad_catalog_id=3, element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=1.0001))
+    h = history(spark, orbit(element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1)), orbit(element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=14.2001), orbit(norad_catalog_id=2, element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1), mean_motion_revolutions_per_day=-1.0), orbit(norad_catalog_id=2, element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=1.0), orbit(norad_catalog_id=3, element_epoch_utc=at(30, 0), snapshot_at_utc=seen(30, 1), mean_motion_revolutions_per_day=1.0), orbit(norad_catalog_id=3, element_epoch_utc=at(30, 12), snapshot_at_utc=seen(30, 13), mean_motion_revolutions_per_day=1.0001))
     r, far = measure.propagation_disagreement(h).orderBy("norad_catalog_id").collect()
     assert far.norad_catalog_id == 3 and far.total_km > 0
     assert r.propagation_span_hours == 12.0 and abs(r.total_km**2 - r.radial_km**2 - r.along_track_km**2 - r.cross_track_km**2) < 1
@@ -121,9 +125,60 @@ def test_ranks_and_correlations(spark):
 
 
 def test_nearest_p90(spark):
-    df = spark.createDataFrame([("a", float(i)) for i in range(10)] + [("b", 1.0)], "g string, v double")
+    df = spark.createDataFrame([("a", float(i)) for i in range(10)] + [("b", 1.0), ("c", None)], "g string, v double")
     assert {r.g: r.p for r in stats.nearest_p90_by(df, ["g"], "v", "p").collect()} == {"a": 9.0, "b": 1.0}
-    assert {r.g: r.p for r in df.groupBy("g").agg(stats.nearest_p90("v").alias("p")).collect()} == {"a": 9.0, "b": 1.0}
+
+
+def spread(n):
+    """Values that crowd at one place, at both ends and over many orders of magnitude, with ties."""
+    import random
+
+    rng = random.Random(n)
+    kinds = [lambda: 7.0, lambda: rng.gauss(1e6, 1e-3), lambda: 10 ** rng.uniform(-12, 12), lambda: -(10 ** rng.uniform(-9, 3)), lambda: float(rng.randrange(5)), lambda: -1e300, lambda: 1e300, lambda: 0.0]
+    return [rng.choice(kinds)() for _ in range(n)]
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_ranks_do_not_depend_on_shared_exchanges(spark, reuse):
+    from bisect import bisect_left, bisect_right
+
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        values = spread(4000)
+        order = sorted(values)
+        df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)] + [(None, 0)], "v double, g int")
+        for r in stats.average_ranks(df, "v", "k").collect():
+            assert r.k == (None if r.v is None else (bisect_left(order, r.v) + 1 + bisect_right(order, r.v)) / 2)
+        by = {g: sorted(values[g::3]) for g in range(3)}
+        for r in stats.average_ranks(df, "v", "k", "g").where("v IS NOT NULL").collect():
+            assert r.k == (bisect_left(by[r.g], r.v) + 1 + bisect_right(by[r.g], r.v)) / 2
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_quantiles_against_sorted_values(spark):
+    values = spread(2000)
+    names = ["a", "b", None]
+    df = spark.createDataFrame([(names[i % 3], v, float(i)) for i, v in enumerate(values)] + [("none", None, 1.0), ("a", None, 2.0)], "g string, v double, w double")
+    wanted = {"m": ("v", 0.5), "p": ("v", 0.9), "n": ("v", 0.9, stats.NEAREST), "w": ("w", 0.25)}
+    got = {r.g: r for r in stats.quantiles(df, ["g"], wanted).collect()}
+    assert set(got) == {*names, "none"} and (got["none"].m, got["none"].n, got["none"].w) == (None, None, 1.0)
+    for k, g in enumerate(names):
+        own = np.sort(values[k::3])
+        assert np.allclose([got[g].m, got[g].p], np.percentile(own, [50, 90]), rtol=1e-9) and got[g].n == own[min(len(own) - 1, int(0.9 * len(own)))]
+    assert [tuple(r) for r in stats.quantiles(df.limit(0), [], {"m": ("v", 0.5)}).collect()] == [(None,)]
+    assert np.isclose(stats.quantiles(df, [], {"m": ("v", 0.5)}).first().m, np.median(values))
+
+
+def test_no_plan_keeps_the_values_of_a_group_in_one_aggregate(spark):
+    from stellarframe.plans import catalogue, serve
+
+    t = catalogue.Tables(spark, "/root/testdata/sf0.001")
+    plans = [catalogue.gold.freshness_by_group(catalogue.gold.element_freshness(t.daily())), serve.disagreement(catalogue._proxy(t)), measure.validation_bins(pairs(spark, 40)), serve.metrics(catalogue._served(t))]
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "percentile(" not in text and "median(" not in text and "collect_list" not in text
 
 
 def pairs(spark, n):
@@ -150,3 +205,20 @@ def test_regression_beats_the_median_on_objects_it_has_not_seen(spark):
     assert r.pairs == 120 and r.mae_log < r.mae_log_baseline and r.pooled_spearman > 0.8
     with pytest.raises(model.TooFewRows):
         model.cross_validated(pairs(spark, 10))
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_a_group_that_training_has_not_seen_is_encoded(spark):
+    rows = model.targets(pairs(spark, 60))
+    vectors = model.encoder(rows.where("source_group = 'g'")).transform(rows)
+    assert {len(r.features) for r in vectors.select("features").collect()} == {len(model.FEATURES) + 2}
+
+
+def test_training_summary(spark, tmp_path):
+    import json
+
+    score = spark.createDataFrame([(3, 0.5)], "pairs long, pooled_spearman double")
+    model.write_summary(score, [("a", 0.75), ("b", 0.25)], str(tmp_path / "s.json"), str(tmp_path / "log"), maxIter=3)
+    made = json.loads((tmp_path / "s.json").read_text())
+    assert made["scores"] == {"pairs": 3, "pooled_spearman": 0.5} and made["settings"]["maxIter"] == 3 and made["importance"][0] == {"feature": "a", "importance": 0.75}
+    assert json.loads((tmp_path / "log").read_text())["scores"] == made["scores"]

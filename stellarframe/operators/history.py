@@ -7,6 +7,7 @@ those files again. A registered path whose content has changed is an error.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -86,14 +87,17 @@ def new_rows(kind: str, rows: DataFrame, history: DataFrame) -> DataFrame:
 def load(spark: SparkSession, bronze_root: str, root: str) -> dict[str, int]:
     """Load what is new below `bronze_root` into the history below `root`; rows added by table."""
     registry = read_registry(spark, root)
-    files = bronze.listing(spark, bronze_root)
-    files = files.join(bronze.unloadable(files).select("file_path"), "file_path", "left_anti")
+    files = bronze.listing(spark, bronze_root).where("source IS NOT NULL AND snapshot_at_utc IS NOT NULL")
     known = registry.select("file_path", F.col("sha256").alias("known"))
-    seen = files.join(known, "file_path", "left")
-    changed = [r["file_path"] for r in seen.where("known <> sha256").select("file_path").limit(5).collect()]
-    if changed:
-        raise ModifiedFile(f"content changed under {', '.join(changed)}")
-    fresh = seen.where("known IS NULL").drop("known").collect()  # file names and checksums only
+    # names and checksums alone are kept, so that each file is read once
+    seen = files.join(known, "file_path", "left").where("known IS NULL OR known <> sha256").persist()
+    try:
+        changed = [r["file_path"] for r in seen.where("known IS NOT NULL").select("file_path").limit(5).collect()]
+        if changed:
+            raise ModifiedFile(f"content changed under {', '.join(changed)}")
+        fresh = seen.drop("known").collect()  # a row for each new file
+    finally:
+        seen.unpersist()
     added, load_id = {}, uuid.uuid4().hex
     entries = []
     for kind, table in TABLE_OF.items():
@@ -113,6 +117,76 @@ def load(spark: SparkSession, bronze_root: str, root: str) -> dict[str, int]:
     return added
 
 
+#: Columns of a full element set; rows of a layout without them are worth nothing for propagation.
+ELEMENT_COLUMNS = ("ra_of_asc_node_degrees", "arg_of_pericenter_degrees", "mean_anomaly_degrees", "mean_motion_dot", "mean_motion_ddot")
+
+
+def describe(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
+    """The tables that are there, with the columns and types of their files."""
+    names = [t for t in (*schemas.HISTORY, "bronze_file_registry") if _has_files(spark, f"{root}/{t}")]
+    return {t: dict(spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{t}").dtypes) for t in names}
+
+
+def _layouts(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The rows of each load of a table, as they were written."""
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = here.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(here)
+    folders = [x.getPath().toString() for x in found if x.isDirectory() and x.getPath().getName().startswith("load=")]
+    return [spark.read.parquet(f) for f in folders] or [spark.read.parquet(path)]
+
+
+def upgrade(spark: SparkSession, root: str) -> dict[str, str]:
+    """Bring tables of an older layout to today's: table to what was done, `filled` or `reset`.
+
+    Orbital rows without full elements are dropped, and their files struck from the registry, so that the next load reads
+    those files again. Other tables are rewritten with `migrate`. The new rows are written beside the old ones before these
+    go, and an upgrade that stopped in between is finished by the next. A table that was looked through gets a mark, so that
+    it is looked through once for each layout.
+    """
+    done = {}
+    if _has_files(spark, f"{root}/bronze_file_registry.upgraded/_SUCCESS"):
+        _take_over(spark, f"{root}/bronze_file_registry.upgraded", f"{root}/bronze_file_registry")
+    for table, layout in schemas.HISTORY.items():
+        path = f"{root}/{table}"
+        mark = f"{path}/_layout-{hashlib.sha256(layout.encode()).hexdigest()[:16]}"
+        if _has_files(spark, f"{path}.upgraded/_SUCCESS"):
+            _take_over(spark, f"{path}.upgraded", path)
+            done[table] = "filled"
+        if not _has_files(spark, path) or _has_files(spark, mark):
+            continue
+        wanted = {f.name: f.dataType.simpleString() for f in schemas.struct(layout).fields}
+        loads = _layouts(spark, path)
+        if table == "orbital_snapshot_history" and any(not set(ELEMENT_COLUMNS) <= set(x.columns) for x in loads):
+            # rows that the registry does not name are not seen, so that nothing is counted twice if this stops here
+            read_registry(spark, root).where("source <> 'celestrak'").coalesce(1).write.mode("overwrite").parquet(f"{root}/bronze_file_registry.upgraded")
+            _take_over(spark, f"{root}/bronze_file_registry.upgraded", f"{root}/bronze_file_registry")
+            _delete(spark, path)
+            done[table] = "reset"
+            continue
+        if any(dict(x.dtypes) != wanted for x in loads):
+            rows = migrate(loads[0], table)
+            for x in loads[1:]:
+                rows = rows.unionByName(migrate(x, table))
+            rows.write.mode("overwrite").parquet(f"{path}.upgraded")
+            _take_over(spark, f"{path}.upgraded", path)
+            done[table] = "filled"
+        here = spark._jvm.org.apache.hadoop.fs.Path(mark)
+        here.getFileSystem(spark._jsc.hadoopConfiguration()).create(here).close()
+    return done
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    here.getFileSystem(spark._jsc.hadoopConfiguration()).delete(here, True)
+
+
+def _take_over(spark: SparkSession, beside: str, path: str) -> None:
+    _delete(spark, path)
+    new, here = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    if not here.getFileSystem(spark._jsc.hadoopConfiguration()).rename(new, here):
+        raise OSError(f"{beside} could not be moved to {path}")
+
+
 def migrate(rows: DataFrame, table: str) -> DataFrame:
     """Rows of an older layout in today's: missing columns are null, an absent group is `stations`, types are widened."""
     schema = schemas.struct(schemas.HISTORY[table])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -103,3 +103,20 @@ def verdict(results: DataFrame) -> DataFrame:
     """One row: failures, warnings, passes and checks."""
     s = F.col("status")
     return results.agg(X.count_if(s == "fail").alias("failures"), X.count_if(s == "warn").alias("warnings"), X.count_if(s == "pass").alias("passes"), F.count(F.lit(1)).alias("checks"))
+
+
+#: Columns of a written report.
+REPORT = "checked_at_utc timestamp, check_name string, status string, severity string, observed_value double, operator string, threshold double, description string"
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The last gate's results as they were written."""
+    return spark.read.schema(REPORT).json(path)
+
+
+def overall(results: DataFrame) -> DataFrame:
+    """One row: when the checks ran, fail, warn or pass for all of them, and how many there were, failed and warned."""
+    n = verdict(results)
+    status = F.when(F.col("failures") > 0, "fail").when(F.col("warnings") > 0, "warn").otherwise("pass")
+    when = results.agg(F.max("checked_at_utc").alias("checked_at_utc"))
+    return n.crossJoin(F.broadcast(when)).select("checked_at_utc", status.alias("status"), F.col("checks").alias("checks_total"), "failures", "warnings")  # one row each

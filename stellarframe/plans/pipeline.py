@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import time
 import uuid
@@ -11,9 +12,10 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import history, quality
-from ..sources import bronze, sinks
+from ..sources import bronze, ingest, sinks
 from . import gold, measure
 
 STEP_TIMEOUT_S = 300
@@ -86,7 +88,7 @@ def write_gold(spark: SparkSession, inputs: dict[str, DataFrame], root: str, wan
         needs, builder = TABLES[name]
         if all(n in have for n in needs):
             sinks.replace_table(builder(*(have[n] for n in needs)), f"{root}/{name}")
-            have[name] = spark.read.parquet(f"{root}/{name}")
+            have[name] = sinks.read_table(spark, f"{root}/{name}")
     return {k: v for k, v in have.items() if k in TABLES}
 
 
@@ -182,27 +184,76 @@ def run_steps(spark: SparkSession | None, steps: list[tuple[str, Callable[[], ob
     return events
 
 
-def run(spark: SparkSession, bronze_root: str, root: str, lock_path: str, log: str, silver_glob: str | None = None) -> list[dict]:
-    """Load, check, and build all derived tables; a failed check stops the run before any of them."""
+def ingest_steps(spark: SparkSession, get: ingest.Get, bronze_root: str, silver_root: str, at: datetime, wait: Callable[[float], None] = time.sleep) -> list[tuple[str, Callable[[], object]]]:
+    """A step for each source, which is skipped while its newest landed file is younger than the source's interval."""
+    files = lambda pattern: glob.glob(f"{bronze_root}/{pattern}")
+    due = lambda source, pattern: is_due(files(pattern), INTERVAL_S[source], at.timestamp())
+
+    def elements() -> str:
+        groups = [g for g in bronze.GROUPS if due("celestrak", f"celestrak/{g}_2*.csv")]
+        if not groups:
+            raise Skip("no group is due")
+        return str(ingest.elements(get, bronze_root, silver_root, at, groups))
+
+    def solar_wind() -> str:
+        if not due("noaa", "noaa/*.json"):
+            raise Skip("not due")
+        return str(ingest.solar_wind(get, bronze_root, silver_root, at))
+
+    def indices() -> str:
+        if not due("spaceweather", "spaceweather/*.csv"):
+            raise Skip("not due")
+        return str(ingest.indices(get, bronze_root, silver_root, at))
+
+    def observations() -> str:
+        if not due("satnogs", "satnogs/*.json"):
+            raise Skip("not due")
+        landed = files("satnogs/*.json")
+        pending = [r["observation_id"] for r in bronze.pending_ids(bronze.read_raw(spark, "satnogs", landed), F.lit(at).cast("timestamp")).collect()] if landed else []  # ten at most
+        return str(ingest.observations(get, bronze_root, silver_root, at, pending, wait=wait))
+
+    return [("ingest_elements", elements), ("ingest_solar_wind", solar_wind), ("ingest_indices", indices), ("ingest_observations", observations)]
+
+
+def run(spark: SparkSession, bronze_root: str, root: str, lock_path: str, log: str, silver_root: str | None = None, *, get: ingest.Get | None = None, at: datetime | None = None, wait: Callable[[float], None] = time.sleep) -> list[dict]:
+    """Collect what is due (with `get`, which fetches a URL), load, check, and build all derived tables.
+
+    A failed check stops the run before any derived table is built. `silver_root` holds the current files; without it the
+    tables made of them are left out.
+    """
     def load() -> str:
-        return str(history.load(spark, bronze_root, f"{root}/history"))
+        upgraded = history.upgrade(spark, f"{root}/history")
+        return f"{history.load(spark, bronze_root, f'{root}/history')} {upgraded or ''}".strip()
 
     def tables() -> dict[str, DataFrame]:
         return {t: history.read_history(spark, f"{root}/history", t) for t in quality.SOURCES}
 
     def check() -> str:
-        results = quality.gate(tables(), history.read_registry(spark, f"{root}/history"), bronze.unloadable(bronze.listing(spark, bronze_root)))
-        sinks.write_json_report(results, f"{root}/quality")
-        bad = [r["check_name"] for r in spark.read.json(f"{root}/quality").where("status = 'fail'").collect()]
+        files = bronze.unloadable(bronze.listing(spark, bronze_root))
+        results = quality.gate(tables(), history.read_registry(spark, f"{root}/history"), files).select(F.current_timestamp().alias("checked_at_utc"), "*")
+        sinks.write_json_report(results, f"{root}/quality", f"{root}/quality_csv")
+        bad = [r["check_name"] for r in quality.read_report(spark, f"{root}/quality").where("status = 'fail'").collect()]
         if bad:
             raise ValueError(f"failed: {', '.join(sorted(bad))}")
         return "passed"
 
     def derive() -> str:
         inputs = tables()
-        if silver_glob:
-            inputs["silver_orbits"] = bronze.read_silver_orbits(spark, silver_glob)
+        if silver_root and glob.glob(f"{silver_root}/*_satellites_latest.csv"):
+            inputs["silver_orbits"] = bronze.read_silver_orbits(spark, f"{silver_root}/*_satellites_latest.csv")
         return f"{len(write_gold(spark, inputs, f'{root}/gold'))} tables"
 
+    collect = ingest_steps(spark, get, bronze_root, silver_root or f"{root}/silver", at or ingest.now(), wait) if get else []
     with lock(lock_path) as refresh:
-        return run_steps(spark, [("load_history", load), ("check_quality", check), ("build_gold", derive)], log, refresh)
+        return run_steps(spark, [*collect, ("load_history", load), ("check_quality", check), ("build_gold", derive)], log, refresh)
+
+
+def publish_step(spark: SparkSession, log: str, servers: str, topic: str, send: Callable[[DataFrame], None] | None = None) -> Callable[[], str]:
+    """A step that sends the run log; it is skipped where nothing could be delivered."""
+    def work() -> str:
+        try:
+            return f"{sinks.publish(bronze.read_run_log(spark, log), servers, topic, send)} events"
+        except sinks.Undelivered as e:
+            raise Skip(str(e)) from e
+
+    return work

@@ -71,7 +71,10 @@ def collect_observations(get: Callable[[str], bytes], listing: str, sweeps: Iter
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, source, snapshot_at_utc, sha256, priority) of every file below `root`; source is null if none fits."""
+    """(file_path, source, snapshot_at_utc, sha256, priority) of every file below `root`; source is null if none fits.
+
+    Files are read whole, so that each must be below 2 GB; whoever uses the listing twice persists it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     kind = F.lit(None).cast("string")
     for name, pattern in PATTERNS.items():
@@ -110,11 +113,6 @@ def read_raw(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
     return rows.where(" OR ".join(f"{c} IS NOT NULL" for c in names))
 
 
-def silver(rows: DataFrame, columns: dict[str, str], retrieved_at: datetime, url: str) -> DataFrame:
-    """Renamed columns with when and where they were got."""
-    return rows.select(*[F.col(f"`{old}`").alias(new) for old, new in columns.items()], F.lit(retrieved_at.astimezone(timezone.utc).isoformat()).alias("retrieved_at_utc"), F.lit(url).alias("source_url"))
-
-
 def read_silver_orbits(spark: SparkSession, glob: str) -> DataFrame:
     """All current element files, the group taken from the file's name."""
     rows = spark.read.option("header", "true").csv(glob, inferSchema=False)

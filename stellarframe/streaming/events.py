@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import expr as X
-from ..plans.gold import newest
 from ..sources import sinks
 
 
@@ -35,17 +35,40 @@ def hourly_weather(observations: DataFrame, late: str = "2 hours") -> DataFrame:
     return hours.agg(F.avg("bz").alias("average_bz_gsm"), F.avg("speed").alias("average_proton_speed"), F.count(F.lit(1)).alias("minute_count")).select(X.naive("window.start").alias("hour_utc"), "average_bz_gsm", "average_proton_speed", "minute_count")
 
 
-def upsert_newest(path: str, keys: list[str], version: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a table that keeps the newest version of each key; a batch that comes again changes nothing."""
+def upsert_newest(path: str, keys: list[str], version: str, parts: int = sinks.PARTS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a table (`sinks.read_table`) that keeps the newest version of each key; a batch that comes again changes nothing."""
+    return lambda batch, _: sinks.upsert(batch, path, keys, version, parts)
+
+
+#: Seconds without an event after which a consumer stops: once it has had some, and before that when it replays or tails.
+IDLE_S, REPLAY_WAIT_S, TAIL_WAIT_S = 5.0, 20.0, 5.0
 
-    def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-        rows = spark.read.schema(batch.schema).parquet(path).unionByName(batch) if there else batch
-        sinks.replace_table(newest(rows, keys, F.desc_nulls_last(version)), path)
 
-    return apply
+def consume(stream: DataFrame, handle: Callable[[DataFrame], object], *, replay: bool = True, idle_s: float = IDLE_S, wait_s: float | None = None, checkpoint: str | None = None) -> int:
+    """Hand each batch of a stream to `handle` until none has come for a while; how many events there were."""
+    wait = (REPLAY_WAIT_S if replay else TAIL_WAIT_S) if wait_s is None else wait_s
+    state = {"events": 0, "at": time.monotonic(), "busy": False}
+
+    def apply(batch: DataFrame, _: int) -> None:
+        state["busy"] = True
+        batch = batch.persist()
+        try:
+            if n := batch.count():
+                handle(batch)
+                state["events"] += n
+        finally:
+            batch.unpersist()
+            state.update(busy=False, at=time.monotonic())
+
+    writer = stream.writeStream.foreachBatch(apply)
+    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    try:
+        while not query.awaitTermination(0.2):
+            if not state["busy"] and time.monotonic() - state["at"] > (idle_s if state["events"] else wait):
+                break
+    finally:
+        query.stop()
+    return state["events"]
 
 
 def drain(df: DataFrame, table: str, mode: str, checkpoint: str | None = None) -> DataFrame:

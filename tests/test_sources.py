@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stellarframe.operators import history, quality
 from stellarframe.plans import pipeline, serve
-from stellarframe.sources import bronze, sinks
+from stellarframe.sources import bronze, ingest, sinks
 from stellarframe.streaming import events
 
 from .helpers import index, magnetic, orbit, plasma, rows, seen
@@ -142,11 +142,130 @@ def test_run_from_files_to_tables(spark, landing, tmp_path):
     log, lock = str(tmp_path / "runs.jsonl"), str(tmp_path / "lock")
     got = pipeline.run(spark, str(root), str(tmp_path / "out"), lock, log)
     assert [(e["step"], e["status"]) for e in got] == [("load_history", "success"), ("check_quality", "success"), ("build_gold", "success")] and not os.path.exists(lock)
-    assert spark.read.parquet(str(tmp_path / "out/gold/orbit_reliability_index")).count() == 2
+    assert sinks.read_table(spark, str(tmp_path / "out/gold/orbit_reliability_index")).count() == 2
+    results = quality.read_report(spark, str(tmp_path / "out/quality"))
+    r = quality.overall(results).first()
+    assert (r.status, r.checks_total, r.failures, r.warnings) == ("warn", 13, 0, 1) and r.checked_at_utc is not None
+    assert spark.read.option("header", "true").csv(str(tmp_path / "out/quality_csv")).count() == 13
     log_rows = bronze.read_run_log(spark, log)
     assert log_rows.count() == 3 and sinks.kafka_rows(log_rows).select("key").distinct().count() == 1
 
 
+class Web:
+    """Answers for the sources' addresses."""
+
+    def __init__(self, day=30):
+        self.asked, self.day = [], day
+
+    def __call__(self, url):
+        self.asked.append(url)
+        stamp = f"2026-08-{self.day}T"
+        if "GROUP=" in url:
+            group = url.split("GROUP=")[1].split("&")[0]
+            i = bronze.GROUPS.index(group) + 1
+            return f"{HEAD},RA_OF_ASC_NODE,ARG_OF_PERICENTER,MEAN_ANOMALY,MEAN_MOTION_DOT,MEAN_MOTION_DDOT\n{group.upper()},{i},{stamp}08:00:00,98.1,0.001,14.{i},2e-5,10,20,30,0,0\n".encode()
+        if "rtsw_mag" in url:
+            return json.dumps([{"time_tag": f"{stamp}11:0{i}:00", "source": "ACE", "active": True, "bt": 5, "bx_gsm": 1, "by_gsm": 1, "bz_gsm": -7.5, "overall_quality": 0} for i in range(3)]).encode()
+        if "rtsw_wind" in url:
+            return json.dumps([{"time_tag": f"{stamp}11:00:00", "source": "ACE", "active": True, "proton_speed": 420, "proton_density": 3.2}]).encode()
+        if "SpaceData" in url:
+            return b"DATE,KP1,KP8,KP_SUM,AP_AVG,F10.7_OBS\n2026-08-29,20,20,160,8,150\n2026-08-31,,,,,140\n"
+        one = lambda i, status: {"id": i, "start": "2026-08-29T09:00:00Z", "end": "2026-08-29T09:10:00Z", "status": status, "norad_cat_id": 1, "sat_id": "A", "ground_station": 3}
+        if "status=failed" in url:
+            raise OSError("busy")
+        return json.dumps([one(1, "future"), one(2, "unknown")] if url == ingest.OBSERVATIONS_URL else [one(3, "good")] if "status=" in url else [one(int(url.split("id=")[1]), "good")]).encode()
+
+
+def test_from_payloads_to_derived_tables(spark, tmp_path):
+    root, silver, out = (str(tmp_path / x) for x in ("bronze", "silver", "out"))
+    web, pauses = Web(), []
+    got = pipeline.run(spark, root, out, str(tmp_path / "lock"), str(tmp_path / "log"), silver, get=web, at=NOW, wait=pauses.append)
+    assert [(e["step"], e["status"]) for e in got] == [(s, "success") for s in ("ingest_elements", "ingest_solar_wind", "ingest_indices", "ingest_observations", "load_history", "check_quality", "build_gold")]
+    assert len(pauses) == 3 and set(pauses) == {1.0}
+    read = lambda name: sinks.read_table(spark, f"{out}/gold/{name}").collect()
+    assert {r.source_group: r.norad_catalog_id for r in read("orbit_features")} == {g: i + 1 for i, g in enumerate(bronze.GROUPS)}
+    assert [r.object_name for r in read("debris_population")] == ["IRIDIUM-33-DEBRIS"] and len(read("orbit_reliability_index")) == 4
+    (hour,) = read("space_weather_hourly")
+    assert hour.disturbance_level == "southward_bz" and read("satnogs_activity")[0].scheduled_count == 1
+    head = open(f"{silver}/noaa_plasma_latest.csv").read().split("\n")[0]
+    assert head.split(",")[-2:] == ["retrieved_at_utc", "source_url"] and "proton_speed_km_per_second" in head
+    assert len(open(f"{silver}/sw_indices_latest.csv").read().strip().split("\n")) == 2  # no forecast
+    # an hour later nothing is due; later on all is, and what was pending is asked for by id
+    for f in (tmp_path / "bronze").rglob("*.*"):
+        os.utime(f, (NOW.timestamp(), NOW.timestamp()))
+    from datetime import timedelta
+
+    asked = len(web.asked)
+    got = pipeline.run(spark, root, out, str(tmp_path / "lock"), str(tmp_path / "log"), silver, get=web, at=NOW + timedelta(hours=1), wait=pauses.append)
+    assert [e["status"] for e in got[:4]] == ["skipped"] * 4 and len(web.asked) == asked
+    later = NOW + timedelta(hours=30)
+    web.day = 31
+    got = pipeline.run(spark, root, out, str(tmp_path / "lock"), str(tmp_path / "log"), silver, get=web, at=later, wait=pauses.append)
+    assert {e["status"] for e in got} == {"success"} and [u.split("id=")[1] for u in web.asked if "&id=" in u] == ["1", "2"]
+    assert read("satnogs_activity")[0].good_count == 3 and len(read("orbit_change")) == 4
+
+
+def test_one_bad_feed_lands_neither(tmp_path):
+    def get(url):
+        return b"[]" if "wind" in url else Web()(url)
+
+    with pytest.raises(ValueError, match="plasma"):
+        ingest.solar_wind(get, str(tmp_path / "b"), str(tmp_path / "s"), NOW)
+    assert not (tmp_path / "b").exists()
+
+
+def test_older_layouts_are_upgraded(spark, tmp_path):
+    home = str(tmp_path)
+    schema = "file_path string, source string, snapshot_at_utc timestamp, sha256 string, loaded_at_utc timestamp, row_count int"
+    spark.createDataFrame([("f", "celestrak", NOW, "s", NOW, 1), ("o", "satnogs", NOW, "s", NOW, 1)], schema).write.parquet(f"{home}/bronze_file_registry")
+    rows(spark, "orbital_snapshot_history", orbit()).drop(*history.ELEMENT_COLUMNS, "source_group").write.parquet(f"{home}/orbital_snapshot_history/load=a")
+    observed = rows(spark, "satnogs_observation_history", {"observation_id": 1, "satellite_id": "7", "source_file": "o", "source_sha256": "s"})
+    observed.withColumn("satellite_id", F.col("satellite_id").cast("long")).write.parquet(f"{home}/satnogs_observation_history/load=a")
+    observed.withColumn("satellite_id", F.lit("A-B")).withColumn("observation_id", F.lit(2).cast("long")).write.parquet(f"{home}/satnogs_observation_history/load=b")
+    rows(spark, "noaa_plasma_history", plasma()).write.parquet(f"{home}/noaa_plasma_history/load=a")
+    assert "source_group" not in history.describe(spark, home)["orbital_snapshot_history"]
+    assert history.upgrade(spark, home) == {"orbital_snapshot_history": "reset", "satnogs_observation_history": "filled"}
+    assert [r.file_path for r in history.read_registry(spark, home).collect()] == ["o"]
+    assert sorted(r.satellite_id for r in history.read_history(spark, home, "satnogs_observation_history").collect()) == ["7", "A-B"]
+    assert history.upgrade(spark, home) == {}
+
+
+def test_an_upgrade_that_stopped_is_finished(spark, tmp_path):
+    home = str(tmp_path)
+    spark.createDataFrame([("f", "noaa", NOW, "s", NOW, 1)], "file_path string, source string, snapshot_at_utc timestamp, sha256 string, loaded_at_utc timestamp, row_count int").write.parquet(f"{home}/bronze_file_registry")
+    rows(spark, "noaa_plasma_history", plasma()).write.parquet(f"{home}/noaa_plasma_history.upgraded")
+    assert history.upgrade(spark, home) == {"noaa_plasma_history": "filled"} and history.read_history(spark, home, "noaa_plasma_history").count() == 1
+
+
+def test_a_consumer_stops_when_nothing_comes(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for i in range(3):
+        sinks.append_json_line(str(folder / f"{i}.json"), {"run_id": f"r{i}", "step": "s", "status": "success"})
+    seen_ids = []
+    began = time.monotonic()
+    n = events.consume(events.run_events(spark, str(folder)), lambda b: seen_ids.extend(r.run_id for r in b.collect()), idle_s=1.0, wait_s=30.0)
+    assert n == 3 and sorted(seen_ids) == ["r0", "r1", "r2"] and time.monotonic() - began < 25
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert events.consume(events.run_events(spark, str(empty)), print, wait_s=0.5) == 0
+
+
+def test_publishing_counts_or_is_skipped(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for i in range(4):
+        sinks.append_json_line(log, {"run_id": f"r{i}", "step": "s", "status": "success"})
+    sent = []
+    assert sinks.publish(bronze.read_run_log(spark, log), "host", "t", lambda rows: sent.extend(rows.collect())) == 4 and len(sent) == 4
+    ok = pipeline.run_step(None, "r", "publish", pipeline.publish_step(spark, log, "host", "t", lambda rows: rows.collect()))
+    assert (ok["status"], ok["stdout"]) == ("success", "4 events")
+
+    def refuse(_):
+        raise OSError("no broker")
+
+    assert pipeline.run_step(None, "r", "publish", pipeline.publish_step(spark, log, "host", "t", refuse))["status"] == "skipped"
+
+
 def test_order_and_missing_inputs(spark):
     names = pipeline.order()
     assert len(names) == 20 and all(names.index(n) < names.index(t) for t, (needs, _) in pipeline.TABLES.items() for n in needs if n in pipeline.TABLES)
@@ -203,7 +322,45 @@ def test_newest_version_wins_in_a_stream(spark, tmp_path):
     batches = [[(1, 5, "b"), (2, 1, "x")], [(1, 3, "late")], [(1, 9, "c")], [(1, 9, "c")]]
     for i, b in enumerate(batches):
         apply(spark.createDataFrame(b, "id int, seen int, v string"), i)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 9, "c"), (2, 1, "x")]
+    assert sorted(map(tuple, sinks.read_table(spark, path).collect())) == [(1, 9, "c"), (2, 1, "x")]
+
+
+def test_a_batch_rewrites_the_parts_of_its_keys_alone(spark, tmp_path):
+    path = str(tmp_path / "table")
+    frame = lambda *rows: spark.createDataFrame(rows, "id int, seen int, v string")
+    apply = events.upsert_newest(path, ["id"], "seen")
+    apply(frame(*[(i, 1, "a") for i in range(300)]), 0)
+    before = sinks._parts(spark, path, sinks._manifests(spark, path)[-1])
+    apply(frame((5, 2, "b"), (999, 1, "new")), 1)
+    after = sinks._parts(spark, path, sinks._manifests(spark, path)[-1])
+    assert 1 <= sum(after[k] != before.get(k) for k in after) <= 2
+    assert {r.id: r.v for r in sinks.read_table(spark, path).collect()} == {i: "a" for i in range(300)} | {5: "b", 999: "new"}
+
+
+def test_a_writer_that_stops_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    rows = lambda: sorted(r.id for r in sinks.read_table(spark, path).collect())
+    sinks.replace_table(spark.range(3), path)
+    commit = sinks._commit
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    for call in (lambda: sinks.replace_table(spark.range(9), path), lambda: sinks.upsert(spark.range(9).selectExpr("id", "1 AS seen"), path + "2", ["id"], "seen")):
+        monkeypatch.setattr(sinks, "_commit", stop)
+        with pytest.raises(RuntimeError):
+            call()
+        monkeypatch.setattr(sinks, "_commit", commit)
+        assert rows() == [0, 1, 2]
+    assert not sinks.has_table(spark, path + "2")
+    # the next version may be made of the one that it replaces, and what was left behind goes
+    for n in (4, 5, 6):
+        sinks.replace_table(sinks.read_table(spark, path).union(spark.range(n - 1, n)).distinct(), path)
+        assert rows() == list(range(3)) + list(range(3, n))
+    assert len([x for x in os.listdir(path) if x.startswith("data-")]) == 2 and len(sinks._manifests(spark, path)) == 2
+    plain = str(tmp_path / "plain")
+    spark.range(2).write.parquet(plain)
+    assert sinks.read_table(spark, plain).count() == 2
 
 
 def test_hours_close_once_the_watermark_has_passed(spark, tmp_path):
@@ -240,3 +397,25 @@ def test_metrics_and_panels(spark):
     assert len(serve.PANELS) == 19 and serve.panels(gauges).select("panel").distinct().count() == 19
     text = serve.exposition(serve.metrics({"validation_stats": spark.createDataFrame([("pairs", 2.0)], "metric string, value double")}))
     assert 'orbit_validation_metric{metric="pairs"} 2.0' in text
+
+
+def test_health_counts_absent_tables_as_empty(spark):
+    got = {r.table: r.rows for r in serve.health(spark, {"noaa_plasma_history": rows(spark, "noaa_plasma_history", plasma())}).collect()}
+    assert got == {t: 0 for t in serve.HEALTH} | {"noaa_plasma_history": 1}
+    assert serve.health(spark, {}).count() == 5
+
+
+def test_research_report_has_the_sections_of_its_tables(spark):
+    from stellarframe.plans import catalogue, gold, measure
+
+    t = catalogue.Tables(spark, "/root/testdata/sf0.001")
+    o, hourly, measured = t.orbital(), catalogue._hourly(t), catalogue._proxy(t)
+    index = catalogue._index(t)
+    found = measure.validation_pairs(measured, o)
+    tables = {"orbital_snapshot_history": o, "orbit_change": gold.orbit_change(o), "propagation_disagreement": measured, "validation_bins": measure.validation_bins(found), "validation_stats": measure.validation_stats(found, measured), "reliability_class_summary": gold.reliability_class_summary(index), "orbit_reliability_index": index, "space_weather_hourly": hourly, "debris_population": gold.debris_population(catalogue._features(t))}
+    text = serve.research_report(tables, "2026-08-30")
+    shown = [s for s, needs in serve.SECTIONS.items() if all(n in tables for n in needs)]
+    assert [x[3:] for x in text.split("\n") if x.startswith("## ")] == [*shown, "Limits"] and len(shown) == 7
+    assert "### Largest changes" in text and "median_along_track_km" in text
+    assert set(serve.sections(tables)) == set(shown)
+    assert serve.probe(serve.panels(serve.metrics({"noaa_magnetic_history": rows(spark, "noaa_magnetic_history", magnetic())}))).where("status = 'ok'").count() == 1

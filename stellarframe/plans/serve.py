@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions import stats
 
 DISCLAIMER = "A trust signal for public orbit data, not a collision warning."
 #: What is served, fixed paths, and the function here that gives it.
-ROUTES = {"/health": "health", "/quality": "verdict of operators.quality", "/space-weather": "space_weather", "/population": "population", "/reliability": "bottom, and the class and group summaries", "/reliability/{id}": "reliability_of", "/disagreement": "disagreement and top", "/validation": "validation_stats and validation_bins of plans.measure", "/metrics": "metrics and exposition"}
+ROUTES = {"/health": "health", "/quality": "read_report and overall of operators.quality", "/space-weather": "space_weather", "/population": "population", "/reliability": "bottom, and the class and group summaries", "/reliability/{id}": "reliability_of", "/disagreement": "disagreement and top", "/validation": "validation_stats and validation_bins of plans.measure", "/metrics": "metrics and exposition"}
 R = X.round_half_up
 
 
@@ -43,10 +44,8 @@ def metrics(t: dict[str, DataFrame]) -> DataFrame:
         if table in t:
             parts.append(_gauges(t[table].agg(count().alias("n")), **{name: "n"}))
     if "propagation_disagreement" in t:
-        ok = F.col("measurement_quality") == "ok"
-        km, span = F.when(ok, F.col("total_km")), F.when(ok, F.col("propagation_span_hours"))
-        row = t["propagation_disagreement"].agg(F.count(F.when(ok, 1)).alias("n"), R(F.median(km), 3).alias("m"), R(F.max(km), 3).alias("x"), R(F.median(span), 2).alias("s"), F.count(F.when(~ok, 1)).alias("e"))
-        parts.append(_gauges(row, disagreement_pairs="n", disagreement_median_km="m", disagreement_max_km="x", disagreement_median_span_hours="s", disagreement_excluded_pairs="e"))
+        row = disagreement(t["propagation_disagreement"]).withColumn("excluded", F.col("excluded_long_span") + F.col("excluded_extreme"))
+        parts.append(_gauges(row, disagreement_pairs="pairs", disagreement_median_km="median_total_km", disagreement_max_km="maximum_total_km", disagreement_median_span_hours="median_span_hours", disagreement_excluded_pairs="excluded"))
     if "validation_stats" in t:
         parts.append(_by(t["validation_stats"], "validation_metric", "metric", "value"))
     if "reliability_class_summary" in t:
@@ -66,8 +65,10 @@ def metrics(t: dict[str, DataFrame]) -> DataFrame:
         row = d.agg(count().alias("n"), z(R(F.max("kp_sum"), 2)).alias("k"), z(R(F.max("ap_avg"), 1)).alias("a"), z(R(F.max("f10_7_observed"), 1)).alias("f"), last("kp_sum", 2).alias("lk"), last("ap_avg", 1).alias("la"), last("f10_7_observed", 1).alias("lf"))
         parts.append(_gauges(row, sw_index_days="n", sw_max_kp_sum_5y="k", sw_max_ap_5y="a", sw_max_f10_7_5y="f", sw_latest_kp_sum="lk", sw_latest_ap_avg="la", sw_latest_f10_7="lf"))
     if "debris_population" in t:
-        row = t["debris_population"].agg(count().alias("n"), z(R(F.median("mean_altitude_km"), 1)).alias("a"), z(R(F.median("bstar_drag_term"), 8)).alias("b"), z(X.percent(X.count_if(F.col("element_age_hours") > X.STALE_HOURS), count())).alias("s"))
-        parts.append(_gauges(row, debris_objects="n", debris_median_altitude_km="a", debris_median_bstar="b", debris_stale_percent="s"))
+        own = t["debris_population"]
+        row = debris_summary(own).crossJoin(F.broadcast(own.agg(X.percent(X.count_if(F.col("element_age_hours") > X.STALE_HOURS), count()).alias("stale"))))  # one row each
+        row = row.select("objects", *[z(F.col(c)).alias(c) for c in ("median_altitude_km", "median_bstar", "stale")])
+        parts.append(_gauges(row, debris_objects="objects", debris_median_altitude_km="median_altitude_km", debris_median_bstar="median_bstar", debris_stale_percent="stale"))
     if "satnogs_activity" in t:
         total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
         row = t["satnogs_activity"].agg(count().alias("days"), *map(total, ("observation_count", "good_count", "completed_count", "scheduled_count")))
@@ -105,12 +106,16 @@ def routes() -> dict[str, object]:
     return {"routes": ROUTES, "disclaimer": DISCLAIMER}
 
 
-def health(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, rows); absent tables are not in `tables` and count 0 for the caller."""
-    out = None
-    for name, df in tables.items():
-        row = df.agg(F.lit(name).alias("table"), count().alias("rows")).select("table", "rows")
-        out = row if out is None else out.unionByName(row)
+#: Tables whose rows are reported, fixed names.
+HEALTH = ("orbital_snapshot_history", "noaa_magnetic_history", "noaa_plasma_history", "propagation_disagreement", "validation_pairs")
+
+
+def health(spark: SparkSession, tables: dict[str, DataFrame], names: tuple[str, ...] = HEALTH) -> DataFrame:
+    """(table, rows) of each name; a table that is absent has 0."""
+    out = spark.createDataFrame([(n, 0) for n in names if n not in tables], "table string, rows long")
+    for n in names:
+        if n in tables:
+            out = out.unionByName(tables[n].agg(count().alias("rows")).select(F.lit(n).alias("table"), "rows"))
     return out
 
 
@@ -140,8 +145,10 @@ def reliability_of(index: DataFrame, norad_catalog_id: int) -> DataFrame:
 def disagreement(measured: DataFrame) -> DataFrame:
     """One row: medians of what is inside the envelope, and how many pairs are outside by label."""
     q = F.col("measurement_quality")
-    km, span = F.when(q == "ok", F.col("total_km")), F.when(q == "ok", F.col("propagation_span_hours"))
-    return measured.agg(X.count_if(q == "ok").alias("pairs"), R(F.median(km), 3).alias("median_total_km"), R(F.max(km), 3).alias("maximum_total_km"), R(F.median(span), 2).alias("median_span_hours"), X.count_if(q == "long_span").alias("excluded_long_span"), X.count_if(q == "extreme").alias("excluded_extreme"))
+    own = measured.select("measurement_quality", F.when(q == "ok", F.col("total_km")).alias("km"), F.when(q == "ok", F.col("propagation_span_hours")).alias("span"))
+    counted = own.agg(X.count_if(q == "ok").alias("pairs"), R(F.max("km"), 3).alias("maximum_total_km"), X.count_if(q == "long_span").alias("excluded_long_span"), X.count_if(q == "extreme").alias("excluded_extreme"))
+    row = stats.with_quantiles(counted, own, [], {"median_total_km": ("km", 0.5), "median_span_hours": ("span", 0.5)})
+    return row.withColumns({"median_total_km": R("median_total_km", 3), "median_span_hours": R("median_span_hours", 2)})
 
 
 def index_summary(daily: DataFrame) -> DataFrame:
@@ -156,7 +163,9 @@ def activity_summary(activity: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def debris_summary(debris: DataFrame) -> DataFrame:
-    return debris.agg(count().alias("objects"), R(F.median("mean_altitude_km"), 1).alias("median_altitude_km"), R(F.median("element_age_hours"), 1).alias("median_age_hours"), R(F.median("bstar_drag_term"), 8).alias("median_bstar"))
+    places = {"median_altitude_km": ("mean_altitude_km", 1), "median_age_hours": ("element_age_hours", 1), "median_bstar": ("bstar_drag_term", 8)}
+    row = stats.with_quantiles(debris.agg(count().alias("objects")), debris, [], {n: (c, 0.5) for n, (c, _) in places.items()})
+    return row.withColumns({n: R(n, d) for n, (_, d) in places.items()})
 
 
 def change_refresh(change: DataFrame) -> DataFrame:
@@ -166,46 +175,132 @@ def change_refresh(change: DataFrame) -> DataFrame:
 
 def latest_by_group(orbital: DataFrame) -> DataFrame:
     """Objects in each group's newest snapshot, by the group's own maximum."""
-    w = Window.partitionBy("source_group")
-    newest = orbital.select("source_group", "norad_catalog_id", "snapshot_at_utc", F.max("snapshot_at_utc").over(w).alias("last"))
-    return newest.where("snapshot_at_utc = last").groupBy("source_group").agg(count().alias("object_count"), F.countDistinct("norad_catalog_id").alias("unique_objects"))
+    last = orbital.groupBy("source_group").agg(F.max("snapshot_at_utc").alias("snapshot_at_utc"))
+    return orbital.join(last, ["source_group", "snapshot_at_utc"], "left_semi").groupBy("source_group").agg(count().alias("object_count"), F.countDistinct("norad_catalog_id").alias("unique_objects"))
 
 
 def lakehouse(silver: DataFrame) -> DataFrame:
     """Counts, distinct objects and median altitude by group, from current files in an object store."""
     typed = silver.select("source_group", X.number("norad_catalog_id", "long").alias("id"), X.altitude(X.number("mean_motion_revolutions_per_day")).alias("km"))
-    return typed.groupBy("source_group").agg(count().alias("rows"), F.countDistinct("id").alias("objects"), R(F.median("km"), 1).alias("median_altitude_km"))
+    counted = typed.groupBy("source_group").agg(count().alias("rows"), F.countDistinct("id").alias("objects"))
+    return stats.with_quantiles(counted, typed, ["source_group"], {"median_altitude_km": ("km", 0.5)}).withColumn("median_altitude_km", R("median_altitude_km", 1))
+
+
+def raw_counts(elements: DataFrame) -> DataFrame:
+    """One row: records and distinct objects of raw element files (columns of the payload, file_path)."""
+    return elements.agg(count().alias("rows"), F.countDistinct(X.number("NORAD_CAT_ID", "long")).alias("objects"))
+
+
+def raw_groups(elements: DataFrame) -> DataFrame:
+    """Distinct objects of each group of raw element files, the group taken from the file's name."""
+    group = F.regexp_extract("file_path", r"([a-z0-9-]+)_\d{8}T\d{6}Z\.csv$", 1).alias("source_group")
+    return elements.groupBy(group).agg(F.countDistinct(X.number("NORAD_CAT_ID", "long")).alias("objects"))
+
+
+def raw_median_altitude(elements: DataFrame, group: str = "cubesat") -> DataFrame:
+    """One row: the median altitude of one group's raw records with a positive motion."""
+    own = elements.where(F.regexp_extract("file_path", r"([a-z0-9-]+)_\d{8}T\d{6}Z\.csv$", 1) == group).select(X.altitude(X.number("MEAN_MOTION")).alias("km"))
+    return stats.quantiles(own, [], {"median_altitude_km": ("km", 0.5)}).select(R("median_altitude_km", 1).alias("median_altitude_km"))
+
+
+def current_rows(silver: DataFrame) -> DataFrame:
+    """One row: how many rows a current file has."""
+    return silver.agg(count().alias("rows"))
+
+
+def chart_rows(name: str, t: dict[str, DataFrame]) -> DataFrame:
+    """The rows behind one chart, from the table that it needs."""
+    return CHARTS[name](t)
 
 
 def chart_extracts(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The rows behind each chart; drawing is left to the caller."""
-    c = F.col
-    return {
-        "bz_series": t["space_weather_minute"].where("bz_gsm_nanotesla IS NOT NULL").select("observation_minute_utc", "bz_gsm_nanotesla").orderBy("observation_minute_utc"),
-        "hourly_weather": t["space_weather_hourly"].select("hour_utc", "average_bz_gsm", "average_proton_speed", "disturbance_level").orderBy("hour_utc"),
-        "altitude_by_inclination": t["orbit_features"].where("mean_altitude_km IS NOT NULL AND inclination_degrees IS NOT NULL").select("inclination_degrees", "mean_altitude_km", "source_group"),
-        "largest_changes": top(t["orbit_change"].where("decay_rate_km_per_day IS NOT NULL").select("object_name", "norad_catalog_id", "decay_rate_km_per_day", "snapshot_at_utc"), F.abs(c("decay_rate_km_per_day")), "norad_catalog_id", 25),
-        "freshness": t["element_freshness"].where("element_age_hours IS NOT NULL").select("source_group", "element_age_hours"),
-        "index_by_age": t["orbit_reliability_index"].where("element_age_hours IS NOT NULL AND orbit_reliability_index IS NOT NULL").select("element_age_hours", "orbit_reliability_index", "reliability_class"),
-        "disagreement": t["propagation_disagreement"].where("measurement_quality = 'ok'").select("propagation_span_hours", "total_km"),
-        "daily_indices": t["sw_index_daily"].select("observation_date", "kp_sum", "ap_avg", "f10_7_observed").orderBy("observation_date"),
-    }
+    return {name: make(t) for name, make in CHARTS.items()}
+
+
+CHARTS = {
+    "bz_series": lambda t: t["space_weather_minute"].where("bz_gsm_nanotesla IS NOT NULL").select("observation_minute_utc", "bz_gsm_nanotesla").orderBy("observation_minute_utc"),
+    "hourly_weather": lambda t: t["space_weather_hourly"].select("hour_utc", "average_bz_gsm", "average_proton_speed", "disturbance_level").orderBy("hour_utc"),
+    "altitude_by_inclination": lambda t: t["orbit_features"].where("mean_altitude_km IS NOT NULL AND inclination_degrees IS NOT NULL").select("inclination_degrees", "mean_altitude_km", "source_group"),
+    "largest_changes": lambda t: top(t["orbit_change"].where("decay_rate_km_per_day IS NOT NULL").select("object_name", "norad_catalog_id", "decay_rate_km_per_day", "snapshot_at_utc"), F.abs(F.col("decay_rate_km_per_day")), "norad_catalog_id", 25),
+    "freshness": lambda t: t["element_freshness"].where("element_age_hours IS NOT NULL").select("source_group", "element_age_hours"),
+    "index_by_age": lambda t: t["orbit_reliability_index"].where("element_age_hours IS NOT NULL AND orbit_reliability_index IS NOT NULL").select("element_age_hours", "orbit_reliability_index", "reliability_class"),
+    "disagreement": lambda t: t["propagation_disagreement"].where("measurement_quality = 'ok'").select("propagation_span_hours", "total_km"),
+    "daily_indices": lambda t: t["sw_index_daily"].select("observation_date", "kp_sum", "ap_avg", "f10_7_observed").orderBy("observation_date"),
+}
 
 
 def report(rows: dict[str, list[dict]]) -> str:
     """A Markdown report of small results that were collected by name."""
     out = ["# Orbit and space-weather report", "", DISCLAIMER, ""]
     for name, data in rows.items():
-        out += [f"## {name.replace('_', ' ').capitalize()}", ""]
-        if data:
-            head = list(data[0])
-            out += ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *["| " + " | ".join("–" if r[h] is None else str(r[h]) for h in head) + " |" for r in data]]
-        else:
-            out.append("No rows.")
-        out.append("")
+        out += [f"## {name.replace('_', ' ').capitalize()}", "", *_table(data), ""]
     return "\n".join(out)
 
 
+def _table(data: list[dict]) -> list[str]:
+    if not data:
+        return ["No rows."]
+    head = list(data[0])
+    return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *["| " + " | ".join("–" if r[h] is None else str(r[h]) for h in head) + " |" for r in data]]
+
+
+#: Sections of the research report and the derived tables that each needs.
+SECTIONS = {
+    "Coverage": ("orbital_snapshot_history",), "Orbit change": ("orbit_change", "orbital_snapshot_history"), "Propagation disagreement": ("propagation_disagreement",),
+    "Index validation": ("validation_bins", "validation_stats"), "Element freshness": ("freshness_by_group", "freshness_by_band"), "Reliability index": ("reliability_class_summary", "orbit_reliability_index"),
+    "Space weather of the last 24 hours": ("space_weather_hourly",), "Daily indices": ("sw_index_daily",), "Debris": ("debris_population",), "Ground stations": ("satnogs_activity", "satnogs_observation_history"),
+}
+LIMITS = "A change of mean motion stands for drag and is no measurement of density; manoeuvres look the same. A later element is an estimate too, not the truth. Medians and correlations describe what was collected and give no cause."
+
+
+def last_hours(hourly: DataFrame, hours: int = 24) -> DataFrame:
+    """The hours from `hours` before the last one on."""
+    last = hourly.agg(F.max("hour_utc").alias("last"))  # one row
+    return hourly.join(F.broadcast(last), F.col("hour_utc") > F.col("last") - F.expr(f"INTERVAL {hours} HOURS")).drop("last")
+
+
+def largest_changes(change: DataFrame, n: int = 10) -> DataFrame:
+    """Objects with the fastest decay among pairs whose element was refreshed."""
+    rows = change.where("NOT same_element_set AND decay_rate_km_per_day IS NOT NULL")
+    return top(rows, "decay_rate_km_per_day", "object_name", n).select("object_name", R("decay_rate_km_per_day", 4).alias("decay_rate_km_per_day"), "interval_minutes")
+
+
+def disagreement_by_axis(measured: DataFrame) -> DataFrame:
+    """One row: spans and medians of what is inside the envelope, in total and by axis."""
+    ok = measured.where("measurement_quality = 'ok'")
+    row = ok.agg(count().alias("pairs"), R(F.max("propagation_span_hours"), 2).alias("maximum_span_hours"), R(F.max("total_km"), 3).alias("maximum_total_km"))
+    wanted = {"median_span_hours": ("propagation_span_hours", 2), "median_total_km": ("total_km", 3), "median_along_track_km": ("along_track_km", 3), "median_radial_km": ("radial_km", 3), "median_cross_track_km": ("cross_track_km", 3)}
+    return stats.with_quantiles(row, ok, [], {n: (c, 0.5) for n, (c, _) in wanted.items()}).withColumns({n: R(n, d) for n, (_, d) in wanted.items()})
+
+
+def sections(t: dict[str, DataFrame]) -> dict[str, dict[str, DataFrame]]:
+    """The small results of each section whose tables are there; sections are in order, results have titles."""
+    made = {
+        "Coverage": lambda: {"Snapshots and objects": t["orbital_snapshot_history"].agg(F.countDistinct("snapshot_at_utc").alias("snapshots"), F.countDistinct("norad_catalog_id").alias("objects_ever_seen")), "Latest snapshot of each group": latest_by_group(t["orbital_snapshot_history"]).orderBy("source_group")},
+        "Orbit change": lambda: {"Pairs compared": change_refresh(t["orbit_change"]), "Largest changes": largest_changes(t["orbit_change"])},
+        "Propagation disagreement": lambda: {"Inside the envelope": disagreement_by_axis(t["propagation_disagreement"]), "Outside the envelope": t["propagation_disagreement"].where("measurement_quality <> 'ok'").groupBy("measurement_quality").agg(count().alias("pairs")).orderBy("measurement_quality"), "Largest": top(t["propagation_disagreement"].where("measurement_quality = 'ok'"), "total_km", "object_name", 10).select("object_name", "source_group", R("propagation_span_hours", 1).alias("span_hours"), R("total_km", 2).alias("total_km"), R("along_track_km", 2).alias("along_track_km"))},
+        "Index validation": lambda: {"By predicted class": t["validation_bins"].orderBy("pair_count"), "Rank correlations": t["validation_stats"].orderBy("metric")},
+        "Element freshness": lambda: {"By group": t["freshness_by_group"].orderBy("source_group"), "By altitude": t["freshness_by_band"].orderBy("median_age_hours")},
+        "Reliability index": lambda: {"Environment": t["orbit_reliability_index"].select("environment_factor", "context_through_hour").limit(1), "Classes": t["reliability_class_summary"].orderBy("median_index"), "Least reliable": bottom(t["orbit_reliability_index"], "orbit_reliability_index", "object_name").select("object_name", "source_group", "orbit_reliability_index", "element_age_hours")},
+        "Space weather of the last 24 hours": lambda: {"Levels": space_weather(last_hours(t["space_weather_hourly"])).orderBy("disturbance_level")},
+        "Daily indices": lambda: {"Range": index_summary(t["sw_index_daily"])},
+        "Debris": lambda: {"Cohort": debris_summary(t["debris_population"]), "Altitudes": t["debris_population"].agg(F.min("mean_altitude_km").alias("lowest_km"), F.max("mean_altitude_km").alias("highest_km"), F.max("element_age_hours").alias("oldest_element_hours"))},
+        "Ground stations": lambda: {"Activity": activity_summary(t["satnogs_activity"], t["satnogs_observation_history"])},
+    }
+    return {name: make() for name, make in made.items() if all(n in t for n in SECTIONS[name])}
+
+
+def research_report(t: dict[str, DataFrame], generated_at: str) -> str:
+    """The Markdown report of all derived tables that are there; results are small and collected one by one."""
+    out = ["# Research report", "", f"Generated: {generated_at}", "", DISCLAIMER, ""]
+    for name, results in sections(t).items():
+        out += [f"## {name}", ""]
+        for title, df in results.items():
+            out += [f"### {title}", "", *_table([r.asDict() for r in df.collect()]), ""]  # summaries and tops of ten
+    return "\n".join([*out, "## Limits", "", LIMITS, ""])
+
+
 #: Dashboard panels, fixed values: title, kind and the gauges that they read, each with a factor.
 PANELS = [
     ("Database", "stat", {"database_reachable": 1}), ("Quality Failures", "stat", {"quality_failures": 1}), ("Environment Factor", "stat", {"environment_factor": 1}), ("Objects Tracked", "stat", {"objects_tracked": 1}),
@@ -222,3 +317,8 @@ def panels(gauges: DataFrame) -> DataFrame:
     spark = gauges.sparkSession
     wanted = spark.createDataFrame([(p, k, n, float(f)) for p, k, g in PANELS for n, f in g.items()], "panel string, kind string, name string, factor double")
     return F.broadcast(wanted).join(gauges, "name", "left").select("panel", "kind", "name", "labels", (F.col("value") * F.col("factor")).alias("value"))
+
+
+def probe(shown: DataFrame) -> DataFrame:
+    """(panel, status): `ok` for a panel with a value, `empty` for one without."""
+    return shown.groupBy("panel").agg(F.when(F.count("value") > 0, "ok").otherwise("empty").alias("status"))

@@ -160,17 +160,20 @@ def scan(text: str | None, t: Templates) -> list[tuple[str, float, int, int]]:
     return [(t.names[i], score, *edges(a, b)) for a, b, i, score in sorted(out)]
 
 
-def find_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """`docs` with `licenses`: an array of (license, score, start, end) in code points."""
+def find_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """`docs` with `licenses`: an array of (license, score, start, end) in code points.
+
+    `keep` names the columns of `docs` that are wanted, all unless given; others, such as the text, are not sent back.
+    """
     known = templates or TEMPLATES
-    kept = [f for f in docs.schema.fields if f.name not in _ADDED]
-    schema = T.StructType([*kept, *[T.StructField(k, v) for k, v in _ADDED.items()]])
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in _ADDED]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(k, v) for k, v in _ADDED.items()]])
     made = pa.list_(pa.struct([("license", pa.string()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Templates(known, threshold)
         for b in batches:
-            rows = [[dict(zip(("license", "score", "start", "end"), m, strict=True)) for m in scan(x, t)] for x in b.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(rows, made)], names=schema.names)
+            rows = [[dict(zip(("license", "score", "start", "end"), m, strict=True)) for m in scan(x.as_py(), t)] for x in b.column(text_col)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(rows, made)], names=schema.names)
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text_col])]).mapInArrow(run, schema)

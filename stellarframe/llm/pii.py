@@ -1,8 +1,9 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words move their score.
 
 Base kinds are email, ip, card (Luhn) and phone; they stay whatever their score. Added kinds need a score of at least
-`MIN_SCORE`: iban (its country's length, mod 97), national_id (a number that only context words make personal) and secret (a quoted or bare
-credential after a word such as token or password). Spans are code points, the end is exclusive.
+`MIN_SCORE`: iban (its country's length, mod 97), national_id (a number that only context words make personal) and secret (a
+quoted or bare credential, with parts joined by dots, after a word such as token or password; one without a digit may be a
+plain word and needs context words). Spans are code points, the end is exclusive.
 
 The expressions are written so that Java's matcher needs neither deep recursion nor repeated scans: quantified groups are
 possessive, and a match may begin only where a run of its characters begins. That changes no match. Positions are summed
@@ -40,12 +41,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?:{_KNOWN_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_KNOWN_IBAN}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9_+/-]{16,}+\x22?",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9_+/=~-]{16,}+(?:\.[A-Za-z0-9_+/=~-]{4,}+)*+\x22?",
 }
 #: A character or string without which a kind cannot occur, and is not looked for.
 NEEDS = {"email": "text LIKE '%@%'", "ip": "text RLIKE '[0-9]'", "card": "text RLIKE '[0-9]'", "phone": "text LIKE '%+%'", "iban": "text RLIKE '[A-Z]{2}[0-9]{2}'", "national_id": "text RLIKE '[0-9]-[0-9]{2}-[0-9]'", "secret": "text RLIKE '[=:]'"}
 #: Score of a proposed span, and what a nearby word of the kind adds.
 SCORES = {"email": (0.9, 0.1), "ip": (0.7, 0.2), "card": (0.8, 0.2), "phone": (0.6, 0.3), "iban": (0.8, 0.2), "national_id": (0.3, 0.5), "secret": (0.7, 0.2)}
+#: A secret without a digit scores less.
+PLAIN_SECRET = 0.35
 CONTEXT = {
     "email": "mail|contact|write", "ip": "ip|host|server|address|login", "card": "card|visa|credit|payment|pay", "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account|transfer", "national_id": "ssn|social|security|identity|passport", "secret": "key|auth|login|access|credential",
@@ -140,14 +143,15 @@ def _scored(kind: str) -> str:
     before = _piece(f"greatest(x.start - {CONTEXT_CHARS}, 0)", "x.start")
     after = _piece("x.end", f"least(x.end + {CONTEXT_CHARS}, n_points)")
     near = f"lower(concat({before}, ' ', {after}))"
-    score = f"{at}D + if({near} RLIKE '(?<![a-z])({CONTEXT[kind]})', {more}D, 0D)"
+    given = f"if(x.m RLIKE '[=:].*[0-9]', {at}D, {PLAIN_SECRET}D)" if kind == "secret" else f"{at}D"
+    score = f"{given} + if({near} RLIKE '(?<![a-z])({CONTEXT[kind]})', {more}D, 0D)"
     made = f"transform(filter({_candidates(kind)}, x -> {_confirmed(kind)}), x -> struct(x.start AS start, {KINDS.index(kind)} AS rank, x.end AS end, '{kind}' AS kind, {score} AS score))"
     return made if kind in BASE else f"filter({made}, x -> x.score >= {MIN_SCORE})"
 
 
-def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """`docs` with pii_base and pii_spans: sorted arrays of (start, rank, end, kind, score)."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("pii_base", "pii_spans")]
+def find_pii(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """`docs`, or its columns `keep`, with pii_base and pii_spans: sorted arrays of (start, rank, end, kind, score)."""
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in ("pii_base", "pii_spans")]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = F.struct(*kept).alias("own")
     found = docs.select(own, text.alias("text")).select("own", "text", *[_kept(_gaps(k)).alias(f"gaps_{k}") for k in KINDS])

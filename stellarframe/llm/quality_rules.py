@@ -153,17 +153,31 @@ def measure(text: str | None, lang: str | None, min_words: int = MIN_WORDS, max_
     return n, word_chars, n_symbols, len(lines) - len(set(lines)), repeat, failed, by_class, by_word, kept
 
 
-def apply_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
-    """`docs` with the counts, base_failed, both distances (null without words) and kept."""
-    kept = [f for f in docs.schema.fields if f.name not in _ADDED]
-    schema = T.StructType([*kept, *[T.StructField(k, v) for k, v in _ADDED.items()]])
+def apply_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] | None = None, **limits) -> DataFrame:
+    """`docs` with the counts, base_failed, both distances (null without words) and kept.
+
+    `keep` names the columns of `docs` that are wanted, all unless given; others, such as the text, are not sent back.
+    """
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in _ADDED]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(k, v) for k, v in _ADDED.items()]])
+    types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column(lang_col).to_pylist() if lang_col in b.schema.names else [None] * b.num_rows
-            made = list(zip(*(measure(t, g, **limits) for t, g in zip(b.column(text_col).to_pylist(), langs, strict=True)), strict=True)) or [[] for _ in _ADDED]
-            types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-            names = [f.name for f in kept] + list(_ADDED)
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *[pa.array(m, t) for m, t in zip(made, types, strict=True)]], names=names)
+            made = list(zip(*(measure(t.as_py(), g, **limits) for t, g in zip(b.column(text_col), langs, strict=True)), strict=True)) or [[] for _ in _ADDED]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(m, t) for m, t in zip(made, types, strict=True)]], names=schema.names)
+
+    sent = dict.fromkeys([*kept, text_col, *([lang_col] if lang_col in docs.columns else [])])
+    return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
+    """The documents that the rules keep, with their own columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs = b.column(lang_col) if lang_col in b.schema.names else pa.nulls(b.num_rows, pa.string())
+            yield b.filter(pa.array([measure(t.as_py(), g.as_py(), **limits)[-1] for t, g in zip(b.column(text_col), langs, strict=True)], pa.bool_()))
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

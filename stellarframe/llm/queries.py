@@ -21,9 +21,9 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = pii.find_pii(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
     n = lambda kind: F.size(F.filter("pii_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(n, pii.BASE), F.sha2(pii.span_string("pii_base").cast("binary"), 256).alias("base_sha256"), pii.span_string("pii_spans").alias("spans"))
+    return found.select("doc_id", *map(n, pii.BASE), F.sha2(pii.span_string("pii_base").cast("binary"), 256).alias("base_sha256"), pii.span_string("pii_spans").alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"), F.array_max("pii_spans.score").alias("best_score"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
-    found = licenses.find_licenses(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = licenses.find_licenses(common.table(spark, sf_dir, "documents"), keep=("doc_id",))
     text = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), text.alias("spans"), F.array_max("licenses.score").alias("best_score"))
 
@@ -49,8 +49,8 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
-    judged = quality_rules.apply_rules(common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.drop("text", "lang").withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+    judged = quality_rules.apply_rules(common.table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and all rows that its predecessor kept; all but the last return the columns of
 documents. Rows that a stage rejects go; redaction changes text and n_chars; the last stage adds the ids of each text.
+
+Defined cases: a document whose text is null or has no words is rejected by the first stage; rows of one id, or of none, are
+told apart by their texts, and repeated rows leave one; extra columns are left out; an empty table, or one whose documents
+are all rejected, gives no rows; without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     common.small_batches(spark)
-    return quality_rules.apply_rules(docs).where("kept").select(*COLUMNS)
+    return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each one's rows written and read again."""
+    """The stages applied to documents, each one's rows written and read again; what the last one does not read is deleted."""
     docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
-    for _, stage in STAGES[:-1]:
-        docs = common.materialise(spark, stage(spark, docs, sf_dir))
+    with common.Stages(spark) as stages:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            docs = stages.write(stage(spark, docs, sf_dir), keep=k == len(STAGES) - 2)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -124,9 +124,9 @@ def element_freshness(orbital: DataFrame) -> DataFrame:
 def freshness_by(freshness: DataFrame, key: str, with_maximum: bool) -> DataFrame:
     stale = X.count_if(F.col("is_stale_over_24_hours"))
     largest = [X.round_half_up(F.max("element_age_hours"), 2).alias("maximum_age_hours")] * with_maximum
-    counted = freshness.groupBy(key).agg(F.count(F.lit(1)).alias("object_count"), *largest, stale.alias("stale_count"), X.percent(stale, F.count(F.lit(1))).alias("stale_percent"))
+    plain = [F.count(F.lit(1)).alias("object_count"), *largest, stale.alias("stale_count"), X.percent(stale, F.count(F.lit(1))).alias("stale_percent")]
     ages = {"median_age_hours": ("element_age_hours", 0.5), "p90_age_hours": ("element_age_hours", 0.9)}
-    return stats.with_quantiles(counted, freshness, [key], ages).withColumns({n: X.round_half_up(n, 2) for n in ages})
+    return stats.summary(freshness, [key], plain, ages).withColumns({n: X.round_half_up(n, 2) for n in ages})
 
 
 def freshness_by_group(freshness: DataFrame) -> DataFrame:
@@ -159,14 +159,14 @@ def orbit_reliability_index(orbital: DataFrame, hourly: DataFrame) -> DataFrame:
 
 def reliability_class_summary(index: DataFrame) -> DataFrame:
     i = "orbit_reliability_index"
-    counted = index.groupBy("reliability_class").agg(F.count(F.lit(1)).alias("object_count"), X.round_half_up(F.min(i), 1).alias("minimum_index"), X.round_half_up(F.max(i), 1).alias("maximum_index"))
-    return stats.with_quantiles(counted, index, ["reliability_class"], {"median_index": (i, 0.5)}).withColumn("median_index", X.round_half_up("median_index", 1))
+    plain = [F.count(F.lit(1)).alias("object_count"), X.round_half_up(F.min(i), 1).alias("minimum_index"), X.round_half_up(F.max(i), 1).alias("maximum_index")]
+    return stats.summary(index, ["reliability_class"], plain, {"median_index": (i, 0.5)}).withColumn("median_index", X.round_half_up("median_index", 1))
 
 
 def reliability_group_summary(index: DataFrame) -> DataFrame:
     i, c = "orbit_reliability_index", F.col("reliability_class")
-    counted = index.groupBy("source_group").agg(F.count(F.lit(1)).alias("object_count"), X.round_half_up(F.avg(i), 1).alias("average_index"), X.count_if(c == "low").alias("low_count"), X.count_if(c == "reduced").alias("reduced_count"))
-    return stats.with_quantiles(counted, index, ["source_group"], {"median_index": (i, 0.5)}).withColumn("median_index", X.round_half_up("median_index", 1))
+    plain = [F.count(F.lit(1)).alias("object_count"), X.round_half_up(F.avg(i), 1).alias("average_index"), X.count_if(c == "low").alias("low_count"), X.count_if(c == "reduced").alias("reduced_count")]
+    return stats.summary(index, ["source_group"], plain, {"median_index": (i, 0.5)}).withColumn("median_index", X.round_half_up("median_index", 1))
 
 
 def sw_index_daily(indices: DataFrame) -> DataFrame:

@@ -75,9 +75,9 @@ def validation_pairs(disagreement: DataFrame, orbital: DataFrame) -> DataFrame:
 def validation_bins(pairs: DataFrame) -> DataFrame:
     """Medians by class; classes without pairs are left out. The class order is high to low."""
     known = pairs.withColumn("along", F.abs(F.coalesce("along_track_km", F.lit(0.0))))
-    counted = known.groupBy("reliability_class").agg(F.count(F.lit(1)).cast("int").alias("pair_count"))
+    plain = [F.count(F.lit(1)).cast("int").alias("pair_count")]
     wanted = {"median_total_km": ("total_km", 0.5), "p90_total_km": ("total_km", 0.9, stats.NEAREST), "median_km_per_hour": ("km_per_hour", 0.5), "median_along_track_km": ("along", 0.5)}
-    bins = stats.with_quantiles(counted, known, ["reliability_class"], wanted).withColumns({n: X.round_half_up(n, 4) for n in wanted})
+    bins = stats.summary(known, ["reliability_class"], plain, wanted).withColumns({n: X.round_half_up(n, 4) for n in wanted})
     order = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("reliability_class"))
     return bins.select("reliability_class", "pair_count", *wanted).orderBy(order)
 

@@ -29,8 +29,10 @@ def _gauges(row: DataFrame, **values: str) -> DataFrame:
     return row.select(F.inline(named))
 
 
-def _by(df: DataFrame, name: str, label: str, value: str) -> DataFrame:
-    return df.select(F.lit(name).alias("name"), _labels(**{label: label}).alias("labels"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"))
+def _by(df: DataFrame, label: str, **values: str) -> DataFrame:
+    """A gauge for each column and row, labelled by `label`; the table is read once for all of them."""
+    named = F.array(*[F.struct(F.lit(n).alias("name"), _labels(**{label: label}).alias("labels"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for n, c in values.items()])
+    return df.select(F.inline(named))
 
 
 def metrics(t: dict[str, DataFrame]) -> DataFrame:
@@ -47,14 +49,13 @@ def metrics(t: dict[str, DataFrame]) -> DataFrame:
         row = disagreement(t["propagation_disagreement"]).withColumn("excluded", F.col("excluded_long_span") + F.col("excluded_extreme"))
         parts.append(_gauges(row, disagreement_pairs="pairs", disagreement_median_km="median_total_km", disagreement_max_km="maximum_total_km", disagreement_median_span_hours="median_span_hours", disagreement_excluded_pairs="excluded"))
     if "validation_stats" in t:
-        parts.append(_by(t["validation_stats"], "validation_metric", "metric", "value"))
+        parts.append(_by(t["validation_stats"], "metric", validation_metric="value"))
     if "reliability_class_summary" in t:
-        parts.append(_by(t["reliability_class_summary"], "ori_class_objects", "reliability_class", "object_count"))
+        parts.append(_by(t["reliability_class_summary"], "reliability_class", ori_class_objects="object_count"))
     if "orbit_reliability_index" in t:
         parts.append(_gauges(t["orbit_reliability_index"].select("environment_factor").limit(1), environment_factor="environment_factor"))
     if "freshness_by_group" in t:
-        g = t["freshness_by_group"]
-        parts += [_by(g, n, "source_group", c) for n, c in (("group_objects", "object_count"), ("freshness_median_age_hours", "median_age_hours"), ("freshness_stale_percent", "stale_percent"))]
+        parts.append(_by(t["freshness_by_group"], "source_group", group_objects="object_count", freshness_median_age_hours="median_age_hours", freshness_stale_percent="stale_percent"))
     if "space_weather_hourly" in t:
         level = F.col("disturbance_level")
         row = t["space_weather_hourly"].agg(z(R(F.min("minimum_bz_gsm"), 2)).alias("b"), z(R(F.max("average_proton_speed"), 2)).alias("v"), X.count_if(level == "southward_bz").alias("s"), X.count_if(level == "fast_wind").alias("f"))
@@ -146,8 +147,8 @@ def disagreement(measured: DataFrame) -> DataFrame:
     """One row: medians of what is inside the envelope, and how many pairs are outside by label."""
     q = F.col("measurement_quality")
     own = measured.select("measurement_quality", F.when(q == "ok", F.col("total_km")).alias("km"), F.when(q == "ok", F.col("propagation_span_hours")).alias("span"))
-    counted = own.agg(X.count_if(q == "ok").alias("pairs"), R(F.max("km"), 3).alias("maximum_total_km"), X.count_if(q == "long_span").alias("excluded_long_span"), X.count_if(q == "extreme").alias("excluded_extreme"))
-    row = stats.with_quantiles(counted, own, [], {"median_total_km": ("km", 0.5), "median_span_hours": ("span", 0.5)})
+    plain = [X.count_if(q == "ok").alias("pairs"), R(F.max("km"), 3).alias("maximum_total_km"), X.count_if(q == "long_span").alias("excluded_long_span"), X.count_if(q == "extreme").alias("excluded_extreme")]
+    row = stats.summary(own, [], plain, {"median_total_km": ("km", 0.5), "median_span_hours": ("span", 0.5)})
     return row.withColumns({"median_total_km": R("median_total_km", 3), "median_span_hours": R("median_span_hours", 2)})
 
 
@@ -164,7 +165,7 @@ def activity_summary(activity: DataFrame, observations: DataFrame) -> DataFrame:
 
 def debris_summary(debris: DataFrame) -> DataFrame:
     places = {"median_altitude_km": ("mean_altitude_km", 1), "median_age_hours": ("element_age_hours", 1), "median_bstar": ("bstar_drag_term", 8)}
-    row = stats.with_quantiles(debris.agg(count().alias("objects")), debris, [], {n: (c, 0.5) for n, (c, _) in places.items()})
+    row = stats.summary(debris, [], [count().alias("objects")], {n: (c, 0.5) for n, (c, _) in places.items()})
     return row.withColumns({n: R(n, d) for n, (_, d) in places.items()})
 
 
@@ -182,8 +183,8 @@ def latest_by_group(orbital: DataFrame) -> DataFrame:
 def lakehouse(silver: DataFrame) -> DataFrame:
     """Counts, distinct objects and median altitude by group, from current files in an object store."""
     typed = silver.select("source_group", X.number("norad_catalog_id", "long").alias("id"), X.altitude(X.number("mean_motion_revolutions_per_day")).alias("km"))
-    counted = typed.groupBy("source_group").agg(count().alias("rows"), F.countDistinct("id").alias("objects"))
-    return stats.with_quantiles(counted, typed, ["source_group"], {"median_altitude_km": ("km", 0.5)}).withColumn("median_altitude_km", R("median_altitude_km", 1))
+    plain = [count().alias("rows"), F.countDistinct("id").alias("objects")]
+    return stats.summary(typed, ["source_group"], plain, {"median_altitude_km": ("km", 0.5)}).withColumn("median_altitude_km", R("median_altitude_km", 1))
 
 
 def raw_counts(elements: DataFrame) -> DataFrame:
@@ -269,9 +270,9 @@ def largest_changes(change: DataFrame, n: int = 10) -> DataFrame:
 def disagreement_by_axis(measured: DataFrame) -> DataFrame:
     """One row: spans and medians of what is inside the envelope, in total and by axis."""
     ok = measured.where("measurement_quality = 'ok'")
-    row = ok.agg(count().alias("pairs"), R(F.max("propagation_span_hours"), 2).alias("maximum_span_hours"), R(F.max("total_km"), 3).alias("maximum_total_km"))
+    plain = [count().alias("pairs"), R(F.max("propagation_span_hours"), 2).alias("maximum_span_hours"), R(F.max("total_km"), 3).alias("maximum_total_km")]
     wanted = {"median_span_hours": ("propagation_span_hours", 2), "median_total_km": ("total_km", 3), "median_along_track_km": ("along_track_km", 3), "median_radial_km": ("radial_km", 3), "median_cross_track_km": ("cross_track_km", 3)}
-    return stats.with_quantiles(row, ok, [], {n: (c, 0.5) for n, (c, _) in wanted.items()}).withColumns({n: R(n, d) for n, (_, d) in wanted.items()})
+    return stats.summary(ok, [], plain, {n: (c, 0.5) for n, (c, _) in wanted.items()}).withColumns({n: R(n, d) for n, (_, d) in wanted.items()})
 
 
 def sections(t: dict[str, DataFrame]) -> dict[str, dict[str, DataFrame]]:

@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import estimated_bytes
+
 END_ID = 1
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CACHED_BYTES = 64
-_LOADED: dict[str, tuple] = {}
+#: Bytes of the table that go into one file, about; files are more where the session deals data into more partitions.
+FILE_BYTES = 256 << 20
 
 #: Classes of bytes: white space, letter, punctuation that the vocabulary's rules cut from letters, the lead byte of
 #: Latin-1 letters, and all others, whose whole run is left to the library (apostrophes, `<` of special tokens, digits).
@@ -45,8 +48,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-class _Encoder:
-    """A tokenizer with the ids of the pieces that it has met; on overflow the first half, mostly common ones, stays."""
+class Encoder:
+    """A tokenizer with the ids of the pieces that it has met, about 200 bytes each; on overflow the first half, mostly common
+    ones, stays."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,10 +95,15 @@ class _Encoder:
         return out
 
 
-def _encoder(path: str) -> _Encoder:
-    if path not in _LOADED:
-        _LOADED[path] = _Encoder(path)
-    return _LOADED[path]
+#: The encoder of a worker, which its tasks share; what it remembers is bounded.
+_OWN: dict[str, Encoder] = {}
+
+
+def worker_encoder(path: str) -> Encoder:
+    if path not in _OWN:
+        _OWN.clear()
+        _OWN[path] = Encoder(path)
+    return _OWN[path]
 
 
 def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +147,7 @@ def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low[solid], place, starts
 
 
-def encode_batch(path: str, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(encoder: Encoder, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """(how many ids each text has, all ids in order)."""
     rows = texts.to_pylist()
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows]
@@ -147,7 +156,7 @@ def encode_batch(path: str, texts: pa.Array, end_id: int | None = END_ID) -> tup
     ends = np.append(place[1:], len(low)) if len(place) else place
     offsets = np.append(place, ends[-1:] if len(ends) else [0]).astype(np.int64)
     pieces = pa.Array.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
-    ids = _encoder(path).encoded(pieces.dictionary.to_pylist())
+    ids = encoder.encoded(pieces.dictionary.to_pylist())
     flat = np.frombuffer(b"".join(ids), "<i4")
     size = np.array([len(x) >> 2 for x in ids], np.int32)
     first = np.cumsum(size, dtype=np.int32) - size
@@ -175,18 +184,26 @@ def encode_batch(path: str, texts: pa.Array, end_id: int | None = END_ID) -> tup
     return n + 1, ended
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, keep: tuple[str, ...] = (), row_group_bytes: int = 8 << 20, page_bytes: int = 64 << 10) -> None:
-    """Write the ids of `docs` below `path`, one file for each range of ids, each file in ascending order."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+def n_files(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """How many ranges the ids of `docs` are dealt into."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(docs) // file_bytes))
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, keep: tuple[str, ...] = (), row_group_bytes: int = 8 << 20, page_bytes: int = 64 << 10, file_bytes: int = FILE_BYTES) -> None:
+    """Write the ids of `docs` below `path`, one file for each range of ids, each file in ascending order.
+
+    Rows of one id are dealt by their texts, and equal rows by where they come from, so that a frequent id spans files.
+    """
+    first = F.col("doc_id").asc_nulls_first()
+    ranged = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep, F.xxhash64(text_col).alias("by_text"), F.monotonically_increasing_id().alias("by_place"))
+    ranged = ranged.repartitionByRange(n_files(docs, file_bytes), first, "by_text", "by_place").sortWithinPartitions(first, "by_text", "by_place").drop("by_text", "by_place")
     ranged = ranged.select(F.spark_partition_id().alias("part"), "*")
     schema = T.StructType([T.StructField("part", T.IntegerType()), ranged.schema["doc_id"], *[ranged.schema[c] for c in keep], T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = 0
+        first, encoder = 0, worker_encoder(tokenizer_path)
         for b in batches:
-            sizes, ids = encode_batch(tokenizer_path, b.column("text"), end_id)
+            sizes, ids = encode_batch(encoder, b.column("text"), end_id)
             starts = first + np.cumsum(sizes) - sizes
             first += int(sizes.sum())
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -202,7 +219,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    # as many rows as files, which is at most the number of partitions that were set for the writer
+    # as many rows as files, one for each `file_bytes` of the table or partition that was set
     return files.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
 
 

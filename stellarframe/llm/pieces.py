@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 BLANK = "▁"
 LONG_WORD = 256
-CACHE_WORDS = 350_000
+CACHE_WORDS = 100_000
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 _LOADED: dict = {}
@@ -66,8 +66,6 @@ class PieceTable:
         raw = [bytes([int(p[3:5], 16)]) if i in set(byte) else p.replace(BLANK, " ").encode() if p in self.ids else b"" for i, p in enumerate(self.pieces)]
         self.decoded = np.frombuffer(b"".join(raw), np.uint8)
         self.decoded_size = np.array([len(r) for r in raw], np.int64)
-        self.words: dict[str, bytes] = {}
-        self.first: dict[str, bytes] | None = None
 
 
 def table(path: str) -> PieceTable:
@@ -180,26 +178,32 @@ def merge_long(word: str, t: PieceTable) -> bytes:
     return np.array(out, "<i4").tobytes()
 
 
-def word_ids(words: list[str], t: PieceTable) -> list[bytes]:
-    """The ids of distinct words; on overflow of the cache its first half, mostly common words, stays."""
-    if len(t.words) > CACHE_WORDS:
-        t.first = t.first or dict(list(t.words.items())[: CACHE_WORDS // 2])
-        t.words = dict(t.first)
-    out = list(map(t.words.get, words))
-    new = [i for i, x in enumerate(out) if x is None]
-    short = sorted((i for i in new if len(words[i]) <= LONG_WORD), key=lambda i: len(words[i]))
-    at = 0
-    while at < len(short):
-        part = short[at : at + min(8192, max(64, 120_000 // max(1, len(words[short[at]]))))]
-        at += len(part)
-        for i, x in zip(part, merge_fold([words[i] for i in part], t), strict=True):
-            out[i] = x
-            if len(words[i]) <= 48:
-                t.words[words[i]] = x
-    for i in new:
-        if out[i] is None:
-            out[i] = merge_long(words[i], t)
-    return out
+class WordIds:
+    """The ids of words that a task has met, about 250 bytes each; on overflow the first half, mostly common words, stays."""
+
+    def __init__(self, t: PieceTable, most: int = CACHE_WORDS):
+        self.table, self.most, self.known, self.first = t, most, {}, None
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, as little-endian 32-bit integers."""
+        if len(self.known) > self.most:
+            self.first = self.first or dict(list(self.known.items())[: self.most // 2])
+            self.known = dict(self.first)
+        out = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(out) if x is None]
+        short = sorted((i for i in new if len(words[i]) <= LONG_WORD), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(short):
+            part = short[at : at + min(8192, max(64, 120_000 // max(1, len(words[short[at]]))))]
+            at += len(part)
+            for i, x in zip(part, merge_fold([words[i] for i in part], self.table), strict=True):
+                out[i] = x
+                if len(words[i]) <= 48:
+                    self.known[words[i]] = x
+        for i in new:
+            if out[i] is None:
+                out[i] = merge_long(words[i], self.table)
+        return out
 
 
 def text_words(text: str) -> list[str]:
@@ -222,9 +226,8 @@ def _gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def encode_batch(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(how many ids each text has, all ids in order)."""
-    t = table(path)
+def encode_batch(path: str, texts: pa.Array, word_ids: WordIds | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(how many ids each text has, all ids in order); `word_ids` remembers words between batches."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     split = pc.split_pattern(texts, " ")
     empty = np.asarray(pc.equal(pc.binary_length(texts), 0))
@@ -241,7 +244,7 @@ def encode_batch(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         counts = np.diff(np.asarray(split.offsets))
         words = split.flatten().dictionary_encode()
         distinct = [BLANK + p for p in words.dictionary.to_pylist()]
-    ids = word_ids(distinct, t)
+    ids = (word_ids or WordIds(table(path)))(distinct)
     which = np.asarray(words.indices)
     size = np.array([len(x) >> 2 for x in ids], np.int64)
     first = np.cumsum(size) - size
@@ -273,8 +276,9 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: tuple[st
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids = WordIds(table(path))
         for b in batches:
-            n, ids = encode_batch(path, b.column(text_col))
+            n, ids = encode_batch(path, b.column(text_col), word_ids)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n), lists], names=schema.names)
 
@@ -286,8 +290,9 @@ def round_trip(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFra
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids = WordIds(table(path))
         for b in batches:
-            n, ids = encode_batch(path, b.column(text_col))
+            n, ids = encode_batch(path, b.column(text_col), word_ids)
             raw, at = np.ascontiguousarray(ids, "<i4").tobytes(), (np.concatenate([[0], np.cumsum(n)]) * 4).tolist()
             crc = [zlib.crc32(raw[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
             given = pc.replace_substring(pc.fill_null(b.column(text_col).cast(pa.large_string()), ""), BLANK, " ").cast(pa.large_binary())

@@ -42,8 +42,8 @@ MOST_COORDS = 256
 #: A link needs 100 * intersection >= LINK_PERCENT * union.
 LINK_PERCENT = 85
 #: Shingles of a bucket's members that one group compares, on average; its members of other components are so many times more.
-BLOCK_SHINGLES = 50_000
-OTHERS = 4
+BLOCK_SHINGLES = 16_000
+OTHERS = 8
 #: Bytes of documents whose sketches go into one file.
 FILE_BYTES = 64 << 20
 #: Words of at most 64 bytes that a task remembers hashes of, about 200 bytes each.

@@ -550,11 +550,24 @@ def test_batches_are_bounded_by_rows_and_bytes(spark):
             spark.conf.set(k, v)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("most", [0, 1 << 40])
+def test_components_of_a_long_chain(spark, most, monkeypatch):
+    monkeypatch.setattr(components, "IN_ONE_TASK", most)
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
     assert components.components(links.limit(0)).count() == 0
+    import random
+
+    rng = random.Random(most + 1)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(7, k) for k in range(500, 600)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    linked = {x for x, y in pairs if x != y} | {y for x, y in pairs if x != y}
+    assert got == {x: root[x] for x in linked}
 
 
 def test_blocks_of_a_bucket_lose_no_component(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import datetime, timezone
+from functools import partial
 from multiprocessing.pool import ThreadPool
 from pathlib import Path
 
@@ -64,7 +65,9 @@ def cross_validated(pairs: DataFrame, **settings) -> DataFrame:
 
     try:
         with ThreadPool(FOLDS) as pool:
-            parts = [p for p in pool.map(inheritable_thread_target(pairs.sparkSession)(trained), range(FOLDS)) if p is not None]
+            # a wrapper for each: threads that share one share the properties of their jobs
+            tasks = [inheritable_thread_target(pairs.sparkSession)(partial(trained, fold)) for fold in range(FOLDS)]
+            parts = [p for p in pool.map(lambda task: task(), tasks) if p is not None]
     finally:
         rows.unpersist()
     out = parts[0]

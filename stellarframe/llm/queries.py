@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, common, decontaminate, licenses, minhash, pieces, pii, quality_rules, shard, token_files
+from . import chat, classifier, common, decontaminate, licenses, merkle, minhash, pieces, pii, quality_rules, shard, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -76,7 +76,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_chat, op4_licenses, op5_pieces, op6_quality_rules, op7_shards, op8_token_files, op9_near_duplicates, op10_decontaminate)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(common.table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (
+    op1_quality_classifier, op2_pii, op3_chat, op4_licenses, op5_pieces, op6_quality_rules, op7_shards, op8_token_files, op9_near_duplicates, op10_decontaminate, op11_merkle,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 #: Windows of ten item words among all windows of the documents; SQL has no automaton, but equal results.
 OP10_SQL = r"""
@@ -153,4 +160,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLE_SQL = {"op3_chat": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL}
+#: The trees level by level, and each row's path to the root; crc32 by its table of 256 entries, made of its polynomial.
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) t(i)),
+crc AS (SELECT list(v ORDER BY i) AS v FROM bits),
+d AS (SELECT row_number() OVER () AS r, * FROM documents),
+made AS (SELECT r, doc_id, lang, n_chars, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS a,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS z, CAST(n_chars AS HUGEINT) + 1 AS more,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, v[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS bad FROM d, crc),
+leaves AS (SELECT r, doc_id, coalesce('=' || lang, '') AS tree, coalesce(bad, false) AS bad, sha256(a || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || z) AS leaf,
+    sha256(a || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(more AS VARCHAR)) || ':' || more END || z) AS changed FROM made),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes AS (SELECT tree, 0 AS level, i, n, leaf AS h FROM placed
+    UNION ALL SELECT tree, level + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, i // 2),
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, i, n, h FROM subroots UNION ALL SELECT level + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2),
+paths AS (SELECT r, tree, 0 AS level, i, n, CASE WHEN bad THEN changed ELSE leaf END AS h, '' AS proof FROM placed
+    UNION ALL SELECT p.r, p.tree, p.level + 1, p.i // 2, (p.n + 1) // 2, sha256(CASE WHEN p.i % 2 = 0 THEN p.h || coalesce(s.h, '') ELSE s.h || p.h END), p.proof || coalesce(s.h, '')
+        FROM paths p LEFT JOIN nodes s ON s.tree = p.tree AND s.level = p.level AND s.i = xor(p.i, 1) WHERE p.n > 1),
+up AS (SELECT r, 0 AS level, s.i, s.n, p.h, p.proof FROM paths p JOIN subroots s USING (tree) WHERE p.n = 1
+    UNION ALL SELECT p.r, p.level + 1, p.i // 2, (p.n + 1) // 2, sha256(CASE WHEN p.i % 2 = 0 THEN p.h || coalesce(s.h, '') ELSE s.h || p.h END), p.proof || coalesce(s.h, '')
+        FROM up p LEFT JOIN tops s ON s.level = p.level AND s.i = xor(p.i, 1) WHERE p.n > 1)
+SELECT doc_id, leaf, subroots.h AS subroot, tops.h AS root, sha256(proof) AS proof_sha256, up.h AS folded_root, up.h = tops.h AS verified FROM placed JOIN up USING (r) JOIN subroots USING (tree) JOIN tops ON tops.n = 1 WHERE up.n = 1
+"""
+
+
+ORACLE_SQL = {"op3_chat": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL, "op11_merkle": OP11_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, common, decontaminate, licenses, merkle, minhash, pieces, pii, quality_rules, shard, token_files
+from . import chat, classifier, common, decontaminate, licenses, merkle, minhash, pieces, pii, quality_rules, shard, substrings, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -80,8 +80,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(common.table(spark, sf_dir, "documents"))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    found = substrings.remove_repeated(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+    return found.select("doc_id", "n_bytes", substrings.removed_bytes("removed_spans").alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _OPERATORS = (
     op1_quality_classifier, op2_pii, op3_chat, op4_licenses, op5_pieces, op6_quality_rules, op7_shards, op8_token_files, op9_near_duplicates, op10_decontaminate, op11_merkle,
+    op12_substrings,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
@@ -185,4 +192,18 @@ SELECT doc_id, leaf, subroots.h AS subroot, tops.h AS root, sha256(proof) AS pro
 """
 
 
-ORACLE_SQL = {"op3_chat": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL, "op11_merkle": OP11_SQL}
+#: Every window of 200 bytes by its digest, on the texts' hexadecimal digits.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5_number(x[2 * i + 1:2 * i + 400]) AS h FROM (SELECT r, x, unnest(range(len(x) // 2 - 199)) AS i FROM d)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM w WHERE h IN (SELECT h FROM twice)),
+runs AS (SELECT r, i, count(CASE WHEN gap <= 200 THEN NULL ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM starts),
+spans AS (SELECT r, k, min(i) AS a, max(i) + 200 AS e FROM runs GROUP BY r, k),
+gaps AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT r, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(x[2 * before + 1:2 * a], '' ORDER BY a) || any_value(x)[2 * max(e) + 1:] AS kept FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
+"""
+
+
+ORACLE_SQL = {"op3_chat": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL, "op11_merkle": OP11_SQL, "op12_substrings": OP12_SQL}

@@ -192,17 +192,17 @@ SELECT doc_id, leaf, subroots.h AS subroot, tops.h AS root, sha256(proof) AS pro
 """
 
 
-#: Every window of 200 bytes by its digest, on the texts' hexadecimal digits.
+#: Every window of 200 bytes by its digest.
 OP12_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT r, i, md5_number(x[2 * i + 1:2 * i + 400]) AS h FROM (SELECT r, x, unnest(range(len(x) // 2 - 199)) AS i FROM d)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT r, i, md5_number(x[i + 1:i + 200]) AS h FROM (SELECT r, x, unnest(range(octet_length(x) - 199)) AS i FROM d)),
 twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
 starts AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM w WHERE h IN (SELECT h FROM twice)),
 runs AS (SELECT r, i, count(CASE WHEN gap <= 200 THEN NULL ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM starts),
 spans AS (SELECT r, k, min(i) AS a, max(i) + 200 AS e FROM runs GROUP BY r, k),
 gaps AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
-cut AS (SELECT r, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(x[2 * before + 1:2 * a], '' ORDER BY a) || any_value(x)[2 * max(e) + 1:] AS kept FROM gaps JOIN d USING (r) GROUP BY r)
-SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
+cut AS (SELECT r, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(CASE WHEN a > before THEN hex(x[before + 1:a]) ELSE '' END, '' ORDER BY a) || CASE WHEN max(e) < any_value(octet_length(x)) THEN hex(any_value(x)[max(e) + 1:any_value(octet_length(x))]) ELSE '' END AS kept FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, octet_length(x) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, CASE WHEN kept IS NULL THEN sha256(x) ELSE sha256(unhex(kept)) END AS kept_sha256 FROM d LEFT JOIN cut USING (r)
 """
 
 

@@ -145,7 +145,7 @@ def repeated_windows(strings: list[bytes], times: list[int], length: int) -> lis
     leads = np.empty(bwt.size, np.int64)
     leads[np.argsort(bwt, kind="stable")] = np.arange(bwt.size)
     run = np.cumsum(prefix < length)
-    out = np.full((n, int(sizes.max(initial=0)) - length + 2), -1)
+    out = np.full((n, max(0, int(sizes.max(initial=0)) - length + 1)), -1)
     row = np.arange(n)
     for j in range(1, int(sizes.max(initial=0)) + 1):
         here = np.flatnonzero(sizes >= j)
@@ -155,7 +155,7 @@ def repeated_windows(strings: list[bytes], times: list[int], length: int) -> lis
     used = out >= 0
     weight = np.bincount(out[used], np.broadcast_to(np.array(times)[:, None], out.shape)[used]) if used.any() else np.zeros(1)
     many = used & (weight[out] > 1)
-    return [many[i, : s - length + 1] for i, s in enumerate(sizes.tolist())]
+    return [many[i, : max(0, s - length + 1)] for i, s in enumerate(sizes.tolist())]
 
 
 def _spans(flags: np.ndarray) -> list[dict]:

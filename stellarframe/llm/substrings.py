@@ -1,9 +1,10 @@
 """Exact substring dedup: every byte covered by a string of LENGTH bytes that also starts anywhere else in the corpus goes.
 
-Equal strings are brought together first. Of the grams of half the length inside a window, the one with the least hash is its
+Equal strings are brought together first. Of the grams of a fifth of the length inside a window, the one with the least hash is its
 anchor (the first of equal ones), so that equal windows have equal anchors at equal places. Consecutive windows of one
-anchor form a piece, below twice the length however long the text. Pieces are counted; those that share their anchor's gram with
-no other occurrence hold nothing that repeats. The texts of the others are looked up once for each different piece.
+anchor form a piece, below twice the length however long the text. Pieces whose anchor's gram occurs once hold nothing that
+repeats. The others are counted, copies of a text together, and their bytes are looked up once for each different piece. Texts go by
+two hashes of 64 bits; pieces by one and that of their gram.
 
 What is left is a collection of short strings for each task, cut into batches of whole grams, and each batch is sorted
 by suffix with the column-wise construction: each round inserts one symbol of every string, from the right, into the Burrows-
@@ -20,11 +21,11 @@ where they overlap; an empty table has no row; extra columns pass through, and a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(12).integers(1, 2**63, 256).astype(np.uint64)
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 ADDED = ("n_bytes", "removed_spans", "kept")
-_PIECES = "key binary, start int, n int, gram long, piece binary"
+_PIECES = "k1 long, k2 long, at long, gram long, piece long"
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -64,7 +65,7 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
 
 def pieces_of(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each block of windows the first window of each piece, how many it has, and the hash of its anchor."""
-    k = max(1, length // 2)
+    k = max(1, length // 5)
     wide = length - k + 1
     for at in range(0, raw.size - length + 1, BLOCK):
         h = gram_hashes(raw[at : at + BLOCK + length - 1], k)
@@ -80,15 +81,21 @@ def pieces_of(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarra
 
 
 def _cut(length: int):
-    """Arrow batches of (key, raw) to pieces."""
+    """Arrow batches of (k1, k2, raw) to pieces; `at` is the first window's place times 2 ** 16 plus the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, raw in zip(b.column("key").to_pylist(), b.column("raw"), strict=True):
-                data = raw.as_py()
+            counts, found, digests = [], [], []
+            for raw in b.column("raw"):
+                data, before = raw.as_py(), len(digests)
                 for start, n, gram in pieces_of(np.frombuffer(data, np.uint8), length):
-                    digests = [hashlib.md5(data[s : s + m + length - 1], usedforsecurity=False).digest() for s, m in zip(start.tolist(), n.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(digests), pa.binary()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(gram, pa.int64()), pa.array(digests, pa.binary())], names=["key", "start", "n", "gram", "piece"])
+                    found.append(np.stack([start << 16 | n, gram]))
+                    digests += [xxhash.xxh3_64_intdigest(data[s : s + m]) for s, m in zip(start.tolist(), (n + length - 1).tolist(), strict=True)]
+                counts.append(len(digests) - before)
+            at, gram = np.concatenate([np.empty((2, 0), np.int64), *found], 1)
+            text = pa.array(np.repeat(np.arange(len(counts)), counts))
+            piece = pa.array(np.array(digests, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("k1").take(text), b.column("k2").take(text), pa.array(at), pa.array(gram), piece], names=["k1", "k2", "at", "gram", "piece"])
 
     return run
 
@@ -165,11 +172,12 @@ def _spans(flags: np.ndarray) -> list[dict]:
 
 
 def _sorted(length: int, spans: pa.DataType):
-    """Arrow batches of pieces (gram, piece, times, raw), equal grams side by side, to (piece, spans) of repeated windows."""
+    """Arrow batches of pieces (gram, piece, times, raw), equal grams side by side, to (gram, piece, spans) of repeated windows."""
 
-    def found(names: list[bytes], strings: list[bytes], times: list[int]) -> pa.RecordBatch:
-        flags = [(p, _spans(f)) for p, f in zip(names, repeated_windows(strings, times, length), strict=True) if f.any()]
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in flags], pa.binary()), pa.array([s for _, s in flags], spans)], names=["piece", "spans"])
+    def found(names: list[tuple], strings: list[bytes], times: list[int]) -> pa.RecordBatch:
+        flags = [(g, p, _spans(f)) for (g, p), f in zip(names, repeated_windows(strings, times, length), strict=True) if f.any()]
+        types = (pa.int64(), pa.int64(), spans)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flags], t) for i, t in enumerate(types)], names=["gram", "piece", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, strings, times, size, now = [], [], [], 0, None
@@ -179,7 +187,7 @@ def _sorted(length: int, spans: pa.DataType):
                     yield found(names, strings, times)
                     names, strings, times, size = [], [], [], 0
                 now, size = gram, size + len(raw)
-                names.append(piece)
+                names.append((gram, piece))
                 strings.append(raw)
                 times.append(count)
         if names:
@@ -189,14 +197,15 @@ def _sorted(length: int, spans: pa.DataType):
 
 
 def _removed(length: int, names: list[str], types: list[pa.DataType]):
-    """The result columns after those that are kept; `found` has the first byte of each piece and its repeated windows."""
+    """The result columns after those that are kept; `found` has the first byte of each piece and its repeated windows, null
+    if it is all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made: list[list] = [[], [], []]
             for raw, found in zip(b.column("raw"), b.column("found").to_pylist(), strict=True):
                 raw, spans = raw.as_py(), []
-                for a, e in sorted((x["start"] + s["start"], x["start"] + s["end"] - 1 + length) for x in found or [] for s in x["spans"]):
+                for a, e in sorted((x["start"] + s["start"], x["start"] + s["end"] - 1 + length) for x in found or [] for s in x["spans"] or [{"start": 0, "end": x["n"]}]):
                     if spans and a <= spans[-1]["end"]:
                         spans[-1]["end"] = max(e, spans[-1]["end"])
                     else:
@@ -210,13 +219,44 @@ def _removed(length: int, names: list[str], types: list[pa.DataType]):
 
 
 def _hot_windows(stages: Stages, hot: DataFrame, length: int) -> DataFrame:
-    """(piece, spans) of pieces whose gram has too many of them for a batch: each window by its digest."""
-    window = lambda i: F.struct(i.alias("at"), F.unhex(F.md5(F.substring(F.col("raw"), i + 1, F.lit(length)))).alias("w"))
-    each = hot.select("piece", "times", F.transform(F.sequence(F.lit(0), F.length("raw") - length), window).alias("ws"))
-    each = stages.write(each.select("piece", "times", F.explode("ws").alias("x")).select("piece", "times", "x.*"))
+    """(gram, piece, spans) of pieces whose gram has too many of them for a batch: each window by its digest."""
+    window = lambda i: F.struct(i.alias("i"), F.unhex(F.md5(F.substring(F.col("raw"), i + 1, F.lit(length)))).alias("w"))
+    each = hot.select("gram", "piece", "times", F.explode(F.transform(F.sequence(F.lit(0), F.length("raw") - length), window)).alias("x"))
+    each = stages.write(each.select("gram", "piece", "times", "x.*"))
     twice = stages.write(each.groupBy("w").agg(F.sum("times").alias("n")).where("n > 1").select("w"))
-    span = F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
-    return each.join(twice, "w").groupBy("piece").agg(F.collect_list(span).cast(_SPANS).alias("spans"))  # a piece has up to length / 2 + 1
+    span = F.struct(F.col("i").alias("start"), (F.col("i") + 1).alias("end"))
+    return each.join(twice, "w").groupBy("gram", "piece").agg(F.collect_list(span).cast(_SPANS).alias("spans"))  # at most a piece's windows
+
+
+def _text_key(raw: Column) -> dict[str, Column]:
+    return {"k1": F.xxhash64(raw), "k2": F.xxhash64(F.lit(1), raw)}
+
+
+def find_repeated(stages: Stages, docs: DataFrame, length: int, hot: int) -> DataFrame:
+    """(k1, k2, found) of each text with a repeated window: its pieces' places, with spans of windows (null: all). `docs` has raw."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    keyed = docs.where(F.length("raw") >= length).select(*[c.alias(n) for n, c in _text_key(F.col("raw")).items()], "raw")
+    rows = stages.write(keyed.mapInArrow(_cut(length), _PIECES))
+    grams = stages.write(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    # copies of a text have equal rows
+    shared = stages.write(rows.join(grams, "gram").groupBy("gram", "piece", "k1", "k2", "at").agg(F.count(F.lit(1)).alias("times")))
+    pieces = stages.write(shared.groupBy("gram", "piece").agg(F.sum("times").alias("times"), F.min("k1").alias("k1")))
+    counted = stages.write(pieces.join(pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("different")), "gram"))
+    alone = counted.where("different = 1").select("gram", "piece", F.lit(None).cast(_SPANS).alias("spans"))
+    # places of each piece that is to be compared, in one text
+    places = counted.where("different > 1").join(shared.drop("times"), ["gram", "piece", "k1"])
+    wanted = stages.write(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "piece", "times", "different", "at")).alias("wanted")))
+    first, windows = lambda w: F.shiftright(w["at"], 16).cast("int"), lambda w: w["at"].bitwiseAND(F.lit(0xFFFF)).cast("int")
+    bytes_of = lambda w: F.struct(*[w[c].alias(c) for c in ("gram", "piece", "times", "different")], F.substring(F.col("raw"), first(w) + 1, windows(w) + length - 1).alias("raw"))
+    read = keyed.join(wanted, ["k1", "k2"]).select(F.explode(F.transform("wanted", bytes_of)).alias("w")).select("w.*")
+    compared = stages.write(read.groupBy("gram", "piece").agg(*[F.first(c).alias(c) for c in ("times", "different", "raw")]))
+    batches = compared.where(F.col("different") <= hot).select("gram", "piece", "times", "raw").repartition("gram").sortWithinPartitions("gram")
+    some = batches.mapInArrow(_sorted(length, to_arrow_type(_SPANS)), alone.schema)
+    repeated = stages.write(alone.unionByName(some).unionByName(_hot_windows(stages, compared.where(F.col("different") > hot), length)))
+    met = shared.drop("times").join(repeated, ["gram", "piece"])
+    start, n = F.shiftright("at", 16).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("n")
+    return met.groupBy("k1", "k2").agg(F.collect_list(F.struct(start, n, "spans")).alias("found"))
 
 
 def remove_repeated(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -226,34 +266,17 @@ def remove_repeated(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, te
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
     raw = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
-    # texts that can hold nothing go anywhere
-    key = lambda raw: F.when(F.length(raw) >= length, F.unhex(F.md5(raw))).otherwise(F.unhex(F.md5(F.monotonically_increasing_id().cast("string"))))
-    keyed = docs.select(raw.alias("raw")).where(F.length("raw") >= length).select(F.unhex(F.md5("raw")).alias("key"), "raw")
-    with Stages(spark) as stages:
-        rows = stages.write(keyed.mapInArrow(_cut(length), _PIECES))
-        pieces = stages.write(rows.groupBy("gram", "piece").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "start", "n")).alias("at")))
-        grams = pieces.groupBy("gram").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("different")).where("all > 1").drop("all")
-        shared = stages.write(pieces.join(stages.write(grams), "gram"))
-        alone = shared.where("different = 1").select("piece", F.array(F.struct(F.lit(0).alias("start"), F.col("at.n").alias("end"))).cast(_SPANS).alias("spans"))
-        # one place of each piece that is to be compared, by its text
-        wanted = stages.write(shared.where("different > 1").groupBy("at.key").agg(F.collect_list(F.struct("gram", "piece", "times", "different", "at.start", "at.n")).alias("wanted")))
-        bytes_of = lambda w: F.struct(w["gram"].alias("gram"), w["piece"].alias("piece"), w["times"].alias("times"), w["different"].alias("different"), F.substring(F.col("raw"), w["start"] + 1, w["n"] + length - 1).alias("raw"))
-        read = keyed.join(wanted, "key").select(F.explode(F.transform("wanted", bytes_of)).alias("w")).select("w.*")
-        compared = stages.write(read.groupBy("gram", "piece").agg(*[F.first(c).alias(c) for c in ("times", "different", "raw")]))
-        batches = compared.where(F.col("different") <= hot).select("gram", "piece", "times", "raw").repartition("gram").sortWithinPartitions("gram")
-        schema = T.StructType([T.StructField("piece", T.BinaryType()), T.StructField("spans", _SPANS)])
-        some = batches.mapInArrow(_sorted(length, to_arrow_type(schema["spans"].dataType)), schema)
-        repeated = stages.write(alone.unionByName(some).unionByName(_hot_windows(stages, compared.where(F.col("different") > hot), length)))
-        # copies of a text have equal rows
-        met = rows.select("key", "start", "piece").join(repeated, "piece").groupBy("key", "start").agg(F.first("spans").alias("spans"))
-        found = stages.write(met.groupBy("key").agg(F.collect_list(F.struct("start", "spans")).alias("found")), keep=True)
+    with Stages(docs.sparkSession) as stages:
+        found = stages.write(find_repeated(stages, docs.select(raw.alias("raw")), length, hot), keep=True)
     kept = {f"c{i}": c for i, c in enumerate(docs.columns if keep is None else keep) if c not in ADDED}
     own = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in kept.items()], raw.alias("raw"))
     added = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", _SPANS), T.StructField("kept", T.BinaryType())])
     schema = T.StructType([*own.schema.fields[:-1], *added.fields])
-    joined = own.withColumn("key", key(F.col("raw"))).join(found, "key", "left").drop("key")
+    # texts that can hold nothing go anywhere
+    short = F.length("raw") < length
+    keys = {n: F.when(short, F.monotonically_increasing_id()).otherwise(c) for n, c in _text_key(F.col("raw")).items()}
+    joined = own.withColumns(keys).join(found, ["k1", "k2"], "left").drop("k1", "k2")
     made = joined.mapInArrow(_removed(length, schema.names, [to_arrow_type(f.dataType) for f in added.fields]), schema)
     return made.select(*[F.col(n).alias(c) for n, c in kept.items()], *ADDED)
 

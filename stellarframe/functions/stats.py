@@ -3,9 +3,6 @@
 Values are counted, dealt into ranges and summed up within and before their ranges. The range of a value is a function of the
 value and of its group's least and largest one, so that it is the same wherever a plan computes it, and ascends with the value:
 first by the logarithm of its distance from zero, then by its place between the two. A group has at most 4 * RANGES + 3 ranges.
-
-Where the largest table that a plan reads has SMALL_BYTES at most, the values of a group fit into one task, and the steps in
-between are left out; results are the same.
 """
 
 from __future__ import annotations
@@ -15,18 +12,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_BYTES = 8 << 20
 RANGES = 1024
 #: Decades below the largest value that the logarithm tells apart.
 DECADES = 9
 
 
-def small(df: DataFrame) -> bool:
-    """Whether no table that `df` reads is larger than SMALL_BYTES, by Spark's knowledge of its files; unknown sizes are large."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return all(int(str(leaves.apply(i).stats().sizeInBytes())) <= SMALL_BYTES for i in range(leaves.size()))
-
-
 def _range(v: str, low: str, high: str) -> Column:
     """The number of the range of `v`; infinities and NaN, which is above all, have their own."""
     x, a, b = (F.col(c) / F.lit(2.0) for c in (v, low, high))
@@ -44,9 +34,6 @@ def _summed(counts: DataFrame) -> DataFrame:
 
     `_g` is a struct, null fields of which are values like others.
     """
-    if small(counts):
-        group = Window.partitionBy("_g")
-        return counts.select("_g", "_v", "_n", F.sum("_n").over(group.orderBy("_v")).alias("_upto"), F.sum("_n").over(group).alias("_all"))
     finite = ~F.isnan("_x") & (F.abs("_x") != float("inf"))
     counts = counts.withColumn("_x", F.col("_v").cast("double"))
     limits = counts.where(finite).groupBy("_g").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
@@ -102,8 +89,6 @@ def quantiles(df: DataFrame, groups: list[str], wanted: dict[str, tuple]) -> Dat
 
     A group without a value has a null; with no groups there is one row, whatever the rows.
     """
-    if small(df):
-        return df.groupBy(*groups).agg(*_in_one_task(wanted))
     columns = list(dict.fromkeys(c for c, *_ in wanted.values()))
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
     rows = df.select(*groups, each.alias("_s"))
@@ -128,23 +113,8 @@ def quantiles(df: DataFrame, groups: list[str], wanted: dict[str, tuple]) -> Dat
     return picked.unionByName(all_groups.distinct()).groupBy(*[F.col(f"_g.{g}").alias(g) for g in groups]).agg(*[F.sum(n).alias(n) for n in wanted])
 
 
-def _in_one_task(wanted: dict[str, tuple]) -> list[Column]:
-    """The quantiles as aggregates that keep the values of a group."""
-    out = []
-    for name, (column, share, *kind) in wanted.items():
-        if kind == [NEAREST]:
-            values = F.array_sort(F.collect_list(F.col(column).cast("double")))
-            value = F.get(values, F.least(F.size(values) - 1, F.floor(F.size(values) * F.lit(float(share))).cast("int")))
-        else:
-            value = F.percentile(F.col(column).cast("double"), F.lit(float(share)))
-        out.append(value.alias(name))
-    return out
-
-
 def summary(df: DataFrame, groups: list[str], plain: list[Column], wanted: dict[str, tuple]) -> DataFrame:
     """The aggregates `plain` of each group beside its quantiles."""
-    if small(df):
-        return df.groupBy(*groups).agg(*plain, *_in_one_task(wanted))
     found = quantiles(df, groups, wanted)
     if not groups:
         return df.agg(*plain).crossJoin(F.broadcast(found))  # one row each

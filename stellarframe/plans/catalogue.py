@@ -155,6 +155,50 @@ def _index(t: Tables) -> DataFrame:
     return gold.orbit_reliability_index(t.daily(), _hourly(t))
 
 
+_AT_SNAPSHOTS = f"""WITH {MINUTE}, w AS (SELECT observation_minute_utc AS m, bz_gsm_nanotesla AS bz, proton_speed_km_per_second AS speed FROM minutes), o AS ({ORBITAL}),
+met AS (SELECT object_name, norad_catalog_id, source_group, snapshot_at_utc, CASE WHEN m >= snapshot_at_utc - INTERVAL 1 HOUR THEN m END AS m, bz, speed FROM o ASOF LEFT JOIN w ON snapshot_at_utc >= m)
+SELECT object_name, norad_catalog_id, source_group, snapshot_at_utc, m AS observation_minute_utc, CASE WHEN m IS NOT NULL THEN ROUND(bz, 6) END AS bz_gsm_nanotesla, CASE WHEN m IS NOT NULL THEN ROUND(speed, 6) END AS proton_speed_km_per_second,
+    date_diff('minute', m, snapshot_at_utc) AS weather_age_minutes, CASE WHEN m IS NULL THEN NULL WHEN bz < -5 THEN 'southward_bz' WHEN speed > 500 THEN 'fast_wind' ELSE 'quiet' END AS disturbance_level FROM met"""
+
+
+@query("weather_at_snapshots", _AT_SNAPSHOTS)
+def _q(spark, d):
+    t = Tables(spark, d)
+    return rounded(gold.weather_at_snapshots(t.orbital(), _minute(t), within_hours=1))
+
+
+_LAST_DAY = f"""WITH {HOURLY} SELECT hour_utc, disturbance_level, ROUND(MIN(minimum_bz_gsm) OVER day, 6) AS lowest_bz_gsm, ROUND(MAX(average_proton_speed) OVER day, 6) AS highest_proton_speed, ROUND(AVG(average_bz_gsm) OVER day, 6) AS mean_bz_gsm,
+    COUNT(*) OVER day AS known_hours, COUNT(*) FILTER (WHERE disturbance_level <> 'quiet') OVER day AS disturbed_hours FROM hourly WINDOW day AS (ORDER BY hour_utc RANGE BETWEEN INTERVAL 23 HOURS PRECEDING AND CURRENT ROW)"""
+
+
+@query("weather_last_day", _LAST_DAY)
+def _q(spark, d):
+    return rounded(gold.weather_last_day(_hourly(Tables(spark, d))))
+
+
+_CUBE = f"""WITH {INDEX}, b AS (SELECT *, {BAND.format("mean_altitude_km")} AS altitude_band, orbit_reliability_index AS x FROM idx)
+SELECT source_group, altitude_band, reliability_class, CAST(GROUPING_ID(source_group, altitude_band, reliability_class) AS INTEGER) AS level, COUNT(*) AS object_count, COUNT(*) FILTER (WHERE element_age_hours > 24) AS stale_count,
+    ROUND(MIN(x), 1) AS minimum_index, ROUND(MAX(x), 1) AS maximum_index, CAST(SUM(CAST(ROUND(x * 10) AS BIGINT)) AS BIGINT) AS index_tenths
+FROM b GROUP BY GROUPING SETS ((source_group, altitude_band, reliability_class), (source_group, altitude_band), (source_group), (altitude_band), (reliability_class), ())"""
+
+
+@query("population_cube", _CUBE)
+def _q(spark, d):
+    return gold.population_cube(_index(Tables(spark, d)))
+
+
+_LEVELS = f"""WITH {INDEX}, b AS (SELECT *, {BAND.format("mean_altitude_km")} AS altitude_band, orbit_reliability_index AS x FROM idx)"""
+_LEVEL = "SELECT '{0}' AS part, {0} AS value, COUNT(*) AS object_count, COUNT(*) FILTER (WHERE element_age_hours > 24) AS stale_count, ROUND(MIN(x), 1) AS minimum_index, ROUND(MAX(x), 1) AS maximum_index, ROUND(CAST(SUM(CAST(ROUND(x * 10) AS BIGINT)) AS DOUBLE) / 10 / COUNT(*), 1) AS average_index FROM b GROUP BY {0}"
+
+
+@query("population_levels", f"{_LEVELS} {_LEVEL.format('source_group')} UNION ALL {_LEVEL.format('reliability_class')}")
+def _q(spark, d):
+    """The summaries by group and by class, both from the cube."""
+    cube = gold.population_cube(_index(Tables(spark, d)))
+    levels = [gold.cube_level(cube, c).withColumnRenamed(c, "value").select(F.lit(c).alias("part"), "*") for c in ("source_group", "reliability_class")]
+    return levels[0].unionByName(levels[1])
+
+
 @query("space_weather_minute", sql_rounded(MINUTE, "minutes", MINUTE_D, MINUTE_O))
 def _q(spark, d):
     return rounded(_minute(Tables(spark, d)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import stats
+from ..operators import timeline
 
 COHORT = "iridium-33-debris"
 COMPLETED = ("good", "bad", "failed")
@@ -83,10 +84,10 @@ def space_weather_snapshot_summary(magnetic: DataFrame, plasma: DataFrame) -> Da
 
 def orbit_change(orbital: DataFrame) -> DataFrame:
     """Each element against the object's previous snapshot; a decay rate needs a positive interval."""
-    w = Window.partitionBy("norad_catalog_id").orderBy("snapshot_at_utc", "element_epoch_utc")
     motion = "mean_motion_revolutions_per_day"
     rows = orbital.where(F.col("norad_catalog_id").isNotNull()).select("object_name", "norad_catalog_id", "snapshot_at_utc", "element_epoch_utc", motion, "eccentricity", "inclination_degrees")
-    lagged = rows.withColumns({n: F.lag(c).over(w) for n, c in (("previous_snapshot_at_utc", "snapshot_at_utc"), ("previous_element_epoch_utc", "element_epoch_utc"), ("previous_mean_motion", motion), ("previous_eccentricity", "eccentricity"))})
+    before = {"previous_snapshot_at_utc": "snapshot_at_utc", "previous_element_epoch_utc": "element_epoch_utc", "previous_mean_motion": motion, "previous_eccentricity": "eccentricity"}
+    lagged = timeline.previous(rows, "norad_catalog_id", ["snapshot_at_utc", "element_epoch_utc"], list(before.values())).withColumns({n: F.col(f"previous.{c}") for n, c in before.items()})
     kept = lagged.where(f"previous_mean_motion > 0 AND {motion} > 0")
     made = kept.select(
         "object_name", "norad_catalog_id", X.naive("previous_snapshot_at_utc").alias("previous_snapshot_at_utc"), X.naive("snapshot_at_utc").alias("snapshot_at_utc"),
@@ -110,6 +111,47 @@ def space_weather_hourly(minute: DataFrame) -> DataFrame:
     return hourly.withColumn("disturbance_level", disturbance(F.col("average_bz_gsm"), F.col("average_proton_speed")))
 
 
+def weather_at_snapshots(orbital: DataFrame, minute: DataFrame, within_hours: int = 6) -> DataFrame:
+    """Each snapshot of an object with the latest minute of weather that is not later, unless that is older than `within_hours`."""
+    weather = minute.select("observation_minute_utc", "bz_gsm_nanotesla", "proton_speed_km_per_second")
+    rows = orbital.select("object_name", "norad_catalog_id", "source_group", X.naive("snapshot_at_utc").alias("snapshot_at_utc"))
+    met = timeline.as_of(rows, weather, "snapshot_at_utc", "observation_minute_utc", weather.columns[1:], within_s=within_hours * 3600)
+    level = F.when(F.col("observation_minute_utc").isNotNull(), disturbance(F.col("bz_gsm_nanotesla"), F.col("proton_speed_km_per_second")))
+    return met.withColumns({"weather_age_minutes": X.boundaries("minute", "observation_minute_utc", "snapshot_at_utc"), "disturbance_level": level})
+
+
+def weather_last_day(hourly: DataFrame, hours: int = 24) -> DataFrame:
+    """Each hour with the extremes of the `hours` up to and with it, and how many of them are known and how many disturbed."""
+    calm = F.col("disturbance_level") == "quiet"
+    wanted = {
+        "lowest_bz_gsm": F.min("minimum_bz_gsm"), "highest_proton_speed": F.max("average_proton_speed"), "mean_bz_gsm": F.avg("average_bz_gsm"),
+        "known_hours": F.count("hour_utc"), "disturbed_hours": X.count_if(~calm),
+    }
+    rows = hourly.select("hour_utc", "minimum_bz_gsm", "average_bz_gsm", "average_proton_speed", "disturbance_level")
+    return timeline.rolling(rows, "hour_utc", hours * 3600, wanted).select("hour_utc", "disturbance_level", *wanted)
+
+
+#: Totals of the population cube: all three, groups by band, each alone, and all.
+CUBE = (("source_group", "altitude_band", "reliability_class"), ("source_group", "altitude_band"), ("source_group",), ("altitude_band",), ("reliability_class",), ())
+
+
+def population_cube(index: DataFrame) -> DataFrame:
+    """Objects by group, band and class, and their totals, in one read; `level` has a bit for each column that a total leaves out."""
+    i, keys = F.col("orbit_reliability_index"), CUBE[0]
+    rows = index.select("source_group", X.altitude_band("mean_altitude_km").alias("altitude_band"), "reliability_class", "orbit_reliability_index", "element_age_hours")
+    cube = rows.groupingSets([[F.col(c) for c in part] for part in CUBE], *keys)
+    return cube.agg(
+        F.grouping_id(*keys).cast("int").alias("level"), F.count(F.lit(1)).alias("object_count"), X.count_if(F.col("element_age_hours") > X.STALE_HOURS).alias("stale_count"),
+        X.round_half_up(F.min(i), 1).alias("minimum_index"), X.round_half_up(F.max(i), 1).alias("maximum_index"), F.sum(F.round(i * 10).cast("long")).alias("index_tenths"),
+    )
+
+
+def cube_level(cube: DataFrame, *keys: str) -> DataFrame:
+    """The rows of one level of the cube; `keys` are the columns that it tells apart."""
+    level = sum(1 << (2 - k) for k, c in enumerate(CUBE[0]) if c not in keys)
+    return cube.where(F.col("level") == level).select(*keys, "object_count", "stale_count", "minimum_index", "maximum_index", X.round_half_up(F.col("index_tenths") / F.lit(10.0) / F.col("object_count"), 1).alias("average_index"))
+
+
 def current_objects(orbital: DataFrame) -> DataFrame:
     """Rows of each group's latest snapshot that have an epoch and a motion; one row per group is broadcast as sized by Spark."""
     latest = orbital.groupBy("source_group").agg(F.max("snapshot_at_utc").alias("snapshot_at_utc"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import sgp4, stats
+from ..operators import timeline
 
 #: Bounds of the analysis envelope and the order of classes, fixed values.
 MAX_SPAN_HOURS = 72.0
@@ -21,9 +22,9 @@ def quality_label(span_hours: Column | str, total_km: Column | str) -> Column:
 
 def element_pairs(orbital: DataFrame) -> DataFrame:
     """Successive snapshots of an object whose element changed; the earlier side is the last that carried the old one."""
-    w = Window.partitionBy("norad_catalog_id").orderBy("snapshot_at_utc", "element_epoch_utc")
     rows = orbital.where("norad_catalog_id IS NOT NULL").withColumn("element", F.struct(*[F.col(c).alias(n) for n, c in _ELEMENT.items()]))
-    lagged = rows.withColumn("earlier", F.lag("element").over(w)).withColumn("earlier_snapshot_at_utc", F.lag("snapshot_at_utc").over(w))
+    before = timeline.previous(rows, "norad_catalog_id", ["snapshot_at_utc", "element_epoch_utc"], ["snapshot_at_utc", "element"])
+    lagged = before.withColumns({"earlier": F.col("previous.element"), "earlier_snapshot_at_utc": F.col("previous.snapshot_at_utc")})
     return lagged.where("earlier.epoch IS NOT NULL AND element.epoch IS NOT NULL AND earlier.epoch <> element.epoch").select("object_name", "norad_catalog_id", "source_group", "earlier_snapshot_at_utc", "snapshot_at_utc", "earlier", F.col("element").alias("later"))
 
 

@@ -138,10 +138,8 @@ def spread(n):
     return [rng.choice(kinds)() for _ in range(n)]
 
 
-@pytest.mark.parametrize("small", [0, 1 << 62])
 @pytest.mark.parametrize("reuse", ["true", "false"])
-def test_ranks_do_not_depend_on_shared_exchanges(spark, reuse, small, monkeypatch):
-    monkeypatch.setattr(stats, "SMALL_BYTES", small)
+def test_ranks_do_not_depend_on_shared_exchanges(spark, reuse):
     from bisect import bisect_left, bisect_right
 
     old = spark.conf.get("spark.sql.exchange.reuse")
@@ -159,9 +157,7 @@ def test_ranks_do_not_depend_on_shared_exchanges(spark, reuse, small, monkeypatc
         spark.conf.set("spark.sql.exchange.reuse", old)
 
 
-@pytest.mark.parametrize("small", [0, 1 << 62])
-def test_quantiles_against_sorted_values(spark, small, monkeypatch):
-    monkeypatch.setattr(stats, "SMALL_BYTES", small)
+def test_quantiles_against_sorted_values(spark):
     values = spread(2000)
     names = ["a", "b", None]
     df = spark.createDataFrame([(names[i % 3], v, float(i)) for i, v in enumerate(values)] + [("none", None, 1.0), ("a", None, 2.0)], "g string, v double, w double")
@@ -175,20 +171,20 @@ def test_quantiles_against_sorted_values(spark, small, monkeypatch):
     assert np.isclose(stats.quantiles(df, [], {"m": ("v", 0.5)}).first().m, np.median(values))
 
 
-def test_large_tables_keep_no_group_in_one_aggregate(spark, monkeypatch):
+def test_no_group_is_kept_in_one_aggregate(spark):
     from stellarframe.plans import catalogue, serve
 
-    assert stats.small(catalogue.Tables(spark, "/root/testdata/sf0.001").orbital()) and not stats.small(spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet"))
-    monkeypatch.setattr(stats, "SMALL_BYTES", 0)
-
     t = catalogue.Tables(spark, "/root/testdata/sf0.001")
     plans = [catalogue.gold.freshness_by_group(catalogue.gold.element_freshness(t.daily())), serve.disagreement(catalogue._proxy(t)), measure.validation_bins(pairs(spark, 40)), serve.metrics(catalogue._served(t))]
     for df in plans:
         text = df._jdf.queryExecution().executedPlan().toString()
         assert "percentile(" not in text and "median(" not in text and "collect_list" not in text
-    small = [serve.disagreement(catalogue._proxy(t)).first(), *measure.validation_bins(pairs(spark, 40)).collect()]
-    monkeypatch.setattr(stats, "SMALL_BYTES", 1 << 62)
-    assert small == [serve.disagreement(catalogue._proxy(t)).first(), *measure.validation_bins(pairs(spark, 40)).collect()]
+
+
+def test_a_group_of_many_equal_values(spark):
+    """Sixty million rows of one group; equal values are counted before anything is moved."""
+    rows = spark.range(60_000_000).select(F.lit("g").alias("g"), F.when(F.col("id") % 10 < 3, 2.0).otherwise(5.0).alias("v"))
+    assert [tuple(r) for r in stats.quantiles(rows, ["g"], {"a": ("v", 0.25), "b": ("v", 0.9, stats.NEAREST)}).collect()] == [("g", 2.0, 5.0)]
 
 
 def pairs(spark, n):

@@ -4,13 +4,15 @@ Equal strings are brought together first. Of the grams of a fifth of the length
 anchor (the first of equal ones), so that equal windows have equal anchors at equal places. Consecutive windows of one
 anchor form a piece, below twice the length however long the text. Pieces whose anchor's gram occurs once hold nothing that
 repeats. The others are counted, copies of a text together, and their bytes are looked up once for each different piece. Texts go by
-two hashes of 64 bits; pieces by one and that of their gram.
+two hashes of 64 bits; pieces by one and that of their gram. A gram with one piece is a collection of one string, whose windows
+repeat if it occurs twice.
 
-What is left is a collection of short strings for each task, cut into batches of whole grams, and each batch is sorted
-by suffix with the column-wise construction: each round inserts one symbol of every string, from the right, into the Burrows-
-Wheeler transform of all suffixes so far and updates the common prefixes of the rows beside it. Runs of suffixes that share
-LENGTH bytes are the repeated windows. As a batch is bounded, both arrays are rewritten in memory, in order, once a round; what
-would be external files of one machine is dealt out by Spark's shuffles.
+What is left is a collection of short strings for each task, cut into batches of whole grams, and each batch is sorted by
+suffix column by column: each round inserts one symbol of every string, from the right, into the Burrows-Wheeler order of the
+suffixes so far and updates the common prefixes of neighbours. Strings lie side by side at their anchors, where equal windows
+start in the same column, so that a round keeps the suffixes of its own column only. Runs of suffixes that share LENGTH bytes are
+the repeated windows. As a batch is bounded, both arrays are rewritten in memory, in order, once a round; what would be external
+files of one machine is dealt out by Spark's shuffles.
 
 A gram that more than HOT different pieces share is not kept in one task: its windows are dealt by their own digest.
 
@@ -34,8 +36,8 @@ from .common import Stages
 
 LENGTH = 200
 #: Different pieces of one gram that go to one batch at most, and what a batch holds otherwise.
-HOT = 2000
-BATCH_BYTES = 1 << 19
+HOT = 5000
+BATCH_BYTES = 2 << 20
 #: Windows whose anchors are found at once; positions take the low bits of what is compared.
 BLOCK = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
@@ -63,8 +65,8 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pieces_of(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block of windows the first window of each piece, how many it has, and the hash of its anchor."""
+def pieces_of(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of windows the first window of each piece, where in it the anchor is, how many it has, and the anchor's hash."""
     k = max(1, length // 5)
     wide = length - k + 1
     for at in range(0, raw.size - length + 1, BLOCK):
@@ -77,19 +79,19 @@ def pieces_of(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarra
             least = np.minimum(least[: span - wide], least[wide - span :])
         anchor = (least & _PLACE).astype(np.int64)
         starts = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
-        yield starts + at, np.diff(starts, append=anchor.size), h[anchor[starts]].view(np.int64)
+        yield starts + at, anchor[starts] - starts, np.diff(starts, append=anchor.size), h[anchor[starts]].view(np.int64)
 
 
 def _cut(length: int):
-    """Arrow batches of (k1, k2, raw) to pieces; `at` is the first window's place times 2 ** 16 plus the number of windows."""
+    """Arrow batches of (k1, k2, raw) to pieces; `at` has the first window's place, the anchor's in it (16 bits) and the number of windows (16)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, found, digests = [], [], []
             for raw in b.column("raw"):
                 data, before = raw.as_py(), len(digests)
-                for start, n, gram in pieces_of(np.frombuffer(data, np.uint8), length):
-                    found.append(np.stack([start << 16 | n, gram]))
+                for start, anchor, n, gram in pieces_of(np.frombuffer(data, np.uint8), length):
+                    found.append(np.stack([start << 32 | anchor << 16 | n, gram]))
                     digests += [xxhash.xxh3_64_intdigest(data[s : s + m]) for s, m in zip(start.tolist(), (n + length - 1).tolist(), strict=True)]
                 counts.append(len(digests) - before)
             at, gram = np.concatenate([np.empty((2, 0), np.int64), *found], 1)
@@ -100,68 +102,61 @@ def _cut(length: int):
     return run
 
 
-def collection_bwt(strings: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The Burrows-Wheeler transform of a collection (symbols are bytes plus 1, 0 before a whole string) and the common
-    prefix of each suffix and the one before it, counted up to `most`. The ends of strings are the first rows, in their order.
+def sorted_columns(strings: list[bytes], anchors: list[int], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each column, from the right: its number (the anchors are in column 0), the strings that have a symbol in it in the order
+    of their suffixes from there on, and the common prefix of each suffix and the one before it, counted up to `most`.
 
-    Round j inserts the suffixes of j symbols. The row of a suffix follows from the row of the one without its first symbol:
-    rows that begin with a symbol are in the order of the rows that it precedes.
+    A round puts the column's symbols in the order of the suffixes behind them, the transform's part of that column, and a stable
+    sort of them gives the next order. Two suffixes that are neighbours then and begin with one symbol share one more than
+    the least common prefix between them before.
     """
-    n, sizes = len(strings), np.array(list(map(len, strings)))
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    text = text + 1 if text.size and text.max() < 255 else text.astype(np.uint16) + 1
-    ends = np.cumsum(sizes)
-    bwt = np.where(sizes > 0, text[np.maximum(ends, 1) - 1], 0).astype(text.dtype) if text.size else np.zeros(n, np.uint8)
-    prefix = np.zeros(n, np.uint8 if most < 255 else np.uint16)
-    active = np.flatnonzero(sizes > 0)  # in the order of their rows
-    rows = active
-    for j in range(1, int(sizes.max(initial=0)) + 1):
-        m = bwt.size
-        order = np.argsort(bwt, kind="stable")[n - active.size :]  # the row that each row with a symbol in front leads to, less one symbol
-        last = np.zeros(m, bool)
-        last[rows] = True
-        new = n + np.flatnonzero(last[order])
-        active = active[np.argsort(bwt[rows], kind="stable")]
-        old = np.ones(m + new.size, bool)
-        old[new] = False
-        made, shared = np.empty(old.size, bwt.dtype), np.empty(old.size, prefix.dtype)
-        made[old], shared[old] = bwt, prefix
-        before = ends[active] - j - 1
-        made[new] = np.where(sizes[active] > j, text[before], 0)
-        # new rows and those after them: one more than the least common prefix between the rows that they lead to
-        touched = np.union1d(new, new + 1)
-        shared[touched[touched < old.size]] = 0
-        touched = touched[(touched > n) & (touched < old.size)] - n
-        low, high = order[touched - 1], order[touched]
-        same = np.flatnonzero(bwt[low] == bwt[high])
+    n, sizes, left = len(strings), np.array(list(map(len, strings)), np.int64), np.array(anchors, np.int64)
+    right = sizes - left
+    low, high = -int(left.max(initial=0)), int(right.max(initial=0))
+    symbols = np.zeros((max(0, high - low), n), np.uint8)
+    who = np.repeat(np.arange(n), sizes)
+    symbols[np.arange(who.size) - np.repeat(np.cumsum(sizes) - sizes, sizes) - left[who] - low, who] = np.frombuffer(b"".join(strings), np.uint8)
+    last = np.argsort(-right, kind="stable")
+    first = np.searchsorted(-right[last], -np.arange(high + 1))  # strings that end at a column follow each other
+    order, prefix = np.empty(0, np.int64), np.empty(0, np.int64)
+    for x in range(high - 1, low - 1, -1):
+        stays = np.flatnonzero(left[order] >= -x)
+        if stays.size < order.size:
+            order = order[stays]
+            prefix = np.minimum.reduceat(prefix[: stays[-1] + 1], np.concatenate([[0], stays[:-1] + 1])) if stays.size else prefix[:0]
+        if x + 1 >= 0:
+            enter = last[first[x + 1] : first[x] if x >= 0 else n]
+            enter = enter[right[enter] == x + 1]
+            if enter.size:
+                order, prefix = np.concatenate([enter, order]), np.concatenate([np.zeros(enter.size, np.int64), prefix])
+                prefix[enter.size : enter.size + 1] = 0
+        column = symbols[x - low][order]
+        by = np.argsort(column, kind="stable")
+        column = column[by]
+        same = np.flatnonzero(column[1:] == column[:-1]) + 1
+        shared = np.zeros(order.size, np.int64)
         if same.size:
-            same = same[np.argsort(low[same])]
-            ranges = np.stack([low[same] + 1, high[same] + 1], 1).ravel()
-            least = np.minimum.reduceat(np.append(prefix, prefix[:1]), ranges)[::2]
-            shared[touched[same] + n] = np.minimum(least, most - 1) + 1
-        bwt, prefix = made, shared
-        goes_on = sizes[active] > j
-        active, rows = active[goes_on], new[goes_on]
-    return bwt, prefix
-
-
-def repeated_windows(strings: list[bytes], times: list[int], length: int) -> list[np.ndarray]:
-    """Which windows of each string occur twice or more in the collection, where the string occurs so many times."""
-    n, sizes = len(strings), np.array(list(map(len, strings)))
-    bwt, prefix = collection_bwt(strings, length)
-    leads = np.empty(bwt.size, np.int64)
-    leads[np.argsort(bwt, kind="stable")] = np.arange(bwt.size)
-    run = np.cumsum(prefix < length)
-    out = np.full((n, max(0, int(sizes.max(initial=0)) - length + 1)), -1)
-    row = np.arange(n)
-    for j in range(1, int(sizes.max(initial=0)) + 1):
-        here = np.flatnonzero(sizes >= j)
-        row[here] = leads[row[here]]  # ends come before all symbols, as whole strings' marks do, and are as many
-        if j >= length:
-            out[here, sizes[here] - j] = run[row[here]]
-    used = out >= 0
-    weight = np.bincount(out[used], np.broadcast_to(np.array(times)[:, None], out.shape)[used]) if used.any() else np.zeros(1)
-    many = used & (weight[out] > 1)
+            at = np.full(order.size, -1)
+            at[by[same - 1]] = same
+            same = at[at >= 0]  # in the order of the rows that ranges start at
+            ranges = np.stack([by[same - 1] + 1, by[same] + 1], 1).ravel()
+            shared[same] = np.minimum(np.minimum.reduceat(np.append(prefix, 0), ranges)[::2], most - 1) + 1
+        order, prefix = order[by], shared
+        yield x, order, prefix
+
+
+def repeated_windows(strings: list[bytes], anchors: list[int], times: list[int], length: int) -> list[np.ndarray]:
+    """Which windows of each string occur twice or more in the collection, at the same distance from the anchor, where the string
+    occurs so many times."""
+    sizes, left, weights = np.array(list(map(len, strings))), np.array(anchors), np.array(times)
+    many = np.zeros((len(strings), max(0, int(sizes.max(initial=0)) - length + 1)), bool)
+    for x, order, prefix in sorted_columns(strings, anchors, length):
+        whole = np.flatnonzero(sizes[order] - left[order] - x >= length)
+        if whole.size:
+            run = np.cumsum(prefix < length)[whole]
+            own = order[whole]
+            found = own[np.bincount(run, weights[own])[run] > 1]
+            many[found, x + left[found]] = True
     return [many[i, : max(0, s - length + 1)] for i, s in enumerate(sizes.tolist())]
 
 
@@ -172,26 +167,27 @@ def _spans(flags: np.ndarray) -> list[dict]:
 
 
 def _sorted(length: int, spans: pa.DataType):
-    """Arrow batches of pieces (gram, piece, times, raw), equal grams side by side, to (gram, piece, spans) of repeated windows."""
+    """Arrow batches of pieces (gram, piece, times, anchor, raw), equal grams side by side, to (gram, piece, spans) of repeated windows."""
 
-    def found(names: list[tuple], strings: list[bytes], times: list[int]) -> pa.RecordBatch:
-        flags = [(g, p, _spans(f)) for (g, p), f in zip(names, repeated_windows(strings, times, length), strict=True) if f.any()]
+    def found(names: list[tuple], *pieces: list) -> pa.RecordBatch:
+        flags = [(g, p, _spans(f)) for (g, p), f in zip(names, repeated_windows(*pieces, length), strict=True) if f.any()]
         types = (pa.int64(), pa.int64(), spans)
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flags], t) for i, t in enumerate(types)], names=["gram", "piece", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, strings, times, size, now = [], [], [], 0, None
+        names, strings, anchors, times, size, now = [], [], [], [], 0, None
         for b in batches:
-            for gram, piece, count, raw in zip(*(b.column(c).to_pylist() for c in ("gram", "piece", "times", "raw")), strict=True):
+            for gram, piece, count, anchor, raw in zip(*(b.column(c).to_pylist() for c in ("gram", "piece", "times", "anchor", "raw")), strict=True):
                 if gram != now and size > BATCH_BYTES:
-                    yield found(names, strings, times)
-                    names, strings, times, size = [], [], [], 0
+                    yield found(names, strings, anchors, times)
+                    names, strings, anchors, times, size = [], [], [], [], 0
                 now, size = gram, size + len(raw)
                 names.append((gram, piece))
                 strings.append(raw)
+                anchors.append(anchor)
                 times.append(count)
         if names:
-            yield found(names, strings, times)
+            yield found(names, strings, anchors, times)
 
     return run
 
@@ -232,6 +228,12 @@ def _text_key(raw: Column) -> dict[str, Column]:
     return {"k1": F.xxhash64(raw), "k2": F.xxhash64(F.lit(1), raw)}
 
 
+def _part(at: Column, shift: int) -> Column:
+    """A number that is packed into `at`: 32 the start, 16 the anchor's place, 0 the number of windows."""
+    moved = F.call_function("shiftright", at, F.lit(shift))
+    return (moved if shift == 32 else moved.bitwiseAND(F.lit(0xFFFF))).cast("int")
+
+
 def find_repeated(stages: Stages, docs: DataFrame, length: int, hot: int) -> DataFrame:
     """(k1, k2, found) of each text with a repeated window: its pieces' places, with spans of windows (null: all). `docs` has raw."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -247,16 +249,14 @@ def find_repeated(stages: Stages, docs: DataFrame, length: int, hot: int) -> Dat
     # places of each piece that is to be compared, in one text
     places = counted.where("different > 1").join(shared.drop("times"), ["gram", "piece", "k1"])
     wanted = stages.write(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "piece", "times", "different", "at")).alias("wanted")))
-    first, windows = lambda w: F.shiftright(w["at"], 16).cast("int"), lambda w: w["at"].bitwiseAND(F.lit(0xFFFF)).cast("int")
-    bytes_of = lambda w: F.struct(*[w[c].alias(c) for c in ("gram", "piece", "times", "different")], F.substring(F.col("raw"), first(w) + 1, windows(w) + length - 1).alias("raw"))
+    bytes_of = lambda w: F.struct(*[w[c].alias(c) for c in ("gram", "piece", "times", "different")], _part(w["at"], 16).alias("anchor"), F.substring(F.col("raw"), _part(w["at"], 32) + 1, _part(w["at"], 0) + length - 1).alias("raw"))
     read = keyed.join(wanted, ["k1", "k2"]).select(F.explode(F.transform("wanted", bytes_of)).alias("w")).select("w.*")
-    compared = stages.write(read.groupBy("gram", "piece").agg(*[F.first(c).alias(c) for c in ("times", "different", "raw")]))
-    batches = compared.where(F.col("different") <= hot).select("gram", "piece", "times", "raw").repartition("gram").sortWithinPartitions("gram")
+    compared = stages.write(read.groupBy("gram", "piece").agg(*[F.first(c).alias(c) for c in ("times", "different", "anchor", "raw")]))
+    batches = compared.where(F.col("different") <= hot).select("gram", "piece", "times", "anchor", "raw").repartition("gram").sortWithinPartitions("gram")
     some = batches.mapInArrow(_sorted(length, to_arrow_type(_SPANS)), alone.schema)
     repeated = stages.write(alone.unionByName(some).unionByName(_hot_windows(stages, compared.where(F.col("different") > hot), length)))
     met = shared.drop("times").join(repeated, ["gram", "piece"])
-    start, n = F.shiftright("at", 16).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("n")
-    return met.groupBy("k1", "k2").agg(F.collect_list(F.struct(start, n, "spans")).alias("found"))
+    return met.groupBy("k1", "k2").agg(F.collect_list(F.struct(_part(F.col("at"), 32).alias("start"), _part(F.col("at"), 0).alias("n"), "spans")).alias("found"))
 
 
 def remove_repeated(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:

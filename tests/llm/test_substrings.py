@@ -33,25 +33,33 @@ def result(df):
     return Counter((r[0], r.n_bytes, sum(s.end - s.start for s in r.removed_spans), len(r.removed_spans), hashlib.sha256(r.kept).hexdigest()) for r in df.collect())
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.binary(max_size=12).map(lambda b: bytes(b"ab\x00\xff"[x % 4] for x in b)), min_size=1, max_size=8))
-def test_suffix_order(strings):
-    rows = sorted((([b + 1 for b in s[i:]], k, i) for k, s in enumerate(strings) for i in range(len(s) + 1)), key=lambda x: ([*x[0], 0], x[1]))
-    bwt, prefix = substrings.collection_bwt(strings, 5)
-    assert bwt.tolist() == [strings[k][i - 1] + 1 if i else 0 for _, k, i in rows]
-    common_of = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    assert prefix.tolist() == [min(5, common_of(rows[i - 1][0], rows[i][0])) if i else 0 for i in range(len(rows))]
+STRING = st.text("ab", min_size=1, max_size=12).flatmap(lambda s: st.tuples(st.just(s.encode()), st.integers(0, len(s))))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(STRING, min_size=1, max_size=8))
+def test_columns_are_sorted(given_):
+    strings, anchors = [s for s, _ in given_], [a for _, a in given_]
+    seen = 0
+    for x, order, prefix in substrings.sorted_columns(strings, anchors, 5):
+        suffixes = [strings[i][x + anchors[i] :] for i in order.tolist()]
+        assert sorted(order.tolist()) == [i for i, (s, a) in enumerate(given_) if 0 <= x + a < len(s)]
+        assert suffixes == sorted(suffixes)
+        shared = lambda a, b: next((n for n, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+        assert prefix.tolist() == [min(5, shared(a, b)) for a, b in zip([b"", *suffixes[:-1]], suffixes, strict=True)]
+        seen += len(suffixes)
+    assert seen == sum(map(len, strings))
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(2, 7), st.lists(st.tuples(st.text("abc", min_size=2, max_size=14).map(str.encode), st.integers(1, 2)), min_size=1, max_size=9, unique_by=lambda x: x[0]))
+@given(st.integers(2, 7), st.lists(st.tuples(st.text("abc", min_size=1, max_size=14).map(str.encode), st.integers(0, 1), st.integers(1, 2)), min_size=1, max_size=9, unique_by=lambda x: x[0]))
 def test_windows_of_a_collection(length, given_):
     seen = Counter()
-    for s, times in given_:
+    for s, a, times in given_:
         for i in range(len(s) - length + 1):
-            seen[s[i : i + length]] += times
-    got = substrings.repeated_windows([s for s, _ in given_], [t for _, t in given_], length)
-    assert [g.tolist() for g in got] == [[seen[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s, _ in given_]
+            seen[i - a, s[i : i + length]] += times
+    got = substrings.repeated_windows([s for s, _, _ in given_], [a for _, a, _ in given_], [t for _, _, t in given_], length)
+    assert [g.tolist() for g in got] == [[seen[i - a, s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s, a, _ in given_]
 
 
 @settings(max_examples=40, deadline=None)
@@ -61,11 +69,11 @@ def test_equal_windows_have_equal_anchors(length, middle, left, right):
     found = {}
     for text in (middle, left + middle + right):
         raw = np.frombuffer(text.encode(), np.uint8)
-        for starts, n, gram in substrings.pieces_of(raw, length):
+        for starts, anchor, n, gram in substrings.pieces_of(raw, length):
             assert (n >= 1).all() and n.sum() == raw.size - length + 1
-            for s, m, g in zip(starts.tolist(), n.tolist(), gram.tolist(), strict=True):
+            for s, a, m, g in zip(starts.tolist(), anchor.tolist(), n.tolist(), gram.tolist(), strict=True):
                 for i in range(s, s + m):
-                    assert found.setdefault(text[i : i + length], g) == g
+                    assert found.setdefault(text[i : i + length], (g, s + a - i)) == (g, s + a - i)
 
 
 def prose(rng, n, words=400):

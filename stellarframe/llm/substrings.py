@@ -221,13 +221,18 @@ def _hot_windows(stages: Stages, hot: DataFrame, length: int) -> DataFrame:
     each = stages.write(each.select("gram", "piece", "times", "x.*"))
     twice = stages.write(each.groupBy("w").agg(F.sum("times").alias("n")).where("n > 1").select("w"))
     span = F.struct(F.col("i").alias("start"), (F.col("i") + 1).alias("end"))
-    return each.join(twice, "w").groupBy("gram", "piece").agg(F.collect_list(span).cast(_SPANS).alias("spans"))  # at most a piece's windows
+    return _joined(each, twice, "w").groupBy("gram", "piece").agg(F.collect_list(span).cast(_SPANS).alias("spans"))  # at most a piece's windows
 
 
 def _text_key(raw: Column) -> dict[str, Column]:
     return {"k1": F.xxhash64(raw), "k2": F.xxhash64(F.lit(1), raw)}
 
 
+def _joined(rows: DataFrame, unique: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """`rows` with what `unique` has of their key, once each: the side that is hashed, so that the longer rows are never sorted."""
+    return rows.join(unique.hint("shuffle_hash"), list(keys), how)
+
+
 def _part(at: Column, shift: int) -> Column:
     """A number that is packed into `at`: 32 the start, 16 the anchor's place, 0 the number of windows."""
     moved = F.call_function("shiftright", at, F.lit(shift))
@@ -242,20 +247,20 @@ def find_repeated(stages: Stages, docs: DataFrame, length: int, hot: int) -> Dat
     rows = stages.write(keyed.mapInArrow(_cut(length), _PIECES))
     grams = stages.write(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     # copies of a text have equal rows
-    shared = stages.write(rows.join(grams, "gram").groupBy("gram", "piece", "k1", "k2", "at").agg(F.count(F.lit(1)).alias("times")))
-    pieces = stages.write(shared.groupBy("gram", "piece").agg(F.sum("times").alias("times"), F.min("k1").alias("k1")))
-    counted = stages.write(pieces.join(pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("different")), "gram"))
+    shared = stages.write(_joined(rows, grams, "gram").groupBy("gram", "piece", "k1", "k2", "at").agg(F.count(F.lit(1)).alias("times")))
+    pieces = shared.groupBy("gram", "piece").agg(F.sum("times").alias("times"), F.min("k1").alias("k1"))
+    counted = stages.write(_joined(pieces, pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("different")), "gram"))
     alone = counted.where("different = 1").select("gram", "piece", F.lit(None).cast(_SPANS).alias("spans"))
     # places of each piece that is to be compared, in one text
-    places = counted.where("different > 1").join(shared.drop("times"), ["gram", "piece", "k1"])
+    places = _joined(shared.drop("times"), counted.where("different > 1"), "gram", "piece", "k1")
     wanted = stages.write(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "piece", "times", "different", "at")).alias("wanted")))
     bytes_of = lambda w: F.struct(*[w[c].alias(c) for c in ("gram", "piece", "times", "different")], _part(w["at"], 16).alias("anchor"), F.substring(F.col("raw"), _part(w["at"], 32) + 1, _part(w["at"], 0) + length - 1).alias("raw"))
-    read = keyed.join(wanted, ["k1", "k2"]).select(F.explode(F.transform("wanted", bytes_of)).alias("w")).select("w.*")
+    read = _joined(keyed, wanted, "k1", "k2").select(F.explode(F.transform("wanted", bytes_of)).alias("w")).select("w.*")
     compared = stages.write(read.groupBy("gram", "piece").agg(*[F.first(c).alias(c) for c in ("times", "different", "anchor", "raw")]))
     batches = compared.where(F.col("different") <= hot).select("gram", "piece", "times", "anchor", "raw").repartition("gram").sortWithinPartitions("gram")
     some = batches.mapInArrow(_sorted(length, to_arrow_type(_SPANS)), alone.schema)
     repeated = stages.write(alone.unionByName(some).unionByName(_hot_windows(stages, compared.where(F.col("different") > hot), length)))
-    met = shared.drop("times").join(repeated, ["gram", "piece"])
+    met = _joined(shared.drop("times"), repeated, "gram", "piece")
     return met.groupBy("k1", "k2").agg(F.collect_list(F.struct(_part(F.col("at"), 32).alias("start"), _part(F.col("at"), 0).alias("n"), "spans")).alias("found"))
 
 
@@ -276,7 +281,7 @@ def remove_repeated(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, te
     # texts that can hold nothing go anywhere
     short = F.length("raw") < length
     keys = {n: F.when(short, F.monotonically_increasing_id()).otherwise(c) for n, c in _text_key(F.col("raw")).items()}
-    joined = own.withColumns(keys).join(found, ["k1", "k2"], "left").drop("k1", "k2")
+    joined = _joined(own.withColumns(keys), found, "k1", "k2", how="left").drop("k1", "k2")
     made = joined.mapInArrow(_removed(length, schema.names, [to_arrow_type(f.dataType) for f in added.fields]), schema)
     return made.select(*[F.col(n).alias(c) for n, c in kept.items()], *ADDED)
 

@@ -248,8 +248,10 @@ def find_repeated(stages: Stages, docs: DataFrame, length: int, hot: int) -> Dat
     grams = stages.write(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     # copies of a text have equal rows
     shared = stages.write(_joined(rows, grams, "gram").groupBy("gram", "piece", "k1", "k2", "at").agg(F.count(F.lit(1)).alias("times")))
-    pieces = shared.groupBy("gram", "piece").agg(F.sum("times").alias("times"), F.min("k1").alias("k1"))
-    counted = stages.write(_joined(pieces, pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("different")), "gram"))
+    pieces = stages.write(shared.groupBy("gram", "piece").agg(F.sum("times").alias("times"), F.min("k1").alias("k1")))
+    # written, so that a gram with most of the pieces can be split
+    different = stages.write(pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("different")))
+    counted = stages.write(_joined(pieces, different, "gram"))
     alone = counted.where("different = 1").select("gram", "piece", F.lit(None).cast(_SPANS).alias("spans"))
     # places of each piece that is to be compared, in one text
     places = _joined(shared.drop("times"), counted.where("different > 1"), "gram", "piece", "k1")

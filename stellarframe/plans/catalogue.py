@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions import stats
 from ..operators import quality
+from ..streaming import pending, replay, weather
 from . import gold, measure, serve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,6 +205,44 @@ def _q(spark, d):
     return rounded(_minute(Tables(spark, d)))
 
 
+#: After all that is played: closes the minutes and passes before it.
+_FAR = "2200-01-01 00:00:00"
+
+
+def _span(*times: DataFrame) -> str:
+    """How late a row can come when tables are dealt into files in no order."""
+    first, last = zip(*[t.toDF("t").agg(F.min(F.col("t").cast("timestamp").cast("long")), F.max(F.col("t").cast("timestamp").cast("long"))).first() for t in times], strict=True)
+    known = [x for x in (*first, *last) if x is not None]
+    return f"{max(known, default=0) - min(known, default=0) + 60} seconds"
+
+
+@query("streamed_weather_minute", sql_rounded(MINUTE, "minutes", MINUTE_D, MINUTE_O))
+def _q(spark, d):
+    """Both feeds as streams of files that arrive in no order."""
+    t = Tables(spark, d)
+    feeds = {"magnetic": t.magnetic(), "plasma": t.plasma()}
+    late = _span(*[f.select("observed_at_utc") for f in feeds.values()])
+
+    def made(out: str) -> DataFrame:
+        return weather.joined_minutes(*[replay.arrive(f, f"{out}/{n}", 2, f.limit(1).withColumn("observed_at_utc", F.lit(_FAR).cast("timestamp_ntz"))) for n, f in feeds.items()], late)
+
+    return rounded(replay.played(spark, "streamed-minutes", made))
+
+
+_OPEN = f"""WITH obs AS ({OBSERVATIONS}), newest AS (SELECT observation_id, MAX(snapshot_at_utc) AS snapshot_at_utc FROM obs GROUP BY 1)
+SELECT observation_id, date_trunc('millisecond', start_utc)::TIMESTAMP AS end_utc, status FROM obs JOIN newest USING (observation_id, snapshot_at_utc) WHERE status NOT IN ('good', 'bad', 'failed')"""
+
+
+@query("streamed_open_observations", _OPEN)
+def _q(spark, d):
+    """Observations as a stream, each with a timer at its end."""
+    rows = Tables(spark, d).observations()
+    closing = rows.limit(1).withColumns({"snapshot_at_utc": F.lit(_FAR).cast("timestamp"), "observation_id": F.lit(-1).cast("long"), "end_utc": F.lit(None).cast("timestamp_ntz")})
+    late = _span(rows.select("snapshot_at_utc"))
+    found = replay.played(spark, "streamed-open", lambda out: pending.still_open(replay.arrive(rows, f"{out}/observations", 3, closing), late))
+    return found.withColumn("end_utc", X.naive("end_utc"))
+
+
 @query("space_weather_hourly", sql_rounded(HOURLY, "hourly", "average_bz_gsm minimum_bz_gsm average_proton_speed average_proton_density", "hour_utc minute_count minutes_with_bz disturbance_level"))
 def _q(spark, d):
     return rounded(_hourly(Tables(spark, d)))

@@ -246,8 +246,8 @@ def find_repeated(stages: Stages, docs: DataFrame, length: int, hot: int) -> Dat
     keyed = docs.where(F.length("raw") >= length).select(*[c.alias(n) for n, c in _text_key(F.col("raw")).items()], "raw")
     rows = stages.write(keyed.mapInArrow(_cut(length), _PIECES))
     grams = stages.write(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    # copies of a text have equal rows
-    shared = stages.write(_joined(rows, grams, "gram").groupBy("gram", "piece", "k1", "k2", "at").agg(F.count(F.lit(1)).alias("times")))
+    # copies of a text have equal rows; not grouped by the gram, so that a gram with most of the rows can be split in the join
+    shared = stages.write(_joined(rows, grams, "gram").groupBy("k1", "k2", "at", "piece").agg(F.first("gram").alias("gram"), F.count(F.lit(1)).alias("times")))
     pieces = stages.write(shared.groupBy("gram", "piece").agg(F.sum("times").alias("times"), F.min("k1").alias("k1")))
     # written, so that a gram with most of the pieces can be split
     different = stages.write(pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("different")))

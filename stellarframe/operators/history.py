@@ -3,6 +3,9 @@
 Rows are written first, under a folder for their load, the registry last; readers take only rows whose file and
 checksum the registry names. A load that dies in between leaves nothing that anyone sees, and the next one loads
 those files again. A registered path whose content has changed is an error.
+
+An index has length, time and digest of each file that was loaded; files that still look so are not read again, so that a load
+costs what is new. `audit` reads all of them.
 """
 
 from __future__ import annotations
@@ -35,6 +38,24 @@ def read_registry(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schemas.REGISTRY).parquet(path) if _has_files(spark, path) else spark.createDataFrame([], schemas.REGISTRY)
 
 
+def read_index(spark: SparkSession, root: str) -> DataFrame:
+    path = f"{root}/bronze_file_index"
+    return spark.read.schema(schemas.FILE_INDEX).parquet(path) if _has_files(spark, path) else spark.createDataFrame([], schemas.FILE_INDEX)
+
+
+def unread(files: DataFrame, index: DataFrame, registry: DataFrame) -> DataFrame:
+    """The files that are not known to be loaded as they look now."""
+    loaded = index.join(registry.select("file_path", "sha256"), ["file_path", "sha256"], "left_semi")
+    return files.join(loaded.select("file_path", "length", "modified_at"), ["file_path", "length", "modified_at"], "left_anti")
+
+
+def audit(spark: SparkSession, bronze_root: str, root: str) -> DataFrame:
+    """(file_path, known, sha256) of registered files whose content is another one now, or gone (null); all content is read."""
+    known = read_registry(spark, root).select("file_path", F.col("sha256").alias("known"))
+    there = bronze.listing(spark, bronze_root).select("file_path", "sha256")
+    return known.join(there, "file_path", "left").where(~F.col("known").eqNullSafe(F.col("sha256"))).select("file_path", "known", "sha256")
+
+
 def read_history(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The rows of registered files."""
     path, schema = f"{root}/{table}", schemas.struct(schemas.HISTORY[table])
@@ -87,25 +108,26 @@ def new_rows(kind: str, rows: DataFrame, history: DataFrame) -> DataFrame:
 def load(spark: SparkSession, bronze_root: str, root: str) -> dict[str, int]:
     """Load what is new below `bronze_root` into the history below `root`; rows added by table."""
     registry = read_registry(spark, root)
-    files = bronze.listing(spark, bronze_root).where("source IS NOT NULL AND snapshot_at_utc IS NOT NULL")
+    files = bronze.found(spark, bronze_root).where("source IS NOT NULL AND snapshot_at_utc IS NOT NULL")
     known = registry.select("file_path", F.col("sha256").alias("known"))
     # names and checksums alone are kept, so that each file is read once
-    seen = files.join(known, "file_path", "left").where("known IS NULL OR known <> sha256").persist()
+    seen = bronze.digests(unread(files, read_index(spark, root), registry)).join(known, "file_path", "left").persist()
     try:
-        changed = [r["file_path"] for r in seen.where("known IS NOT NULL").select("file_path").limit(5).collect()]
+        changed = [r["file_path"] for r in seen.where("known <> sha256").select("file_path").limit(5).collect()]
         if changed:
             raise ModifiedFile(f"content changed under {', '.join(changed)}")
-        fresh = seen.drop("known").collect()  # a row for each new file
+        read = seen.collect()  # a row for each new file
     finally:
         seen.unpersist()
+    fresh = [f for f in read if f["known"] is None]
     added, load_id = {}, uuid.uuid4().hex
     entries = []
     for kind, table in TABLE_OF.items():
         own = [f for f in fresh if f["source"] == kind]
         if not own:
             continue
-        about = spark.createDataFrame(own, files.schema).select("file_path", "snapshot_at_utc", "priority", F.col("sha256").alias("source_sha256"))
-        raw = bronze.read_raw(spark, kind, [f["file_path"] for f in own]).join(about, "file_path").withColumnRenamed("file_path", "source_file")
+        about = spark.createDataFrame([(f["file_path"], f["snapshot_at_utc"], f["priority"], f["sha256"]) for f in own], "file_path string, snapshot_at_utc timestamp, priority int, source_sha256 string")
+        raw = bronze.read_raw(spark, kind, [f["file_path"] for f in own], {f["file_path"]: f["first_line"] for f in own}).join(about, "file_path").withColumnRenamed("file_path", "source_file")
         path = f"{root}/{table}/load={load_id}"
         new_rows(kind, typed(kind, raw), read_history(spark, root, table)).write.mode("overwrite").parquet(path)
         counts = {r["source_file"]: r["n"] for r in spark.read.schema(schemas.struct(schemas.HISTORY[table])).parquet(path).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -114,6 +136,9 @@ def load(spark: SparkSession, bronze_root: str, root: str) -> dict[str, int]:
     if entries:
         done = spark.createDataFrame(entries, "file_path string, source string, snapshot_at_utc timestamp, sha256 string, row_count int")
         done.withColumn("loaded_at_utc", F.current_timestamp()).select(*schemas.struct(schemas.REGISTRY).fieldNames()).coalesce(1).write.mode("append").parquet(f"{root}/bronze_file_registry")
+    if read:  # after the registry: without it they are read again
+        names = schemas.struct(schemas.FILE_INDEX).fieldNames()
+        spark.createDataFrame([tuple(f[c] for c in names) for f in read], schemas.FILE_INDEX).coalesce(1).write.mode("append").parquet(f"{root}/bronze_file_index")
     return added
 
 

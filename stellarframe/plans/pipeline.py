@@ -229,7 +229,7 @@ def run(spark: SparkSession, bronze_root: str, root: str, lock_path: str, log: s
         return {t: history.read_history(spark, f"{root}/history", t) for t in quality.SOURCES}
 
     def check() -> str:
-        files = bronze.unloadable(bronze.listing(spark, bronze_root))
+        files = bronze.unloadable(bronze.found(spark, bronze_root))
         results = quality.gate(tables(), history.read_registry(spark, f"{root}/history"), files).select(F.current_timestamp().alias("checked_at_utc"), "*")
         sinks.write_json_report(results, f"{root}/quality", f"{root}/quality_csv")
         bad = [r["check_name"] for r in quality.read_report(spark, f"{root}/quality").where("status = 'fail'").collect()]

@@ -18,6 +18,8 @@ HISTORY = {
     "satnogs_observation_history": "snapshot_at_utc timestamp, observation_id long, start_utc timestamp_ntz, end_utc timestamp_ntz, status string, norad_catalog_id long, satellite_id string, station_id long, station_lat double, station_lng double, observation_frequency_hz double, transmitter_mode string, " + LINEAGE,
 }
 REGISTRY = "file_path string, source string, snapshot_at_utc timestamp, sha256 string, loaded_at_utc timestamp, row_count int"
+#: What is known of a file without reading it again.
+FILE_INDEX = "file_path string, length long, modified_at timestamp, sha256 string, first_line string"
 
 #: Fields of the raw payloads, fixed values of their formats; those in REQUIRED must be there.
 RAW = {

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,10 @@ PATTERNS = {
     "celestrak": r"/celestrak/[a-z0-9-]+_\d{8}T\d{6}Z\.csv$", "magnetic_field": r"/noaa/magnetic_field_\d{8}T\d{6}Z\.json$", "plasma": r"/noaa/plasma_\d{8}T\d{6}Z\.json$",
     "spaceweather": r"/spaceweather/sw_\d{8}T\d{6}Z\.csv$", "satnogs": r"/satnogs/observations_\d{8}T\d{6}Z\.json$",
 }
+#: Files are digested in blocks of so many bytes; what is looked at for the first line.
+BLOCK_BYTES, HEAD_BYTES = 4 << 20, 1 << 16
+#: Arrow's name of a file system where it is another than Hadoop's.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gcs"}
 TERMINAL = ("good", "bad", "failed")
 USER_AGENT = "stellarframe/1.0 (research)"
 
@@ -70,18 +77,54 @@ def collect_observations(get: Callable[[str], bytes], listing: str, sweeps: Iter
     return [found[k] for k in sorted(found)]
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, source, snapshot_at_utc, sha256, priority) of every file below `root`; source is null if none fits.
+def found(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, source, snapshot_at_utc, priority, length, modified_at) of every file below `root`; source is null if none fits.
 
-    Files are read whole, so that each must be below 2 GB; whoever uses the listing twice persists it.
+    No content is read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
     kind = F.lit(None).cast("string")
     for name, pattern in PATTERNS.items():
         kind = F.when(F.col("path").rlike(pattern), name).otherwise(kind)
     # where snapshots of several groups coincide, stations come first, then groups by name
     first = F.when(F.col("path").rlike("/stations_"), 0).otherwise(1)
-    return files.select(F.col("path").alias("file_path"), kind.alias("source"), X.snapshot_of("path").alias("snapshot_at_utc"), F.sha2("content", 256).alias("sha256"), first.alias("priority"))
+    return files.select(F.col("path").alias("file_path"), kind.alias("source"), X.snapshot_of("path").alias("snapshot_at_utc"), first.alias("priority"), "length", F.col("modificationTime").alias("modified_at"))
+
+
+def opened(path: str):
+    """A file of any file system that Arrow knows, to be read in blocks; for tasks, which have no Hadoop of their own."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        scheme, rest = "file", path
+    system, name = fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{'/' * (scheme == 'file')}{quote(rest.lstrip('/'))}")
+    return system.open_input_stream(name)
+
+
+def digests(files: DataFrame, block: int = BLOCK_BYTES, open_file: Callable = opened) -> DataFrame:
+    """`files` (which have file_path) with sha256 and first_line, each read once by a task, in blocks, however long it is."""
+    schema = T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType()), T.StructField("first_line", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for path in b.column("file_path").to_pylist():
+                digest, head = hashlib.sha256(), b""
+                with open_file(path) as f:
+                    while data := f.read(block):
+                        digest.update(data)
+                        head += data[: HEAD_BYTES - len(head)]
+                made.append((digest.hexdigest(), head.split(b"\n")[0].rstrip(b"\r").decode("utf-8", "replace")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([d for d, _ in made], pa.string()), pa.array([h for _, h in made], pa.string())], names=schema.names)
+
+    # one file to a row, dealt out: a task has few of them
+    return files.repartition(F.xxhash64("file_path")).mapInArrow(run, schema)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """`found` with the digest of every file: all content is read."""
+    return digests(found(spark, root)).drop("first_line")
 
 
 def unloadable(files: DataFrame) -> DataFrame:
@@ -92,19 +135,26 @@ def text_schema(kind: str) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in schemas.RAW[kind]])
 
 
-def read_raw(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
-    """The text columns of files of one kind, with file_path; no inference, corrupt records are null rows that go."""
+def read_raw(spark: SparkSession, kind: str, paths: list[str], first_lines: dict[str, str] | None = None) -> DataFrame:
+    """The text columns of files of one kind, with file_path; no inference, corrupt records are null rows that go.
+
+    `first_lines` are those of the files, where they are known.
+    """
     schema = text_schema(kind)
     if not paths:
         return spark.createDataFrame([], schema.add("file_path", "string"))
     names = [f"`{c}`" for c in schema.fieldNames()]
     if kind in ("celestrak", "spaceweather"):
         # columns go by name: files of equal headers are read together, however many there are
-        first = F.split(F.decode("content", "UTF-8"), "\r?\n")[0]
-        headers = spark.read.format("binaryFile").load(paths).groupBy(first.alias("h")).agg(F.collect_list("path").alias("paths"))
+        if first_lines is None:
+            names_only = spark.createDataFrame([(p,) for p in paths], "file_path string")
+            first_lines = {r["file_path"]: r["first_line"] for r in digests(names_only).select("file_path", "first_line").collect()}  # a row for each file
+        alike: dict[str, list[str]] = {}
+        for path in paths:
+            alike.setdefault(first_lines[path], []).append(path)
         rows = None
-        for h in headers.collect():  # one row for each way to order the columns; paths only
-            raw = spark.read.option("header", "true").csv(h["paths"], inferSchema=False)
+        for same in alike.values():  # one for each way to order the columns
+            raw = spark.read.option("header", "true").csv(same, inferSchema=False)
             have = {c.lstrip("\ufeff"): c for c in raw.columns}
             part = raw.select(*[(F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast("string").alias(c) for c in schema.fieldNames()], F.col("_metadata.file_path").alias("file_path"))
             rows = part if rows is None else rows.unionByName(part)

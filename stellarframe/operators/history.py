@@ -18,10 +18,15 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import expr as X
+from ..functions import sketches
 from ..sources import bronze
 
 TABLE_OF = {"celestrak": "orbital_snapshot_history", "magnetic_field": "noaa_magnetic_history", "plasma": "noaa_plasma_history", "spaceweather": "space_weather_index_history", "satnogs": "satnogs_observation_history"}
 
+#: Columns whose distinct values gauges count: their sketches are kept with each load. Each has the table's rows beside it.
+SKETCHED = {"orbital_snapshot_history": ("norad_catalog_id", "snapshot_at_utc"), "noaa_magnetic_history": ("snapshot_at_utc",), "noaa_plasma_history": ("snapshot_at_utc",), "satnogs_observation_history": ("norad_catalog_id", "station_id")}
+SKETCHES = f"table string, source_file string, source_sha256 string, {sketches.SCHEMA}"
+
 
 class ModifiedFile(ValueError):
     """A file that was loaded before now has other content."""
@@ -105,6 +110,29 @@ def new_rows(kind: str, rows: DataFrame, history: DataFrame) -> DataFrame:
     return first.join(known, keys, "left_anti").drop("_r", "_hash", "priority")
 
 
+def read_sketches(spark: SparkSession, root: str) -> DataFrame:
+    """(table, column, rows, sketch) of each load that the registry has; a load is named by one of its files."""
+    path = f"{root}/distinct_sketches"
+    if not _has_files(spark, path):
+        return spark.createDataFrame([], SKETCHES).drop("source_file", "source_sha256")
+    known = read_registry(spark, root).select(F.col("file_path").alias("source_file"), F.col("sha256").alias("source_sha256"))
+    rows = spark.read.schema(SKETCHES).option("recursiveFileLookup", "true").parquet(path)
+    return rows.join(known, ["source_file", "source_sha256"], "left_semi").drop("source_file", "source_sha256")
+
+
+def _write_sketches(rows: DataFrame, table: str, file: tuple[str, str], path: str) -> None:
+    about = [F.lit(table).alias("table"), F.lit(file[0]).alias("source_file"), F.lit(file[1]).alias("source_sha256")]
+    sketches.sketched(rows, SKETCHED[table]).select(*about, "column", "rows", "sketch").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def fill_sketches(spark: SparkSession, root: str) -> None:
+    """Sketches of a history that was loaded before there were any."""
+    for kind, table in TABLE_OF.items():
+        first = read_registry(spark, root).where(F.col("source") == kind).select("file_path", "sha256").first()
+        if first and table in SKETCHED:
+            _write_sketches(read_history(spark, root, table), table, tuple(first), f"{root}/distinct_sketches/load=before/{table}")
+
+
 def load(spark: SparkSession, bronze_root: str, root: str) -> dict[str, int]:
     """Load what is new below `bronze_root` into the history below `root`; rows added by table."""
     registry = read_registry(spark, root)
@@ -120,6 +148,8 @@ def load(spark: SparkSession, bronze_root: str, root: str) -> dict[str, int]:
     finally:
         seen.unpersist()
     fresh = [f for f in read if f["known"] is None]
+    if fresh and _has_files(spark, f"{root}/bronze_file_registry") and not _has_files(spark, f"{root}/distinct_sketches"):
+        fill_sketches(spark, root)
     added, load_id = {}, uuid.uuid4().hex
     entries = []
     for kind, table in TABLE_OF.items():
@@ -130,7 +160,10 @@ def load(spark: SparkSession, bronze_root: str, root: str) -> dict[str, int]:
         raw = bronze.read_raw(spark, kind, [f["file_path"] for f in own], {f["file_path"]: f["first_line"] for f in own}).join(about, "file_path").withColumnRenamed("file_path", "source_file")
         path = f"{root}/{table}/load={load_id}"
         new_rows(kind, typed(kind, raw), read_history(spark, root, table)).write.mode("overwrite").parquet(path)
-        counts = {r["source_file"]: r["n"] for r in spark.read.schema(schemas.struct(schemas.HISTORY[table])).parquet(path).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
+        written = spark.read.schema(schemas.struct(schemas.HISTORY[table])).parquet(path)
+        if table in SKETCHED:
+            _write_sketches(written, table, (own[0]["file_path"], own[0]["sha256"]), f"{root}/distinct_sketches/load={load_id}/{table}")
+        counts = {r["source_file"]: r["n"] for r in written.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
         entries += [(f["file_path"], kind, f["snapshot_at_utc"], f["sha256"], counts.get(f["file_path"], 0)) for f in own]
         added[table] = sum(counts.values())
     if entries:

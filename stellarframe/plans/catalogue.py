@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions import stats
+from ..functions import sketches, stats
 from ..operators import quality
+from ..session import new_folder
 from ..streaming import pending, replay, weather
 from . import gold, measure, serve
 
@@ -497,6 +498,21 @@ def _q(spark, d):
     return _gate(Tables(spark, d))
 
 
+_SKETCHES = "SELECT event_type AS source_group, {0!r} AS column, COUNT({0}) AS rows, COUNT(DISTINCT {0}) AS exact, true AS within_tolerance FROM events GROUP BY 1"
+
+
+@query("distinct_sketches", " UNION ALL ".join(_SKETCHES.format(c).replace("COUNT(" + c + ") AS rows", "COUNT(*) AS rows") for c in ("user_id", "event_id")))
+def _q(spark, d):
+    """A sketch for each day, merged by group, beside the exact counts."""
+    e = Tables(spark, d).events.select(F.col("event_type").alias("source_group"), "user_id", "event_id", F.to_date("ts").alias("day"))
+    path = new_folder(spark, "sketches")
+    sketches.sketched(e, ("user_id", "event_id"), ["source_group", "day"]).write.partitionBy("day").parquet(path)
+    kept = sketches.merged(spark.read.parquet(path), ["source_group"]).withColumn("estimate", sketches.estimate())
+    exact = e.select("source_group", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in ("user_id", "event_id")]))).groupBy("source_group", "column").agg(F.countDistinct("v").alias("exact"))
+    close = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * F.lit(sketches.tolerance()))
+    return exact.join(kept, ["source_group", "column"]).select("source_group", "column", "rows", "exact", close.alias("within_tolerance"))
+
+
 @query("top25_abs", "SELECT c_custkey, c_acctbal FROM customer ORDER BY ABS(c_acctbal) DESC NULLS LAST, c_custkey LIMIT 25")
 def _q(spark, d):
     return serve.top(Tables(spark, d).customer.select("c_custkey", "c_acctbal"), F.abs("c_acctbal"), "c_custkey", 25)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions import stats
+from ..functions import sketches, stats
+from ..operators import history
 
 DISCLAIMER = "A trust signal for public orbit data, not a collision warning."
 #: What is served, fixed paths, and the function here that gives it.
@@ -35,10 +36,30 @@ def _by(df: DataFrame, label: str, **values: str) -> DataFrame:
     return df.select(F.inline(named))
 
 
+#: Gauges of raw history: table, column, and whether it is the distinct values or the rows that count.
+SKETCHED = {
+    "objects_tracked": ("orbital_snapshot_history", "norad_catalog_id", True), "orbital_snapshots": ("orbital_snapshot_history", "snapshot_at_utc", True), "magnetic_history_rows": ("noaa_magnetic_history", "snapshot_at_utc", False),
+    "plasma_history_rows": ("noaa_plasma_history", "snapshot_at_utc", False), "satnogs_distinct_satellites": ("satnogs_observation_history", "norad_catalog_id", True), "satnogs_distinct_stations": ("satnogs_observation_history", "station_id", True),
+}
+
+
+def sketched_gauges(kept: DataFrame) -> DataFrame:
+    """The gauges of raw history from the loads' sketches."""
+    m = sketches.merged(kept, ["table"]).withColumn("distinct", sketches.estimate())
+    own = lambda table, column, distinct: F.coalesce(F.max(F.when((F.col("table") == table) & (F.col("column") == column), F.col("distinct" if distinct else "rows"))), F.lit(0))
+    return _gauges(m.agg(*[own(*which).alias(n) for n, which in SKETCHED.items()]), **{n: n for n in SKETCHED})
+
+
 def metrics(t: dict[str, DataFrame]) -> DataFrame:
-    """All gauges as (name, labels, value). Tables that are missing give no gauges; those of raw history count as empty."""
+    """All gauges as (name, labels, value). Tables that are missing give no gauges; those of raw history count as empty.
+
+    Where `distinct_sketches` are given, the gauges of raw history come from them alone, and no history is read.
+    """
     z = lambda c: F.coalesce(c, F.lit(0.0))
     parts = []
+    if "distinct_sketches" in t:
+        parts.append(sketched_gauges(t["distinct_sketches"]))
+        t = {k: v for k, v in t.items() if k not in history.SKETCHED}
     if "orbital_snapshot_history" in t:
         h = t["orbital_snapshot_history"].agg(F.countDistinct("norad_catalog_id").alias("o"), F.countDistinct("snapshot_at_utc").alias("s"))
         parts.append(_gauges(h, objects_tracked="o", orbital_snapshots="s"))

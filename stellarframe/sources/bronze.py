@@ -91,14 +91,19 @@ def found(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), kind.alias("source"), X.snapshot_of("path").alias("snapshot_at_utc"), first.alias("priority"), "length", F.col("modificationTime").alias("modified_at"))
 
 
-def opened(path: str):
-    """A file of any file system that Arrow knows, to be read in blocks; for tasks, which have no Hadoop of their own."""
+def located(path: str) -> tuple:
+    """The file system of a path, of any that Arrow knows, and the path there; for tasks, which have no Hadoop of their own."""
     from pyarrow import fs
 
     scheme, colon, rest = path.partition(":")
     if not colon:
         scheme, rest = "file", path
-    system, name = fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{'/' * (scheme == 'file')}{quote(rest.lstrip('/'))}")
+    return fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{'/' * (scheme == 'file')}{quote(rest.lstrip('/'))}")
+
+
+def opened(path: str):
+    """A file to be read in blocks."""
+    system, name = located(path)
     return system.open_input_stream(name)
 
 

@@ -8,19 +8,20 @@ at a time is assumed; `plans.pipeline.lock` sees to that.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
-import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bronze import stamp
+from .bronze import located, opened, stamp
 
 #: Parts of a table that `upsert` rewrites by themselves.
 PARTS = 64
@@ -166,13 +167,53 @@ def to_mirror(local: DataFrame, remote: DataFrame) -> DataFrame:
     return local.join(remote.select("path", "sha256"), ["path", "sha256"], "left_anti")
 
 
-def mirror(spark: SparkSession, paths: list[str], root: str, target: str) -> int:
-    """Copy files below `root` to the same place below `target`, on any Hadoop file system."""
-    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
-    for p in paths:
-        source, to = hadoop.fs.Path(p), hadoop.fs.Path(f"{target}/{os.path.relpath(p.removeprefix('file:'), root.removeprefix('file:'))}")
-        hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, to.getFileSystem(conf), to, False, True, conf)
-    return len(paths)
+MIRRORED = "path string, target string, bytes long, sha256 string, error string"
+
+
+def _copied(path: str, target: str, block: int) -> tuple[int, str]:
+    """Copy a file in blocks, under another name until it is whole; its length and digest."""
+    beside, n, digest = f"{target}.{uuid.uuid4().hex}.part", 0, hashlib.sha256()
+    system, name = located(beside)
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    try:
+        with opened(path) as source, system.open_output_stream(name) as out:
+            while data := source.read(block):
+                digest.update(data)
+                out.write(data)
+                n += len(data)
+        system.move(name, located(target)[1])
+    except BaseException:
+        with contextlib.suppress(Exception):
+            system.delete_file(name)
+        raise
+    return n, digest.hexdigest()
+
+
+def mirror(files: DataFrame, root: str, target: str, report: str, block: int = 4 << 20) -> DataFrame:
+    """Copy `files` (which have path, below `root`) to the same places below `target`, each by a task, and write what became of them.
+
+    The report, a folder that is replaced, has a row for each file: its digest and length, or the error that kept it from being copied;
+    the others are copied all the same. A copy that was done before is done again, to the same end.
+    """
+    base = root.removeprefix("file:").rstrip("/").lstrip("/") + "/"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for path in b.column("path").to_pylist():
+                below = path.removeprefix("file:").lstrip("/")
+                to = f"{target}/{below.removeprefix(base)}"
+                try:
+                    if not below.startswith(base):
+                        raise ValueError(f"not below {root}")
+                    made.append((path, to, *_copied(path, to, block), None))
+                except Exception as e:  # a row of the report
+                    made.append((path, to, None, None, f"{type(e).__name__}: {e}"))
+            types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], names=["path", "target", "bytes", "sha256", "error"])
+
+    files.select("path").distinct().mapInArrow(run, MIRRORED).write.mode("overwrite").parquet(report)
+    return files.sparkSession.read.schema(MIRRORED).parquet(report)
 
 
 def file_sha256(path: str, block: int = 1 << 20, opened: Callable = open) -> str:

@@ -379,7 +379,8 @@ def test_mirror_and_reports(spark, tmp_path):
     have = spark.createDataFrame([(str(root / "a"), sinks.file_sha256(str(root / "a")))], "path string, sha256 string")
     todo = sinks.to_mirror(have, have.limit(0))
     assert sinks.to_mirror(have, have).count() == 0
-    assert sinks.mirror(spark, [r.path for r in todo.collect()], str(root), str(tmp_path / "to")) == 1 and (tmp_path / "to/a").read_text() == "1"
+    done = sinks.mirror(todo, str(root), str(tmp_path / "to"), str(tmp_path / "report")).first()
+    assert (done.bytes, done.sha256, done.error) == (1, todo.first().sha256, None) and (tmp_path / "to/a").read_text() == "1"
     sinks.write_csv(have, str(tmp_path / "csv"), single=True)
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).columns == ["path", "sha256"]
     p = sinks.land(str(root), "celestrak", "stations", NOW, b"x")

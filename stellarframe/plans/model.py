@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import stats
+from ..session import new_folder
 from ..sources import sinks
 
 FEATURES = ("element_age_hours_at_prediction", "mean_altitude_km_at_prediction", "inclination_degrees_at_prediction", "eccentricity_at_prediction", "bstar_at_prediction", "propagation_span_hours")
@@ -44,36 +45,38 @@ def encoder(train: DataFrame) -> PipelineModel:
     return Pipeline(stages=[index, group, VectorAssembler(inputCols=[*FEATURES, "group_vector"], outputCol="features")]).fit(train)
 
 
-def cross_validated(pairs: DataFrame, **settings) -> DataFrame:
-    """Each pair with the prediction of a model, and the median, of the other objects' pairs; folds are trained side by side."""
-    rows = targets(pairs)
+def cross_validated(pairs: DataFrame, folder: str | None = None, **settings) -> DataFrame:
+    """Each pair with the prediction of a model, and the median, of the other objects' pairs; folds are trained side by side.
+
+    The pairs and each fold's predictions are written once, below `folder` (a new one unless given), and read from there. A task
+    has PARTITION_ROWS pairs, of six numbers and a group each, so that what boosting keeps of them is some MB a task.
+    """
+    spark, folder = pairs.sparkSession, folder or new_folder(pairs.sparkSession, "regression")
+    targets(pairs).write.mode("overwrite").parquet(f"{folder}/pairs")
+    rows = spark.read.parquet(f"{folder}/pairs")
     n = rows.count()
     if n < MIN_ROWS:
         raise TooFewRows(f"{n} pairs; {MIN_ROWS} are needed")
     # a round of boosting is a few short jobs: small data are kept in few partitions
-    rows = rows.coalesce(-(-n // PARTITION_ROWS)).persist()
+    rows = rows.coalesce(-(-n // PARTITION_ROWS))
 
-    def trained(fold: int) -> DataFrame | None:
-        train, test = rows.where(F.col("fold") != fold), targets(pairs).where(F.col("fold") == fold)
+    def trained(fold: int) -> str | None:
+        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
         if train.isEmpty() or test.isEmpty():
             return None
         encode = encoder(train)
         model = GBTRegressor(labelCol="target", **(SETTINGS | settings)).fit(encode.transform(train))
         median = stats.quantiles(train, [], {"baseline": ("target", 0.5)}).first()["baseline"]
         made = model.transform(encode.transform(test)).withColumn("baseline", F.lit(median))
-        return made.select("norad_catalog_id", "fold", "base_score", "km_per_hour", "target", "prediction", "baseline")
+        path = f"{folder}/predicted/part={fold}"
+        made.select("norad_catalog_id", "fold", "base_score", "km_per_hour", "target", "prediction", "baseline").write.mode("overwrite").parquet(path)
+        return path
 
-    try:
-        with ThreadPool(FOLDS) as pool:
-            # a wrapper for each: threads that share one share the properties of their jobs
-            tasks = [inheritable_thread_target(pairs.sparkSession)(partial(trained, fold)) for fold in range(FOLDS)]
-            parts = [p for p in pool.map(lambda task: task(), tasks) if p is not None]
-    finally:
-        rows.unpersist()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    with ThreadPool(FOLDS) as pool:
+        # a wrapper for each: threads that share one share the properties of their jobs
+        tasks = [inheritable_thread_target(spark)(partial(trained, fold)) for fold in range(FOLDS)]
+        parts = [p for p in pool.map(lambda task: task(), tasks) if p is not None]
+    return spark.read.parquet(*parts)
 
 
 def scores(predicted: DataFrame) -> DataFrame:
@@ -81,14 +84,13 @@ def scores(predicted: DataFrame) -> DataFrame:
     e = lambda c: F.col("target") - F.col(c)
     r = X.round_half_up
     errors = predicted.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("norad_catalog_id").alias("objects"), r(F.avg(F.abs(e("prediction"))), 4).alias("mae_log"), r(F.avg(F.abs(e("baseline"))), 4).alias("mae_log_baseline"), r(F.sqrt(F.avg(e("prediction") ** 2)), 4).alias("rmse_log"), r(F.sqrt(F.avg(e("baseline") ** 2)), 4).alias("rmse_log_baseline"), r(F.avg(F.abs(F.col("km_per_hour") - F.expm1("prediction"))), 4).alias("mae_km_per_hour"))
-    folds = [stats.spearman(predicted.where(F.col("fold") == f), "prediction", "target") for f in range(FOLDS)]
-    each = folds[0]
-    for f in folds[1:]:
-        each = each.unionByName(f)
-    mean = each.agg(r(F.avg("rho"), 4).alias("mean_fold_spearman"))
-    pooled = stats.spearman(predicted, "prediction", "target").select(r("rho", 4).alias("pooled_spearman"))
-    index = stats.spearman(predicted, "base_score", "target").select(r("rho", 4).alias("index_spearman"))
-    return errors.crossJoin(F.broadcast(pooled)).crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(index))  # one row each
+    # all correlations are ranked in one pass; a fold without two pairs has one of 0
+    series = {"pooled": ("prediction", "target", "true"), "index": ("base_score", "target", "true"), **{f"fold{k}": ("prediction", "target", f"fold = {k}") for k in range(FOLDS)}}
+    one = lambda m: F.coalesce(F.max(F.when(F.col("metric") == m, F.col("rho"))), F.lit(0.0))
+    rho = stats.spearman_many(predicted, series).agg(
+        r(one("pooled"), 4).alias("pooled_spearman"), r(sum((one(f"fold{k}") for k in range(FOLDS)), F.lit(0.0)) / FOLDS, 4).alias("mean_fold_spearman"), r(one("index"), 4).alias("index_spearman"),
+    )
+    return errors.crossJoin(F.broadcast(rho))  # one row each
 
 
 def train(pairs: DataFrame, path: str | None = None, **settings):

@@ -175,6 +175,18 @@ def radial_along_cross(position, velocity, difference):
     return tuple(np.einsum("ij,ij->i", np.asarray(difference, float), axis) for axis in (radial, along, normal))
 
 
+FRAME = T.StructType([T.StructField(c, T.DoubleType()) for c in ("radial_km", "along_track_km", "cross_track_km")])
+
+
+def _frame(position: pd.DataFrame, velocity: pd.DataFrame, difference: pd.DataFrame) -> pd.DataFrame:
+    with np.errstate(all="ignore"):
+        made = radial_along_cross(*(d.to_numpy(float, na_value=np.nan) for d in (position, velocity, difference)))
+    return pd.DataFrame(dict(zip(FRAME.fieldNames(), made, strict=True)))
+
+
+#: Structs of three numbers (position, velocity, difference) to the difference in the frame of that orbit.
+frame = F.pandas_udf(_frame, FRAME)
+
 SCHEMA = T.StructType([*[T.StructField(c, T.DoubleType()) for c in ("span_hours", "radial_km", "along_track_km", "cross_track_km", "total_km")], T.StructField("error", T.IntegerType())])
 
 

@@ -413,8 +413,11 @@ def _q(spark, d):
     return rounded(_features(Tables(spark, d)).drop("source_url"))
 
 
-@query("orbit_band_summary", f"""WITH {FEATURES} SELECT DISTINCT altitude_band, COUNT(*) OVER band AS object_count, ROUND(AVG(mean_altitude_km) OVER band, 2) AS average_altitude_km, ROUND(MIN(perigee_km) OVER band, 2) AS minimum_perigee_km, ROUND(MAX(apogee_km) OVER band, 2) AS maximum_apogee_km,
-    CAST(SUM(CAST(element_age_hours > 24 AS BIGINT)) OVER band AS BIGINT) AS stale_object_count FROM f WINDOW band AS (PARTITION BY altitude_band)""")
+_BANDS = f"""WITH {FEATURES} SELECT altitude_band, COUNT(*) AS object_count, ROUND(AVG(mean_altitude_km), 2) AS average_altitude_km, ROUND(MIN(perigee_km), 2) AS minimum_perigee_km, ROUND(MAX(apogee_km), 2) AS maximum_apogee_km,
+    COUNT(*) FILTER (WHERE element_age_hours > 24) AS stale_object_count FROM f GROUP BY altitude_band"""
+
+
+@query("orbit_band_summary", _BANDS)
 def _q(spark, d):
     return gold.orbit_band_summary(_features(Tables(spark, d)))
 
@@ -493,7 +496,23 @@ def _gate(t: Tables) -> DataFrame:
     return quality.run_checks([quality.Check(n, s, m, o, th) for (n, s, _, o, th), m in zip(_CHECKS, measures, strict=True)])
 
 
-@query("gate_report", " UNION ALL ".join(f"SELECT '{n}' AS check_name, CASE WHEN v {_SIGN[o]} {t} THEN 'pass' ELSE '{'fail' if s == 'error' else 'warn'}' END AS status, '{s}' AS severity, ROUND(v, 6) AS observed_value, '{o}' AS operator, {t}::DOUBLE AS threshold, '' AS description FROM (SELECT CAST(({q}) AS DOUBLE) AS v)" for n, s, q, o, t in _CHECKS))
+_GATE_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS check_name, CASE WHEN v {_SIGN[o]} {t} THEN 'pass' ELSE '{'fail' if s == 'error' else 'warn'}' END AS status, '{s}' AS severity, ROUND(v, 6) AS observed_value, '{o}' AS operator, {t}::DOUBLE AS threshold, '' AS description FROM (SELECT CAST(({q}) AS DOUBLE) AS v)"
+    for n, s, q, o, t in _CHECKS
+)
+
+
+@query("gate_overall", f"""WITH g AS ({_GATE_SQL}), l AS (SELECT MAX(ts) AS newest FROM events)
+SELECT ANY_VALUE(newest) AS checked_at_utc, CASE WHEN COUNT(*) FILTER (WHERE status = 'fail') > 0 THEN 'fail' WHEN COUNT(*) FILTER (WHERE status = 'warn') > 0 THEN 'warn' ELSE 'pass' END AS status,
+    COUNT(*) AS checks_total, COUNT(*) FILTER (WHERE status = 'fail') AS failures, COUNT(*) FILTER (WHERE status = 'warn') AS warnings FROM g, l""")
+def _q(spark, d):
+    """The answer of the quality route; the checks are as old as the newest event."""
+    t = Tables(spark, d)
+    at = t.events.agg(F.max("ts").alias("checked_at_utc"))
+    return quality.overall(_gate(t).crossJoin(F.broadcast(at)))  # one row
+
+
+@query("gate_report", _GATE_SQL)
 def _q(spark, d):
     return _gate(Tables(spark, d))
 
@@ -764,6 +783,68 @@ def _q(spark, d):
     return quality.gate(*_history(Tables(spark, d))).drop("description")
 
 
+#: The extracts behind the charts: SQL, the table that each reads, and how it is made.
+_EXTRACTS = {
+    "hourly_weather": (f"WITH {HOURLY} SELECT hour_utc, ROUND(average_bz_gsm, 6) AS average_bz_gsm, ROUND(average_proton_speed, 6) AS average_proton_speed, disturbance_level FROM hourly", "space_weather_hourly", _hourly),
+    "altitude_by_inclination": (f"WITH {FEATURES} SELECT ROUND(inclination_degrees, 6) AS inclination_degrees, ROUND(mean_altitude_km, 6) AS mean_altitude_km, source_group FROM f WHERE mean_altitude_km IS NOT NULL AND inclination_degrees IS NOT NULL", "orbit_features", _features),
+    "largest_changes": (f"WITH {CHANGE} SELECT object_name, norad_catalog_id, ROUND(decay_rate_km_per_day, 6) AS decay_rate_km_per_day, snapshot_at_utc FROM change WHERE decay_rate_km_per_day IS NOT NULL ORDER BY ABS(decay_rate_km_per_day) DESC, norad_catalog_id LIMIT 25", "orbit_change", lambda t: gold.orbit_change(t.orbital())),
+    "freshness": (f"WITH {CURRENT} SELECT source_group, ROUND(element_age_hours, 6) AS element_age_hours FROM fresh WHERE element_age_hours IS NOT NULL", "element_freshness", lambda t: gold.element_freshness(t.daily())),
+    "index_by_age": (f"WITH {INDEX} SELECT element_age_hours, orbit_reliability_index, reliability_class FROM idx WHERE element_age_hours IS NOT NULL AND orbit_reliability_index IS NOT NULL", "orbit_reliability_index", _index),
+    "disagreement": (f"WITH {CHANGE}, {_LABELLED} SELECT ROUND(span, 6) AS propagation_span_hours, ROUND(total, 6) AS total_km FROM ql WHERE q = 'ok'", "propagation_disagreement", _proxy),
+    "daily_indices": (f"WITH {DAILY} SELECT observation_date, kp_sum, ap_avg, f10_7_observed FROM daily", "sw_index_daily", lambda t: gold.sw_index_daily(t.indices())),
+}
+
+
+def _extract(name: str, sql: str, table: str, make: Callable[[Tables], DataFrame]) -> None:
+    query(f"chart_{name}", sql)(lambda spark, d: rounded(serve.chart_rows(name, {table: make(Tables(spark, d))})))
+
+
+for _name, _made in _EXTRACTS.items():
+    _extract(_name, *_made)
+
+
+@query("file_stamps", """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(date_trunc('second', ts) AS TIMESTAMP) END AS snapshot_at_utc FROM events""")
+def _q(spark, d):
+    """Stamps in the names of files; a name of another shape, or an impossible stamp, has none."""
+    stamp = F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")
+    name = F.when(F.col("event_id") % 14 == 0, F.concat(F.lit("/celestrak/stations_"), F.date_format("ts", "yyyyMMdd"), F.lit(".csv"))).when(F.col("event_id") % 7 == 0, "/noaa/plasma_20269931T250000Z.json")
+    path = F.coalesce(name, F.concat(F.lit("/satnogs/observations_"), stamp, F.lit(".json")))
+    return Tables(spark, d).events.select("event_id", X.naive(X.snapshot_of(path)).alias("snapshot_at_utc"))
+
+
+#: Raw fields as text, blank and wrong ones among them.
+_RAW = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN 'None' WHEN 2 THEN ' x' || event_id || ' ' ELSE CAST(user_id AS VARCHAR) END AS a, CASE event_id % 4 WHEN 0 THEN 'no time' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS b, CASE event_id % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'NO' ELSE 'yes' END AS c FROM events"""
+_TYPED = f"""SELECT event_id, NULLIF(NULLIF(TRIM(a), ''), 'None') AS object_name, TRY_CAST(TRIM(a) AS BIGINT) AS norad_catalog_id, CASE WHEN b LIKE 'no%' THEN NULL ELSE strptime(b, '%Y-%m-%dT%H:%M:%SZ') END AS start_utc, c = 'yes' AS is_active FROM ({_RAW})"""
+
+
+@query("typed_fields", _TYPED)
+def _q(spark, d):
+    """Text of payloads to values: trimmed, blanks to null, numbers and times that don't parse to null, flags by their words."""
+    e, k = Tables(spark, d).events, F.col("event_id")
+    a = F.when(k % 5 == 0, "  ").when(k % 5 == 1, "None").when(k % 5 == 2, F.concat(F.lit(" x"), k, F.lit(" "))).otherwise(F.col("user_id").cast("string"))
+    b = F.when(k % 4 == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    raw = e.select("event_id", a.alias("a"), b.alias("b"), F.when(k % 3 == 0, "false").when(k % 3 == 1, "NO").otherwise("yes").alias("c"))
+    return raw.select("event_id", X.text_or_null("a").alias("object_name"), X.number("a", "long").alias("norad_catalog_id"), X.text_or_null("b").try_cast("timestamp_ntz").alias("start_utc"), X.flag("c").alias("is_active"))
+
+
+#: Unit axes of the orbit at (x, y, z) with velocity (u, v, w), and a difference along them.
+_FRAME = """SELECT event_id, 7000.0::DOUBLE + value AS x, (event_id % 97)::DOUBLE * 3 AS y, (event_id % 89)::DOUBLE AS z, (event_id % 13)::DOUBLE / 10 AS u, 7.5::DOUBLE AS v, 1.0::DOUBLE + (event_id % 7) AS w, value / 10 AS a, value / 20 AS b, -value / 30 AS c FROM events"""
+_AXES = f"""WITH f AS ({_FRAME}), n AS (SELECT *, SQRT(x*x + y*y + z*z) AS r, y*w - z*v AS nx, z*u - x*w AS ny, x*v - y*u AS nz FROM f), m AS (SELECT *, SQRT(nx*nx + ny*ny + nz*nz) AS nn FROM n),
+q AS (SELECT *, x/r AS rx, y/r AS ry, z/r AS rz, nx/nn AS cx, ny/nn AS cy, nz/nn AS cz FROM m)
+SELECT event_id, ROUND(a*rx + b*ry + c*rz, 6) AS radial_km, ROUND(a*(cy*rz - cz*ry) + b*(cz*rx - cx*rz) + c*(cx*ry - cy*rx), 6) AS along_track_km, ROUND(a*cx + b*cy + c*cz, 6) AS cross_track_km FROM q"""
+
+
+@query("orbit_frame", _AXES)
+def _q(spark, d):
+    """Differences in the frame of an orbit, by the function that measures propagation."""
+    from ..functions import sgp4
+
+    e, k = Tables(spark, d).events, F.col("event_id")
+    value = F.col("value")
+    xyz = [F.lit(7000.0) + value, (k % 97).cast("double") * 3, (k % 89).cast("double"), (k % 13).cast("double") / 10, F.lit(7.5), F.lit(1.0) + (k % 7), value / 10, value / 20, -value / 30]
+    return rounded(e.select("event_id", *[c.cast("double").alias(n) for c, n in zip(xyz, "xyzuvwabc", strict=True)]).select("event_id", sgp4.frame(F.struct(*"xyz"), F.struct(*"uvw"), F.struct(*"abc")).alias("d")).select("event_id", "d.*"))
+
+
 @query("bz_series", f"WITH {MINUTE} SELECT epoch(observation_minute_utc) AS epoch_seconds, ROUND(bz_gsm_nanotesla, 6) AS bz_gsm_nanotesla FROM minutes WHERE bz_gsm_nanotesla IS NOT NULL")
 def _q(spark, d):
     rows = serve.chart_rows("bz_series", {"space_weather_minute": _minute(Tables(spark, d))})

@@ -71,17 +71,20 @@ def remove(spark: SparkSession, path: str) -> None:
 class Stages:
     """Tables written to the shared folder between the steps of a plan; `with` deletes them, but for those to be kept.
 
-    What is written is read again rather than recomputed: lineage is cut there, and a lost executor costs its own tasks.
+    What is written is read again rather than recomputed: lineage is cut there, and a lost executor costs its own tasks. What is
+    kept is handed to `outer`, the stages of the caller, if there are any: they delete it once its result is written too.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+    def __init__(self, spark: SparkSession, outer: Stages | None = None):
+        self.spark, self.paths, self.outer = spark, [], outer
 
     def write(self, df: DataFrame, keep: bool = False, files: int | None = None) -> DataFrame:
         """`df` as written, into `files` files at most; `keep` for what results are still read from after the block."""
         path = scratch(self.spark, "stage")
         if not keep:
             self.paths.append(path)
+        elif self.outer:
+            self.outer.paths.append(path)
         (df.coalesce(files) if files else df).write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -155,10 +155,11 @@ def _arrow(schema: T.StructType) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in schema.fields]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] | None = None, outer: Stages | None = None) -> DataFrame:
     """`docs` with n_words, n_hit (words inside any window), items (sorted ids) and hit_spans (code points).
 
     `keep` names the columns of `docs` that are wanted, all unless given; others, such as the text, are not sent back.
+    `outer` deletes what the result is read from.
     """
     spark = docs.sparkSession
     kept = {f"c{i}": c for i, c in enumerate(docs.columns if keep is None else keep) if c not in ADDED}
@@ -174,7 +175,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
         sent = spark.sparkContext.broadcast([tuple(r) for r in patterns.collect()])  # at most block_windows rows
         return opened(own.mapInArrow(lambda batches: _scanned(batches, Automaton(sent.value), types, names, "scanned"), schema))
 
-    with Stages(spark) as stages:
+    with Stages(spark, outer) as stages:
         # numbered rows: what is written keeps its numbers
         rows = stages.write(own.withColumn("row", F.monotonically_increasing_id()), keep=True)
         dealt = stages.write(patterns.withColumn("block", F.pmod(F.xxhash64("w", "item"), F.lit(blocks)).cast("int")))
@@ -196,8 +197,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     return opened(rows.join(found, "row", "left").select(*own.columns, "words", "ids").mapInArrow(finished, schema))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents without a hit, with their own columns."""
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", outer: Stages | None = None) -> DataFrame:
+    """The documents without a hit, with their own columns; `outer` deletes what the result is read from."""
     patterns = windows_of(benchmark, window, item_col, item_text_col)
     if patterns.count() <= block_windows:
         sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in patterns.collect()])  # at most block_windows rows
@@ -210,5 +211,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int =
         return docs.mapInArrow(clean, docs.schema)
     # columns named like a result step aside meanwhile
     aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in ADDED}
-    found = find_contamination(docs.withColumnsRenamed(aside), benchmark, window=window, block_windows=block_windows, text_col=aside.get(text_col, text_col), item_col=item_col, item_text_col=item_text_col)
+    found = find_contamination(docs.withColumnsRenamed(aside), benchmark, window=window, block_windows=block_windows, text_col=aside.get(text_col, text_col), item_col=item_col, item_text_col=item_text_col, outer=outer)
     return found.where("n_hit = 0").select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])

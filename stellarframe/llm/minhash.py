@@ -261,24 +261,25 @@ def _roots(nodes: DataFrame, docs: DataFrame, percent: int, block_shingles: int,
     return first.join(again, "old", "left").select(F.col("k").alias("node"), F.coalesce("new", "old").alias("root"))
 
 
-def _grouped(docs: DataFrame, percent: int, block_shingles: int, n_bands: int, band_rows: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows, and (node, least_id, root) of all nodes; nodes of one root are a component."""
+def _grouped(docs: DataFrame, percent: int, block_shingles: int, n_bands: int, band_rows: int, stages: Stages, keep: bool) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (node, least_id, root) of all nodes; nodes of one root are a component. `keep` for what is read
+    after `stages` end."""
     # what is written for each document is narrow; small tables get few files
     files = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(docs) // FILE_BYTES)))
     dealt = _sketched(docs, n_bands, band_rows).repartition(F.xxhash64("doc_id", "text_hash"))
-    meta = stages.write(dealt.withColumn("r", F.monotonically_increasing_id()), keep=True, files=files)
+    meta = stages.write(dealt.withColumn("r", F.monotonically_increasing_id()), keep=keep, files=files)
     # a node has the number of its first row; what was written keeps its numbers
     heads = meta.where("node IS NOT NULL").groupBy("node").agg(F.min("r").alias("k"), F.min("doc_id").alias("least_id"))
     nodes = stages.write(meta.select(F.col("r").alias("k"), "doc_id", "text_hash", "node", F.col("n_shingles").alias("n"), "bands").join(heads.select("k", "least_id"), "k"), files=files)
     roots = _roots(nodes, docs, percent, block_shingles, stages, files).withColumnRenamed("node", "k")
     grouped = nodes.select("k", "node", "least_id").join(roots, "k", "left").select("node", "least_id", F.coalesce("root", "k").alias("root"))
-    return meta, stages.write(grouped, keep=True, files=files)
+    return meta, stages.write(grouped, keep=keep, files=files)
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, n_bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of `docs`."""
-    with Stages(docs.sparkSession) as stages:
-        meta, grouped = _grouped(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), percent, block_shingles, n_bands, band_rows, stages)
+def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, n_bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text", outer: Stages | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of `docs`; `outer` deletes what the result is read from."""
+    with Stages(docs.sparkSession, outer) as stages:
+        meta, grouped = _grouped(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), percent, block_shingles, n_bands, band_rows, stages, True)
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component"))
     named = grouped.join(least, "root").select("node", "component")
     out = meta.select("doc_id", "n_shingles", "node").join(named, "node", "left")
@@ -286,16 +287,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shing
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, n_bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, block_shingles: int = BLOCK_SHINGLES, n_bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text", outer: Stages | None = None) -> DataFrame:
     """One row of `docs` for each component: of its smallest id, or of none if all are null, and there of one text.
 
     A row without words is its own component, so that of each id and text one is left. Ids say nothing of a text: rows that
     share an id, or have none, go or stay by their texts. Which rows stay is decided on ids and hashes of texts; the texts
-    themselves are sent once.
+    themselves are sent once. `outer` deletes what the result is read from.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    with Stages(docs.sparkSession) as stages:
-        meta, grouped = _grouped(own, percent, block_shingles, n_bands, band_rows, stages)
+    with Stages(docs.sparkSession, outer) as stages:
+        meta, grouped = _grouped(own, percent, block_shingles, n_bands, band_rows, stages, False)
         least = grouped.groupBy("root").agg(F.min("least_id").alias("component"))
         rows = meta.select("doc_id", "text_hash", "node").join(grouped.join(least, "root").select("node", "root", "component"), "node")
         first = rows.where(F.col("doc_id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("component").alias("doc_id"), F.min("text_hash").alias("text_hash"))

@@ -1,16 +1,17 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words move their score.
 
 Base kinds are email, ip, card (Luhn) and phone; they stay whatever their score. Added kinds need a score of at least
-`MIN_SCORE`: iban (its country's length, mod 97), national_id (a number that only context words make personal) and secret (a
-quoted or bare credential, with parts joined by dots, after a word such as token or password; one without a digit may be a
-plain word and needs context words). Spans are code points, the end is exclusive.
+`MIN_SCORE`: iban (its country's length, mod 97), national_id (a number that only context words make personal) and secret: the value
+after a credential's name, quoted or up to the next blank or quote; what follows `Bearer`; keys of known shapes; and blocks of
+private keys. A named value that looks like a plain word, by its kinds of characters and bits a character, needs context words.
+Spans are code points, the end is exclusive.
 
 The expressions are written so that Java's matcher needs neither deep recursion nor repeated scans: quantified groups are
 possessive, and a match may begin only where a run of its characters begins. That changes no match. Positions are summed
 up within blocks of matches and over blocks, and pieces of a text are cut from chunks of it, so that the time grows with
 the text's length and its spans, not with their product (an accumulator of `aggregate` is copied at every step).
 
-Defined cases: a null text is empty and has no span; repeated rows get equal results; extra columns pass through and one
+Defined cases: a null text is empty and has no span; an empty table gives no rows; a very long text is searched whole; repeated rows get equal results; extra columns pass through and one
 named like a result is replaced. All of it is DataFrame and SQL functions.
 """
 
@@ -33,6 +34,16 @@ IBAN_LENGTHS = {
 }
 _BY_LENGTH = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 _KNOWN_IBAN = f"(?:{_BY_LENGTH})(?![A-Za-z0-9])"
+#: A credential's name, what stands between it and its value, and the value: quoted, or up to the next blank or quote, without
+#: the punctuation at its end.
+_NAMES = r"token|secret|password|passwd|pwd|passphrase|credentials?|(?:api|access|private|account|client|auth|signing|encryption)[_-]?key"
+_NAMED = rf"(?<![A-Za-z0-9_-])(?i:[A-Za-z0-9_-]{{0,40}}?(?:{_NAMES})(?:[_-][a-z0-9]{{1,20}}){{0,3}}+)[\x22\x27]?\x20?(?:=>|:=|[=:])\x20?(?:\x22[^\x22\n]{{4,}}+\x22?|\x27[^\x27\n]{{4,}}+\x27?|(?=[^\s\x22\x27<>]{{6}})[^\s\x22\x27<>.,;:!?)]*+(?:[.,;:!?)]++[^\s\x22\x27<>.,;:!?)]++)*+)"
+_BEARER = r"(?<![A-Za-z0-9_-])(?i:authorization[\x22\x27]?\x20?[=:]\x20?[\x22\x27]?(?:bearer|basic|token)|bearer)\x20[A-Za-z0-9._~+/=-]{8,}+"
+#: Keys that tell themselves: prefixes that services give theirs, fixed values, and three dotted parts of a signed token.
+SHAPES = ("(?:AKIA|ASIA|AIDA|AROA)[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{36,}+", "github_pat_[A-Za-z0-9_]{22,}+", "glpat-[A-Za-z0-9_-]{20,}+", "xox[abposr]-[A-Za-z0-9-]{10,}+", "AIza[0-9A-Za-z_-]{35}", "[rs]k_(?:live|test)_[0-9A-Za-z]{16,}+", "npm_[A-Za-z0-9]{36}", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+_SHAPES = rf"(?<![A-Za-z0-9_-])(?:{'|'.join(SHAPES)})(?![A-Za-z0-9_])"
+#: A block of a private key; one that is cut off ends where its lines do.
+_KEY_BLOCK = r"-----BEGIN\x20(?:(?!PRIVATE)[A-Z0-9]++\x20)*+PRIVATE\x20KEY-----(?:[A-Za-z0-9+/=,:\s]++|-(?!----))*+(?:-----END\x20[A-Z0-9\x20]{0,40}+-----)?+"
 #: What proposes a span of each kind. An IBAN has its country's length; where none fits, all that may follow is proposed.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -41,14 +52,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?:{_KNOWN_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_KNOWN_IBAN}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9_+/=~-]{16,}+(?:\.[A-Za-z0-9_+/=~-]{4,}+)*+\x22?",
+    "secret": rf"(?:{_NAMED}|{_BEARER}|{_SHAPES}|{_KEY_BLOCK})",
 }
 #: A character or string without which a kind cannot occur, and is not looked for.
-NEEDS = {"email": "text LIKE '%@%'", "ip": "text RLIKE '[0-9]'", "card": "text RLIKE '[0-9]'", "phone": "text LIKE '%+%'", "iban": "text RLIKE '[A-Z]{2}[0-9]{2}'", "national_id": "text RLIKE '[0-9]-[0-9]{2}-[0-9]'", "secret": "text RLIKE '[=:]'"}
+NEEDS = {"email": "text LIKE '%@%'", "ip": "text RLIKE '[0-9]'", "card": "text RLIKE '[0-9]'", "phone": "text LIKE '%+%'", "iban": "text RLIKE '[A-Z]{2}[0-9]{2}'", "national_id": "text RLIKE '[0-9]-[0-9]{2}-[0-9]'", "secret": "text RLIKE '(?i)token|secret|passw|pwd|passphrase|credential|key|bearer|authorization|AKIA|ASIA|AIDA|AROA|gh[pousr]_|github_pat_|glpat-|xox[a-z]-|AIza|k_live_|k_test_|npm_|eyJ'"}
 #: Score of a proposed span, and what a nearby word of the kind adds.
 SCORES = {"email": (0.9, 0.1), "ip": (0.7, 0.2), "card": (0.8, 0.2), "phone": (0.6, 0.3), "iban": (0.8, 0.2), "national_id": (0.3, 0.5), "secret": (0.7, 0.2)}
-#: A secret without a digit scores less.
-PLAIN_SECRET = 0.35
+#: A named value that may be a plain word scores less. It is none if it has a digit and LONG_SECRET characters; two classes of
+#: characters (a capital at its beginning is none) and SOME_BITS a character; or RICH_BITS a character at LONG_PLAIN characters.
+PLAIN_SECRET, LONG_SECRET, LONG_PLAIN, SOME_BITS, RICH_BITS = 0.35, 16, 20, 2.5, 3.5
 CONTEXT = {
     "email": "mail|contact|write", "ip": "ip|host|server|address|login", "card": "card|visa|credit|payment|pay", "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account|transfer", "national_id": "ssn|social|security|identity|passport", "secret": "key|auth|login|access|credential",
@@ -137,13 +149,29 @@ def _confirmed(kind: str) -> str:
     return "true"
 
 
+def _entropy(text: str) -> str:
+    """SQL: bits a character of the first 256 characters."""
+    chars = f"split(substring({text}, 1, 256), '')"
+    share = "(cast(size(filter(cs, c -> c = d)) AS double) / size(cs))"
+    return f"element_at(transform(array({chars}), cs -> aggregate(array_distinct(cs), 0D, (s, d) -> s - {share} * log2({share}))), 1)"
+
+
+def _secret_score(at: float) -> str:
+    """SQL: the score of a credential by its shape, or by its value."""
+    value = r"regexp_replace(x.m, r'^[^=:]*+[=:]>?[=]?\x20?[\x22\x27]?|[\x22\x27]$', '')"
+    classes = " + ".join(f"cast(v RLIKE {_java(p)} AS int)" for p in ("[a-z]", "[^\\s][A-Z]", "[0-9]", "[^A-Za-z0-9\\s.,;:!?'-]"))
+    strong = f"(v RLIKE '[0-9]' AND length(v) >= {LONG_SECRET}) OR ({classes} >= 2 AND {_entropy('v')} >= {SOME_BITS}) OR (length(v) >= {LONG_PLAIN} AND NOT v RLIKE r'\\s' AND {_entropy('v')} >= {RICH_BITS})"
+    known = "x.m RLIKE " + _java(f"^(?:{'|'.join(SHAPES)}|-----BEGIN|(?i:authorization))")
+    return f"if({known}, 0.9D, element_at(transform(array({value}), v -> if({strong}, {at}D, {PLAIN_SECRET}D)), 1))"
+
+
 def _scored(kind: str) -> str:
     """SQL: array of (start, rank, end, kind, score) of the confirmed spans."""
     at, more = SCORES[kind]
     before = _piece(f"greatest(x.start - {CONTEXT_CHARS}, 0)", "x.start")
     after = _piece("x.end", f"least(x.end + {CONTEXT_CHARS}, n_points)")
     near = f"lower(concat({before}, ' ', {after}))"
-    given = f"if(x.m RLIKE '[=:].*[0-9]', {at}D, {PLAIN_SECRET}D)" if kind == "secret" else f"{at}D"
+    given = _secret_score(at) if kind == "secret" else f"{at}D"
     score = f"{given} + if({near} RLIKE '(?<![a-z])({CONTEXT[kind]})', {more}D, 0D)"
     made = f"transform(filter({_candidates(kind)}, x -> {_confirmed(kind)}), x -> struct(x.start AS start, {KINDS.index(kind)} AS rank, x.end AS end, '{kind}' AS kind, {score} AS score))"
     return made if kind in BASE else f"filter({made}, x -> x.score >= {MIN_SCORE})"

@@ -25,17 +25,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, stages: common.Stages | None = None) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id. Nodes are texts, so rows of one id or none
     are told apart by their texts."""
     common.small_batches(spark)
-    return minhash.drop_near_duplicates(docs.select(*COLUMNS), percent=DEDUP_PERCENT, n_bands=DEDUP_BANDS, band_rows=DEDUP_BAND_ROWS)
+    return minhash.drop_near_duplicates(docs.select(*COLUMNS), percent=DEDUP_PERCENT, n_bands=DEDUP_BANDS, band_rows=DEDUP_BAND_ROWS, outer=stages)
 
 
-def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, stages: common.Stages | None = None) -> DataFrame:
     """Documents without a passage of the benchmark."""
     common.small_batches(spark)
-    return decontaminate.remove_contaminated(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark"))
+    return decontaminate.remove_contaminated(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark"), outer=stages)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
     with common.Stages(spark) as stages:
         for k, (_, stage) in enumerate(STAGES[:-1]):
-            docs = stages.write(stage(spark, docs, sf_dir), keep=k == len(STAGES) - 2)
+            given = {"stages": stages} if stage in (dedup_stage, decontaminate_stage) else {}
+            docs = stages.write(stage(spark, docs, sf_dir, **given), keep=k == len(STAGES) - 2)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,9 +5,10 @@ and b the coefficient 2 * shared / (a + b) can reach t only if t / (2 - t) <= a
 reaches it shares t / (2 - t) of the template's set, which most texts don't hold. A window begins and ends with a bigram of
 its template, since others lower the score; it has at most (2 - t) / t times the template's words. Of windows that overlap
 the one with most shared bigrams, times the score, goes first, so that a text is found before its part in another licence.
-A window that has all words of its first or last line includes that line's edge.
+A window that has all words of its first or last line includes that line's edge. Short templates of a family, which differ in a
+version or a condition alone, need their own marks in the window and no other's.
 
-Defined cases: a null or empty text has no match; one word has no bigram and no match; equals go to the template that
+Defined cases: a null or empty text has no match; a very long text is scanned whole; one word has no bigram and no match; equals go to the template that
 comes first; repeated rows get equal results; extra columns pass through, and one named like a result is
 replaced; an empty table gives no rows.
 """
@@ -57,6 +58,42 @@ _UNLICENSE_REST = "In jurisdictions that recognize copyright laws, the author or
 #: Texts whose publishers give them as a grant and what follows it; as one they are templates too.
 _REST = {("MIT", "Permission"): _MIT_WARRANTY, ("BSD-3-Clause", "Redistribution"): _BSD_WARRANTY, ("BSD-2-Clause", "Redistribution"): _BSD_WARRANTY, ("ISC", "Permission"): _ISC_WARRANTY, ("Unlicense", "This"): _UNLICENSE_REST}
 TEMPLATES += [(n, f"{x} {_REST[n, x.split(' ')[0]]}") for n, x in TEMPLATES if (n, x.split(" ")[0]) in _REST]
+#: The GNU licences' names with their versions, the Creative Commons licences' conditions; fixed values of their publishers.
+GNU = {"GPL": ("General", ("1", "2", "3")), "LGPL": ("Lesser General", ("2.1", "3")), "AGPL": ("Affero General", ("3",))}
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_ID = lambda family, v: f"{family}-{v}" + ".0" * ("." not in v)
+_NOTICE = "{0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+_ONLY = "{0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} Public License version {2} as published by the Free Software Foundation."
+_ROWS = [(_ID(f, v), name, v, "This library" if f == "LGPL" else "This program") for f, (name, versions) in GNU.items() for v in versions] + [("LGPL-2.0", "Library General", "2", "This library")]
+TEMPLATES += [(n, form.format(what, name, v)) for n, name, v, what in _ROWS for form in (_NOTICE, _ONLY)]
+TEMPLATES += [(n, f"This work is licensed under the GNU {name} Public License, version {v}.") for n, name, v, _ in _ROWS]
+TEMPLATES += [("GPL-1.0", _NOTICE.format("This program", "General", "1").replace(" of the License, or", ", or"))]
+TEMPLATES += [(f"CC-{c}-{v}.0", f"This work is licensed under a Creative Commons {name} {v}.0 {scope} License.") for c, name in CC.items() for v, scope in (("4", "International"), ("3", "Unported"))]
+TEMPLATES += [(f"CC-{c}-{v}.0", f"Licensed under CC {c} {v}.0.") for c in CC for v in "34"]
+#: The titles of full texts, some of their first sentences, and other notices.
+TEMPLATES += [
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"), ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"), ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("MPL-2.0", "Mozilla Public License Version 2.0"), ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("GFDL-1.1", "GNU Free Documentation License Version 1.1, March 2000"), ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"), ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    *[(f"GFDL-1.{v}", f"Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.{v} or any later version published by the Free Software Foundation") for v in "123"],
+    ("CC0-1.0", "CC0 1.0 Universal"), ("CC0-1.0", "A Work made available under CC0 may be protected by copyright and related or neighboring rights"), ("EPL-1.0", "Eclipse Public License - v 1.0"), ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/"),
+    ("Artistic-1.0", "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications."),
+]
+#: Tags of source files, made of the names above and of how the GNU licences go on.
+_NAMES = list(dict.fromkeys(n for n, _ in TEMPLATES if n != "Proprietary"))
+TEMPLATES += [(n, f"SPDX-License-Identifier: {n}{more}") for n in _NAMES for more in (("", "-only", "-or-later") if "GPL" in n else ("",))]
+#: Only beside no other licence does this one say anything: copyright lines of all kinds of licences end with it.
+WEAK = "Proprietary"
+#: Words and pairs that tell the licences of a family apart: a window has all of its template's and none of another's. Numbers do
+#: so too, as versions; a year must be there too. Texts of more than MARKED words speak for themselves.
+MARKED = 80
+QUALIFIERS = {"apache", "bsd", "eclipse", "isc", "mit", "mozilla", "noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd"}
+QUALIFYING = {("lesser", "general"), ("library", "general"), ("affero", "general"), ("free", "documentation")}
+_VERSION = re.compile("v?([1-9][0-9]?)|((?:19|20)[0-9]{2})")
 _WORD = re.compile(r"[^\W_]+")
 _ADDED = {"licenses": T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))}
 
@@ -65,6 +102,12 @@ def bigrams(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:], strict=False))
 
 
+def marks(words: list[str]) -> tuple[set, set]:
+    """The versions, and the words and pairs, that tell a licence from others of its family."""
+    versions = {m[1] or m[2] for w in words if (m := _VERSION.fullmatch(w))}
+    return versions, (QUALIFIERS & set(words)) | (QUALIFYING & bigrams(words))
+
+
 class Templates:
     """Templates with their sets, and for each bigram those that hold it."""
 
@@ -81,9 +124,21 @@ class Templates:
         self.ratio = (2 - threshold) / threshold + 1e-9
         #: Bigrams that a window must share with each template, whatever its size.
         self.need = [math.ceil(len(x) / self.ratio - 1e-6) for x in self.sets]
+        self.marks = [marks(w) if len(w) <= MARKED else None for w in words]
+        families: dict[str, set] = {}
+        for name, own in zip(self.names, self.marks, strict=True):
+            families.setdefault(name.split("-")[0], set()).update(v for v in (own[0] if own else ()) if len(v) < 3)
+        self.versions = [families[n.split("-")[0]] for n in self.names]
         self.least = min(map(len, self.sets)) / self.ratio
         self.most = max(map(len, self.sets)) * self.ratio
 
+    def fits(self, i: int, words: list[str]) -> bool:
+        """Whether a window's words have the marks of template i, and none of another of its family."""
+        if not self.marks[i]:
+            return True
+        versions, others = marks(words)
+        return self.marks[i][0] <= versions and not (versions & self.versions[i]) - self.marks[i][0] and others == self.marks[i][1]
+
     def best(self, block: set) -> tuple[float, int] | None:
         """The best template of a block that reaches the threshold; the size bounds prune the rest."""
         size = len(block)
@@ -98,7 +153,7 @@ class Templates:
         return (top[0], -top[1]) if top[0] >= self.threshold else None
 
 
-def _windows(pairs: list, t: Templates, i: int) -> list[tuple[int, float, int, int]]:
+def _windows(words: list, pairs: list, t: Templates, i: int) -> list[tuple[int, float, int, int]]:
     """(shared, score, first pair, last pair) of the best window from each place that begins one for template i."""
     own, size = t.sets[i], len(t.sets[i])
     places = [k for k, b in enumerate(pairs) if b in own]
@@ -121,7 +176,7 @@ def _windows(pairs: list, t: Templates, i: int) -> list[tuple[int, float, int, i
             if b in own:
                 shared += 1
                 score = 2 * shared / (len(seen) + size)
-                if score >= t.threshold and (not best or score > best[1]):
+                if score >= t.threshold and (not best or score > best[1]) and t.fits(i, words[begin : at + 2]):
                     best = (shared, score, begin, at)
         if best:
             out.append(best)
@@ -139,7 +194,9 @@ def scan(text: str | None, t: Templates) -> list[tuple[str, float, int, int]]:
     for b in t.of.keys() & set(pairs):
         for i in t.of[b]:
             shared[i] = shared.get(i, 0) + 1
-    found = [(-n * score, i, a, b, score) for i, m in shared.items() if m >= t.need[i] for n, score, a, b in _windows(pairs, t, i)]
+    found = [(-n * score, i, a, b, score) for i, m in shared.items() if m >= t.need[i] for n, score, a, b in _windows(words, pairs, t, i)]
+    if any(t.names[i] != WEAK for _, i, *_ in found):
+        found = [x for x in found if t.names[x[1]] != WEAK]
     if not found:
         return []
     ends, out = [], []

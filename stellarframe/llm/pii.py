@@ -20,6 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def _java(pattern: str) -> str:
+    return "r'" + pattern.replace("'", r"\x27") + "'"
+
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "national_id", "secret")
 MIN_SCORE = 0.5
@@ -54,8 +58,11 @@ PATTERNS = {
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": rf"(?:{_NAMED}|{_BEARER}|{_SHAPES}|{_KEY_BLOCK})",
 }
+_SECRET_NEEDS = (
+    r"(?i:token|secret|passw|pwd|passphrase|credential|key)[A-Za-z0-9_-]*+[\x22\x27]?\x20?[=:]|(?i:bearer\x20|authorization)|AKIA|ASIA|AIDA|AROA|gh[pousr]_|github_pat_|glpat-|xox[abposr]-|AIza|k_live_|k_test_|npm_|eyJ|PRIVATE\x20KEY"
+)
 #: A character or string without which a kind cannot occur, and is not looked for.
-NEEDS = {"email": "text LIKE '%@%'", "ip": "text RLIKE '[0-9]'", "card": "text RLIKE '[0-9]'", "phone": "text LIKE '%+%'", "iban": "text RLIKE '[A-Z]{2}[0-9]{2}'", "national_id": "text RLIKE '[0-9]-[0-9]{2}-[0-9]'", "secret": "text RLIKE '(?i)token|secret|passw|pwd|passphrase|credential|key|bearer|authorization|AKIA|ASIA|AIDA|AROA|gh[pousr]_|github_pat_|glpat-|xox[a-z]-|AIza|k_live_|k_test_|npm_|eyJ'"}
+NEEDS = {"email": "text LIKE '%@%'", "ip": "text RLIKE '[0-9]'", "card": "text RLIKE '[0-9]'", "phone": "text LIKE '%+%'", "iban": "text RLIKE '[A-Z]{2}[0-9]{2}'", "national_id": "text RLIKE '[0-9]-[0-9]{2}-[0-9]'", "secret": "text RLIKE " + _java(_SECRET_NEEDS)}
 #: Score of a proposed span, and what a nearby word of the kind adds.
 SCORES = {"email": (0.9, 0.1), "ip": (0.7, 0.2), "card": (0.8, 0.2), "phone": (0.6, 0.3), "iban": (0.8, 0.2), "national_id": (0.3, 0.5), "secret": (0.7, 0.2)}
 #: A named value that may be a plain word scores less. It is none if it has a digit and LONG_SECRET characters; two classes of
@@ -73,10 +80,6 @@ def _kept(sql: str) -> Column:
     return F.expr(f"if(monotonically_increasing_id() >= 0, {sql}, NULL)")
 
 
-def _java(pattern: str) -> str:
-    return "r'" + pattern.replace("'", r"\x27") + "'"
-
-
 def _gaps(kind: str) -> str:
     """SQL: array of (gap, m), what lies before each match and the match; the last gap has none."""
     p = _java(PATTERNS[kind])

@@ -150,13 +150,13 @@ def test_op4(spark, tables):
     texts = [None, "", "plain text", "Some words.\nReleased under the MIT License.\nOther words.", f"Title\n{wrapped}\nint main() {{}}", "released  UNDER the mit license", "All rights reserved.\nLicensed under CC BY-NC 4.0."]
     got = {r["doc_id"]: r for r in queries.op4_licenses(spark, tables(documents=[doc(i, t) for i, t in enumerate(texts)])).collect()}
     names = [sorted(x.rsplit(":", 2)[0] for x in got[i]["spans"].split(",") if x) for i in range(len(texts))]
-    assert names == [[], [], [], ["MIT"], ["MIT"], ["MIT"], ["CC-BY-NC-4.0", "Proprietary"]]
+    assert names == [[], [], [], ["MIT"], ["MIT"], ["MIT"], ["CC-BY-NC-4.0"]]
     assert queries.op4_licenses(spark, tables(documents=AWKWARD)).count() == len(AWKWARD)
 
 
 def test_licenses_within_lines():
     t = licenses.Templates(licenses.TEMPLATES, 0.8)
-    full = {n: x for n, x in licenses.TEMPLATES}  # the last of each name is its longest
+    full = {n: x for n, x in sorted(licenses.TEMPLATES, key=lambda x: len(x[1]))}  # the longest of each name
     names = lambda text: [m[0] for m in licenses.scan(text, t)]
     line = "This project is released under the MIT License. See LICENSE for details."
     ((name, score, start, end),) = licenses.scan(line, t)
@@ -199,9 +199,14 @@ def test_op4_scan_against_all_windows():
         for a in range(len(pairs)):
             for b in range(a, len(pairs)):
                 own = set(pairs[a : b + 1])
-                score = max(2 * len(own & x) / (len(own) + len(x)) for x in t.sets)
-                if score >= 0.8:
-                    fits[a, b + 1] = score
+                for i, x in enumerate(t.sets):
+                    score = 2 * len(own & x) / (len(own) + len(x))
+                    if score >= 0.8 and pairs[a] in x and pairs[b] in x and t.fits(i, low[a : b + 2]):
+                        weak = t.names[i] == licenses.WEAK
+                        fits[weak, a, b + 1] = max(score, fits.get((weak, a, b + 1), 0))
+        if any(not k[0] for k in fits):  # the weak one says nothing beside others
+            fits = {k: s for k, s in fits.items() if not k[0]}
+        fits = {k[1:]: s for k, s in fits.items()}
         spans = [m.span() for m in licenses._WORD.finditer(text.lower())]
         got = [(next(i for i, s in enumerate(spans) if s[1] > start), next(i for i in reversed(range(len(spans))) if spans[i][0] < end), score) for _, score, start, end in licenses.scan(text, t)]
         assert bool(got) == bool(fits)
@@ -213,6 +218,34 @@ def test_op4_scan_against_all_windows():
                 assert any(a <= y and x <= b for a, b, _ in got)
 
 
+def test_op4_names():
+    """Every template is its own licence and no other; versions and conditions tell those of a family apart."""
+    t = licenses.Templates(licenses.TEMPLATES, 0.8)
+    names = lambda text: [m[0] for m in licenses.scan(text, t)]
+    for name, text in licenses.TEMPLATES:
+        assert set(names(f"Some words before it. {text} And some after.")) == {name}, text
+    bsd = next(x for n, x in licenses.TEMPLATES if n == "BSD-3-Clause" and x.startswith("Redis"))
+    given = {
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"], "This work is licensed under the GNU General Public License, version 7.": [], "Copyright 2020. All rights reserved.": ["Proprietary"],
+        f"Copyright (c) 1990 The Regents. All rights reserved.\n{bsd}": ["BSD-3-Clause"], "means either the GNU General Public License, Version 2.0, or the GNU Lesser General Public License, Version 2.1": [], "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;": ["GPL-2.0"],
+        "/* SPDX-License-Identifier: LGPL-2.1-only */": ["LGPL-2.1"], "SPDX-License-Identifier: EPL-2.0": ["EPL-2.0"],
+    }
+    assert {x: names(x) for x in given} == given
+
+
+def test_op4_texts_of_a_system():
+    """The licence texts that many systems have; skipped where there are none."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts here")
+    named = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    t = licenses.Templates(licenses.TEMPLATES, 0.8)
+    got = {n: {m[0] for m in licenses.scan((folder / n).read_text(errors="replace"), t)} for n in named if (folder / n).is_file()}
+    assert got == {n: {named[n]} for n in got}
+
+
 def test_op4_notices_with_more_words_up_to_the_bound():
     t = licenses.Templates(licenses.TEMPLATES, 0.8)
     bsd = next(x for n, x in licenses.TEMPLATES if n == "BSD-3-Clause" and x.startswith("Redis")).split()

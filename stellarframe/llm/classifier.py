@@ -12,7 +12,8 @@ never come to the driver, only the bucket vectors (4 MB) and the pooled rows of
 Defined cases: null and empty texts pool to zeros and get a score; a null label, or one that is neither 0 nor 1, is not
 learned from, nor is an id with both labels; labels repeated alike count once, and so do repeated ids (their smallest text);
 with no label, or one class alone, the score is that class's share (0.5 without labels); repeated rows get equal scores;
-extra columns are ignored; an empty table gives no rows.
+tokens of one hash share a vector; a very long text is pooled whole, in steps; extra columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ ever holds more than a block, however large the benchmark is.
 
 Defined cases: a null or wordless text has no words and no hit; a null or wordless item has no window; a null item id
 is skipped; repeated items share their windows and each id counts once; item ids may be of any type that has an order; an
-empty benchmark leaves every text clean; extra columns pass through, and a clashing one is replaced.
+empty benchmark leaves every text clean; a very long text is scanned whole; repeated rows get equal results; an empty table gives
+no rows; extra columns pass through, and a clashing one is replaced.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ no pair between two components goes unseen, and no pairs of a group are listed.
 
 Defined cases: texts that are null or have no words link with nothing and are their own component; a null doc_id gets its
 component's smallest id, or null; equal ids with different texts are different nodes under one id; repeated rows get equal
-results; other columns are not read; an empty table gives no rows.
+results; a very long text is sketched and compared whole; of members that share equally many buckets the one of the highest number
+is the centre, which changes no component; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ are compared with the reference of its language; a text of unknown or null langu
 and the nearest counts. The distance (base 2, 0 to 1) is judged only above a minimum length, since short texts have
 noisy histograms.
 
-Defined cases: a null or blank text has no words and fails the base rule; repeated rows are judged alike; extra columns
-pass through, and a column named like a result is replaced.
+Defined cases: a null or blank text has no words and fails the base rule; a very long text is counted whole; of references that
+are equally near the distance is the same; repeated rows are judged alike; extra columns pass through, and a column named like a
+result is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations

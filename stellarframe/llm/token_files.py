@@ -10,7 +10,7 @@ dictionary encoded, the counters delta encoded; row groups and pages are small e
 reader skip to chosen documents, and a reader of metadata alone never touches the ids.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id sorts first; repeated rows are written as often
-as they come; an empty table gives files without rows; extra columns are left out unless named in `keep`.
+as they come; a very long text is encoded whole, as a row of its own; an empty table gives files without rows; extra columns are left out unless named in `keep`.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Every token belongs to one of `buckets` by its hash, and every bucket has a sparse random index vector. A token's word vector
 is the sum of the index vectors of its neighbours, over all documents of the table: tasks add up their own documents, and
-these sums of fixed size are added up by a second step. A document pools its vectors once over tokens and once over distinct
+these sums of fixed size are added up by a second step. What tells tokens of one bucket apart is the index vector of a second hash,
+which is added: two tokens share both with a chance of 1 to `buckets` squared. A document pools its vectors once over tokens and once over distinct
 tokens, beside its length and its shares of distinct tokens and pairs. A network of one hidden layer, trained with numpy,
 gives a logit; a temperature fitted on held-back training rows and the prior of all training labels turn it into a probability.
 
@@ -12,7 +13,7 @@ never come to the driver, only the bucket vectors (4 MB) and the pooled rows of
 Defined cases: null and empty texts pool to zeros and get a score; a null label, or one that is neither 0 nor 1, is not
 learned from, nor is an id with both labels; labels repeated alike count once, and so do repeated ids (their smallest text);
 with no label, or one class alone, the score is that class's share (0.5 without labels); repeated rows get equal scores;
-tokens of one hash share a vector; a very long text is pooled whole, in steps; extra columns are ignored; an empty table gives no
+tokens equal in both hashes share a vector; a very long text is pooled whole, in steps; extra columns are ignored; an empty table gives no
 rows.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from pyspark.sql import types as T
 DIM = 64
 NONZERO = 8
 NEIGHBOURS = 2
+#: Length of what is a token's own, beside its bucket's vector of length 1.
+MARK = 0.25
 BUCKETS = 1 << 14
 #: Buckets whose sums travel as one row; tokens whose contexts are added up at a time.
 CHUNK = 512
@@ -48,20 +52,26 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 class Buckets(dict):
-    """Token to its bucket, kept for those seen of late."""
+    """Token to its number, its bucket plus `n` times its mark, kept for those seen of late. The mark is a second hash, so that tokens
+    of one bucket differ."""
 
     def __init__(self, n: int):
         super().__init__()
         self.n = n
 
     def __missing__(self, token: str) -> int:
-        i = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) % self.n
+        h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+        i = (h >> 32) % self.n * self.n + h % self.n
         if len(token) <= 48:
             self[token] = i
         return i
 
     def ids(self, text: str | None) -> np.ndarray:
         """The buckets of a text's tokens, in order."""
+        return self.words(text) % self.n
+
+    def words(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's tokens, in order."""
         if len(self) > _CACHE_TOKENS:
             self.clear()
         return np.array(list(map(self.__getitem__, _TOKEN.findall(text or ""))), np.int64)
@@ -76,6 +86,12 @@ def index_vectors(n: int) -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def mark_vectors(n: int) -> np.ndarray:
+    """The index vectors, of length MARK: what tells a token from others of its bucket."""
+    return index_vectors(n)[:n] * np.float32(MARK / NONZERO**0.5)
+
+
 def add_contexts(rows: list[np.ndarray], index: np.ndarray, into: np.ndarray) -> None:
     """Add to each bucket's row of `into` the index vectors of its tokens' neighbours within their documents."""
     gap = np.full(NEIGHBOURS, len(index) - 1, np.int64)
@@ -121,16 +137,16 @@ def word_vectors(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The features of one document."""
+def pooled(words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The features of one document, from its tokens' numbers; a token has the vector of its bucket and that of its mark."""
     out = np.zeros(2 * DIM + 3, np.float32)
-    n = len(ids)
+    n, size = len(words), len(vectors)
     if n:
-        kinds, counts = np.unique(ids, return_counts=True)
-        own = vectors[kinds]
+        kinds, counts = np.unique(words, return_counts=True)
+        own = vectors[kinds % size] + mark_vectors(size)[kinds // size]
         out[:DIM] = counts @ own / n
         out[DIM : 2 * DIM] = own.mean(axis=0)
-        pairs = len(np.unique(ids[1:] * len(vectors) + ids[:-1])) if n > 1 else 1
+        pairs = len(np.unique(words[1:] * size**2 + words[:-1])) if n > 1 else 1
         out[2 * DIM :] = np.log1p(n), len(kinds) / n, pairs / max(1, n - 1)
     return out
 
@@ -181,7 +197,7 @@ class Model:
     def scores(self, texts: pa.Array, known: Buckets) -> np.ndarray:
         if self.network is None:
             return np.full(len(texts), self.prior)
-        x = np.stack([pooled(known.ids(t.as_py()), self.vectors) for t in texts])
+        x = np.stack([pooled(known.words(t.as_py()), self.vectors) for t in texts])
         return 1 / (1 + np.exp(-np.clip(self.network.logits(x) / self.t + self.shift, -30, 30)))
 
 
@@ -209,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, buckets
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Buckets(buckets)
         for b in batches:
-            rows = [pooled(known.ids(t.as_py()), sent.value).tobytes() for t in b.column("text")]
+            rows = [pooled(known.words(t.as_py()), sent.value).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(rows, pa.binary())], names=["h", "y", "x"])
 
     rows = sorted((h, y, bytes(x)) for h, y, x in sample.select("h", "y", "text").mapInArrow(features, "h long, y int, x binary").collect())  # at most 2 * fit_rows rows

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -116,11 +117,39 @@ def test_op1_vectors_against_brute_force(spark):
 
 def test_op1_pools_over_tokens_and_kinds():
     vectors = np.random.default_rng(2).normal(size=(5, classifier.DIM)).astype(np.float32)
-    ids = np.array([1, 3, 3, 3, 0, 1, 3])
+    marks = classifier.mark_vectors(5)
+    ids = np.array([1, 3, 3, 3, 0, 1, 3]) + 5 * np.array([4, 0, 0, 2, 1, 4, 0])  # two words are of bucket 3
+    own = np.array([vectors[i % 5] + marks[i // 5] for i in ids])
     x = classifier.pooled(ids, vectors)
-    assert np.allclose(x[:64], vectors[ids].mean(axis=0), atol=1e-6) and np.allclose(x[64:128], vectors[[0, 1, 3]].mean(axis=0), atol=1e-6)
+    assert np.allclose(np.linalg.norm(marks, axis=1), classifier.MARK) and np.allclose(x[:64], own.mean(axis=0), atol=1e-6) and np.allclose(x[64:128], own[[0, 1, 3, 4]].mean(axis=0), atol=1e-6)
     pairs = {(a, b) for a, b in zip(ids, ids[1:], strict=False)}
-    assert np.allclose(x[128:], [np.log1p(7), 3 / 7, len(pairs) / 6]) and not classifier.pooled(ids[:0], vectors).any()
+    assert np.allclose(x[128:], [np.log1p(7), 4 / 7, len(pairs) / 6]) and not classifier.pooled(ids[:0], vectors).any()
+
+
+def test_op1_scores_against_brute_force(spark):
+    """Every score once more from the texts, token by token, with the model's numbers alone."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words[:250] if i % 2 else words[150:], 20 + i % 37)) for i in range(240)] + [None, "", "w1 w1", "other"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    m = classifier.fit(docs, labels, buckets=64)
+    got = {r.doc_id: r for r in classifier.score(docs, m).collect()}
+    marks = classifier.mark_vectors(64)
+    for i, t in enumerate(texts):
+        numbers = [(h % 64, (h >> 32) % 64) for h in (xxhash.xxh3_64_intdigest(w.encode()) for w in (t or "").replace("w", " w ").split())]
+        x = np.zeros(131)
+        if numbers:
+            vector = {k: m.vectors[k[0]].astype(float) + marks[k[1]] for k in set(numbers)}
+            x[:64] = sum(vector[k] for k in numbers) / len(numbers)
+            x[64:128] = sum(vector.values()) / len(vector)
+            x[128:] = np.log1p(len(numbers)), len(vector) / len(numbers), len(set(zip(numbers, numbers[1:], strict=False))) / max(1, len(numbers) - 1) if len(numbers) > 1 else 1
+        z = np.clip((x - m.network.mean) / m.network.scale, -6, 6)
+        logit = np.tanh(z @ m.network.p[0] + m.network.p[1]) @ m.network.p[2] + m.network.p[3][0]
+        want = 1 / (1 + np.exp(-np.clip(logit / m.t + m.shift, -30, 30)))
+        assert abs(got[i].score - want) < 1e-4 and got[i].predicted == (got[i].score >= 0.5)
+    held = [r for i, r in got.items() if r.held_out and i < 240]
+    assert len(held) > 40 and sum(r.predicted == r.doc_id % 2 for r in held) > 0.9 * len(held)
 
 
 def test_temperature():

@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history, quality
 from ..sources import bronze, ingest, sinks
-from . import gold, measure
+from . import gold, measure, model, serve
 
 STEP_TIMEOUT_S = 300
 STALE_LOCK_S = 2 * STEP_TIMEOUT_S + 300
@@ -215,8 +216,62 @@ def ingest_steps(spark: SparkSession, get: ingest.Get, bronze_root: str, silver_
     return [("ingest_elements", elements), ("ingest_solar_wind", solar_wind), ("ingest_indices", indices), ("ingest_observations", observations)]
 
 
-def run(spark: SparkSession, bronze_root: str, root: str, lock_path: str, log: str, silver_root: str | None = None, *, get: ingest.Get | None = None, at: datetime | None = None, wait: Callable[[float], None] = time.sleep) -> list[dict]:
-    """Collect what is due (with `get`, which fetches a URL), load, check, and build all derived tables.
+@dataclass(frozen=True)
+class Extras:
+    """What a run does beside the tables, each only where it is asked for: train the regression (with these settings), write the research
+    report, copy the raw files that another store lacks, and send the run's log."""
+
+    train: dict | None = None
+    report: str | None = None
+    mirror_to: str | None = None
+    publish: tuple[str, str] | None = None
+    send: Callable[[DataFrame], None] | None = None
+
+
+def extra_steps(spark: SparkSession, extras: Extras, bronze_root: str, root: str, log: str, at: datetime) -> list[tuple[str, Callable[[], object]]]:
+    """A step for each of the extras; one that has too little to work on, or nobody to send to, is skipped."""
+
+    def known() -> dict[str, DataFrame]:
+        """All tables that are there."""
+        tables = {t: history.read_history(spark, f"{root}/history", t) for t in quality.SOURCES}
+        return tables | {t: sinks.read_table(spark, f"{root}/gold/{t}") for t in TABLES if sinks.has_table(spark, f"{root}/gold/{t}")}
+
+    def train() -> str:
+        pairs = sinks.read_table(spark, f"{root}/gold/validation_pairs")
+        try:
+            score = model.scores(model.cross_validated(pairs, f"{root}/model/folds", **extras.train))
+        except model.TooFewRows as e:
+            raise Skip(str(e)) from e
+        _, importance = model.train(pairs, f"{root}/model/latest", **extras.train)
+        found = model.write_summary(score, importance, f"{root}/model/summary.json", f"{root}/model/runs.jsonl", **extras.train)
+        return f"{found['scores']['pairs']} pairs"
+
+    def report() -> str:
+        text = serve.research_report(known(), at.isoformat())
+        Path(extras.report).write_text(text, encoding="utf-8")
+        return f"{len(text)} characters"
+
+    def copy() -> str:
+        mine = bronze.listing(spark, bronze_root).select(F.col("file_path").alias("path"), "sha256")
+        base, target = (p.removeprefix("file:").rstrip("/") for p in (bronze_root, extras.mirror_to))
+        if history._has_files(spark, extras.mirror_to):
+            there = bronze.listing(spark, extras.mirror_to)
+            # a file is the same if it lies at the same place below its root
+            below = F.expr(f"substring(regexp_replace(file_path, '^file:/*', '/'), {len(target) + 1})")
+            same = there.select(below.alias("place"), "sha256")
+            mine = mine.withColumn("place", F.expr(f"substring(regexp_replace(path, '^file:/*', '/'), {len(base) + 1})")).join(same, ["place", "sha256"], "left_anti")
+        done = sinks.mirror(mine.select("path"), bronze_root, extras.mirror_to, f"{root}/mirrored").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad")).first()
+        if done["bad"]:
+            raise OSError(f"{done['bad']} of {done['n']} files were not copied; see {root}/mirrored")
+        return f"{done['n']} files"
+
+    wanted = [("train_model", train, extras.train is not None), ("write_report", report, extras.report), ("mirror_bronze", copy, extras.mirror_to)]
+    steps = [(name, work) for name, work, given in wanted if given]
+    return [*steps, ("publish_events", publish_step(spark, log, *extras.publish, extras.send))] if extras.publish else steps
+
+
+def run(spark: SparkSession, bronze_root: str, root: str, lock_path: str, log: str, silver_root: str | None = None, *, get: ingest.Get | None = None, at: datetime | None = None, wait: Callable[[float], None] = time.sleep, extras: Extras | None = None) -> list[dict]:
+    """Collect what is due (with `get`, which fetches a URL), load, check, build all derived tables, and do the `extras`.
 
     A failed check stops the run before any derived table is built. `silver_root` holds the current files; without it the
     tables made of them are left out.
@@ -245,7 +300,8 @@ def run(spark: SparkSession, bronze_root: str, root: str, lock_path: str, log: s
 
     collect = ingest_steps(spark, get, bronze_root, silver_root or f"{root}/silver", at or ingest.now(), wait) if get else []
     with lock(lock_path) as refresh:
-        return run_steps(spark, [*collect, ("load_history", load), ("check_quality", check), ("build_gold", derive)], log, refresh)
+        more = extra_steps(spark, extras, bronze_root, root, log, at or ingest.now()) if extras else []
+        return run_steps(spark, [*collect, ("load_history", load), ("check_quality", check), ("build_gold", derive), *more], log, refresh)
 
 
 def publish_step(spark: SparkSession, log: str, servers: str, topic: str, send: Callable[[DataFrame], None] | None = None) -> Callable[[], str]:

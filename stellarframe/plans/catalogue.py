@@ -687,9 +687,17 @@ def _q(spark, d):
     return serve.health(spark, {n: getattr(t, n) for n in names[:-1]}, names)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A derived table as a run leaves it: written once, read by all that need it."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _served_to_sql(t: Tables) -> dict[str, DataFrame]:
     """The tables that the SQL of `metrics` covers."""
-    hourly, index = _hourly(t), _index(t)
+    hourly = _stored(_hourly(t), "hourly")
+    index = _stored(gold.orbit_reliability_index(t.daily(), hourly), "index")
     return {"orbital_snapshot_history": t.orbital(), "noaa_magnetic_history": t.magnetic(), "noaa_plasma_history": t.plasma(), "orbit_reliability_index": index, "reliability_class_summary": gold.reliability_class_summary(index), "freshness_by_group": gold.freshness_by_group(gold.element_freshness(t.daily())), "space_weather_hourly": hourly, "satnogs_observation_history": t.observations(), "satnogs_activity": gold.satnogs_activity(t.observations())}
 
 
@@ -709,8 +717,9 @@ def _q(spark, d):
 
 def _served(t: Tables) -> dict[str, DataFrame]:
     """All tables that gauges are made of; disagreement without a propagator, so that SQL can follow."""
-    measured = _proxy(t)
-    found = measure.validation_stats(measure.validation_pairs(measured, t.orbital()), measured)
+    measured = _stored(_proxy(t), "measured")
+    pairs = _stored(measure.validation_pairs(measured, t.orbital()), "pairs")
+    found = measure.validation_stats(pairs, measured)
     return _served_to_sql(t) | {"propagation_disagreement": measured, "validation_stats": found, "sw_index_daily": gold.sw_index_daily(t.indices()), "debris_population": gold.debris_population(_features(t)), "quality": _gate(t)}
 
 

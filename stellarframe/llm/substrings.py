@@ -36,7 +36,7 @@ from .common import Stages
 
 LENGTH = 200
 #: Different pieces of one gram that go to one batch at most, and what a batch holds otherwise.
-HOT = 1000
+HOT = 5000
 BATCH_BYTES = 2 << 20
 #: Windows whose anchors are found at once; positions take the low bits of what is compared.
 BLOCK = 1 << 18

@@ -5,11 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import datetime, timezone
-from functools import partial
-from multiprocessing.pool import ThreadPool
 from pathlib import Path
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -20,11 +17,12 @@ from ..functions import expr as X
 from ..functions import stats
 from ..session import new_folder
 from ..sources import sinks
+from . import boosting
 
 FEATURES = ("element_age_hours_at_prediction", "mean_altitude_km_at_prediction", "inclination_degrees_at_prediction", "eccentricity_at_prediction", "bstar_at_prediction", "propagation_span_hours")
 FOLDS = 5
 MIN_ROWS = 30
-PARTITION_ROWS = 50_000
+PARTITION_ROWS = 100_000
 SETTINGS = {"maxIter": 150, "maxDepth": 3, "minInstancesPerNode": 8, "stepSize": 0.05, "subsamplingRate": 0.9, "seed": 42}
 
 
@@ -48,8 +46,8 @@ def encoder(train: DataFrame) -> PipelineModel:
 def cross_validated(pairs: DataFrame, folder: str | None = None, **settings) -> DataFrame:
     """Each pair with the prediction of a model, and the median, of the other objects' pairs; folds are trained side by side.
 
-    The pairs and each fold's predictions are written once, below `folder` (a new one unless given), and read from there. A task
-    has PARTITION_ROWS pairs, of six numbers and a group each, so that what boosting keeps of them is some MB a task.
+    The pairs and the predictions are written once, below `folder` (a new one unless given), and read from there. A task has
+    about PARTITION_ROWS pairs, of some 85 bytes each for all folds, so that what boosting keeps of them is some MB a task.
     """
     spark, folder = pairs.sparkSession, folder or new_folder(pairs.sparkSession, "regression")
     targets(pairs).write.mode("overwrite").parquet(f"{folder}/pairs")
@@ -57,26 +55,13 @@ def cross_validated(pairs: DataFrame, folder: str | None = None, **settings) ->
     n = rows.count()
     if n < MIN_ROWS:
         raise TooFewRows(f"{n} pairs; {MIN_ROWS} are needed")
-    # a round of boosting is a few short jobs: small data are kept in few partitions
-    rows = rows.coalesce(-(-n // PARTITION_ROWS))
-
-    def trained(fold: int) -> str | None:
-        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        if train.isEmpty() or test.isEmpty():
-            return None
-        encode = encoder(train)
-        model = GBTRegressor(labelCol="target", **(SETTINGS | settings)).fit(encode.transform(train))
-        median = stats.quantiles(train, [], {"baseline": ("target", 0.5)}).first()["baseline"]
-        made = model.transform(encode.transform(test)).withColumn("baseline", F.lit(median))
-        path = f"{folder}/predicted/part={fold}"
-        made.select("norad_catalog_id", "fold", "base_score", "km_per_hour", "target", "prediction", "baseline").write.mode("overwrite").parquet(path)
-        return path
-
-    with ThreadPool(FOLDS) as pool:
-        # a wrapper for each: threads that share one share the properties of their jobs
-        tasks = [inheritable_thread_target(spark)(partial(trained, fold)) for fold in range(FOLDS)]
-        parts = [p for p in pool.map(lambda task: task(), tasks) if p is not None]
-    return spark.read.parquet(*parts)
+    others = F.explode(F.array(*map(F.lit, range(FOLDS)))).alias("other")
+    medians = stats.quantiles(rows.select("fold", "target", others).where("other <> fold"), ["other"], {"baseline": ("target", 0.5)})
+    made = boosting.predictions(rows, FEATURES, FOLDS, -(-n // PARTITION_ROWS), **(SETTINGS | settings))
+    # a fold without pairs of other objects has no median, and no model
+    made = made.join(F.broadcast(medians.withColumnRenamed("other", "fold")), "fold")  # FOLDS rows
+    made.select("norad_catalog_id", "fold", "base_score", "km_per_hour", "target", "prediction", "baseline").write.mode("overwrite").parquet(f"{folder}/predicted")
+    return spark.read.parquet(f"{folder}/predicted")
 
 
 def scores(predicted: DataFrame) -> DataFrame:

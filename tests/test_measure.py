@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stellarframe.functions import sgp4, stats
-from stellarframe.plans import measure, model
+from stellarframe.plans import boosting, measure, model
 
 from .helpers import at, orbit, rows, seen
 
@@ -214,6 +214,42 @@ def test_regression_beats_the_median_on_objects_it_has_not_seen(spark):
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
+def drawn_pairs(spark, n):
+    """Pairs whose features have some ten values each, and whose rates have no ties."""
+    v = lambda i, k: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(k))
+    columns = {c: v(i, 9 + i % 3).cast("double") for i, c in enumerate(model.FEATURES)}
+    rows = spark.range(n).withColumns(columns | {"norad_catalog_id": v(20, n // 3), "source_group": F.concat(F.lit("g"), v(21, 3)), "base_score": v(22, 100).cast("double")})
+    a, b, c = (F.col(x) for x in model.FEATURES[:3])
+    return rows.withColumn("km_per_hour", a * b / 10 + F.when(F.col("source_group") == "g1", 2.0).otherwise(c / 5) + v(23, 100_003) / 200_000)
+
+
+def test_boosting_of_all_folds_grows_the_trees_of_spark(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = model.targets(drawn_pairs(spark, 1200)).repartition(3).localCheckpoint()
+    settings = model.SETTINGS | {"maxIter": 12, "subsamplingRate": 1.0}
+    made = boosting.predictions(rows, model.FEATURES, model.FOLDS, 2, **settings)
+    got = {r.id: r.prediction for r in made.collect()}
+    assert len(got) == 1200
+    for fold in range(model.FOLDS):
+        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+        encode = model.encoder(train)
+        want = GBTRegressor(labelCol="target", **settings).fit(encode.transform(train)).transform(encode.transform(test)).collect()
+        assert want and max(abs(got[r.id] - r.prediction) for r in want) < 1e-9
+
+
+def test_a_round_of_boosting_is_a_few_jobs_for_all_folds(spark):
+    pairs, context = drawn_pairs(spark, 300).localCheckpoint(), spark.sparkContext
+
+    def jobs(rounds):
+        context.setJobGroup(f"rounds-{rounds}", "")
+        model.cross_validated(pairs, maxIter=rounds)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return len(context.statusTracker().getJobIdsForGroup(f"rounds-{rounds}"))
+
+    assert jobs(7) - jobs(3) <= 4 * (1 + model.SETTINGS["maxDepth"])
+
+
 def test_a_group_that_training_has_not_seen_is_encoded(spark):
     rows = model.targets(pairs(spark, 60))
     vectors = model.encoder(rows.where("source_group = 'g'")).transform(rows)
